@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -130,26 +131,26 @@ def studentized_range_upper(q, k, df):
     return np.array(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_upper_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_upper(f, d1, d2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_upper_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi2_upper(x, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     return pd.Series(_erfc(np.abs(z.to_numpy(float)) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def studentized_range_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(studentized_range_upper(q.to_numpy(float), k.to_numpy(float), df.to_numpy(float)))

@@ -11,11 +11,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+GROUP_ROWS = 200_000
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row per (group, value): n equal values, `below` smaller ones, `total` in the group."""
-    folded = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Row count of the largest group (partial counts, one row to the driver)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS,
+                      group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per (group, value): n equal values, `below` smaller ones, `total` in the group.
+
+    Groups are counted first: when the largest has at most `group_rows` rows an ordinary window per group
+    does; otherwise the values are spread over buckets.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    folded = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    if largest_group(rows, keys) <= group_rows:
+        order = Window.partitionBy(*keys).orderBy(value)
+        return folded.select(*keys, value, "n", (F.sum("n").over(order) - F.col("n")).alias("below"),
+                             F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
     probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     if dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "date"):
         number = F.unix_date(value) if dict(df.dtypes)[value] == "date" else F.col(value)
@@ -47,9 +63,17 @@ def ranked(df: DataFrame, keys: list[str], value: str, name: str = "rank", ties:
     return df.join(table, [*keys, value])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles (position (n-1)p) per group, from the value counts alone."""
-    counts = cumulative_counts(df, keys, value)
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
+                    group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Interpolated quantiles (position (n-1)p) per group.
+
+    The built-in exact percentile buffers the distinct values of a group, so it is used only when the
+    largest group was counted to be within `group_rows`; beyond that the value counts are ranked in buckets.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    if largest_group(rows, keys) <= group_rows:
+        return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+    counts = cumulative_counts(rows, keys, value, group_rows=0)
 
     def at(position: Column) -> Column:
         hit = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
