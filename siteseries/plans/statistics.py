@@ -451,9 +451,9 @@ LOESS_DET = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s
 @query("m32_local_regression", ("survey",), f"""
 WITH f AS (SELECT family, date_diff('day', DATE '1970-01-01', collection_period)::DOUBLE AS x, sum(density) AS y FROM survey GROUP BY ALL),
 b AS (SELECT family, min(x) AS lo, max(x) AS hi, floor(count(*) * 0.5::DOUBLE + 1e-9)::BIGINT AS near FROM f GROUP BY ALL),
-at AS (SELECT family, near, lo + (hi - lo) * i / 39.0::DOUBLE AS x0, i FROM b CROSS JOIN (SELECT unnest(range(0, 40)) AS i)),
-d AS (SELECT at.family, at.i, at.x0, at.near, f.x, f.y, abs(f.x - at.x0) AS d, row_number() OVER (PARTITION BY at.family, at.i ORDER BY abs(f.x - at.x0)) AS k
-      FROM at JOIN f ON f.family = at.family),
+pts AS (SELECT family, near, lo + (hi - lo) * i / 39.0::DOUBLE AS x0, i FROM b CROSS JOIN (SELECT unnest(range(0, 40)) AS i)),
+d AS (SELECT pts.family, pts.i, pts.x0, pts.near, f.x, f.y, abs(f.x - pts.x0) AS d, row_number() OVER (PARTITION BY pts.family, pts.i ORDER BY abs(f.x - pts.x0)) AS k
+      FROM pts JOIN f ON f.family = pts.family),
 h AS (SELECT family, i, max(d) FILTER (WHERE k = near) AS reach FROM d GROUP BY ALL),
 w AS (SELECT d.*, (d.x - d.x0) / reach AS u, pow(greatest(1 - pow(d.d / reach, 3), 0), 3) AS w FROM d JOIN h ON h.family = d.family AND h.i = d.i),
 s AS (SELECT family, x0, sum(w) AS s0, sum(w*u) AS s1, sum(w*u*u) AS s2, sum(w*u*u*u) AS s3, sum(w*u*u*u*u) AS s4, sum(w*y) AS t0, sum(w*u*y) AS t1, sum(w*u*u*y) AS t2 FROM w GROUP BY ALL)

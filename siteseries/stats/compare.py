@@ -91,15 +91,23 @@ def rank_sum_vs(df: DataFrame, keys: list[str], group: str, value: str, referenc
                       ratio(centre - F.signum(centre) * 0.5, spread).alias("z_stat"))
 
 
+SCORE_CHUNK = 10_000
+
+
 def normal_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per (key, value): average rank, its normal score and the number of equal values.
+    """One row per value with its position in the group order and the normal score of that position.
 
-    Scores use (rank - 3/8) / (n + 1/4).
+    Scores use (position - 3/8) / (n + 1/4). Equal values take consecutive positions; they are unfolded in
+    two steps, so that a value shared by very many rows never needs one long array.
     """
     counts = cumulative_counts(df, keys, value)
-    rank = F.col("below") + (F.col("n") + 1.0) / 2.0
-    return counts.select(*keys, value, "n", F.col("total"), rank.alias("rank"),
-                         normal_quantile((rank - 0.375) / (F.col("total") + 0.25)).alias("score"))
+    last = F.col("n") - 1
+    step = F.lit(SCORE_CHUNK)
+    out = counts.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / step))))
+    inner = F.sequence(F.col("_c") * step, F.least(last, F.col("_c") * step + (step - 1)))
+    out = out.withColumn("_i", F.explode(inner)).withColumn("position", F.col("below") + F.col("_i") + 1)
+    return out.select(*keys, value, "position", "total",
+                      normal_quantile((F.col("position") - 0.375) / (F.col("total") + 0.25)).alias("score"))
 
 
 def shapiro_francia(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -108,14 +116,8 @@ def shapiro_francia(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     z uses the published approximation in ln n (valid for 5 <= n <= 5000; beyond that read W').
     """
     s = normal_scores(df, keys, value)
-    w, x, m = F.col("n").cast("double"), F.col(value), F.col("score")
-    sums = s.groupBy(*keys).agg(
-        F.max("total").alias("nobs"), F.sum(w * x).alias("sx"), F.sum(w * m).alias("sm"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * m * m).alias("smm"), F.sum(w * x * m).alias("sxm"))
+    out = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("nobs"), F.pow(F.corr(value, "score"), 2).alias("w_stat"))
     n = F.col("nobs")
-    cxm = F.col("sxm") - F.col("sx") * F.col("sm") / n
-    cxx, cmm = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("smm") - F.col("sm") * F.col("sm") / n
-    out = sums.select(*keys, "nobs", ratio(cxm * cxm, cxx * cmm).alias("w_stat"))
     ln_n = F.ln(n)
     mean = -1.2725 + 1.0521 * (F.ln(ln_n) - ln_n)
     sd = 1.0308 - 0.26758 * (F.ln(ln_n) + 2.0 / ln_n)
