@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteseries.functions.dates import season
 from siteseries.functions.numeric import ratio, sum0
 from siteseries.operators.joins import natural_join, with_group_stats
-from siteseries.operators.ranking import exact_quantiles
+from siteseries.operators.ranking import GROUP_ROWS, exact_quantiles, largest_group
 from siteseries.operators.reshape import spread
 
 SURVEY = ["site_code", "collection_period"]
@@ -19,24 +19,31 @@ def community_total(df: DataFrame, values: list[str], keys: list[str] = SURVEY)
     return df.groupBy(*keys).agg(*[sum0(v).alias(v) for v in values])
 
 
-def level_stats(df: DataFrame, value: str, keys: list[str], suffix: str) -> DataFrame:
+def level_stats(df: DataFrame, value: str, keys: list[str], suffix: str, bounded: bool = False) -> DataFrame:
     """Mean, median, sd and count of raw measurements at one level.
 
-    A level may hold any number of measurements, so the median comes from the distributed quantiles.
+    A level may hold any number of measurements. `bounded=True` says that its groups were counted and are
+    small enough for the built-in exact median; otherwise the median comes from the distributed quantiles.
     """
-    plain = df.groupBy(*keys).agg(
-        F.avg(value).alias(f"mu_{suffix}"), F.stddev_samp(value).alias(f"sd_{suffix}"),
-        F.count(F.lit(1)).alias(f"n_{suffix}"))
-    return natural_join(plain, exact_quantiles(df, keys, value, {f"me_{suffix}": 0.5}), "left", keys)
+    plain = [F.avg(value).alias(f"mu_{suffix}"), F.stddev_samp(value).alias(f"sd_{suffix}"),
+             F.count(F.lit(1)).alias(f"n_{suffix}")]
+    if bounded:
+        return df.groupBy(*keys).agg(*plain, F.median(value).alias(f"me_{suffix}"))
+    return natural_join(df.groupBy(*keys).agg(*plain), exact_quantiles(df, keys, value, {f"me_{suffix}": 0.5}), "left", keys)
 
 
 def taxonomic_levels(df: DataFrame, value: str, unit: list[str] = SURVEY, family: str = "family",
-                     taxon: str = "lowest_taxon") -> DataFrame:
-    """Species rows (mean above 0) with the statistics of their family and of the whole community."""
-    species = level_stats(df, value, [*unit, taxon], "spe").filter(F.col("mu_spe") > 0)
-    species = natural_join(species, df.select(family, taxon).distinct(), "left")
-    species = natural_join(species, level_stats(df, value, [*unit, family], "fam"), "left")
-    return natural_join(species, level_stats(df, value, unit, "com"), "left")
+                     taxon: str = "lowest_taxon", group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Species rows (mean above 0) with the statistics of their family and of the whole community.
+
+    The community groups are counted once; the finer groups are parts of them. The raw rows are read
+    several times, so a costly input should be staged.
+    """
+    bounded = largest_group(df, unit) <= group_rows
+    species = level_stats(df, value, [*unit, taxon], "spe", bounded).filter(F.col("mu_spe") > 0)
+    species = natural_join(species, df.select(family, taxon).distinct(), "left", [taxon])
+    species = natural_join(species, level_stats(df, value, [*unit, family], "fam", bounded), "left", [*unit, family])
+    return natural_join(species, level_stats(df, value, unit, "com", bounded), "left", unit)
 
 
 def community_stats(df: DataFrame, value: str, site: str = "site_code", period: str = "collection_period") -> DataFrame:
@@ -50,7 +57,7 @@ def community_stats(df: DataFrame, value: str, site: str = "site_code", period:
     out = totals
     for suffix, extra in (("at", []), ("yr", ["collection_year"]), ("qt", ["collection_qtr"])):
         out = with_group_stats(out, [site, *extra], {
-            f"{t}_mu_{suffix}": F.avg(t), f"{t}_me_{suffix}": F.median(t), f"{t}_n_{suffix}": F.count(F.lit(1))})
+            f"{t}_mu_{suffix}": F.avg(t), f"{t}_me_{suffix}": F.median(t), f"{t}_n_{suffix}": F.count(F.lit(1))}, bounded=True)
     return out
 
 
@@ -122,7 +129,7 @@ def composition_percent(df: DataFrame, unit: list[str], part: str, value: str,
     if named is not None:
         df = df.withColumn(part, F.when(F.col(part).isin(*named), F.col(part)).otherwise(other))
     parts = df.groupBy(*unit, part).agg(sum0(value).alias(value))
-    parts = with_group_stats(parts, unit, {"unit_total": F.sum(value)})
+    parts = with_group_stats(parts, unit, {"unit_total": F.sum(value)}, bounded=named is not None)
     return parts.withColumn("percent", 100.0 * ratio(value, "unit_total"))
 
 
@@ -143,9 +150,9 @@ def trait_totals(df: DataFrame, traits: DataFrame, trait: str, value: str, unit:
 
 
 def regional_index(df: DataFrame, site: str, date: str, value: str, center: str = "median") -> DataFrame:
-    """Mean over sites of value / site centre, by date."""
+    """Mean over sites of value / site centre, by date. The input has one row per site and date."""
     stat = F.median(value) if center == "median" else F.avg(value)
-    rows = with_group_stats(df, [site], {"centre": stat}, small=True)
+    rows = with_group_stats(df, [site], {"centre": stat}, bounded=True)
     return rows.groupBy(date).agg(F.avg(ratio(value, "centre")).alias("q_region"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.dates import flag_window
 from siteseries.functions.numeric import distance2, ln_or, ratio, sum0
-from siteseries.operators.joins import broadcast_if_small, natural_join, with_group_stats
+from siteseries.operators.joins import with_group_stats
 from siteseries.operators.reshape import melt
 
 ZERO_LRR = -100000.0
@@ -25,17 +25,18 @@ def response_ratio(df: DataFrame, value: str, level: str | None, test: tuple, cl
     and level, or of the same site and level where that quarter has none, or 0 where the site has none.
     Ratio = (x - b) / (b + 0.01); log ratio = ln|ratio| with -100000 for a ratio of 0. `by` adds key
     columns (such as the metric name), so that many metrics run in one job.
+
+    After the survey sums a (site, level) holds one row per period, so both baselines are windows over
+    calendar-bounded groups that share one exchange, and the raw rows are read once.
     """
     by = by or []
     levels = by + ([level] if level else [])
     keyed = df.withColumns({"qtr": F.quarter(period), "is_baseline": flag_window(period, *test, closed)})
     surveys = keyed.groupBy(site, "qtr", period, *levels, "is_baseline").agg(sum0(value).alias("x"))
-    base = surveys.filter(F.col("is_baseline") == "baseline")
-    b_all = base.groupBy(site, *levels).agg(F.avg("x").alias("b_all"), F.stddev_samp("x").alias("b_sd"))
-    b_qtr = base.groupBy(site, "qtr", *levels).agg(F.avg("x").alias("b_qtr"))
-    out = natural_join(surveys.filter(F.col("is_baseline") == "test"), b_all, "left", [site, *levels])
-    out = natural_join(out, b_qtr, "left", [site, "qtr", *levels])
-    out = out.withColumn("b_all", F.coalesce("b_all", F.lit(0.0)))
+    base = F.when(F.col("is_baseline") == "baseline", F.col("x"))
+    out = with_group_stats(surveys, [site, *levels], {"b_all": F.avg(base), "b_sd": F.stddev_samp(base)}, bounded=True)
+    out = with_group_stats(out, [site, *levels, "qtr"], {"b_qtr": F.avg(base)}, bounded=True)
+    out = out.filter(F.col("is_baseline") == "test").withColumn("b_all", F.coalesce("b_all", F.lit(0.0)))
     out = out.withColumn("b_qtr_fill", F.coalesce("b_qtr", "b_all"))
     for name, b in (("qtr", "b_qtr_fill"), ("all", "b_all")):
         out = out.withColumn(f"rr_{name}", ratio(F.col("x") - F.col(b), F.col(b) + F.lit(OFFSET)))
@@ -78,13 +79,7 @@ def centroid_distance(df: DataFrame, keys: list[str], x: str = "axis1", y: str =
 
 def baseline_centroid_distance(df: DataFrame, test: tuple, site: str = "site_code", period: str = "collection_period",
                                x: str = "axis1", y: str = "axis2") -> DataFrame:
-    """Distance of each row to the mean point of the baseline rows of its site."""
+    """Distance of each row to the mean point of the baseline rows of its site (one row per site and period)."""
     base = flag_window(period, *test, "none") == "baseline"
-    rows = with_group_stats(df, [site], {"mu1": F.avg(F.when(base, F.col(x))), "mu2": F.avg(F.when(base, F.col(y)))})
+    rows = with_group_stats(df, [site], {"mu1": F.avg(F.when(base, F.col(x))), "mu2": F.avg(F.when(base, F.col(y)))}, bounded=True)
     return rows.withColumn("cdis", distance2(x, y, "mu1", "mu2"))
-
-
-def baseline_table(df: DataFrame, value: str, keys: list[str], is_base: Column) -> DataFrame:
-    """Mean, variance and count of the baseline rows per key (small: one row per key)."""
-    return broadcast_if_small(df.filter(is_base).groupBy(*keys).agg(
-        F.avg(value).alias("b_mu"), F.var_samp(value).alias("b_var"), F.count(value).alias("b_n")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.operators.joins import with_group_stats
@@ -15,20 +15,21 @@ def pseudo_abundance(df: DataFrame, value: str, name: str = "pseudo_abun", scale
     return df.withColumn(name, F.ceil(F.col(value) * F.lit(scale)))
 
 
-def hill_numbers(df: DataFrame, value: str, unit: list[str] = SURVEY, taxon: str = "lowest_taxon") -> DataFrame:
-    """Richness, exponential Shannon and inverse Simpson per survey from a long table.
+def hill_columns(x: str) -> dict[str, Column]:
+    """Aggregates for a group with one row per taxon: richness, exponential Shannon and inverse Simpson.
 
     With N = sum x: ln of the Shannon number is ln N - sum(x ln x)/N and the Simpson number is
-    N^2 / sum(x^2), so one partial aggregate per survey is enough and no row needs its survey total.
+    N^2 / sum(x^2), so one partial aggregate is enough and no row needs its survey total.
     """
-    x = F.col(value)
-    taxa = df.filter(x > 0).groupBy(*unit, taxon).agg(F.sum(x.cast("double")).alias("_x"))
-    c = F.col("_x")
+    c = F.when(F.col(x) > 0, F.col(x).cast("double"))
     n = F.sum(c)
-    return taxa.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("richness"),
-        F.exp(F.ln(n) - F.sum(c * F.ln(c)) / n).alias("shannon"),
-        (n * n / F.sum(c * c)).alias("simpson"))
+    return {"richness": F.count(c), "shannon": F.exp(F.ln(n) - F.sum(c * F.ln(c)) / n), "simpson": n * n / F.sum(c * c)}
+
+
+def hill_numbers(df: DataFrame, value: str, unit: list[str] = SURVEY, taxon: str = "lowest_taxon") -> DataFrame:
+    """Hill numbers of order 0, 1 and 2 per survey from a long table of any grain."""
+    taxa = df.filter(F.col(value) > 0).groupBy(*unit, taxon).agg(F.sum(value).alias("_x"))
+    return taxa.groupBy(*unit).agg(*[c.alias(n) for n, c in hill_columns("_x").items()])
 
 
 def line_fit(df: DataFrame, x: str, ys: list[str], keys: list[str] | None = None) -> DataFrame:

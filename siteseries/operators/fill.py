@@ -74,6 +74,6 @@ def moving_average_fill_widening(df: DataFrame, keys: list[str], order: str, col
 
 
 def group_mean_impute(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Replace nulls by the mean of the group, all columns at once."""
-    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols})
+    """Replace nulls by the mean of the group, all columns at once. One row per key and period is assumed."""
+    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols}, bounded=True)
     return rows.withColumns({c: F.coalesce(F.col(c), F.col(f"_mu_{c}")) for c in cols}).drop(*[f"_mu_{c}" for c in cols])

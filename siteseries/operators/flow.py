@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteseries.functions.numeric import ratio
-from siteseries.operators.joins import natural_join, with_group_stats
+from siteseries.operators.joins import with_group_stats
 
 
 def trailing_extremes(df: DataFrame, site: str, date: str, value: str, days: int = 28) -> DataFrame:
@@ -22,7 +22,7 @@ def trailing_extremes(df: DataFrame, site: str, date: str, value: str, days: int
 def event_magnitude(df: DataFrame, site: str, date: str, value: str, days: int = 28) -> DataFrame:
     """Trailing extremes relative to the site's median of the year."""
     rows = trailing_extremes(df, site, date, value, days).withColumn("year", F.year(date))
-    rows = with_group_stats(rows, [site, "year"], {"q_base": F.median(value)})
+    rows = with_group_stats(rows, [site, "year"], {"q_base": F.median(value)}, bounded=True)
     return rows.withColumns({
         "flood_magnitude": ratio(F.col("q_max") - F.col("q_base"), "q_base"),
         "drought_magnitude": ratio(F.col("q_min") - F.col("q_base"), "q_base")})
@@ -31,7 +31,7 @@ def event_magnitude(df: DataFrame, site: str, date: str, value: str, days: int =
 def low_spells(df: DataFrame, site: str, date: str, value: str, prob: float = 0.25, longer_than: int = 7) -> DataFrame:
     """Runs of consecutive days below the site's low quantile of the year, longer than a minimum."""
     rows = with_group_stats(df.withColumn("year", F.year(date)), [site, "year"],
-                            {"q_low": F.percentile(value, F.lit(prob))})
+                            {"q_low": F.percentile(value, F.lit(prob))}, bounded=True)
     low = rows.filter(F.col(value) < F.col("q_low"))
     order = Window.partitionBy(site).orderBy(date)
     # consecutive days keep day number minus position constant; a missing day breaks the run
@@ -51,7 +51,7 @@ def event_durations(df: DataFrame, site: str, date: str, value: str, days: int =
     """
     order = Window.partitionBy(site).orderBy(F.unix_date(date))
     rows = with_group_stats(df.withColumn("year", F.year(date)), [site, "year"],
-                            {"q_base": F.median(value), "q_low": F.percentile(value, F.lit(prob))})
+                            {"q_base": F.median(value), "q_low": F.percentile(value, F.lit(prob))}, bounded=True)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = rows.withColumns({
         "_calm": F.min(F.when(F.col(value) < times * F.col("q_base"), F.col(date))).over(onward),
@@ -69,7 +69,7 @@ def event_durations(df: DataFrame, site: str, date: str, value: str, days: int =
 
 def regime_indices(df: DataFrame, site: str, date: str, value: str, times: tuple[int, ...] = (3, 7, 15)) -> DataFrame:
     """Location, spread, pulse shares and flashiness of each site's record."""
-    rows = with_group_stats(df, [site], {"_med": F.median(value), "_q25": F.percentile(value, F.lit(0.25))})
+    rows = with_group_stats(df, [site], {"_med": F.median(value), "_q25": F.percentile(value, F.lit(0.25))}, bounded=True)
     step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(site).orderBy(date)))
     rows = rows.withColumn("_step", step)
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
@@ -84,8 +84,6 @@ def regime_indices(df: DataFrame, site: str, date: str, value: str, times: tuple
 
 def predictor_set(flow: DataFrame, site: str = "site_code", date: str = "d", value: str = "q") -> DataFrame:
     """Magnitudes and durations of floods and droughts before each day, negative durations raised to 0."""
-    keys = [site, date]
-    size = event_magnitude(flow, site, date, value).select(*keys, "flood_magnitude", "drought_magnitude")
-    length = event_durations(flow, site, date, value).select(*keys, "flood_duration", "drought_duration")
-    out = natural_join(size, length, "left", keys)
-    return out.withColumns({c: F.when(F.col(c) < 0, 0).otherwise(F.col(c)) for c in ("flood_duration", "drought_duration")})
+    out = event_durations(event_magnitude(flow, site, date, value).drop("q_max", "q_min", "q_base", "year"), site, date, value)
+    return out.select(site, date, "flood_magnitude", "drought_magnitude", *[
+        F.when(F.col(c) < 0, 0).otherwise(F.col(c)).alias(c) for c in ("flood_duration", "drought_duration")])

@@ -1,15 +1,15 @@
 """Joins on all shared columns, complete grids and group statistics joined back to rows.
 
 A side is broadcast only after its row count was checked (`broadcast_if_small`); beyond the bound the
-plan stays a shuffle join, where adaptive execution splits skewed keys. Nothing here uses a window over
-a site or taxon, because one site may hold a large part of all rows.
+plan stays a shuffle join, where adaptive execution splits skewed keys. Windows are used only over groups
+of bounded size, because one site or taxon may hold a large part of all raw rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -54,12 +54,18 @@ def attach(df: DataFrame, dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> Dat
 
 
 def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column],
-                     small: bool | None = None) -> DataFrame:
-    """Put statistics of each group on its rows: partial aggregation, then a join on the keys.
-
-    Unlike a window this never gathers a group in one task. With `small=True` the statistics are
-    counted and broadcast if within the bound, so that the rows are not shuffled at all.
+                     small: bool = False, bounded: bool = False) -> DataFrame:
+    """Put statistics of each group on its rows.
+
+    The default is a partial aggregation joined back on the keys, which never gathers a group in one
+    task but reads its input twice (stage the input when it is costly). With `small=True` the
+    statistics are counted and broadcast if within the bound, so that the rows are not shuffled at all.
+    `bounded=True` is for groups whose size is limited by the calendar or a fixed list, such as the
+    periods of a site in a table with one row per site and period: there one window reads the input once.
     """
+    if bounded:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({k: v.over(group) for k, v in stats.items()})
     table = df.groupBy(*keys).agg(*[v.alias(k) for k, v in stats.items()])
     if small:
         table = broadcast_if_small(table)

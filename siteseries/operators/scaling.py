@@ -1,7 +1,7 @@
 """Centring, z-scores, ratios to the site mean and differences from baselines.
 
-Rows get their group statistics by aggregate-and-join, never by a window over the whole site.
-Ordered windows are used only on grids that hold one row per site and period.
+`bounded=True` says that the table holds one row per group and period, so that a group is limited by the
+calendar and one window reads the input once. Otherwise rows get their statistics by aggregate-and-join.
 """
 
 from __future__ import annotations
@@ -16,18 +16,18 @@ from siteseries.operators.joins import full_grid, key_grid, natural_join, on_gri
 from siteseries.operators.reshape import melt
 
 
-def centred(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "z_") -> DataFrame:
+def centred(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "z_", bounded: bool = False) -> DataFrame:
     """x minus the group mean for every column at once (not divided by the sd)."""
-    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols})
+    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols}, bounded=bounded)
     return rows.withColumns({prefix + c: F.col(c) - F.col(f"_mu_{c}") for c in cols}).drop(*[f"_mu_{c}" for c in cols])
 
 
-def z_scores(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_scaled") -> DataFrame:
+def z_scores(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_scaled", bounded: bool = False) -> DataFrame:
     """(x - mean) / sd with n - 1; null where the sd is null or 0."""
     stats = {}
     for c in cols:
         stats |= {f"_mu_{c}": F.avg(c), f"_sd_{c}": F.stddev_samp(c)}
-    rows = with_group_stats(df, keys, stats)
+    rows = with_group_stats(df, keys, stats, bounded=bounded)
     made = {c + suffix: ratio(F.col(c) - F.col(f"_mu_{c}"), F.col(f"_sd_{c}")) for c in cols}
     return rows.withColumns(made).drop(*stats)
 
@@ -47,7 +47,7 @@ def zero_filled_z(df: DataFrame, level: str, values: dict[str, object], site: st
     """z-score per site and level of zero-filled survey aggregates; null z dropped."""
     filled = zero_filled_levels(df, level, values, [site, period])
     names = list(values)
-    return (z_scores(filled, [site, level], names, "_s")
+    return (z_scores(filled, [site, level], names, "_s", bounded=True)  # one row per site, level and period
             .select(site, period, level, *[f"{n}_s" for n in names]).dropna("all", subset=[f"{n}_s" for n in names]))
 
 
@@ -61,9 +61,10 @@ def count_and_size_series(individuals: DataFrame, level: str, length: str, taxon
     return melt(z, [site, period, level], ["count", "size"], ("xvar", "x"), drop_null=True)
 
 
-def log_ratio_to_mean(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "LRR_") -> DataFrame:
+def log_ratio_to_mean(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "LRR_",
+                      bounded: bool = False) -> DataFrame:
     """ln(x / group mean), null where the ratio is not positive."""
-    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols})
+    rows = with_group_stats(df, keys, {f"_mu_{c}": F.avg(c) for c in cols}, bounded=bounded)
     made = {prefix + c: ln_pos(ratio(c, f"_mu_{c}")) for c in cols}
     return rows.withColumns(made).drop(*[f"_mu_{c}" for c in cols])
 

@@ -35,7 +35,7 @@ SELECT site_code, ceil((f1.richness_i + f1.richness_s * annualrain + 2 * (f2.ric
   {', '.join(f"{r(f'(f1.{y}_i + f1.{y}_s * annualrain + 2 * (f2.{y}_i + f2.{y}_s * annualrain)) / 3.0')} AS {y}" for y in ('shannon', 'simpson'))}
 FROM site_dim, f1, f2""")
 def b3(spark, sf):
-    o = V.outcomes(spark, sf)
+    o = V.staged(V.outcomes(spark, sf))
     first = o.filter(F.col("collection_period") < F.lit("1996-01-01").cast("date"))
     second = o.filter(F.col("collection_period") >= F.lit("2000-01-01").cast("date"))
     out = Dv.averaged_prediction(V.site_dim(spark, sf).select("site_code", "annualrain"), "annualrain", first, second,
@@ -63,7 +63,7 @@ prob AS (SELECT t.lowest_taxon, n.site_code, coalesce(p.seen, 0) / n.k::DOUBLE A
 @query("b5_occurrence_probability", ("rare_survey",), f"""
 WITH {_prob('rare_survey')} SELECT lowest_taxon, site_code, {r('prob_present')} AS prob_present FROM prob""")
 def b5(spark, sf):
-    return tidy(rarity.occurrence_probability(V.rare_survey(spark, sf), "density"))
+    return tidy(rarity.occurrence_probability(V.staged(V.rare_survey(spark, sf)), "density"))
 
 
 @query("b6_only_in_window", ("rare_survey",), """
@@ -73,7 +73,7 @@ SELECT DISTINCT lowest_taxon, p::BIGINT AS presence FROM (
 WHERE lowest_taxon NOT IN (SELECT lowest_taxon FROM rare_survey WHERE collection_period < DATE '1995-06-01' OR collection_period > DATE '2001-03-01')""")
 def b6(spark, sf):
     # the made taxa are recorded throughout; a wide window leaves some that occur only inside it
-    return tidy(rarity.only_in_window(V.rare_survey(spark, sf), "density", "1995-06-01", "2001-03-01"))
+    return tidy(rarity.only_in_window(V.staged(V.rare_survey(spark, sf)), "density", "1995-06-01", "2001-03-01"))
 
 
 @query("b7_rare_total", ("rare_survey",), f"""
@@ -85,8 +85,8 @@ t AS (SELECT u.site_code, u.collection_period, coalesce(sum(s.density), 0) AS ra
 SELECT site_code, collection_period, {r('rare_tot', 2)} AS rare_tot,
   {r('(rare_tot - avg(rare_tot) OVER w) / nullif(stddev_samp(rare_tot) OVER w, 0)')} AS rare_tot_scaled FROM t WINDOW w AS (PARTITION BY site_code)""")
 def b7(spark, sf):
-    t = rarity.rare_total(V.rare_survey(spark, sf), "density", below=0.03)
-    return tidy(Z.z_scores(t, ["site_code"], ["rare_tot"]), 6, rare_tot=2)
+    t = rarity.rare_total(V.staged(V.rare_survey(spark, sf)), "density", below=0.03)
+    return tidy(Z.z_scores(t, ["site_code"], ["rare_tot"], bounded=True), 6, rare_tot=2)
 
 
 def _rr(src: str, keys: str, value: str) -> str:
@@ -128,7 +128,7 @@ SELECT metric, level, item, site_code, qtr::BIGINT AS qtr, collection_period, {r
 
 @query("b9_response_ratio_levels", ("survey",), B9_SQL)
 def b9(spark, sf):
-    out = B.response_ratio_levels(V.survey(spark, sf), ["density", "biomass"], ["lowest_taxon", "family", None], V.TEST)
+    out = B.response_ratio_levels(V.staged(V.survey(spark, sf)), ["density", "biomass"], ["lowest_taxon", "family", None], V.TEST)
     return tidy(out.select("metric", "level", "item", "site_code", "qtr", "collection_period", "x", "b_qtr_fill", "rr_qtr", "rr_all"),
                 4, x=3, b_qtr_fill=3)
 
@@ -170,7 +170,7 @@ def b12(spark, sf):
 @query("b13_hellinger", ("survey",), f"""
 SELECT site_code, collection_period, lowest_taxon, {r('sqrt(density / sum(density) OVER (PARTITION BY site_code, collection_period))')} AS hell FROM survey""")
 def b13(spark, sf):
-    return tidy(Dv.hellinger(V.survey(spark, sf), "density").select(*KEYS, "lowest_taxon", "hell"))
+    return tidy(Dv.hellinger(V.staged(V.survey(spark, sf)), "density").select(*KEYS, "lowest_taxon", "hell"))
 
 
 @query("b14_monthly_heat_map", ("rare_survey",), f"""
@@ -182,8 +182,8 @@ j AS (SELECT g.*, m.x FROM g LEFT JOIN m ON m.site_code = g.site_code AND m.fami
 SELECT site_code, family, month::BIGINT AS month, {r('__FILL__')} AS x FROM j WINDOW w AS (PARTITION BY site_code, family ORDER BY month)""")
 def b14(spark, sf):
     t = V.rare_survey(spark, sf).groupBy("site_code", "family", "collection_period").agg(F.sum("density").alias("v"))
-    lrr = Z.log_ratio_to_mean(t, ["site_code", "family"], ["v"])
-    m = lrr.groupBy("site_code", "family", F.month("collection_period").alias("month")).agg(F.avg("LRR_v").alias("x"))
+    lrr = Z.log_ratio_to_mean(t, ["site_code", "family"], ["v"], bounded=True)
+    m = V.staged(lrr.groupBy("site_code", "family", F.month("collection_period").alias("month")).agg(F.avg("LRR_v").alias("x")))
     grid = J.key_grid(m.select("site_code", "family"), "month", F.sequence(F.lit(1), F.lit(12)))
     return tidy(fill.moving_average_fill(J.on_grid(grid, m), ["site_code", "family"], "month", ["x"]))
 
@@ -209,7 +209,7 @@ UNION ALL
 SELECT 'short', e.site_code, e.collection_period, NULL, {', '.join(r(f'e.{c}') for c in X3)}, {r('t.biomass', 3)} FROM env e
 LEFT JOIN totals t ON t.site_code = e.site_code AND t.collection_period = e.collection_period""")
 def b16(spark, sf):
-    e = V.env(spark, sf)
+    e = V.staged(V.env(spark, sf))
     sites = V.site_dim(spark, sf).select("site_code", "annualrain", F.lit(1.0).alias("flat"))
     flow = e.groupBy("site_code").agg(F.lit(7.0).alias("q_flat"))
     long = assembly.long_term_predictors(sites, flow, e, X3)

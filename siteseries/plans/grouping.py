@@ -38,7 +38,7 @@ JOIN ({_level('site_code, collection_period, family', 'fam')}) f ON f.site_code
 JOIN ({_level('site_code, collection_period', 'com')}) c ON c.site_code = s.site_code AND c.collection_period = s.collection_period
 WHERE mu_spe > 0""")
 def a2(spark, sf):
-    return tidy(A.taxonomic_levels(V.individual(spark, sf), "lengthmm"), 5)
+    return tidy(A.taxonomic_levels(V.staged(V.individual(spark, sf)), "lengthmm"), 5)
 
 
 @query("a3_community_stats", ("survey", "totals"), f"""
@@ -55,7 +55,7 @@ WINDOW a AS (PARTITION BY s.site_code)""".replace("avg(t.density) OVER a", "a_mu
     .replace("(count(*) OVER a)", "a_n").replace("WINDOW a AS (PARTITION BY s.site_code)", """
 JOIN (SELECT site_code, avg(density) AS a_mu, median(density) AS a_me, count(*) AS a_n FROM totals GROUP BY ALL) aa ON aa.site_code = s.site_code"""))
 def a3(spark, sf):
-    out = A.taxa_with_community_stats(V.survey(spark, sf).select(*KEYS, "lowest_taxon", "density"), "density")
+    out = A.taxa_with_community_stats(V.staged(V.survey(spark, sf).select(*KEYS, "lowest_taxon", "density")), "density")
     return tidy(out.drop("density", "collection_year", "collection_qtr"), 6, density_com=2)
 
 
@@ -149,7 +149,7 @@ def a14(spark, sf):
 SELECT month(collection_period)::BIGINT AS month, family, {r('avg(p)')} AS percent_mu
 FROM (SELECT *, 100.0 * density / sum(density) OVER (PARTITION BY collection_period) AS p FROM survey) GROUP BY ALL""")
 def a15(spark, sf):
-    return tidy(A.regional_composition(V.survey(spark, sf), "collection_period", "family", "density"))
+    return tidy(A.regional_composition(V.staged(V.survey(spark, sf)), "collection_period", "family", "density"))
 
 
 @query("a16_trait_totals", ("survey",), f"SELECT site_code, collection_period, trait, {r('sum(density)', 2)} AS density FROM survey GROUP BY ALL")
@@ -177,7 +177,7 @@ SELECT 'month', site_code, y::BIGINT, fine::BIGINT, {r('fine_mu / centre')} FROM
   SELECT site_code, year(d) AS y, month(d) AS fine, avg(q) AS fine_mu FROM flow GROUP BY ALL)
   JOIN (SELECT site_code, year(d) AS y, median(q) AS centre FROM flow GROUP BY ALL) USING (site_code, y)""")
 def a18(spark, sf):
-    f = V.flow(spark, sf)
+    f = V.staged(V.flow(spark, sf))
     week = A.regime_ratio(f, "site_code", "d", "q", D.week_of_year("d").cast("int"), "fine")
     month = A.regime_ratio(f, "site_code", "d", "q", F.month("d"), "fine", F.year("d"), "median")
     week = week.select(F.lit("week").alias("grain"), "site_code", F.lit(None).cast("int").alias("coarse"), "fine", "ratio")
@@ -202,7 +202,7 @@ WITH pq AS (SELECT CAST(date_trunc('quarter', collection_period) AS DATE) AS q,
 SELECT lowest_taxon, {', '.join(f'''max(p) FILTER (WHERE q = DATE '{q}')::BIGINT AS "{q}"''' for q in QUARTERS)}
 FROM pq GROUP BY ALL HAVING sum(p) < 10""")
 def a20(spark, sf):
-    return tidy(A.occurrence_matrix(V.rare_survey(spark, sf), "lowest_taxon", "density", 10, QUARTERS))
+    return tidy(A.occurrence_matrix(V.staged(V.rare_survey(spark, sf)), "lowest_taxon", "density", 10, QUARTERS))
 
 
 @query("a21_even_out", ("outcomes",), f"""

@@ -76,7 +76,7 @@ SELECT g.site_code, g.collection_period, {r('e.x1')} AS x1 FROM (
     (SELECT CAST(m AS DATE) AS collection_period FROM generate_series(DATE '1994-06-01', DATE '2002-05-01', INTERVAL 1 MONTH) t(m))) g
 LEFT JOIN env e ON e.site_code = g.site_code AND e.collection_period = g.collection_period""")
 def j8(spark, sf):
-    e = V.env(spark, sf)
+    e = V.staged(V.env(spark, sf))
     grid = J.key_grid(e.select("site_code"), "collection_period", month_sequence("1994-06-01", 96))
     return tidy(J.on_grid(grid, e.select(*KEYS, "x1")))
 
@@ -85,7 +85,7 @@ def j8(spark, sf):
 SELECT site_code, collection_period, lowest_taxon, {r('density', 2)} AS density, {r('avg(density) OVER (PARTITION BY site_code, family)')} AS mu,
        {r('density / avg(density) OVER (PARTITION BY site_code, family)')} AS relative FROM survey""")
 def j9(spark, sf):
-    s = J.with_group_stats(V.survey(spark, sf), ["site_code", "family"], {"mu": F.avg("density")}, small=True)
+    s = J.with_group_stats(V.staged(V.survey(spark, sf)), ["site_code", "family"], {"mu": F.avg("density")}, small=True)
     return tidy(s.select(*KEYS, "lowest_taxon", "density", "mu", ratio("density", "mu").alias("relative")), 6, density=2)
 
 
@@ -97,6 +97,7 @@ def j10(spark, sf):
     i = V.individual(spark, sf)
     # finest level first; coarser means are rebuilt from its sums, so the raw rows are read once
     spe = i.groupBy(*KEYS, "family", "lowest_taxon").agg(F.count(F.lit(1)).alias("n"), F.sum("lengthmm").alias("s"))
+    spe = V.staged(spe)
     out = J.with_group_stats(spe, [*KEYS, "family"], {"mu_fam": F.sum("s") / F.sum("n")})
     out = J.with_group_stats(out, KEYS, {"mu_com": F.sum("s") / F.sum("n")})
     return tidy(out.withColumn("mu_spe", F.col("s") / F.col("n")).drop("s"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteseries.models import engines as E, features as X, neighbours, resample, search
 from siteseries.plans import views as V
-from siteseries.plans.projection import scratch
+from siteseries.session import scratch_path as scratch
 from siteseries.plans.registry import query, r, tidy
 from siteseries.plans.statistics import FRAME_CTE, frame
 from siteseries.sources.files import stage
@@ -65,7 +65,7 @@ WITH {SPLIT}, c AS (SELECT {', '.join(f'avg({x}) AS {x}_m, stddev_samp({x}) AS {
 SELECT site_code, collection_period, part, {', '.join(f"{r(f'({x} - {x}_m) / {x}_s')} AS {x}" for x in ('biomass', 'shannon', 'annualrain'))} FROM split, c""")
 def l4(spark, sf):
     cols = ["biomass", "shannon", "annualrain"]
-    s = resample.stratified_split(V.outcomes(spark, sf).select(*KEYS, *cols), KEYS, ["site_code"], 0.8, SEED)
+    s = V.staged(resample.stratified_split(V.outcomes(spark, sf).select(*KEYS, *cols), KEYS, ["site_code"], 0.8, SEED))
     return tidy(X.normalise(s, cols, F.col("part") == "train").select(*KEYS, "part", *cols))
 
 
@@ -115,14 +115,14 @@ def l11(spark, sf):
 
 
 @query("l12_nearest_neighbours", ("vectors",), f"""
-WITH t AS (SELECT * FROM vectors WHERE vec_id % 5 <> 0), q AS (SELECT * FROM vectors WHERE vec_id % 5 = 0),
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '{SEED}', vec_id::VARCHAR))) <= floor(count(*) OVER (PARTITION BY label) * 0.8::DOUBLE) AS train FROM vectors),
+t AS (SELECT * FROM s WHERE train), q AS (SELECT * FROM s WHERE NOT train),
 d AS (SELECT q.vec_id, t.x8 AS y, t.vec_id::VARCHAR AS rk, sqrt({' + '.join(f'pow(q.x{i} - t.x{i}, 2)' for i in range(1, 5))}) AS d FROM q CROSS JOIN t),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, rk) AS k FROM d)
 SELECT vec_id, {r('sum(y / (d + 1e-9::DOUBLE)) / sum(1 / (d + 1e-9::DOUBLE))')} AS prediction FROM k WHERE k <= 5 GROUP BY vec_id""")
 def l12(spark, sf):
-    # a fifth of the vectors is the test part, the rest trains: together the whole table
-    v = stage(V.vectors(spark, sf), scratch(spark, "vectors"))
-    train, test = v.filter(F.col("vec_id") % 5 != 0), v.filter(F.col("vec_id") % 5 == 0)
+    v = stage(resample.stratified_split(V.vectors(spark, sf), ["vec_id"], ["label"], 0.8, SEED), scratch(spark, "vectors"))
+    train, test = v.filter(F.col("part") == "train"), v.filter(F.col("part") == "test")
     return tidy(neighbours.knn_regression(train, test, ["vec_id"], ["x1", "x2", "x3", "x4"], "x8", 5))
 
 

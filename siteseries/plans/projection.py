@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,18 +14,13 @@ from siteseries.operators.aggregate import community_total
 from siteseries.operators.joins import natural_join
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, rnd, tidy
-from siteseries.session import ensure_checkpoint_dir
+from siteseries.session import scratch_path as scratch
 from siteseries.sources import files
 from siteseries.sources.files import table
 
 KEYS = ["site_code", "collection_period"]
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 # --- sources and sinks -------------------------------------------------------------------------
 
 @query("s1_scan", sql=f"""
@@ -341,7 +335,7 @@ FROM (SELECT DISTINCT site_code, collection_period FROM rare_survey) u
 CROSS JOIN (SELECT DISTINCT lowest_taxon FROM rare_survey) i
 LEFT JOIN rare_survey s ON s.site_code = u.site_code AND s.collection_period = u.collection_period AND s.lowest_taxon = i.lowest_taxon""")
 def h4(spark, sf):
-    return tidy(reshape.zero_complete(V.rare_survey(spark, sf), KEYS, ["lowest_taxon"], "density"), 2)
+    return tidy(reshape.zero_complete(V.staged(V.rare_survey(spark, sf)), KEYS, ["lowest_taxon"], "density"), 2)
 
 
 @query("h5_summary_table", ("flow", "env"), f"""

@@ -16,7 +16,7 @@ from siteseries.functions.dates import flag_window
 from siteseries.functions.numeric import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_LOW, ln_pos
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
-from siteseries.plans.projection import scratch
+from siteseries.session import scratch_path as scratch
 from siteseries.sources.files import stage, table
 from siteseries.stats import compare as T, correlation as C, mixed as M, ordination as O, path as P, regression as R, smooth as S
 
@@ -219,7 +219,7 @@ SELECT year::BIGINT AS year, n::BIGINT AS nobs, {r('(t0*(s2*s4-s3*s3) - s1*(t1*s
 def m15(spark, sf):
     t = community_total(V.survey(spark, sf), ["density"]).select(
         F.year("collection_period").alias("year"), F.dayofyear("collection_period").cast("double").alias("nday"), "density")
-    return tidy(R.quadratic_fit(t, ["year"], "nday", "density").drop("x_mu"), 6, b0=4, b1=5, slope_line=5)
+    return tidy(R.quadratic_fit(V.staged(t), ["year"], "nday", "density").drop("x_mu"), 6, b0=4, b1=5, slope_line=5)
 
 
 # --- tests -------------------------------------------------------------------------------------
@@ -229,7 +229,7 @@ ZCTE = f"""z AS ({' UNION ALL '.join(f"SELECT site_code, collection_period, '{m}
 
 
 def centred_long(spark, sf):
-    o = centred(V.outcomes(spark, sf), ["site_code"], OUT).select(*KEYS, *[F.col(f"z_{c}").alias(c) for c in OUT])
+    o = centred(V.outcomes(spark, sf), ["site_code"], OUT, bounded=True).select(*KEYS, *[F.col(f"z_{c}").alias(c) for c in OUT])
     return o.unpivot(KEYS, OUT, "metric", "v")
 
 
@@ -241,7 +241,7 @@ SELECT metric, collection_period, {r('(mu_x - mu_b) / sqrt(v_x / n_x + v_b / n_b
 FROM x JOIN b USING (metric)""")
 def m16(spark, sf):
     base = flag_window("collection_period", *V.TEST, "none") == "baseline"
-    out = T.welch_vs_baseline(centred_long(spark, sf), ["metric"], "collection_period", "v", base)
+    out = T.welch_vs_baseline(V.staged(centred_long(spark, sf)), ["metric"], "collection_period", "v", base)
     return tidy(out.select("metric", "collection_period", "t_stat", "df", "n_x", "n_b"))
 
 
@@ -264,7 +264,7 @@ a AS (SELECT family, count(*) AS k, sum(n) AS nobs, sum(n * v) AS ssw, sum(n * m
 def family_z(spark, sf):
     t = V.survey(spark, sf).groupBy("family", *KEYS).agg(F.sum("density").alias("d"))
     t = t.withColumn("v", ln_pos("d"))
-    return seasonal(z_scores(t, ["family", "site_code"], ["v"], "_z")).withColumnRenamed("v_z", "z")
+    return seasonal(z_scores(t, ["family", "site_code"], ["v"], "_z", bounded=True)).withColumnRenamed("v_z", "z")
 
 
 @query("m18_anova", ("survey",), f"""
@@ -280,7 +280,7 @@ WITH {FAMILY_Z} SELECT x.family, x.season AS group_a, y.season AS group_b, {r('y
   {r('abs(y.mu - x.mu) / sqrt(ssw / (nobs - k) / 2 * (1.0 / x.n + 1.0 / y.n))')} AS q_stat, k::BIGINT AS groups, (nobs - k)::BIGINT AS df_within
 FROM g x JOIN g y ON x.family = y.family AND x.season < y.season JOIN a ON a.family = x.family""")
 def m19(spark, sf):
-    return tidy(T.tukey_pairs(family_z(spark, sf), ["family"], "season", "z"))
+    return tidy(T.tukey_pairs(V.staged(family_z(spark, sf)), ["family"], "season", "z"))
 
 
 @query("m20_rank_sum", ("survey",), f"""
@@ -293,7 +293,7 @@ u AS (SELECT *, rs - n1 * (n1 + 1) / 2.0 AS u FROM s)
 SELECT family, versus, n1::BIGINT AS n_ref, (n - n1)::BIGINT AS n_versus, {r('u', 2)} AS u_stat,
   {r('(u - n1 * (n - n1) / 2.0 - sign(u - n1 * (n - n1) / 2.0) * 0.5) / sqrt(n1 * (n - n1) / 12.0 * (n + 1 - tie / (n * (n - 1.0))))')} AS z_stat FROM u""")
 def m20(spark, sf):
-    out = T.rank_sum_vs(family_z(spark, sf), ["family"], "season", "z", "Winter", ["Spring", "Summer", "Fall"])
+    out = T.rank_sum_vs(V.staged(family_z(spark, sf)), ["family"], "season", "z", "Winter", ["Spring", "Summer", "Fall"])
     return tidy(out, 6, u_stat=2)
 
 
@@ -331,12 +331,12 @@ def season_residuals(spark, sf):
 @query("m21_residual_normality", ("outcomes",), f"""
 WITH {RES} SELECT season, count(*)::BIGINT AS nobs, {r('corr(e, m) * corr(e, m)')} AS w_stat FROM s GROUP BY ALL""")
 def m21(spark, sf):
-    return tidy(T.shapiro_francia(season_residuals(spark, sf), ["season"], "e").select("season", "nobs", "w_stat"))
+    return tidy(T.shapiro_francia(V.staged(season_residuals(spark, sf)), ["season"], "e").select("season", "nobs", "w_stat"))
 
 
 @query("m22_qq_points", ("outcomes",), f"WITH {RES} SELECT season, {r('e', 4)} AS sample, {r('m', 5)} AS theoretical FROM s")
 def m22(spark, sf):
-    out = T.normal_scores(season_residuals(spark, sf), ["season"], "e")
+    out = T.normal_scores(V.staged(season_residuals(spark, sf)), ["season"], "e")
     return tidy(out.select("season", F.col("e").alias("sample"), F.col("score").alias("theoretical")), 5, sample=4)
 
 
@@ -397,7 +397,7 @@ PATH = ["magnitude ~ rain", "duration ~ rain + magnitude", "OUTCOME ~ magnitude
 
 
 def path_rows(spark, sf):
-    o = log_ratio_to_mean(frame(spark, sf), ["site_code"], ["density", "biomass"])
+    o = log_ratio_to_mean(frame(spark, sf), ["site_code"], ["density", "biomass"], bounded=True)
     o = o.select("site_code", F.when(F.col("x3") > 25.5, "flood").otherwise("drought").alias("event"),
                  F.col("x1").alias("rain"), F.col("x2").alias("magnitude"), F.col("x3").alias("duration"),
                  (F.col("annualrain") / 1000.0).alias("annualrain"), "LRR_density", "LRR_biomass")
@@ -494,7 +494,7 @@ SELECT i.family, {r('lo', 4)} AS lower, {r('me', 4)} AS middle, {r('hi', 4)} AS
   count(*) FILTER (WHERE lengthmm < lo - 1.5 * (hi - lo) OR lengthmm > hi + 1.5 * (hi - lo))::BIGINT AS outliers, count(*)::BIGINT AS nobs
 FROM individual i JOIN q USING (family) GROUP BY i.family, lo, me, hi""")
 def m36(spark, sf):
-    return tidy(S.box_stats(V.individual(spark, sf), ["family"], "lengthmm"), 4)
+    return tidy(S.box_stats(V.staged(V.individual(spark, sf).select("family", "lengthmm")), ["family"], "lengthmm"), 4)
 
 
 @query("m37_convex_hull", ("vectors",), f"""

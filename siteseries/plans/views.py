@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteseries.functions.dates import season
-from siteseries.operators.diversity import hill_numbers
+from siteseries.operators.diversity import hill_columns
 from siteseries.operators.joins import natural_join
-from siteseries.sources.files import table
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage, table
 
 TEST = ("1997-06-01", "1998-09-01")
 EVENT = "1997-08-27"
@@ -44,8 +45,9 @@ def line_surveys(spark: SparkSession, sf: str, at_least: float | None = None) ->
 
 
 def survey(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
-    return line_surveys(spark, sf, at_least).groupBy(
-        "site_code", "site_group", "collection_period", "lowest_taxon", "family", "trait").agg(
+    """One row per site, period and taxon; the other labels depend on those keys and are carried along."""
+    return line_surveys(spark, sf, at_least).groupBy("site_code", "collection_period", "lowest_taxon").agg(
+        *[F.first(c).alias(c) for c in ("site_group", "family", "trait")],
         F.sum("l_quantity").alias("density"), (F.sum("l_extendedprice") / 1000.0).alias("biomass"))
 
 
@@ -105,11 +107,16 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(8)])
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """A view written once for queries that read it several times, instead of repeating its joins."""
+    return stage(df, scratch_path(df.sparkSession, "view"))
+
+
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per survey: totals, diversity, rainfall of the site and season."""
-    s = survey(spark, sf)
-    totals = s.groupBy("site_code", "collection_period").agg(F.sum("density").alias("density"), F.sum("biomass").alias("biomass"))
-    out = natural_join(totals, hill_numbers(s, "density"), "left", ["site_code", "collection_period"])
+    """One row per survey: totals, diversity, rainfall of the site and season, from one pass over the survey."""
+    out = survey(spark, sf).groupBy("site_code", "collection_period").agg(
+        F.sum("density").alias("density"), F.sum("biomass").alias("biomass"),
+        *[c.alias(n) for n, c in hill_columns("density").items()])
     out = natural_join(out, site_dim(spark, sf).select("site_code", "site_group", "annualrain"), "left", ["site_code"])
     return out.withColumns({"season": season("collection_period"), "richness": F.col("richness").cast("double")})
 

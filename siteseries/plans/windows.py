@@ -17,7 +17,7 @@ SELECT site_code, collection_period, {r('density - avg(density) OVER (PARTITION
        {r('biomass - avg(biomass) OVER (PARTITION BY site_code)')} AS z_biomass FROM totals""")
 def w1(spark, sf):
     t = community_total(V.survey(spark, sf), ["density", "biomass"])
-    return tidy(Z.centred(t, ["site_code"], ["density", "biomass"]).select(*KEYS, "z_density", "z_biomass"))
+    return tidy(Z.centred(t, ["site_code"], ["density", "biomass"], bounded=True).select(*KEYS, "z_density", "z_biomass"))
 
 
 @query("w2_z_scores", ("env",), f"""
@@ -25,7 +25,7 @@ SELECT site_code, collection_period, {', '.join(f"{r(f'({c} - avg({c}) OVER w) /
 FROM env WINDOW w AS (PARTITION BY site_code)""")
 def w2(spark, sf):
     cols = ["x1", "x2", "x3"]
-    return tidy(Z.z_scores(V.env(spark, sf), ["site_code"], cols).drop(*cols))
+    return tidy(Z.z_scores(V.env(spark, sf), ["site_code"], cols, bounded=True).drop(*cols))
 
 
 FILLED = """
@@ -41,14 +41,14 @@ z AS (SELECT *, (c - avg(c) OVER w) / nullif(stddev_samp(c) OVER w, 0) AS count_
 @query("w3_zero_filled_z", ("rare_survey",), FILLED.format(src="rare_survey", lvl="family", cnt="sum(density)", mu="sum(biomass)") + f"""
 SELECT site_code, collection_period, family, {r('count_s')} AS density_s FROM z WHERE count_s IS NOT NULL""")
 def w3(spark, sf):
-    return tidy(Z.zero_filled_z(V.rare_survey(spark, sf), "family", {"density": F.sum("density")}))
+    return tidy(Z.zero_filled_z(V.staged(V.rare_survey(spark, sf)), "family", {"density": F.sum("density")}))
 
 
 @query("w4_count_and_size", ("individual",), FILLED.format(src="individual", lvl="family", cnt="count(*)", mu="avg(lengthmm)") + f"""
 SELECT site_code, collection_period, family, 'count' AS xvar, {r('count_s')} AS x FROM z WHERE count_s IS NOT NULL
 UNION ALL SELECT site_code, collection_period, family, 'size', {r('size_s')} FROM z WHERE size_s IS NOT NULL""")
 def w4(spark, sf):
-    return tidy(Z.count_and_size_series(V.individual(spark, sf), "family", "lengthmm"))
+    return tidy(Z.count_and_size_series(V.staged(V.individual(spark, sf)), "family", "lengthmm"))
 
 
 @query("w5_log_ratio_to_mean", ("outcomes",), f"""
@@ -56,7 +56,7 @@ SELECT site_code, collection_period, {', '.join(f"{r(f'ln({c} / avg({c}) OVER (P
 FROM outcomes""")
 def w5(spark, sf):
     cols = ["density", "biomass", "richness", "shannon"]
-    return tidy(Z.log_ratio_to_mean(V.outcomes(spark, sf), ["site_code"], cols).select(*KEYS, *[f"LRR_{c}" for c in cols]))
+    return tidy(Z.log_ratio_to_mean(V.outcomes(spark, sf), ["site_code"], cols, bounded=True).select(*KEYS, *[f"LRR_{c}" for c in cols]))
 
 
 GRID = """SELECT * FROM (SELECT DISTINCT site_code FROM totals) CROSS JOIN
@@ -114,12 +114,12 @@ def w8b(spark, sf):
 
 
 @query("w9_seasonal_grid_fill", ("rare_survey",), f"""
-WITH t AS (SELECT site_code, family, month(collection_period) AS month, avg(density) AS v FROM rare_survey WHERE month(collection_period) % 3 <> 0 GROUP BY ALL),
+WITH t AS (SELECT site_code, family, month(collection_period) AS month, avg(density) AS v FROM rare_survey GROUP BY ALL),
 g AS (SELECT * FROM (SELECT DISTINCT site_code, family FROM t) CROSS JOIN (SELECT unnest(range(1, 13)) AS month)),
 j AS (SELECT g.site_code, g.family, g.month, t.v FROM g LEFT JOIN t ON t.site_code = g.site_code AND t.family = g.family AND t.month = g.month)
 SELECT site_code, family, month::BIGINT AS month, {r(_ma('v'))} AS v FROM j WINDOW w AS (PARTITION BY site_code, family ORDER BY month)""")
 def w9(spark, sf):
-    s = V.rare_survey(spark, sf).withColumn("month", F.month("collection_period")).filter(F.col("month") % 3 != 0)
+    s = V.rare_survey(spark, sf).withColumn("month", F.month("collection_period"))
     t = s.groupBy("site_code", "family", "month").agg(F.avg("density").alias("v"))
     grid = J.key_grid(t.select("site_code", "family"), "month", F.sequence(F.lit(1), F.lit(12)))
     return tidy(fill.moving_average_fill(J.on_grid(grid, t), ["site_code", "family"], "month", ["v"]))
