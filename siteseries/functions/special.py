@@ -9,11 +9,22 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
 
 
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
 def normal_cdf(x):
     return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2.0))
 

@@ -44,20 +44,15 @@ def averaged_prediction(targets: DataFrame, x: str, first: DataFrame, second: Da
                         rounded_up: list[str] = ()) -> DataFrame:
     """Mean of two fitted lines at the targets, the second weighted double.
 
-    Both fits are single rows by construction (ungrouped aggregates), so they are broadcast.
+    Each ungrouped fit is one row of constants, which enters the plan as literals.
     """
-    def named(fit, tag):
-        return fit.select(*[F.col(c).alias(f"{tag}_{c}") for c in fit.columns])
-
-    a, b = named(line_fit(first, x, ys), "a"), named(line_fit(second, x, ys), "b")
-    rows = targets.join(F.broadcast(a)).join(F.broadcast(b))
+    a, b = line_fit(first, x, ys).first(), line_fit(second, x, ys).first()
     made = []
     for y in ys:
-        p1 = F.col(f"a_{y}_icpt") + F.col(f"a_{y}_slope") * F.col(x)
-        p2 = F.col(f"b_{y}_icpt") + F.col(f"b_{y}_slope") * F.col(x)
+        p1, p2 = (F.lit(fit[f"{y}_icpt"]) + F.lit(fit[f"{y}_slope"]) * F.col(x) for fit in (a, b))
         mean = (p1 + 2.0 * p2) / 3.0
         made.append((F.ceil(mean).cast("double") if y in rounded_up else mean).alias(y))
-    return rows.select(*targets.columns, *made)
+    return targets.select(*targets.columns, *made)
 
 
 def fill_period(actual: DataFrame, simulated: DataFrame, period: str, value, covariate: str, above: float) -> DataFrame:

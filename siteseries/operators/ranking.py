@@ -36,7 +36,10 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
     if dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "date"):
         number = F.unix_date(value) if dict(df.dtypes)[value] == "date" else F.col(value)
         cuts = folded.groupBy(*keys).agg(F.percentile_approx(number, probs, 2000).alias("cuts"))
-        folded = folded.join(cuts, keys) if keys else folded.join(F.broadcast(cuts))
+        if keys:
+            folded = folded.join(cuts, keys)
+        else:
+            folded = folded.withColumn("cuts", F.array(*[F.lit(c) for c in (cuts.first()["cuts"] or [])]))
         # number of cut points below the value, so the bucket order follows the value order
         bucket = F.size(F.filter("cuts", lambda c: c < number))
     else:

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.functions.numeric import sum0
 from siteseries.operators.filters import outside_dates, between_dates
-from siteseries.operators.joins import full_grid, natural_join
+from siteseries.operators.joins import full_grid, natural_join, with_group_stats
 from siteseries.operators.aggregate import presence_by_quarter
 
 
@@ -41,12 +40,17 @@ def rare_total(df: DataFrame, value: str, below: float = 0.25, site: str = "site
 
     Sites that have a rare taxon report every survey, with 0 where none was caught.
     """
-    share = occurrence_probability(df, value, site, period, taxon)
-    rare = share.filter((F.col("prob_present") > 0) & (F.col("prob_present") < below)).select(taxon, site)
-    caught = natural_join(df, rare, "semi", [site, taxon]).groupBy(site, period).agg(sum0(value).alias("v"))
-    surveys = natural_join(df.select(site, period).distinct(), rare.select(site).distinct(), "semi", [site])
-    return (natural_join(surveys, caught, "left", [site, period])
-            .select(site, period, F.coalesce("v", F.lit(0.0)).alias("rare_tot")))
+    cells = df.groupBy(site, period, taxon).agg(F.sum(value).alias("v"), F.max(F.when(F.col(value) > 0, 1).otherwise(0)).alias("present"))
+    surveys = cells.select(site, period).distinct().groupBy(site).agg(F.count(F.lit(1)).alias("n_surveys"))
+    seen = natural_join(cells.groupBy(site, taxon).agg(F.sum("present").alias("seen")), surveys, "left", [site])
+    share = F.col("seen") / F.col("n_surveys")
+    rare = seen.filter((share > 0) & (share < below)).select(site, taxon, F.lit(1).alias("rare"))
+    marked = natural_join(cells, rare, "left", [site, taxon])
+    out = marked.groupBy(site, period).agg(
+        F.sum(F.when(F.col("rare") == 1, F.col("v")).otherwise(0.0)).alias("rare_tot"), F.max("rare").alias("any_rare"))
+    # one row per site and period: the window is bounded by the calendar
+    out = with_group_stats(out, [site], {"site_rare": F.max("any_rare")}, bounded=True)
+    return out.filter(F.col("site_rare") == 1).select(site, period, "rare_tot")
 
 
 def only_in_window(df: DataFrame, value: str, start, end, taxon: str = "lowest_taxon",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteseries.operators import assembly, baseline as B, diversity as Dv, fill, flow as W, joins as J, rarity, scaling as Z
-from siteseries.operators.aggregate import community_total
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 
@@ -47,7 +46,7 @@ def b3(spark, sf):
 SELECT site_code, collection_period, {r('density', 2)} AS density FROM totals WHERE collection_period >= DATE '1997-06-01'
 UNION ALL SELECT site_code, DATE '1997-04-01', {r('annualrain / 10', 2)} FROM site_dim WHERE annualrain > 4500""")
 def b4(spark, sf):
-    actual = community_total(V.survey(spark, sf), ["density"]).filter(F.col("collection_period") >= F.lit("1997-06-01").cast("date"))
+    actual = V.totals(spark, sf).select(*KEYS, "density").filter(F.col("collection_period") >= F.lit("1997-06-01").cast("date"))
     simulated = V.site_dim(spark, sf).select("site_code", "annualrain", (F.col("annualrain") / 10).alias("density"))
     return tidy(Dv.fill_period(actual, simulated, "collection_period", "1997-04-01", "annualrain", 4500.0), 2)
 
@@ -198,7 +197,7 @@ n AS (SELECT site_code, collection_period, __FILLS__ FROM i WINDOW w AS (PARTITI
 SELECT t.site_code, t.collection_period, {r('t.density', 2)} AS density, quarter(n.collection_period)::BIGINT AS qtr, {', '.join(f"{r(f'n.{c}')} AS {c}" for c in X3)}
 FROM totals t LEFT JOIN n ON n.site_code = t.site_code AND n.collection_period = t.collection_period""")
 def b15(spark, sf):
-    out = assembly.model_matrix(community_total(V.survey(spark, sf), ["density"]), V.env(spark, sf), X3)
+    out = assembly.model_matrix(V.totals(spark, sf).select(*KEYS, "density"), V.env(spark, sf), X3)
     return tidy(out, 6, density=2)
 
 
@@ -213,7 +212,7 @@ def b16(spark, sf):
     sites = V.site_dim(spark, sf).select("site_code", "annualrain", F.lit(1.0).alias("flat"))
     flow = e.groupBy("site_code").agg(F.lit(7.0).alias("q_flat"))
     long = assembly.long_term_predictors(sites, flow, e, X3)
-    totals = community_total(V.survey(spark, sf), ["biomass"])
+    totals = V.totals(spark, sf).select(*KEYS, "biomass")
     short = assembly.short_term_predictors(e, [totals], KEYS)
     out = long.withColumn("term", F.lit("long")).unionByName(short.withColumn("term", F.lit("short")), allowMissingColumns=True)
     out = out.select("term", *KEYS, "annualrain", *X3, "biomass")
@@ -224,7 +223,7 @@ def b16(spark, sf):
 SELECT site_code, collection_period, {r('density', 2)} AS density, {r('CASE WHEN biomass > 0 THEN sqrt(biomass) END')} AS sqrt_biomass,
   {r('CASE WHEN size > 0 THEN ln(size) END')} AS ln_size FROM (SELECT *, biomass / density AS size FROM totals)""")
 def n1(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density", "biomass"]).withColumn("size", F.col("biomass") / F.col("density"))
+    t = V.totals(spark, sf).withColumn("size", F.col("biomass") / F.col("density"))
     # cut-offs set between the max/median ratios of the made measures, so that each branch is taken
     return tidy(assembly.reduce_skew(t, KEYS, ln_above=20.0, sqrt_above=3.0), 6, density=2)
 

@@ -83,7 +83,7 @@ def a6(spark, sf):
 SELECT CAST(date_trunc('quarter', collection_period + 35) AS DATE) AS quarter, {r('var_samp(density)', 3)} AS density_var,
        {r('var_samp(biomass)', 3)} AS biomass_var, count(*)::BIGINT AS n FROM totals GROUP BY ALL""")
 def a7(spark, sf):
-    return tidy(A.shifted_quarter_variance(A.community_total(V.survey(spark, sf), ["density", "biomass"]), ["density", "biomass"]), 3)
+    return tidy(A.shifted_quarter_variance(V.totals(spark, sf), ["density", "biomass"]), 3)
 
 
 YEARS = list(range(1995, 2002))
@@ -93,7 +93,7 @@ YEARS = list(range(1995, 2002))
 SELECT month(collection_period)::BIGINT AS month, {', '.join(f'nullif(count(*) FILTER (WHERE year(collection_period) = {y}), 0)::BIGINT AS "{y}"' for y in YEARS)}
 FROM totals GROUP BY ALL""")
 def a8(spark, sf):
-    t = A.community_total(V.survey(spark, sf), ["density"]).withColumn("year", F.year("collection_period"))
+    t = V.totals(spark, sf).select(*KEYS, "density").withColumn("year", F.year("collection_period"))
     return tidy(A.effort_matrix(t, F.month("collection_period").alias("month"), "year", YEARS))
 
 
@@ -108,7 +108,7 @@ def a9(spark, sf):
 SELECT month(collection_period)::BIGINT AS month, printf('%.0f', round_even(avg(density), 0)) || ' (' || printf('%.0f', round_even(stddev_samp(density), 0)) || ')' AS label
 FROM totals GROUP BY ALL""")
 def a10(spark, sf):
-    t = A.community_total(V.survey(spark, sf), ["density"]).withColumn("month", F.month("collection_period"))
+    t = V.totals(spark, sf).select(*KEYS, "density").withColumn("month", F.month("collection_period"))
     return tidy(A.mean_sd_label(t, ["month"], "density", digits=0))
 
 
@@ -216,6 +216,6 @@ def a21(spark, sf):
 SELECT year(collection_period)::BIGINT AS year, month(collection_period)::BIGINT AS month, {r('avg(biomass / annualrain / 1000.0)', 9)} AS depth_mu
 FROM totals JOIN site_dim USING (site_code) GROUP BY ALL""")
 def a22(spark, sf):
-    t = A.community_total(V.survey(spark, sf), ["biomass"])
+    t = V.totals(spark, sf).select(*KEYS, "biomass")
     t = attach(t, V.site_dim(spark, sf).select("site_code", "annualrain"))
     return tidy(A.normalised_monthly_mean(t, "biomass", "annualrain", "collection_period"), 9)

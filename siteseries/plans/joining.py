@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siteseries.functions.dates import month_sequence
 from siteseries.functions.numeric import ratio
 from siteseries.operators import joins as J
-from siteseries.operators.aggregate import community_total, level_stats
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 from siteseries.sources.files import table
@@ -19,7 +18,7 @@ KEYS = ["site_code", "collection_period"]
 SELECT t.site_code, t.collection_period, {r('t.density', 2)} AS density, {r('e.x1')} AS x1, {r('e.x2')} AS x2, {r('e.x3')} AS x3
 FROM totals t LEFT JOIN env e ON t.site_code IS NOT DISTINCT FROM e.site_code AND t.collection_period IS NOT DISTINCT FROM e.collection_period""")
 def j1(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(J.natural_join(t, V.env(spark, sf), "left"), 6, density=2)
 
 
@@ -36,7 +35,7 @@ SELECT coalesce(t.site_code, e.site_code) AS site_code, coalesce(t.collection_pe
        {r('t.density', 2)} AS density, {r('e.x3')} AS x3
 FROM totals t FULL JOIN env e ON t.site_code = e.site_code AND t.collection_period = e.collection_period""")
 def j3(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(J.natural_join(t, V.env(spark, sf).select(*KEYS, "x3"), "full"), 6, density=2)
 
 
@@ -44,7 +43,7 @@ def j3(spark, sf):
 SELECT e.site_code, e.collection_period FROM env e
 WHERE NOT EXISTS (SELECT 1 FROM totals t WHERE t.site_code = e.site_code AND t.collection_period = e.collection_period)""")
 def j4(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return J.natural_join(V.env(spark, sf).select(*KEYS), t.select(*KEYS), "anti")
 
 

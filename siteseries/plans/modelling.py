@@ -36,7 +36,7 @@ SPLIT = f"""split AS (SELECT *, CASE WHEN k - 1 < floor(n * 0.8::DOUBLE) THEN 't
 
 @query("l1_stratified_split", ("outcomes",), f"WITH {SPLIT} SELECT site_code, collection_period, part FROM split")
 def l1(spark, sf):
-    return resample.stratified_split(V.outcomes(spark, sf).select(*KEYS), KEYS, ["site_code"], 0.8, SEED).select(*KEYS, "part")
+    return resample.stratified_split(V.staged(V.totals(spark, sf).select(*KEYS)), KEYS, ["site_code"], 0.8, SEED).select(*KEYS, "part")
 
 
 FOLDS = f"""folds AS (SELECT *, ((row_number() OVER (PARTITION BY repeat ORDER BY md5(concat_ws('|', '{SEED}', repeat::VARCHAR, site_code, collection_period::VARCHAR))) - 1) % 10 + 1)::BIGINT AS fold
@@ -45,7 +45,7 @@ FOLDS = f"""folds AS (SELECT *, ((row_number() OVER (PARTITION BY repeat ORDER B
 
 @query("l2_repeated_folds", ("outcomes",), f"WITH {FOLDS.replace('__REPEATS__', '5')} SELECT site_code, collection_period, repeat::BIGINT AS repeat, fold FROM folds")
 def l2(spark, sf):
-    return tidy(resample.repeated_folds(V.outcomes(spark, sf).select(*KEYS), KEYS, 10, 5, SEED).select(*KEYS, "repeat", "fold"))
+    return tidy(resample.repeated_folds(V.staged(V.totals(spark, sf).select(*KEYS)), KEYS, 10, 5, SEED).select(*KEYS, "repeat", "fold"))
 
 
 BOOT = f"""boot AS (SELECT *, ({' + '.join(f'CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END' for p in resample.POISSON_ONE)}) AS weight FROM (
@@ -56,7 +56,7 @@ BOOT = f"""boot AS (SELECT *, ({' + '.join(f'CASE WHEN u >= {p!r}::DOUBLE THEN 1
 @query("l3_bootstrap_weights", ("outcomes",), f"""
 WITH {BOOT.replace('__TIMES__', '20')} SELECT site_code, collection_period, resample::BIGINT AS resample, weight::BIGINT AS weight FROM boot WHERE weight > 0""")
 def l3(spark, sf):
-    out = resample.bootstrap_weights(V.outcomes(spark, sf).select(*KEYS), KEYS, 20, SEED)
+    out = resample.bootstrap_weights(V.totals(spark, sf).select(*KEYS), KEYS, 20, SEED)
     return tidy(out.select(*KEYS, "resample", "weight"))
 
 
@@ -65,7 +65,7 @@ WITH {SPLIT}, c AS (SELECT {', '.join(f'avg({x}) AS {x}_m, stddev_samp({x}) AS {
 SELECT site_code, collection_period, part, {', '.join(f"{r(f'({x} - {x}_m) / {x}_s')} AS {x}" for x in ('biomass', 'shannon', 'annualrain'))} FROM split, c""")
 def l4(spark, sf):
     cols = ["biomass", "shannon", "annualrain"]
-    s = V.staged(resample.stratified_split(V.outcomes(spark, sf).select(*KEYS, *cols), KEYS, ["site_code"], 0.8, SEED))
+    s = V.staged(resample.stratified_split(V.staged(V.outcomes(spark, sf).select(*KEYS, *cols)), KEYS, ["site_code"], 0.8, SEED))
     return tidy(X.normalise(s, cols, F.col("part") == "train").select(*KEYS, "part", *cols))
 
 
@@ -79,7 +79,7 @@ def l5(spark, sf):
 
 def _finished(spark, sf, stages, engine, label="density"):
     """Split, fit on the training part, score the test part once."""
-    df = stage(resample.stratified_split(frame(spark, sf), KEYS, ["site_code"], 0.8, SEED), scratch(spark, "split"))
+    df = stage(resample.stratified_split(staged(spark, sf), KEYS, ["site_code"], 0.8, SEED), scratch(spark, "split"))
     _, metrics = search.finalise(df, X.workflow(stages, engine), label)
     return tidy(metrics, 3)
 
@@ -134,7 +134,7 @@ def small_grid():
 
 
 def folded(spark, sf, folds=3):
-    return stage(resample.repeated_folds(frame(spark, sf), KEYS, folds, 1, SEED), scratch(spark, "folds"))
+    return stage(resample.repeated_folds(staged(spark, sf), KEYS, folds, 1, SEED), scratch(spark, "folds"))
 
 
 @query("l13_workflow_grid")
@@ -168,7 +168,7 @@ fm AS (SELECT model, 1::BIGINT AS repeat, fold, sqrt(avg(pow(y - yhat, 2))) AS r
 
 def closed_fold_metrics(spark, sf):
     """Held-out metrics of two lines over ten folds; training sums are totals minus the fold's own sums."""
-    df = resample.repeated_folds(V.outcomes(spark, sf), KEYS, 10, 1, SEED)
+    df = resample.repeated_folds(V.staged(V.outcomes(spark, sf)), KEYS, 10, 1, SEED)
     df = stage(df.select(*KEYS, "repeat", "fold", "density", "biomass", "richness"), scratch(spark, "folds"))
     train = df.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(10)))).filter(F.col("held") != F.col("fold"))
     fits = R.outcome_by_predictor_ols(train, ["repeat", "held"], ["density"], ["biomass", "richness"])
@@ -199,7 +199,7 @@ def l16(spark, sf):
 WITH {SPLIT}, f AS (SELECT regr_slope(density, richness) AS b, regr_intercept(density, richness) AS a FROM split WHERE part = 'train')
 SELECT {r('sqrt(avg(pow(density - a - b * richness, 2)))', 4)} AS rmse, {r('pow(corr(density, a + b * richness), 2)', 5)} AS rsq, count(*)::BIGINT AS n FROM split, f WHERE part = 'test'""")
 def l17(spark, sf):
-    df = stage(resample.stratified_split(V.outcomes(spark, sf), KEYS, ["site_code"], 0.8, SEED), scratch(spark, "split"))
+    df = stage(resample.stratified_split(V.staged(V.outcomes(spark, sf)), KEYS, ["site_code"], 0.8, SEED), scratch(spark, "split"))
     _, metrics = search.finalise(df, X.workflow(plain(["richness"]), E.elastic_net("density", 0.0, 0.0)), "density")
     return tidy(metrics, 4, rsq=5)
 

@@ -10,7 +10,6 @@ from siteseries.functions import dates as D
 from siteseries.functions import numeric as N
 from siteseries.functions import text as X
 from siteseries.operators import filters, ranking, reshape, select
-from siteseries.operators.aggregate import community_total
 from siteseries.operators.joins import natural_join
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, rnd, tidy
@@ -36,7 +35,7 @@ def s1(spark, sf):
 SELECT site_code, collection_period, {r('density', 2)} AS density, {r('biomass', 3)} AS biomass FROM totals""")
 def s2(spark, sf):
     path = scratch(spark, "csv")
-    files.write_csv(community_total(V.survey(spark, sf), ["density", "biomass"]), path)
+    files.write_csv(V.totals(spark, sf), path)
     back = files.read_csv(spark, path, "site_code string, collection_period date, density double, biomass double")
     return tidy(back, 3, density=2)
 
@@ -115,7 +114,7 @@ def p6(spark, sf):
 SELECT site_code, collection_period, {r('CASE WHEN density > 0 THEN ln(density) END')} AS ln_density,
        {r('sqrt(biomass)')} AS sqrt_biomass, {r('biomass / density')} AS mean_size FROM totals""")
 def p7(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density", "biomass"])
+    t = V.totals(spark, sf)
     return tidy(t.select(*KEYS, N.ln_pos("density").alias("ln_density"), F.sqrt("biomass").alias("sqrt_biomass"),
                          N.ratio("biomass", "density").alias("mean_size")))
 
@@ -124,7 +123,7 @@ def p7(spark, sf):
 SELECT site_code, collection_period, CASE WHEN density < 500 THEN 'low' WHEN density < 1000 THEN 'middle' ELSE 'high' END AS grade
 FROM totals""")
 def p8(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     grade = select.categorise([(F.col("density") < 500, "low"), (F.col("density") < 1000, "middle")], "high")
     return t.select(*KEYS, grade.alias("grade"))
 
@@ -140,7 +139,7 @@ def p9(spark, sf):
 @query("p10_pack_key", ("totals",), f"""
 SELECT site_code || '@' || collection_period::VARCHAR AS uid, {r('density', 2)} AS density FROM totals""")
 def p10(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(select.pack_key(t, "uid", KEYS, "@"), 2)
 
 
@@ -148,7 +147,7 @@ def p10(spark, sf):
 SELECT site_code, collection_period, year(collection_period)::BIGINT AS y, {r('round_even(density / 7.0, 1)', 1)} AS share
 FROM totals""")
 def p11(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     packed = select.pack_key(t, "uid", KEYS, "@").withColumn(
         "label", F.concat(F.lit("axis ("), F.format_string("%.1f", F.bround(F.col("density") / 7.0, 1)), F.lit("%)")))
     back = select.unpack_key(packed, "uid", {"site_code": "string", "collection_period": "date"}, "@")
@@ -161,7 +160,7 @@ SELECT site_code, collection_period, row_number() OVER (PARTITION BY site_code O
 FROM totals""")
 def p12(spark, sf):
     from pyspark.sql import Window
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     # one row per site and month, so the per-site order is bounded by the calendar
     return tidy(t.select(*KEYS, F.row_number().over(Window.partitionBy("site_code").orderBy("collection_period")).alias("id")))
 
@@ -172,7 +171,7 @@ SELECT site_code, collection_period, CASE season WHEN 'Winter' THEN 1 WHEN 'Spri
 FROM (SELECT *, CASE WHEN month(collection_period) IN (11,12,1,2,3) THEN 'Winter' WHEN month(collection_period) IN (4,5,6) THEN 'Spring'
       WHEN month(collection_period) IN (7,8) THEN 'Summer' ELSE 'Fall' END AS season FROM totals) t JOIN nation ON n_name = site_code""")
 def p13(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     t = t.withColumn("season", D.season("collection_period"))
     bands = table(spark, sf, "nation").select(F.col("n_name").alias("site_code"), select.categorise(
         [(F.col("n_nationkey") < 9, "dry"), (F.col("n_nationkey") < 17, "middle")], "wet").alias("site_band"))
@@ -195,7 +194,7 @@ def f1(spark, sf):
 SELECT site_code, collection_period, {r('density', 2)} AS density FROM totals
 WHERE collection_period < DATE '1997-08-01' OR collection_period > DATE '1998-10-01'""")
 def f2(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(filters.outside_dates(t, "collection_period", "1997-08-01", "1998-10-01"), 2)
 
 
@@ -264,7 +263,7 @@ def t1(spark, sf):
 SELECT site_code, {r('density', 2)} AS density, collection_period FROM (
   SELECT *, row_number() OVER (PARTITION BY site_code ORDER BY density, collection_period) AS k FROM totals) WHERE k = 1""")
 def t2(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(ranking.best_per_group(t, ["site_code"], "density", ["collection_period"]), 2)
 
 
@@ -277,7 +276,7 @@ def t3(spark, sf):
 SELECT site_code, collection_period, {r('density', 2)} AS density, NULL::DOUBLE AS biomass FROM totals WHERE collection_period < DATE '1998-01-01'
 UNION ALL SELECT site_code, collection_period, NULL::DOUBLE, {r('biomass', 3)} FROM totals WHERE collection_period >= DATE '1998-01-01'""")
 def t4(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density", "biomass"])
+    t = V.staged(V.totals(spark, sf))
     cut = F.lit("1998-01-01").cast("date")
     early = t.filter(F.col("collection_period") < cut).drop("biomass")
     late = t.filter(F.col("collection_period") >= cut).drop("density")
@@ -287,7 +286,7 @@ def t4(spark, sf):
 @query("w16_top_ranked", ("totals",), f"""
 SELECT site_code, collection_period, {r('density', 2)} AS density FROM totals ORDER BY density DESC, site_code, collection_period LIMIT 20""")
 def w16(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.totals(spark, sf).select(*KEYS, "density")
     return tidy(ranking.top_k(t, [F.col("density").desc(), F.col("site_code"), F.col("collection_period")], 20), 2)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.special import f_upper_p
 from siteseries.operators import fill
-from siteseries.operators.aggregate import composition_percent, community_total, seasonal
+from siteseries.operators.aggregate import composition_percent, seasonal
 from siteseries.operators.joins import attach, natural_join
 from siteseries.operators.scaling import centred, log_ratio_to_mean, z_scores
 from siteseries.functions.dates import flag_window
@@ -217,7 +217,7 @@ SELECT year::BIGINT AS year, n::BIGINT AS nobs, {r('(t0*(s2*s4-s3*s3) - s1*(t1*s
   {r('(n*(t1*s4-s3*t2) - t0*(s1*s4-s3*s2) + s2*(s1*t2-t1*s2)) / det', 5)} AS b1, {r('(n*(s2*t2-t1*s3) - s1*(s1*t2-t1*s2) + t0*(s1*s3-s2*s2)) / det')} AS b2,
   {r('b', 5)} AS slope_line, {r('q')} AS r2_line FROM d""")
 def m15(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"]).select(
+    t = V.totals(spark, sf).select(*KEYS, "density").select(
         F.year("collection_period").alias("year"), F.dayofyear("collection_period").cast("double").alias("nday"), "density")
     return tidy(R.quadratic_fit(V.staged(t), ["year"], "nday", "density").drop("x_mu"), 6, b0=4, b1=5, slope_line=5)
 

@@ -20,8 +20,8 @@ def _day(c: str):
     return F.col(c).cast("date")
 
 
-def line_surveys(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
-    """One row per order line with site, period and taxon.
+def line_sites(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
+    """One row per order line with site and period.
 
     The nation, region and customer sides are joined to the orders first; how each side travels is left to the
     size estimates of the scans and to adaptive execution.
@@ -35,13 +35,22 @@ def line_surveys(spark: SparkSession, sf: str, at_least: float | None = None) ->
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     if at_least is not None:
         lines = lines.filter(F.col("l_quantity") >= at_least)
-    parts = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select("site_code", "site_group", "collection_date",
-                    F.trunc("collection_date", "month").alias("collection_period"),
-                    F.concat_ws(" ", "p_type", "p_brand").alias("lowest_taxon"), F.col("p_type").alias("family"),
-                    F.col("p_brand").alias("trait"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+            .withColumn("collection_period", F.trunc("collection_date", "month")))
+
+
+def line_surveys(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
+    """`line_sites` with the taxon of the part."""
+    parts = table(spark, sf, "part").select(
+        "p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("lowest_taxon"), F.col("p_type").alias("family"),
+        F.col("p_brand").alias("trait"))
+    return line_sites(spark, sf, at_least).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per survey. Every line has a part, so the parts need not be joined for totals."""
+    return line_sites(spark, sf).groupBy("site_code", "collection_period").agg(
+        F.sum("l_quantity").alias("density"), (F.sum("l_extendedprice") / 1000.0).alias("biomass"))
 
 
 def survey(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteseries.operators import fill, flow as W, joins as J, scaling as Z
-from siteseries.operators.aggregate import community_total
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 
@@ -16,7 +15,7 @@ KEYS = ["site_code", "collection_period"]
 SELECT site_code, collection_period, {r('density - avg(density) OVER (PARTITION BY site_code)')} AS z_density,
        {r('biomass - avg(biomass) OVER (PARTITION BY site_code)')} AS z_biomass FROM totals""")
 def w1(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density", "biomass"])
+    t = V.totals(spark, sf)
     return tidy(Z.centred(t, ["site_code"], ["density", "biomass"], bounded=True).select(*KEYS, "z_density", "z_biomass"))
 
 
@@ -68,7 +67,7 @@ SELECT g.site_code, g.collection_period, {r('t.density', 2)} AS density, {r('t.d
 FROM ({GRID}) g LEFT JOIN totals t ON t.site_code = g.site_code AND t.collection_period = g.collection_period
 LEFT JOIN totals p ON p.site_code = g.site_code AND p.collection_period = g.collection_period - INTERVAL 1 MONTH""")
 def w6(spark, sf):
-    t = community_total(V.survey(spark, sf), ["density"])
+    t = V.staged(V.totals(spark, sf).select(*KEYS, "density"))
     return tidy(Z.lag_difference(t, "density", "site_code", "collection_period", V.GRID_START, V.GRID_MONTHS), 2)
 
 
@@ -81,7 +80,7 @@ SELECT g.site_code, g.collection_period, {r('density', 2)} AS density_com,
   {', '.join(f"{r(f'density - {s}_{k}')} AS density_com_delta_{k}_{s}" for k in ('at', 'yr', 'qt') for s in ('mu', 'me'))}
 FROM ({GRID}) g LEFT JOIN st ON st.site_code = g.site_code AND st.collection_period = g.collection_period""")
 def w7(spark, sf):
-    return tidy(Z.deltas(V.survey(spark, sf), "density", V.GRID_START, V.GRID_MONTHS), 6, density_com=2)
+    return tidy(Z.deltas(V.staged(V.totals(spark, sf)), "density", V.GRID_START, V.GRID_MONTHS), 6, density_com=2)
 
 
 def _ma(c: str, k: int = 4) -> str:
@@ -120,7 +119,7 @@ j AS (SELECT g.site_code, g.family, g.month, t.v FROM g LEFT JOIN t ON t.site_co
 SELECT site_code, family, month::BIGINT AS month, {r(_ma('v'))} AS v FROM j WINDOW w AS (PARTITION BY site_code, family ORDER BY month)""")
 def w9(spark, sf):
     s = V.rare_survey(spark, sf).withColumn("month", F.month("collection_period"))
-    t = s.groupBy("site_code", "family", "month").agg(F.avg("density").alias("v"))
+    t = V.staged(s.groupBy("site_code", "family", "month").agg(F.avg("density").alias("v")))
     grid = J.key_grid(t.select("site_code", "family"), "month", F.sequence(F.lit(1), F.lit(12)))
     return tidy(fill.moving_average_fill(J.on_grid(grid, t), ["site_code", "family"], "month", ["v"]))
 

@@ -15,6 +15,8 @@ from siteseries.functions.numeric import ratio, seeded_hash
 from siteseries.operators.diversity import hellinger
 from siteseries.operators.joins import natural_join, with_group_stats
 from siteseries.operators.ranking import cumulative_counts
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
 from siteseries.stats.moments import covariance
 
 
@@ -141,7 +143,10 @@ def fit_rda(community: DataFrame, env: DataFrame, xs: list[str], value: str, uni
     rows = community.filter(F.col(value) > 0).groupBy(*unit, taxon).agg(F.sum(value).alias(value))
     long = rows.withColumnRenamed(value, "hell") if already_transformed else hellinger(rows, value, unit).drop(value)
     long = natural_join(long, env.select(*unit), "semi", unit)
-    env = natural_join(env, long.select(*unit).distinct(), "semi", unit)
+    # both walk through several jobs below: write them once
+    spark = community.sparkSession
+    long = stage(long.select(*unit, taxon, "hell"), scratch_path(spark, "community"))
+    env = stage(natural_join(env, long.select(*unit).distinct(), "semi", unit), scratch_path(spark, "predictors"))
     n, means, cov = covariance(env, xs)
     p = len(xs)
     joined = natural_join(long, env, "inner", unit)
@@ -149,6 +154,7 @@ def fit_rda(community: DataFrame, env: DataFrame, xs: list[str], value: str, uni
     per_taxon = joined.groupBy(taxon).agg(
         *[F.sum(F.col("hell") * c).alias(f"g{i}") for i, c in enumerate(centred)],
         F.sum(F.col("hell") * F.col("hell")).alias("ss"), F.sum("hell").alias("s"))
+    per_taxon = stage(per_taxon, scratch_path(spark, "taxa"))
     aggs = [F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"m{i}_{j}") for i in range(p) for j in range(i, p)]
     row = per_taxon.agg(*aggs, F.sum(F.col("ss") - F.col("s") * F.col("s") / n).alias("total")).first()
     m = np.empty((p, p))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.functions.special import chi2_upper
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
 from siteseries.stats.moments import group_covariances, matrix_of
 
 
@@ -115,7 +117,8 @@ def path_models(df: DataFrame, outcomes: list[str], equations: list[str], keys:
             yield pd.DataFrame(out, columns=[*keys, "outcome", "response", "predictor", "estimate", "std_estimate",
                                              "nobs", "chi2", "df", "p_value", "rmsea", "cfi", "srmr"])
 
-    table = wide.mapInPandas(solve, schema)
+    # one row per parameter: written once, read for both result tables
+    table = stage(wide.mapInPandas(solve, schema), scratch_path(df.sparkSession, "paths"))
     params = table.select(*keys, "outcome", "response", "predictor", "estimate", "std_estimate", "nobs")
     fits = table.select(*keys, "outcome", "nobs", "chi2", "df", "p_value", "rmsea", "cfi", "srmr").distinct()
     return params, fits.withColumn("model_fit", fit_label())
