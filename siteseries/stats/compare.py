@@ -16,7 +16,8 @@ def welch_vs_baseline(df: DataFrame, keys: list[str], group: str, value: str, is
     Both sides are aggregated first, so the join is between result rows. The baseline pool has one row per
     key; a group made of baseline rows only is left out.
     """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_b", F.coalesce(is_base, F.lit(False)))
+    rows = df.filter(F.col(value).isNotNull()).withColumns({"_b": F.coalesce(is_base, F.lit(False)), "_all": F.lit(1)})
+    keys = keys or ["_all"]
     stats = lambda tag: (F.avg(value).alias(f"mu_{tag}"), F.var_samp(value).alias(f"var_{tag}"),
                          F.count(value).alias(f"n_{tag}"))
     x = rows.filter(~F.col("_b")).groupBy(*keys, group).agg(*stats("x"))
@@ -26,7 +27,7 @@ def welch_vs_baseline(df: DataFrame, keys: list[str], group: str, value: str, is
     return out.withColumns({
         "t_stat": ratio(F.col("mu_x") - F.col("mu_b"), F.sqrt(vx + vb)),
         "df": ratio(F.pow(vx + vb, 2), F.pow(vx, 2) / F.nullif(F.col("n_x") - 1, F.lit(0))
-                    + F.pow(vb, 2) / F.nullif(F.col("n_b") - 1, F.lit(0)))})
+                    + F.pow(vb, 2) / F.nullif(F.col("n_b") - 1, F.lit(0)))}).drop("_all")
 
 
 def sidak_threshold(alpha: float = 0.05, tests: int = 6) -> float:
@@ -53,7 +54,8 @@ def anova(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
 
 def tukey_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """Difference and studentised-range statistic of every pair of groups (result rows only)."""
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(1))
+    keys = keys or ["_all"]
     g = rows.groupBy(*keys, group).agg(F.avg(value).alias("mu"), F.count(value).alias("n"))
     fit = anova(rows, keys, group, value).select(
         *keys, "groups", "df_within", ratio("ss_within", "df_within").alias("ms_within"))
@@ -63,7 +65,7 @@ def tukey_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataF
     out = pairs.join(fit, keys)
     scale = F.sqrt(F.col("ms_within") / 2.0 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
     return out.select(*keys, "group_a", "group_b", (F.col("mu_b") - F.col("mu_a")).alias("diff"),
-                      ratio(F.abs(F.col("mu_b") - F.col("mu_a")), scale).alias("q_stat"), "groups", "df_within")
+                      ratio(F.abs(F.col("mu_b") - F.col("mu_a")), scale).alias("q_stat"), "groups", "df_within").drop("_all")
 
 
 def rank_sum_vs(df: DataFrame, keys: list[str], group: str, value: str, reference: str, others: list[str]) -> DataFrame:
@@ -76,11 +78,11 @@ def rank_sum_vs(df: DataFrame, keys: list[str], group: str, value: str, referenc
     rows = rows.select(*keys, F.explode(pair).alias("versus"), (F.col(group) == reference).alias("is_ref"), value)
     by = [*keys, "versus"]
     counts = cumulative_counts(rows, by, value)
-    ours = rows.filter("is_ref").groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
+    ours = rows.filter("is_ref").groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ours"))
     rank = F.col("below") + (F.col("n") + 1.0) / 2.0
     joined = counts.join(ours, [*by, value], "left")
     out = joined.groupBy(*by).agg(
-        F.sum(rank * F.col("k")).alias("rank_sum"), F.sum("k").alias("n_ref"), F.max("total").alias("n_all"),
+        F.sum(rank * F.col("_ours")).alias("rank_sum"), F.sum("_ours").alias("n_ref"), F.max("total").alias("n_all"),
         F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"))
     n1, n = F.col("n_ref"), F.col("n_all")
     n2 = n - n1
