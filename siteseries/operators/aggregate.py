@@ -87,12 +87,11 @@ def effort_matrix(df: DataFrame, rows: str | Column, columns: str, values: list,
 
 
 def envelope(df: DataFrame, keys: list[str], cols: list[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Mean and interpolated low/high quantiles of panel columns (one value per site and period)."""
-    aggs = []
+    """Mean and interpolated low/high quantiles of columns; groups of any size."""
+    out = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}_mu") for c in cols])
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}_mu"), F.percentile(c, F.lit(low)).alias(f"{c}_lwr"),
-                 F.percentile(c, F.lit(high)).alias(f"{c}_upr")]
-    return df.groupBy(*keys).agg(*aggs)
+        out = natural_join(out, exact_quantiles(df, keys, c, {f"{c}_lwr": low, f"{c}_upr": high}), "left", keys)
+    return out
 
 
 def mean_sd_n(df: DataFrame, keys: list[str], value: str, name: str = "x") -> DataFrame:

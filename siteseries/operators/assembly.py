@@ -9,26 +9,25 @@ from siteseries.functions.numeric import ln_pos
 from siteseries.operators.aggregate import column_means
 from siteseries.operators.fill import group_mean_impute, moving_average_fill
 from siteseries.operators.filters import drop_constant_columns
-from siteseries.operators.joins import broadcast_if_small, natural_join
+from siteseries.operators.joins import natural_join
+from siteseries.operators.ranking import exact_quantiles
+from siteseries.operators.reshape import melt
 from siteseries.operators.select import numeric_names
 
 
 def choose_transforms(df: DataFrame, cols: list[str], threshold: float, center: str = "mean") -> list[str]:
     """Columns whose maximum or minimum exceeds `threshold` x the mean (or median).
 
-    One aggregate over all columns; the driver sees one row. The exact median is meant for panels.
+    One aggregate over all columns, and for medians one job over the melted columns; the driver sees one
+    row per column.
     """
-    aggs = []
-    for c in cols:
-        mid = F.avg(c) if center == "mean" else F.percentile(c, F.lit(0.5))
-        aggs += [F.max(c).alias(f"{c}__hi"), F.min(c).alias(f"{c}__lo"), mid.alias(f"{c}__mid")]
-    row = df.agg(*aggs).first()
-    chosen = []
-    for c in cols:
-        hi, lo, mid = row[f"{c}__hi"], row[f"{c}__lo"], row[f"{c}__mid"]
-        if mid and (hi / mid > threshold or lo / mid > threshold):
-            chosen.append(c)
-    return chosen
+    if not cols:
+        return []
+    row = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("hi", F.max), ("lo", F.min), ("mid", F.avg))]).first()
+    mid = {c: row[f"{c}__mid"] for c in cols}
+    if center == "median":
+        mid |= {r.xvar: r.me for r in exact_quantiles(melt(df, [], cols), ["xvar"], "xval", {"me": 0.5}).collect()}
+    return [c for c in cols if mid[c] and max(row[f"{c}__hi"] / mid[c], row[f"{c}__lo"] / mid[c]) > threshold]
 
 
 def transform_columns(df: DataFrame, cols: list[str], how: str = "ln", prefix: str | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ def band_position(x: str = "x", base: str = "b_qtr_fill", sd: str = "b_sd") -> C
 
 def centroid_distance(df: DataFrame, keys: list[str], x: str = "axis1", y: str = "axis2") -> DataFrame:
     """Distance of each row to the mean point of its group."""
-    rows = with_group_stats(df, keys, {"mu1": F.avg(x), "mu2": F.avg(y)})
+    rows = with_group_stats(df, keys, {"mu1": F.avg(x), "mu2": F.avg(y)}, small=True)
     return rows.withColumn("centroid_dist", distance2(x, y, "mu1", "mu2"))
 
 

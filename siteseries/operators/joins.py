@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
+
 BROADCAST_ROWS = 100_000
 
 
@@ -20,6 +23,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def settled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a small result table once to the shared folder, and broadcast it when its counted rows allow.
+
+    The count reads the written table, so the work behind it is not repeated for the check.
+    """
+    return broadcast_if_small(stage(df, scratch_path(df.sparkSession, "settled")), max_rows)
+
+
 def _shared(left: DataFrame, right: DataFrame) -> list[str]:
     names = set(right.columns)
     keys = [c for c in left.columns if c in names]
@@ -49,8 +60,8 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left",
 
 
 def attach(df: DataFrame, dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left natural join to a dimension table, broadcast when its count allows."""
-    return natural_join(df, broadcast_if_small(dim, max_rows), "left")
+    """Left natural join to a dimension table, settled first and broadcast when its count allows."""
+    return natural_join(df, settled(dim, max_rows), "left")
 
 
 def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column],
@@ -59,7 +70,7 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column],
 
     The default is a partial aggregation joined back on the keys, which never gathers a group in one
     task but reads its input twice (stage the input when it is costly). With `small=True` the
-    statistics are counted and broadcast if within the bound, so that the rows are not shuffled at all.
+    statistics are settled and broadcast if within the bound, so that the rows are not shuffled at all.
     `bounded=True` is for groups whose size is limited by the calendar or a fixed list, such as the
     periods of a site in a table with one row per site and period: there one window reads the input once.
     """
@@ -68,7 +79,7 @@ def with_group_stats(df: DataFrame, keys: list[str], stats: dict[str, Column],
         return df.withColumns({k: v.over(group) for k, v in stats.items()})
     table = df.groupBy(*keys).agg(*[v.alias(k) for k, v in stats.items()])
     if small:
-        table = broadcast_if_small(table)
+        table = settled(table)
     return natural_join(df, table, "left", keys)
 
 

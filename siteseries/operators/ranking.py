@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteseries.operators.joins import settled
+
 BUCKETS = 128
 GROUP_ROWS = 200_000
 
@@ -37,7 +39,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
         number = F.unix_date(value) if dict(df.dtypes)[value] == "date" else F.col(value)
         cuts = folded.groupBy(*keys).agg(F.percentile_approx(number, probs, 2000).alias("cuts"))
         if keys:
-            folded = folded.join(cuts, keys)
+            folded = folded.join(settled(cuts), keys)
         else:
             folded = folded.withColumn("cuts", F.array(*[F.lit(c) for c in (cuts.first()["cuts"] or [])]))
         # number of cut points below the value, so the bucket order follows the value order

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from siteseries.operators.joins import settled
 from siteseries.models import engines as E, features as X, neighbours, resample, search
 from siteseries.plans import views as V
 from siteseries.session import scratch_path as scratch
@@ -174,8 +175,8 @@ def closed_fold_metrics(spark, sf):
     fits = R.outcome_by_predictor_ols(train, ["repeat", "held"], ["density"], ["biomass", "richness"])
     fits = fits.select("repeat", F.col("held").alias("fold"), "predictor", "slope", "intercept")
     cells = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("x")) for p in ("biomass", "richness")])).alias("c")
-    rows = df.select("repeat", "fold", "density", cells).select("repeat", "fold", "density", "c.*").join(
-        F.broadcast(fits), ["repeat", "fold", "predictor"])  # one row per fold and predictor
+    rows = df.select("repeat", "fold", "density", cells).select("repeat", "fold", "density", "c.*")
+    rows = rows.join(settled(fits), ["repeat", "fold", "predictor"])
     rows = rows.withColumns({"prediction": F.col("intercept") + F.col("slope") * F.col("x"),
                              "model": F.concat("predictor", F.lit("_line"))})
     return search.score(rows, "density", keys=["model", "repeat", "fold"]).drop("n")

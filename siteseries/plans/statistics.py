@@ -366,6 +366,14 @@ def m24(spark, sf):
     return tidy(natural_join(fit.coefficients, fit.summary, "left", MODELS), 4)
 
 
+@query("m24b_mixed_residuals")
+def m24b(spark, sf):
+    rows = mixed_rows(spark, sf)
+    fit = M.fit_mixed(rows, MODELS, "site_code", "t", ["x"], "y")
+    out = M.residuals(rows, fit, MODELS, "site_code", ["x"], "y")
+    return tidy(out.select(*MODELS, "site_code", "t", "fitted", "residual"), 4)
+
+
 @query("m25_random_intercept_interaction")
 def m25(spark, sf):
     fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x", "annualrain", "x_rain"], "y")
@@ -470,6 +478,15 @@ def m33(spark, sf):
     return tidy(R.label_trend(fit).select("season", "outcome", "slope", "r2", "p_value", "draw"))
 
 
+@query("m33b_trend_by_fit", ("outcomes",), f"""
+SELECT season, outcome, {r('slope')} AS slope, {r('r2')} AS r2, nobs::BIGINT AS nobs, r2 > 0.005 AS draw
+FROM (SELECT season, outcome, {_ols('y', 'annualrain')} FROM ({LONG}) GROUP BY ALL)""")
+def m33b(spark, sf):
+    # the share-of-variance half of the rule, with a cut-off inside the range of the made data
+    fit = R.outcome_by_predictor_ols(V.outcomes(spark, sf), ["season"], OUT, ["annualrain"]).withColumn("p_value", F.lit(1.0))
+    return tidy(R.label_trend(fit, r2_min=0.005).select("season", "outcome", "slope", "r2", "nobs", "draw"))
+
+
 @query("m34_histogram", ("vectors",), " UNION ALL ".join(f"""
 SELECT '{c}' AS variable, least(floor(({c} - lo) / ((hi - lo) / 30.0::DOUBLE)), 29)::BIGINT AS bin, count(*)::BIGINT AS n
 FROM vectors, (SELECT min({c}) AS lo, max({c}) AS hi FROM vectors) GROUP BY ALL""" for c in ("x1", "x2")))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteseries.functions.special import t_two_sided
+from siteseries.operators.joins import settled
 
 
 def group_products(df: DataFrame, models: list[str], group: str, time: str, xs: list[str], y: str) -> DataFrame:
@@ -229,8 +230,8 @@ def residuals(rows: DataFrame, fit: MixedFit, models: list[str], group: str, xs:
     """Fitted values and residuals with the group effects included."""
     terms = fit.coefficients.groupBy(*models).pivot("term", ["(Intercept)", *xs]).agg(F.first("estimate"))
     terms = terms.toDF(*models, "_b0", *[f"_b_{x}" for x in xs])
-    out = rows.join(F.broadcast(terms), models)  # one row per model, a fixed number
-    out = out.join(fit.effects.select(*models, group, "intercept_effect", "slope_effect"), [*models, group])
+    out = rows.join(settled(terms), models)
+    out = out.join(settled(fit.effects.select(*models, group, "intercept_effect", "slope_effect")), [*models, group])
     fitted = F.col("_b0") + F.col("intercept_effect")
     for x in xs:
         fitted = fitted + F.col(f"_b_{x}") * F.col(x)

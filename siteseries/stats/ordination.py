@@ -229,5 +229,5 @@ def site_means(scores: DataFrame, keys: list[str], axes: list[str]) -> DataFrame
 def centroid_table(scores: DataFrame, keys: list[str], axes: tuple[str, str]) -> DataFrame:
     from siteseries.functions.numeric import distance2
 
-    rows = with_group_stats(scores, keys, {f"{a}_mu": F.avg(a) for a in axes})
+    rows = with_group_stats(scores, keys, {f"{a}_mu": F.avg(a) for a in axes}, small=True)
     return rows.withColumn("centroid_dist", distance2(axes[0], axes[1], f"{axes[0]}_mu", f"{axes[1]}_mu"))

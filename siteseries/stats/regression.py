@@ -88,7 +88,7 @@ def quadratic_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     from siteseries.operators.joins import with_group_stats
 
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = with_group_stats(rows, keys, {"x_mu": F.avg(x)}).withColumn("_u", F.col(x) - F.col("x_mu"))
+    rows = with_group_stats(rows, keys, {"x_mu": F.avg(x)}, small=bool(keys)).withColumn("_u", F.col(x) - F.col("x_mu"))
     u, v = F.col("_u"), F.col(y)
     s = rows.groupBy(*keys).agg(
         F.max("x_mu").alias("x_mu"), F.count(F.lit(1)).alias("nobs"),

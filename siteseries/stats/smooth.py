@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.operators.joins import natural_join
+from siteseries.operators.joins import natural_join, settled
 from siteseries.operators.ranking import exact_quantiles
 
 
@@ -64,7 +64,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     v = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in cols])
     rows = df.select(F.explode(v).alias("e")).select("e.*").filter(F.col("v").isNotNull())
     limits = rows.groupBy("variable").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    joined = rows.join(F.broadcast(limits), "variable")  # one row per column of the table
+    joined = rows.join(settled(limits), "variable")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     b = F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(bins - 1))
     return joined.groupBy("variable", F.coalesce(b, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -83,8 +83,8 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, points: int = 64,
     iqr = (F.col("q75") - F.col("q25")) / 1.34
     s = natural_join(s, q, "left", keys).withColumn(
         "bw", 0.9 * F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd")) * F.pow(F.col("nobs"), F.lit(-0.2)))
-    s = s.filter(F.col("bw") > 0)
-    joined = natural_join(rows, s.select(*keys, "lo", "hi", "bw", "nobs"), "inner", keys)
+    s = settled(s.filter(F.col("bw") > 0).select(*keys, "lo", "hi", "bw", "nobs"))
+    joined = natural_join(rows, s, "inner", keys)
     g = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     start, stop = F.col("lo") - cut * F.col("bw"), F.col("hi") + cut * F.col("bw")
     at = start + (stop - start) * F.col("point") / F.lit(float(points - 1))
@@ -96,7 +96,7 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, points: int = 64,
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers to the last point within 1.5 IQR, and the number of outliers."""
     rows = df.filter(F.col(value).isNotNull())
-    q = exact_quantiles(rows, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75})
+    q = settled(exact_quantiles(rows, keys, value, {"lower": 0.25, "middle": 0.5, "upper": 0.75}))
     joined = natural_join(rows.select(*keys, value), q, "inner", keys)
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     inside = (F.col(value) >= F.col("lower") - reach) & (F.col(value) <= F.col("upper") + reach)

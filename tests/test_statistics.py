@@ -252,6 +252,11 @@ def test_mixed_search_reaches_the_maximum(spark, slope, ar1):
     assert s.loglik >= best - 0.02
     effects = fit.effects.toPandas()
     assert len(effects) == 12 and abs(effects.intercept_effect.mean()) < 0.2
+    if not slope and not ar1:
+        data = spark.createDataFrame(pdf)
+        res = mixed.residuals(data, fit, ["k"], "site", ["x"], "y").toPandas()
+        assert len(res) == len(pdf) and np.allclose(res.fitted + res.residual, res.y)
+        assert res.residual.std() < pdf.y.std() and abs(res.residual.mean()) < 0.05
     if slope:
         lines = pdf.groupby("site").apply(lambda g: np.polyfit(g.x, g.y, 1)[0], include_groups=False)
         assert np.corrcoef(effects.set_index("site").slope.sort_index(), lines.sort_index())[0, 1] > 0.9
