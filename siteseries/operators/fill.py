@@ -40,37 +40,43 @@ def moving_average_fill_widening(df: DataFrame, keys: list[str], order: str, col
     """As above, but the span grows until it holds two values.
 
     For a null at position p the span must reach the second-nearest value in either direction. The two
-    last values before and the two first values after p give that radius; the values inside it are
-    then summed. All windows run over one row per key and period, so they are bounded by the calendar.
+    last values before and the two first values after p give that radius. The widest radius of each column
+    (one row to the driver) then limits the frame in which values are gathered. All windows run over one
+    row per key and period.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.withColumn("_p", F.row_number().over(w))
-    for c in cols:
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    for i, c in enumerate(cols):
         known = F.when(F.col(c).isNotNull(), F.col("_p"))
-        before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
         out = out.withColumns({"_b1": F.max(known).over(before), "_a1": F.min(known).over(after)})
-        # position of the second value away: the value next to the first one, on its far side
-        far_before = F.max(F.when(F.col(c).isNotNull(), F.col("_b1"))).over(before)
-        far_after = F.min(F.when(F.col(c).isNotNull(), F.col("_a1"))).over(after)
-        out = out.withColumns({"_b2": far_before, "_a2": far_after})
+        # position of the second value away: the neighbour of the first one, on its far side
+        out = out.withColumns({
+            "_b2": F.max(F.when(F.col(c).isNotNull(), F.col("_b1"))).over(before),
+            "_a2": F.min(F.when(F.col(c).isNotNull(), F.col("_a1"))).over(after)})
         gaps = F.array_sort(F.filter(F.array(
             F.col("_p") - F.col("_b1"), F.col("_p") - F.col("_b2"),
             F.col("_a1") - F.col("_p"), F.col("_a2") - F.col("_p")), lambda g: g.isNotNull()))
         # second-nearest distance, but never below k
-        radius = F.when(F.size(gaps) >= 2, F.greatest(F.lit(k), F.element_at(gaps, 2)))
-        series = F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(c).alias("v"))))
-        out = out.withColumn("_r", F.when(F.col(c).isNull(), radius))
-        out = out.withColumn("_s", F.when(F.col("_r").isNotNull(), series.over(
-            Window.partitionBy(*keys))))
-        near = F.filter("_s", lambda e: F.abs(e["p"] - F.col("_p")) <= F.col("_r"))
+        radius = F.when(F.col(c).isNull() & (F.size(gaps) >= 2), F.greatest(F.lit(k), F.element_at(gaps, 2)))
+        out = out.withColumn(f"_r{i}", radius).drop("_b1", "_b2", "_a1", "_a2")
+    widest = out.agg(*[F.max(f"_r{i}").alias(f"_r{i}") for i in range(len(cols))]).first()
+    for i, c in enumerate(cols):
+        reach = widest[f"_r{i}"]
+        if reach is None:
+            continue
+        cells = F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(c).alias("v"))))
+        out = out.withColumn("_s", cells.over(w.rowsBetween(-reach, reach)))
+        radius = F.col(f"_r{i}")
+        near = F.filter("_s", lambda e: F.abs(e["p"] - F.col("_p")) <= radius)
 
         def weight(e):
             return 1.0 / (F.abs(e["p"] - F.col("_p")) + 1.0)
 
         num = F.aggregate(near, F.lit(0.0), lambda s, e: s + e["v"] * weight(e))
         den = F.aggregate(near, F.lit(0.0), lambda s, e: s + weight(e))
-        out = out.withColumn(c, F.coalesce(F.col(c), ratio(num, den)))
-    return out.drop("_p", "_b1", "_b2", "_a1", "_a2", "_r", "_s")
+        out = out.withColumn(c, F.coalesce(F.col(c), F.when(radius.isNotNull(), ratio(num, den)))).drop("_s")
+    return out.drop("_p", *[f"_r{i}" for i in range(len(cols))])
 
 
 def group_mean_impute(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

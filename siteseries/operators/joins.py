@@ -98,15 +98,23 @@ def key_grid(keys: DataFrame, name: str, values: Column) -> DataFrame:
     return keys.distinct().withColumn(name, F.explode(values))
 
 
-def full_grid(units: DataFrame, items: DataFrame, blocks: int = 64) -> DataFrame:
+GRID_BLOCK = 1024
+GRID_BROADCAST_BLOCKS = 1000
+
+
+def full_grid(units: DataFrame, items: DataFrame) -> DataFrame:
     """Every distinct unit with every distinct item (the result is units x items long by definition).
 
-    Items are packed into a fixed number of list rows; each unit meets one list row per block and
-    unfolds it locally, so rows are never repeated through a shuffle.
+    Items are packed into list rows of about a thousand items. Each unit meets every list row and unfolds
+    it locally, so single rows are never repeated through a shuffle. Up to a thousand list rows (a million
+    items) are broadcast; beyond that units and list rows meet by block number.
     """
     names = items.columns
-    packed = (items.distinct().withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks)))
+    listed = settled(items.distinct())
+    blocks = -(-listed.count() // GRID_BLOCK) or 1
+    packed = (listed.withColumn("_block", F.pmod(F.xxhash64(*names), F.lit(blocks)))
               .groupBy("_block").agg(F.collect_list(F.struct(*names)).alias("_items")))
+    packed = settled(packed, GRID_BROADCAST_BLOCKS)
     lanes = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")
     return (units.distinct().withColumn("_block", F.explode(lanes)).join(packed, "_block")
             .select(*units.columns, F.explode("_items").alias("_i"))

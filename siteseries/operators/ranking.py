@@ -7,12 +7,15 @@ the offset. The cut points only steer how rows spread; ranks and quantiles are e
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteseries.operators.joins import settled
 
 BUCKETS = 128
+BUCKET_ROWS = 2_000_000
 GROUP_ROWS = 200_000
 
 
@@ -21,19 +24,21 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS,
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int | None = None,
                       group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per (group, value): n equal values, `below` smaller ones, `total` in the group.
 
     Groups are counted first: when the largest has at most `group_rows` rows an ordinary window per group
-    does; otherwise the values are spread over buckets.
+    does; otherwise the values are spread over buckets of about two million rows.
     """
     rows = df.filter(F.col(value).isNotNull())
     folded = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    if largest_group(rows, keys) <= group_rows:
+    largest = largest_group(rows, keys)
+    if largest <= group_rows:
         order = Window.partitionBy(*keys).orderBy(value)
         return folded.select(*keys, value, "n", (F.sum("n").over(order) - F.col("n")).alias("below"),
                              F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
+    buckets = buckets or min(1024, max(BUCKETS, largest // BUCKET_ROWS))
     probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     if dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "date"):
         number = F.unix_date(value) if dict(df.dtypes)[value] == "date" else F.col(value)
@@ -46,7 +51,8 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int =
         bucket = F.size(F.filter("cuts", lambda c: c < number))
     else:
         # text keys here are hash digits: the leading digits already spread evenly and keep the order
-        bucket = F.substring(value, 1, 2)
+        digits = max(2, math.ceil(math.log(max(largest / BUCKET_ROWS, 1.0), 16)))
+        bucket = F.substring(value, 1, digits)
     folded = folded.withColumn("bucket", bucket).drop("cuts")
     totals = folded.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
     by_bucket = Window.partitionBy(*keys).orderBy("bucket")
