@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteseries.operators import assembly, baseline as B, diversity as Dv, fill, flow as W, joins as J, rarity, scaling as Z
+from siteseries.operators import assembly, baseline as B, diversity as Dv, fill, flow as W, joins as J, rarity, reshape, scaling as Z
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 
@@ -220,12 +220,16 @@ def b16(spark, sf):
 
 
 @query("n1_transform_choice", ("totals",), f"""
-SELECT site_code, collection_period, {r('density', 2)} AS density, {r('CASE WHEN biomass > 0 THEN sqrt(biomass) END')} AS sqrt_biomass,
-  {r('CASE WHEN size > 0 THEN ln(size) END')} AS ln_size FROM (SELECT *, biomass / density AS size FROM totals)""")
+WITH t AS (SELECT site_code, collection_period, density, biomass, biomass / density AS size FROM totals),
+l AS ({' UNION ALL '.join(f"SELECT site_code, collection_period, '{c}' AS xvar, {c} AS v FROM t" for c in ('density', 'biomass', 'size'))}),
+m AS (SELECT xvar, max(v) / median(v) AS hi FROM l GROUP BY ALL)
+SELECT site_code, collection_period, CASE WHEN hi > 20 THEN 'ln_' WHEN hi > 3 THEN 'sqrt_' ELSE '' END || xvar AS variable,
+  {r('CASE WHEN hi > 20 THEN ln(v) WHEN hi > 3 THEN sqrt(v) ELSE v END', 4)} AS v FROM l JOIN m USING (xvar)""")
 def n1(spark, sf):
     t = V.totals(spark, sf).withColumn("size", F.col("biomass") / F.col("density"))
     # cut-offs set between the max/median ratios of the made measures, so that each branch is taken
-    return tidy(assembly.reduce_skew(t, KEYS, ln_above=20.0, sqrt_above=3.0), 6, density=2)
+    out = assembly.reduce_skew(V.staged(t), KEYS, ln_above=20.0, sqrt_above=3.0)
+    return tidy(reshape.melt(out, KEYS, to=("variable", "v")), 4)
 
 
 @query("n2_predictor_set", ("flow",), f"""
