@@ -9,7 +9,6 @@ from siteseries.functions.numeric import ratio
 from siteseries.operators import joins as J
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
-from siteseries.sources.files import table
 
 KEYS = ["site_code", "collection_period"]
 

@@ -12,7 +12,7 @@ from siteseries.models import engines as E, features as X, neighbours, resample,
 from siteseries.plans import views as V
 from siteseries.session import scratch_path as scratch
 from siteseries.plans.registry import query, r, tidy
-from siteseries.plans.statistics import FRAME_CTE, frame
+from siteseries.plans.statistics import frame
 from siteseries.sources.files import stage
 from siteseries.stats import regression as R, smooth as S
 
