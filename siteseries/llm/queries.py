@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, packing
+from siteseries.llm import exact_dedup, packing, simhash
 
 QUERIES = {
     "op2_pack_documents": packing.op2_pack_documents,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 SQL = {"op8_exact_dedup": exact_dedup.SQL}
