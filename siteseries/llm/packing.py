@@ -15,7 +15,9 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,34 +27,67 @@ from pyspark.sql import functions as F
 from siteseries.llm.common import staged, text_of, tokenizer_path
 
 CAPACITY = 2048
-#: Words whose ids a task remembers at once. A memory bound only: forgotten words are encoded again.
-CACHE = 400_000
+#: Chunks and words whose ids a worker remembers at once. A memory bound only: forgotten ones are encoded again.
+CHUNKS, WORDS = 400_000, 500_000
+#: Marks that may be cut off behind an ASCII letter or digit: there a new token begins in any case.
+MARKS = ".,!?;:*$%&#"
 
 
-class WordEncoder:
-    """Token ids of texts as packed bytes. No token of a white-space-dropping tokenizer spans a blank or line feed, so each
-    blank-separated chunk is encoded by the library once and looked up afterwards."""
+class WordEncoder(dict):
+    """Token ids (packed little-endian) of blank-separated chunks, for a tokenizer file that drops white space and lower-cases.
+
+    No token of it spans a blank or a line feed, so each chunk is encoded once and looked up afterwards. Of a new chunk,
+    trailing marks and the word before them are looked up alone. Plain lower-case words, which normalisation and
+    pre-tokenisation would leave as they are, go straight to the library's model; anything else takes its full way.
+    """
 
     def __init__(self, tokenizer: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__({"": b""})
         self.library = Tokenizer.from_str(tokenizer)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.library.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        if len(self.known) + len(wanted) > CACHE:
-            self.known = {"": b""}
-        new = [w for w in wanted if w not in self.known]
-        if new:
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+    def __missing__(self, chunk: str) -> bytes:
+        if "<|" in chunk:
+            ids = self.whole(chunk)
+        else:
+            word = chunk.rstrip(MARKS)
+            if len(word) == len(chunk) or not (word and word[-1].isascii() and word[-1].isalnum()):
+                ids = self.word(chunk)
+            else:
+                ids = self.word(word) + self.word(chunk[len(word):])
+        self[chunk] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        if word.isascii():
+            word = word.lower()
+        ids = self.words.get(word)
+        if ids is None:
+            if word.isalpha() and max(word) < "\u0530" and word == word.lower() and is_normalized("NFC", word):
+                plain = word if word.isascii() else "".join(p for p, _ in self.bytes.pre_tokenize_str(word))
+                ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+            else:
+                ids = self.whole(word)
+            self.words[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CHUNKS:
+            self.clear()
+            self[""] = b""
+        if len(self.words) > WORDS:
+            self.words = {"": b""}
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -64,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        model = spark.sparkContext.broadcast({"file": f.read()})
     tail = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
@@ -73,28 +108,23 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
         import pandas as pd
         from pyspark import TaskContext
 
-        encoder, seen, bucket = WordEncoder(model.value), defaultdict(int), TaskContext.get().partitionId()
+        state = model.value  # stays in the worker between tasks, and with it what the encoder has learned
+        if "encoder" not in state:
+            state["encoder"] = WordEncoder(state["file"])
+        encode, seen, bucket = state["encoder"].encode, defaultdict(int), TaskContext.get().partitionId()
         for pdf in batches:
-            ids, texts = pdf["doc_id"], pdf["body"].tolist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 2_000_000):
-                    size += len(texts[to])
-                    to += 1
-                rows = []
-                for k, packed_ids in enumerate(encoder.encode(texts[at:to]), at):
-                    packed_ids += tail
-                    n = len(packed_ids) // 4
-                    for p, start in enumerate(range(0, n, capacity)):
-                        part = packed_ids[4 * start:4 * (start + capacity)]
-                        length = len(part) // 4
-                        rows.append((ids.iat[k], p, start, length, zlib.crc32(part), bucket, seen[length], part if keep_ids else None))
-                        seen[length] += 1
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "nth", "ids"])
-                out["doc_id"] = out["doc_id"].astype(ids.dtype)
-                yield out if keep_ids else out.drop(columns="ids")
-                at = to
+            ids, rows = pdf["doc_id"], []
+            for k, text in enumerate(pdf["body"].tolist()):
+                packed_ids = encode(text) + tail
+                n = len(packed_ids) // 4
+                for p, start in enumerate(range(0, n, capacity)):
+                    part = packed_ids[4 * start:4 * (start + capacity)]
+                    length = len(part) // 4
+                    rows.append((ids.iat[k], p, start, length, zlib.crc32(part), bucket, seen[length], part if keep_ids else None))
+                    seen[length] += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "nth", "ids"])
+            out["doc_id"] = out["doc_id"].astype(ids.dtype)
+            yield out if keep_ids else out.drop(columns="ids")
 
     kind = dict(docs.dtypes)[id]
     schema = (f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bucket int, nth long" + ", ids binary" * keep_ids)
