@@ -28,7 +28,7 @@ from siteseries.llm.common import staged, text_of, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks and words whose ids a worker remembers at once. A memory bound only: forgotten ones are encoded again.
-CHUNKS, WORDS = 400_000, 500_000
+CHUNKS, WORDS = 1_200_000, 1_200_000
 #: Marks that may be cut off behind an ASCII letter or digit: there a new token begins in any case.
 MARKS = ".,!?;:*$%&#"
 
@@ -136,14 +136,14 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np
     """Best value for every room up to `capacity` with any number of each length, and the last length used (0: waste)."""
     value = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, dtype=np.int64)
+    worth = np.full(capacity + 1, -np.inf)
+    worth[lengths] = prices
     for room in range(1, capacity + 1):
+        gain = value[:room][::-1] + worth[1:room + 1]
+        best = int(gain.argmax())
         value[room] = value[room - 1]
-        k = np.searchsorted(lengths, room, side="right")
-        if k:
-            gain = value[room - lengths[:k]] + prices[:k]
-            best = int(gain.argmax())
-            if gain[best] > value[room] + 1e-12:
-                value[room], last[room] = gain[best], lengths[best]
+        if gain[best] > value[room] + 1e-12:
+            value[room], last[room] = gain[best], best + 1
     return value, last
 
 
