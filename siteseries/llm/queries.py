@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, packing, simhash
+from siteseries.llm import exact_dedup, packing, quality_classifier, secrets_scan, simhash
 
 QUERIES = {
     "op2_pack_documents": packing.op2_pack_documents,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_secret_scans": secrets_scan.op10_secret_scans,
 }
 SQL = {"op8_exact_dedup": exact_dedup.SQL}
