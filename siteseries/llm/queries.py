@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, packing, quality_classifier, secrets_scan, simhash
+from siteseries.llm import exact_dedup, packing, quality_classifier, quality_rules, secrets_scan, simhash, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.op1_url_filters,
     "op2_pack_documents": packing.op2_pack_documents,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
