@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, packing, quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters
+from siteseries.llm import exact_dedup, packing, piece_sampling, quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_pack_documents": packing.op2_pack_documents,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_sentencepiece_sampling": piece_sampling.op5_sentencepiece_sampling,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
