@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, packing, piece_sampling, quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters
+from siteseries.llm import exact_dedup, line_dedup, packing, piece_sampling, quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scans": secrets_scan.op10_secret_scans,
 }
 SQL = {"op8_exact_dedup": exact_dedup.SQL}

@@ -50,6 +50,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def mixed_words(words: list[str]) -> np.ndarray:
+    """XXH64 of every word, each distinct one hashed once."""
+    from xxhash import xxh64_intdigest
+
+    known = {w: xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def fingerprint_column(words: int = WORDS):
     @F.pandas_udf("long")
     def fp(texts):
@@ -141,20 +149,25 @@ def forest(own: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[in
     return out
 
 
+def cells_of(visits: DataFrame, item: str, homes: int = HOMES) -> DataFrame:
+    """Split the anchors (column anchor) into cells (anchor, part): every row of an anchor meets each of its homes (own) in one.
+
+    A home goes to one part of its anchor, chosen by its `item`; every row, homes too, visits each part. Rows of a cell come
+    together, its homes first.
+    """
+    crowded = (visits.where("own").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > homes)
+               .select("anchor", F.ceil(F.col("n") / homes).cast("int").alias("parts")))
+    visits = visits.join(sized(staged(crowded, "anchors-crowded")), "anchor", "left")
+    parts, rest = F.coalesce(F.col("parts"), F.lit(1)), [c for c in visits.columns if c not in ("anchor", "own", "parts")]
+    home = visits.where("own").select("anchor", F.pmod(F.xxhash64(item), parts).cast("int").alias("part"), F.lit(True).alias("own"), *rest)
+    guest = visits.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), *rest)
+    n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return home.unionByName(guest).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
+
+
 def close_links(visits: DataFrame, threshold: int) -> DataFrame:
     """(a, b) fingerprints that are close, enough of them to connect all that are."""
-    spark = visits.sparkSession
-    crowded = (visits.where("own").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES)
-               .select("anchor", F.ceil(F.col("n") / HOMES).cast("int").alias("parts")))
-    crowded = staged(crowded, "anchors-crowded")
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    # A home goes to one part; every fingerprint at the anchor, homes too, visits each part.
-    where = F.when(F.col("own"), F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))).otherwise(F.array().cast("array<int>"))
-    visits = visits.join(sized(crowded), "anchor", "left")
-    cells = (visits.where("own").select("anchor", where[0].alias("part"), F.lit(True).alias("own"), "fp")
-             .unionByName(visits.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), "fp")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
+    cells = cells_of(visits, "fp")
 
     def compare(batches):
         import pyarrow as pa
