@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scans": secrets_scan.op10_secret_scans,
 }
-SQL = {"op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op8_exact_dedup": exact_dedup.SQL}

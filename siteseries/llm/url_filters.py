@@ -134,3 +134,51 @@ def op1_url_filters(spark, folder: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", title_of(text_of("html")).alias("key"))
     return filter_urls(pages, title_labels(docs, labels), RULES)
+
+
+def _oracle() -> str:
+    """The query in DuckDB SQL: the same levels, siblings and smoothing over whole tables."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    title = "regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        title = f"replace({title}, '{name}', '{mark}')"
+    steps = [f"""
+votes AS (SELECT substring(ltrim(text, ' '), 1, {TITLE}) AS key, (avg(quality) >= 0.5)::INT AS label
+          FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1) AND substring(ltrim(text, ' '), 1, {TITLE}) <> '' GROUP BY 1),
+parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+                 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                 substring(trim(coalesce({title}, ''), ' '), 1, {TITLE}) AS key FROM pages),
+t0 AS (SELECT page_id, host, path, label, list_filter(str_split(path, '/'), lambda s: s <> '') AS segments, '' AS template
+       FROM parts LEFT JOIN votes USING (key))"""]
+    for k in range(1, LEVELS + 1):
+        steps.append(f"""
+s{k} AS (SELECT *, segments[{k}] AS segment FROM t{k - 1}),
+l{k} AS (SELECT host, template, segment, true AS literal FROM (
+           SELECT host, template, segment, count(*) AS n, sum(count(*)) OVER (PARTITION BY host, template) AS of
+           FROM s{k} WHERE segment IS NOT NULL GROUP BY host, template, segment)
+         WHERE n >= {LITERAL_PAGES} AND n >= {LITERAL_SHARE}::DOUBLE * of),
+t{k} AS (SELECT page_id, host, path, label, segments,
+                s.template || CASE WHEN segment IS NULL THEN '' WHEN literal THEN '/' || segment ELSE '/*' END AS template
+         FROM s{k} s LEFT JOIN l{k} USING (host, template, segment))""")
+    fits = {r: f"((host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[len(r.split('/')[0]):]}'))" for r in RULES}
+    rule = " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in sorted(RULES, key=len, reverse=True))
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())
+    steps.append(f"""
+leaves AS (SELECT host, template, regexp_extract(template, '^(.*)/[^/]*$', 1) AS parent, count(label) AS known,
+                  count(*) FILTER (label = 0) AS bad FROM t{LEVELS} GROUP BY host, template),
+whole AS (SELECT (sum(bad) + 1)::DOUBLE / (sum(known) + 2) AS w FROM leaves),
+hosts AS (SELECT host, (sum(bad) + {HOST_WEIGHT}::DOUBLE * any_value(w)) / (sum(known) + {HOST_WEIGHT}::DOUBLE) AS bad_host FROM leaves, whole GROUP BY host),
+shares AS (SELECT *, (bad + w) / (known + 1) AS share FROM leaves, whole),
+errors AS (SELECT *, sqrt(share * (1 - share) / (known + 1)) AS error FROM shares),
+marks AS (SELECT *, coalesce((share - lag(share) OVER b > {MERGE_Z}::DOUBLE * sqrt(error ** 2 + lag(error) OVER b ** 2))::INT, 0) AS apart
+          FROM errors WINDOW b AS (PARTITION BY host, parent ORDER BY share, template)),
+cuts AS (SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY share, template ROWS UNBOUNDED PRECEDING) AS branch FROM marks),
+merged AS (SELECT *, sum(known) OVER (PARTITION BY host, parent, branch) AS of, sum(bad) OVER (PARTITION BY host, parent, branch) AS n_bad FROM cuts),
+scored AS (SELECT host, template, (n_bad + {BRANCH_WEIGHT}::DOUBLE * bad_host) / (of + {BRANCH_WEIGHT}::DOUBLE) AS bad_share FROM merged JOIN hosts USING (host)),
+ruled AS (SELECT *, CASE {rule} END AS rule FROM t{LEVELS} JOIN scored USING (host, template))
+SELECT page_id, host, path, rule, coalesce(CASE rule {verdict} END, CASE WHEN bad_share > {MAX_BAD}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+       template, bad_share FROM ruled""")
+    return "WITH" + ",".join(steps)
+
+
+SQL = _oracle()
