@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.functions.numeric import seeded_hash, seeded_uniform
+from siteseries.operators.joins import natural_join
 from siteseries.operators.ranking import cumulative_counts
 
 
@@ -15,9 +16,9 @@ def stratified_split(df: DataFrame, key: list[str], strata: list[str], prop: flo
     """Mark rows train or test so that `prop` of every stratum trains (exact to one row)."""
     rows = df.withColumn("_h", seeded_hash(seed, *key))
     order = cumulative_counts(rows, strata, "_h").select(*strata, "_h", "below", "total")
-    out = rows.join(order, [*strata, "_h"])
+    out = natural_join(rows, order, "inner", [*strata, "_h"])
     return out.withColumn("part", F.when(F.col("below") < F.floor(F.col("total") * F.lit(prop)), "train")
-                          .otherwise("test")).drop("_h", "below", "total")
+                          .otherwise("test")).select(*df.columns, "part")
 
 
 def repeated_folds(df: DataFrame, key: list[str], folds: int = 10, repeats: int = 5, seed: int = 1503) -> DataFrame:
@@ -29,7 +30,7 @@ def repeated_folds(df: DataFrame, key: list[str], folds: int = 10, repeats: int
     return rows.join(order, ["repeat", "_h"]).drop("_h")
 
 
-# Cumulative Poisson(1) probabilities up to 12 events.
+# Cumulative Poisson(1) probabilities up to 12 events. The uniform numbers have 32 bits, too few to draw 13.
 POISSON_ONE = tuple(sum(math.exp(-1.0) / math.factorial(j) for j in range(i + 1)) for i in range(13))
 
 

@@ -12,11 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteseries.operators.joins import settled
+from siteseries.operators.joins import natural_join, settled
 
 BUCKETS = 128
 BUCKET_ROWS = 2_000_000
 GROUP_ROWS = 200_000
+CUT_BYTES = 64 << 20  # of cut points that are broadcast at most; beyond, their join shuffles
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -24,12 +25,35 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _bucketed(folded: DataFrame, keys: list[str], value: str, largest: int, buckets: int, group_rows: int) -> DataFrame:
+    """Add `bucket`, whose order follows the order of the values within each group."""
+    kind = dict(folded.dtypes)[value]
+    if kind == "string":
+        # leading characters sort as the whole text does; they spread hash digits, the usual large text keys, evenly
+        return folded.withColumn("bucket", F.substring(value, 1, max(2, math.ceil(math.log(max(largest / BUCKET_ROWS, 1.0), 16)))))
+    if kind in ("boolean", "binary"):
+        return folded.withColumn("bucket", F.lit(0))
+    # Numbers, dates and timestamps are cut in their own type; only groups past the switch get cut points.
+    probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    cuts = (folded.groupBy(*keys).agg(F.sum("n").alias("_rows"), F.percentile_approx(value, probs, 2000).alias("cuts"))
+            .where(F.col("_rows") > group_rows).drop("_rows"))
+    if keys:
+        folded = natural_join(folded, settled(cuts, max(1, CUT_BYTES // (16 * buckets))), "left", keys)
+    else:
+        row = cuts.first()
+        folded = folded.withColumn("cuts", F.array(*[F.lit(c) for c in (row["cuts"] if row else [])]).cast(f"array<{kind}>"))
+    # number of cut points below the value
+    bucket = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col(value))))
+    return folded.withColumn("bucket", bucket).drop("cuts")
+
+
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int | None = None,
                       group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per (group, value): n equal values, `below` smaller ones, `total` in the group.
 
     Groups are counted first: when the largest has at most `group_rows` rows an ordinary window per group
-    does; otherwise the values are spread over buckets of about two million rows.
+    does; otherwise the values are spread over buckets of about two million rows. Both ways give the same
+    rows for every orderable type, and groups with null keys are groups like others.
     """
     rows = df.filter(F.col(value).isNotNull())
     folded = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -38,22 +62,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int |
         order = Window.partitionBy(*keys).orderBy(value)
         return folded.select(*keys, value, "n", (F.sum("n").over(order) - F.col("n")).alias("below"),
                              F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
-    buckets = buckets or min(1024, max(BUCKETS, largest // BUCKET_ROWS))
-    probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    if dict(df.dtypes)[value] in ("double", "float", "int", "bigint", "date"):
-        number = F.unix_date(value) if dict(df.dtypes)[value] == "date" else F.col(value)
-        cuts = folded.groupBy(*keys).agg(F.percentile_approx(number, probs, 2000).alias("cuts"))
-        if keys:
-            folded = folded.join(settled(cuts), keys)
-        else:
-            folded = folded.withColumn("cuts", F.array(*[F.lit(c) for c in (cuts.first()["cuts"] or [])]))
-        # number of cut points below the value, so the bucket order follows the value order
-        bucket = F.size(F.filter("cuts", lambda c: c < number))
-    else:
-        # text keys here are hash digits: the leading digits already spread evenly and keep the order
-        digits = max(2, math.ceil(math.log(max(largest / BUCKET_ROWS, 1.0), 16)))
-        bucket = F.substring(value, 1, digits)
-    folded = folded.withColumn("bucket", bucket).drop("cuts")
+    folded = _bucketed(folded, keys, value, largest, buckets or max(BUCKETS, largest // BUCKET_ROWS), group_rows)
     totals = folded.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
     by_bucket = Window.partitionBy(*keys).orderBy("bucket")
     totals = totals.select(
@@ -61,7 +70,7 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int |
         (F.sum("bn").over(by_bucket) - F.col("bn")).alias("offset"),
         F.sum("bn").over(Window.partitionBy(*keys)).alias("total"))
     inside = Window.partitionBy(*keys, "bucket").orderBy(value)
-    return (folded.join(totals, [*keys, "bucket"])
+    return (natural_join(folded, totals, "inner", [*keys, "bucket"])
             .withColumn("below", F.sum("n").over(inside) - F.col("n") + F.col("offset"))
             .select(*keys, value, "n", "below", "total"))
 
@@ -71,7 +80,7 @@ def ranked(df: DataFrame, keys: list[str], value: str, name: str = "rank", ties:
     counts = cumulative_counts(df, keys, value)
     rank = F.col("below") + (F.lit(1.0) + F.col("n")) / 2.0 if ties == "average" else F.col("below") + 1
     table = counts.select(*keys, value, rank.alias(name), F.col("total").alias(f"{name}_n"))
-    return df.join(table, [*keys, value])
+    return natural_join(df, table, "inner", [*keys, value]).select(*df.columns, name, f"{name}_n")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -81,7 +90,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     The built-in exact percentile buffers the distinct values of a group, so it is used only when the
     largest group was counted to be within `group_rows`; beyond that the value counts are ranked in buckets.
     """
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     if largest_group(rows, keys) <= group_rows:
         return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     counts = cumulative_counts(rows, keys, value, group_rows=0)
@@ -99,7 +108,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     for name, p in probs.items():
         where = (F.col("_n") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        made.append((lo + (hi - lo) * (where - F.floor(where))).alias(name))
+        share = where - F.floor(where)  # the same arithmetic as the built-in percentile
+        made.append(F.when(share == 0, lo).otherwise((F.ceil(where) - where) * lo + share * hi).alias(name))
     return out.select(*keys, *made)
 
 

@@ -43,10 +43,13 @@ def anova(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """One-way ANOVA per key: sums of squares, degrees of freedom and F."""
     g = df.filter(F.col(value).isNotNull()).groupBy(*keys, group).agg(
         F.avg(value).alias("mu"), F.count(value).alias("n"), F.var_pop(value).alias("v"))
-    n, mu = F.col("n"), F.col("mu")
+    # Group means are taken from the grand mean before they are squared: sums of raw squares cancel far from 0.
+    n = F.col("n")
+    grand = g.groupBy(*keys).agg((F.sum(n * F.col("mu")) / F.sum("n")).alias("_grand"))
+    g = natural_join(g.withColumn("_one", F.lit(1)), grand.withColumn("_one", F.lit(1)), "inner", [*keys, "_one"])
     out = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("nobs"), F.sum(n * F.col("v")).alias("ss_within"),
-        (F.sum(n * mu * mu) - F.pow(F.sum(n * mu), 2) / F.sum("n")).alias("ss_between"))
+        F.sum(n * F.pow(F.col("mu") - F.col("_grand"), 2)).alias("ss_between"))
     return out.withColumns({
         "df_between": F.col("groups") - 1, "df_within": F.col("nobs") - F.col("groups"),
     }).withColumn("f_stat", ratio(F.col("ss_between") * F.col("df_within"), F.col("ss_within") * F.col("df_between")))
@@ -61,8 +64,8 @@ def tukey_pairs(df: DataFrame, keys: list[str], group: str, value: str) -> DataF
         *keys, "groups", "df_within", ratio("ss_within", "df_within").alias("ms_within"))
     a = g.select(*keys, F.col(group).alias("group_a"), F.col("mu").alias("mu_a"), F.col("n").alias("n_a"))
     b = g.select(*keys, F.col(group).alias("group_b"), F.col("mu").alias("mu_b"), F.col("n").alias("n_b"))
-    pairs = a.join(b, keys).filter(F.col("group_a") < F.col("group_b"))
-    out = pairs.join(fit, keys)
+    pairs = natural_join(a, b, "inner", keys).filter(F.col("group_a") < F.col("group_b"))
+    out = natural_join(pairs, fit, "inner", keys)
     scale = F.sqrt(F.col("ms_within") / 2.0 * (1.0 / F.col("n_a") + 1.0 / F.col("n_b")))
     return out.select(*keys, "group_a", "group_b", (F.col("mu_b") - F.col("mu_a")).alias("diff"),
                       ratio(F.abs(F.col("mu_b") - F.col("mu_a")), scale).alias("q_stat"), "groups", "df_within").drop("_all")
@@ -80,7 +83,7 @@ def rank_sum_vs(df: DataFrame, keys: list[str], group: str, value: str, referenc
     counts = cumulative_counts(rows, by, value)
     ours = rows.filter("is_ref").groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ours"))
     rank = F.col("below") + (F.col("n") + 1.0) / 2.0
-    joined = counts.join(ours, [*by, value], "left")
+    joined = natural_join(counts, ours, "left", [*by, value])
     out = joined.groupBy(*by).agg(
         F.sum(rank * F.col("_ours")).alias("rank_sum"), F.sum("_ours").alias("n_ref"), F.max("total").alias("n_all"),
         F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"))

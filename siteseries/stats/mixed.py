@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteseries.functions.special import t_two_sided
-from siteseries.operators.joins import settled
+from siteseries.operators.joins import natural_join, settled
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
 
 
 def group_products(df: DataFrame, models: list[str], group: str, time: str, xs: list[str], y: str) -> DataFrame:
@@ -96,7 +98,7 @@ def fit_mixed(df: DataFrame, models: list[str], group: str, time: str, xs: list[
               slope: str | None = None, ar1: bool = False, rounds: int = 7) -> MixedFit:
     """y ~ xs with a random intercept per group, plus a random slope on `slope` when given."""
     spark = df.sparkSession
-    products = group_products(df, models, group, time, xs, y).persist()
+    products = stage(group_products(df, models, group, time, xs, y), scratch_path(spark, "products"))
     k = len(xs) + 2
     z = [0] if slope is None else [0, 1 + xs.index(slope)]
     q = len(z)
@@ -166,19 +168,32 @@ def fit_mixed(df: DataFrame, models: list[str], group: str, time: str, xs: list[
     return _tables(spark, products, models, group, xs, z, best, k, ar1)
 
 
+def _group_level(products: DataFrame, models: list[str], xs: list[str]) -> dict[str, list[bool]]:
+    """Per model, which predictors never vary within a group: they are tested on the number of groups."""
+    pairs = list(itertools.combinations_with_replacement(range(len(xs) + 2), 2))
+    aggs = []
+    for i in range(1, len(xs) + 1):
+        squares, sums = F.get("s0", F.lit(pairs.index((i, i)))), F.get("s0", F.lit(pairs.index((0, i))))
+        aggs += [F.sum(squares - sums * sums / F.col("n")).alias(f"w{i}"), F.sum(squares).alias(f"t{i}")]
+    rows = products.groupBy(F.to_json(F.struct(*models)).alias("_m")).agg(*aggs).collect()
+    return {r["_m"]: [r[f"w{i}"] <= 1e-9 * r[f"t{i}"] for i in range(1, len(xs) + 1)] for r in rows}
+
+
 def _tables(spark, products: DataFrame, models, group, xs, z, best, k, ar1) -> MixedFit:
     q = len(z)
     kinds = dict(products.dtypes)
     head = ", ".join(f"`{m}` {kinds[m]}" for m in models)
-    coef_rows, sum_rows = [], []
+    coef_rows, sum_rows, fixed = [], [], _group_level(products, models, xs)
     for key, fit in best.items():
         ids = list(json.loads(key).values())
         psi, phi = _psi(np.array(fit["theta"]), q)
         p = len(fit["beta"])
         params = p + 1 + q + (q - 1) + (1 if ar1 else 0)
-        for term, b, se in zip(["(Intercept)", *xs], fit["beta"], fit["se"]):
+        outer = sum(fixed[key])
+        inner_df, outer_df = fit["n"] - fit["groups"] - (p - 1 - outer), fit["groups"] - 1 - outer
+        for term, b, se, at_group in zip(["(Intercept)", *xs], fit["beta"], fit["se"], [False, *fixed[key]]):
             t = b / se
-            pv = float(t_two_sided(t, max(fit["n"] - fit["groups"] - p + 1, 1.0))[0])
+            pv = float(t_two_sided(t, max(outer_df if at_group else inner_df, 1.0))[0])
             coef_rows.append((*ids, term, float(b), float(se), float(t), pv))
         sum_rows.append((*ids, float(fit["ll"]), float(-2 * fit["ll"] + 2 * params), math.sqrt(fit["s2"]),
                          math.sqrt(fit["s2"] * psi[0, 0]),
@@ -230,8 +245,8 @@ def residuals(rows: DataFrame, fit: MixedFit, models: list[str], group: str, xs:
     """Fitted values and residuals with the group effects included."""
     terms = fit.coefficients.groupBy(*models).pivot("term", ["(Intercept)", *xs]).agg(F.first("estimate"))
     terms = terms.toDF(*models, "_b0", *[f"_b_{x}" for x in xs])
-    out = rows.join(settled(terms), models)
-    out = out.join(settled(fit.effects.select(*models, group, "intercept_effect", "slope_effect")), [*models, group])
+    out = natural_join(rows, settled(terms), "inner", models)
+    out = natural_join(out, settled(fit.effects.select(*models, group, "intercept_effect", "slope_effect")), "inner", [*models, group])
     fitted = F.col("_b0") + F.col("intercept_effect")
     for x in xs:
         fitted = fitted + F.col(f"_b_{x}") * F.col(x)
@@ -244,6 +259,6 @@ def residuals(rows: DataFrame, fit: MixedFit, models: list[str], group: str, xs:
 def model_table(fit: MixedFit, models: list[str], term: str, slopes: DataFrame | None = None) -> DataFrame:
     """One row per model: AIC, the chosen coefficient, its p and a flag, optionally the second-stage slope."""
     coef = fit.coefficients.filter(F.col("term") == term).select(*models, "estimate", "std_error", "p_value")
-    out = fit.summary.select(*models, "aic", "sigma", "nobs").join(coef, models)
+    out = natural_join(fit.summary.select(*models, "aic", "sigma", "nobs"), coef, "inner", models)
     out = out.withColumn("significant", F.when(F.col("p_value") < 0.05, "*").otherwise(""))
-    return out.join(slopes, models, "left") if slopes is not None else out
+    return natural_join(out, slopes, "left", models) if slopes is not None else out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.functions.special import chi2_upper
+from siteseries.operators.joins import natural_join
 from siteseries.session import scratch_path
 from siteseries.sources.files import stage
 from siteseries.stats.moments import group_covariances, matrix_of
@@ -126,11 +127,11 @@ def path_models(df: DataFrame, outcomes: list[str], equations: list[str], keys:
 
 def compare_sets(params: DataFrame, fits: DataFrame, by: str, names: dict[str, str], rename: dict[str, str]) -> DataFrame:
     """Parameters of well-fitting models of two data sets side by side, with shared variable names."""
-    good = params.join(fits.filter(F.col("model_fit") == "Good").select(by, "outcome"), [by, "outcome"])
+    good = natural_join(params, fits.filter(F.col("model_fit") == "Good").select(by, "outcome"), "inner", [by, "outcome"])
     for c in ("response", "predictor"):
         for pattern, repl in rename.items():
             good = good.withColumn(c, F.regexp_replace(c, re.compile(pattern).pattern, repl))
     sides = [good.filter(F.col(by) == value).select(
         "outcome", "response", "predictor", F.col("estimate").alias(f"estimate_{tag}"),
         F.col("std_estimate").alias(f"std_estimate_{tag}")).distinct() for value, tag in names.items()]
-    return sides[0].join(sides[1], ["outcome", "response", "predictor"], "left")
+    return natural_join(sides[0], sides[1], "left", ["outcome", "response", "predictor"])
