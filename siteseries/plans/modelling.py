@@ -118,13 +118,13 @@ def l11(spark, sf):
 @query("l12_nearest_neighbours", ("vectors",), f"""
 WITH s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '{SEED}', vec_id::VARCHAR))) <= floor(count(*) OVER (PARTITION BY label) * 0.8::DOUBLE) AS train FROM vectors),
 t AS (SELECT * FROM s WHERE train), q AS (SELECT * FROM s WHERE NOT train),
-d AS (SELECT q.vec_id, t.x8 AS y, t.vec_id::VARCHAR AS rk, sqrt({' + '.join(f'pow(q.x{i} - t.x{i}, 2)' for i in range(1, 5))}) AS d FROM q CROSS JOIN t),
+d AS (SELECT q.vec_id, t.{V.VECTOR_COLUMNS[-1]} AS y, t.vec_id::VARCHAR AS rk, sqrt({' + '.join(f'pow(q.x{i} - t.x{i}, 2)' for i in range(1, V.VECTOR_SIZE))}) AS d FROM q CROSS JOIN t),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, rk) AS k FROM d)
 SELECT vec_id, {r('sum(y / (d + 1e-9::DOUBLE)) / sum(1 / (d + 1e-9::DOUBLE))')} AS prediction FROM k WHERE k <= 5 GROUP BY vec_id""")
 def l12(spark, sf):
     v = stage(resample.stratified_split(V.vectors(spark, sf), ["vec_id"], ["label"], 0.8, SEED), scratch(spark, "vectors"))
     train, test = v.filter(F.col("part") == "train"), v.filter(F.col("part") == "test")
-    return tidy(neighbours.knn_regression(train, test, ["vec_id"], ["x1", "x2", "x3", "x4"], "x8", 5))
+    return tidy(neighbours.knn_regression(train, test, ["vec_id"], V.VECTOR_COLUMNS[:-1], V.VECTOR_COLUMNS[-1], 5))
 
 
 def small_grid():

@@ -52,7 +52,7 @@ def _matrix_row(i: int) -> str:
     return f"SELECT '{VC[i]}' AS term, {', '.join(cells)} FROM vectors"
 
 
-@query("m1_correlation_matrix", ("vectors",), " UNION ALL ".join(_matrix_row(i) for i in range(1, 8)))
+@query("m1_correlation_matrix", ("vectors",), " UNION ALL ".join(_matrix_row(i) for i in range(1, len(VC))))
 def m1(spark, sf):
     return tidy(C.correlation_matrix(V.vectors(spark, sf), VC, 15), 2)
 
@@ -141,7 +141,7 @@ def m9(spark, sf):
 @query("m9b_vector_fit_permutation")
 def m9b(spark, sf):
     v = stage(V.vectors(spark, sf), scratch(spark, "vectors"))
-    return tidy(O.permutation_p(v, ["vec_id"], ("x1", "x2"), VC[2:5], 99))
+    return tidy(O.permutation_p(v, ["vec_id"], ("x1", "x2"), VC[2:], 99))
 
 
 @query("m10_redundancy_by_season")
@@ -489,9 +489,9 @@ def m33b(spark, sf):
 
 @query("m34_histogram", ("vectors",), " UNION ALL ".join(f"""
 SELECT '{c}' AS variable, least(floor(({c} - lo) / ((hi - lo) / 30.0::DOUBLE)), 29)::BIGINT AS bin, count(*)::BIGINT AS n
-FROM vectors, (SELECT min({c}) AS lo, max({c}) AS hi FROM vectors) GROUP BY ALL""" for c in ("x1", "x2")))
+FROM vectors, (SELECT min({c}) AS lo, max({c}) AS hi FROM vectors) GROUP BY ALL""" for c in VC))
 def m34(spark, sf):
-    return tidy(S.histogram(V.vectors(spark, sf), ["x1", "x2"], 30))
+    return tidy(S.histogram(V.vectors(spark, sf), VC, 30))
 
 
 @query("m35_kernel_density", ("vectors",), f"""

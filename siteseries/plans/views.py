@@ -103,17 +103,13 @@ def env(spark: SparkSession, sf: str) -> DataFrame:
                        *[F.when(gap != i, F.col(f"a{i + 1}")).alias(f"x{i + 1}") for i in range(3)])
 
 
-def events_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("event_type", _day("ts").alias("d")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-
-VECTOR_COLUMNS = [f"x{i}" for i in range(1, 9)]
+VECTOR_SIZE = 64  # of the embeddings
+VECTOR_COLUMNS = [f"x{i}" for i in range(1, VECTOR_SIZE + 1)]
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(8)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(VECTOR_SIZE)])
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -175,12 +171,9 @@ env AS (
          CASE WHEN (month(collection_period) + k) % 4 <> 0 THEN a1 END AS x1,
          CASE WHEN (month(collection_period) + k) % 4 <> 1 THEN a2 END AS x2,
          CASE WHEN (month(collection_period) + k) % 4 <> 2 THEN a3 END AS x3 FROM env0)"""),
-    "events_daily": ((), """
-events_daily AS (
-  SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)"""),
     "vectors": ((), """
 vectors AS (
-  SELECT vec_id, label, """ + ", ".join(f"embedding[{i}]::DOUBLE AS x{i}" for i in range(1, 9)) + """ FROM embeddings)"""),
+  SELECT vec_id, label, """ + ", ".join(f"embedding[{i}]::DOUBLE AS x{i}" for i in range(1, VECTOR_SIZE + 1)) + """ FROM embeddings)"""),
     "totals": (("survey",), """
 totals AS (
   SELECT site_code, collection_period, sum(density) AS density, sum(biomass) AS biomass FROM survey GROUP BY ALL)"""),

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.stats.moments import pair_aggregates
+from siteseries.stats.moments import correlations, pair_aggregates
 
 
 def _long(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -23,8 +23,11 @@ def _long(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """Pearson r for each pair (lower triangle), pairwise complete."""
-    pairs = [(b, a) for a, b in combinations(cols, 2)]
-    return _long(pair_aggregates(df, pairs, F.corr, keys), keys or [])
+    if keys:
+        return _long(pair_aggregates(df, [(b, a) for a, b in combinations(cols, 2)], F.corr, keys), keys)
+    r = correlations(df, cols)
+    rows = [(cols[j], cols[i], None if r[i, j] != r[i, j] else float(r[i, j])) for i, j in combinations(range(len(cols)), 2)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], digits: int = 2) -> DataFrame:
