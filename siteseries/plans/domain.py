@@ -59,32 +59,32 @@ prob AS (SELECT t.lowest_taxon, n.site_code, coalesce(p.seen, 0) / n.k::DOUBLE A
     ON p.site_code = n.site_code AND p.lowest_taxon = t.lowest_taxon)"""
 
 
-@query("b5_occurrence_probability", ("rare_survey",), f"""
-WITH {_prob('rare_survey')} SELECT lowest_taxon, site_code, {r('prob_present')} AS prob_present FROM prob""")
+@query("b5_occurrence_probability", ("survey",), f"""
+WITH {_prob('survey')} SELECT lowest_taxon, site_code, {r('prob_present')} AS prob_present FROM prob""")
 def b5(spark, sf):
-    return tidy(rarity.occurrence_probability(V.staged(V.rare_survey(spark, sf)), "density"))
+    return tidy(rarity.occurrence_probability(V.staged(V.survey(spark, sf)), "density"))
 
 
-@query("b6_only_in_window", ("rare_survey",), """
+@query("b6_only_in_window", ("part_survey",), """
 SELECT DISTINCT lowest_taxon, p::BIGINT AS presence FROM (
-  SELECT lowest_taxon, date_trunc('quarter', collection_period) AS q, CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM rare_survey
+  SELECT lowest_taxon, date_trunc('quarter', collection_period) AS q, CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM part_survey
   WHERE collection_period > DATE '1995-06-01' AND collection_period < DATE '2001-03-01' GROUP BY ALL)
-WHERE lowest_taxon NOT IN (SELECT lowest_taxon FROM rare_survey WHERE collection_period < DATE '1995-06-01' OR collection_period > DATE '2001-03-01')""")
+WHERE lowest_taxon NOT IN (SELECT lowest_taxon FROM part_survey WHERE collection_period < DATE '1995-06-01' OR collection_period > DATE '2001-03-01')""")
 def b6(spark, sf):
     # the made taxa are recorded throughout; a wide window leaves some that occur only inside it
-    return tidy(rarity.only_in_window(V.staged(V.rare_survey(spark, sf)), "density", "1995-06-01", "2001-03-01"))
+    return tidy(rarity.only_in_window(V.staged(V.part_survey(spark, sf)), "density", "1995-06-01", "2001-03-01"))
 
 
-@query("b7_rare_total", ("rare_survey",), f"""
-WITH {_prob('rare_survey')}, rt AS (SELECT lowest_taxon, site_code FROM prob WHERE prob_present > 0 AND prob_present < 0.03),
+@query("b7_rare_total", ("survey",), f"""
+WITH {_prob('survey')}, rt AS (SELECT lowest_taxon, site_code FROM prob WHERE prob_present > 0 AND prob_present < 0.03),
 t AS (SELECT u.site_code, u.collection_period, coalesce(sum(s.density), 0) AS rare_tot
-  FROM (SELECT DISTINCT site_code, collection_period FROM rare_survey WHERE site_code IN (SELECT site_code FROM rt)) u
-  LEFT JOIN (SELECT r.* FROM rare_survey r SEMI JOIN rt ON rt.site_code = r.site_code AND rt.lowest_taxon = r.lowest_taxon) s
+  FROM (SELECT DISTINCT site_code, collection_period FROM survey WHERE site_code IN (SELECT site_code FROM rt)) u
+  LEFT JOIN (SELECT r.* FROM survey r SEMI JOIN rt ON rt.site_code = r.site_code AND rt.lowest_taxon = r.lowest_taxon) s
     ON s.site_code = u.site_code AND s.collection_period = u.collection_period GROUP BY ALL)
 SELECT site_code, collection_period, {r('rare_tot', 2)} AS rare_tot,
   {r('(rare_tot - avg(rare_tot) OVER w) / nullif(stddev_samp(rare_tot) OVER w, 0)')} AS rare_tot_scaled FROM t WINDOW w AS (PARTITION BY site_code)""")
 def b7(spark, sf):
-    t = rarity.rare_total(V.staged(V.rare_survey(spark, sf)), "density", below=0.03)
+    t = rarity.rare_total(V.staged(V.survey(spark, sf)), "density", below=0.03)
     return tidy(Z.z_scores(t, ["site_code"], ["rare_tot"], bounded=True), 6, rare_tot=2)
 
 
@@ -172,15 +172,15 @@ def b13(spark, sf):
     return tidy(Dv.hellinger(V.staged(V.survey(spark, sf)), "density").select(*KEYS, "lowest_taxon", "hell"))
 
 
-@query("b14_monthly_heat_map", ("rare_survey",), f"""
-WITH t AS (SELECT site_code, family, collection_period, sum(density) AS v FROM rare_survey GROUP BY ALL),
+@query("b14_monthly_heat_map", ("survey",), f"""
+WITH t AS (SELECT site_code, family, collection_period, sum(density) AS v FROM survey GROUP BY ALL),
 l AS (SELECT *, ln(v / avg(v) OVER (PARTITION BY site_code, family)) AS lrr FROM t),
 m AS (SELECT site_code, family, month(collection_period) AS month, avg(lrr) AS x FROM l GROUP BY ALL),
 g AS (SELECT * FROM (SELECT DISTINCT site_code, family FROM m) CROSS JOIN (SELECT unnest(range(1, 13)) AS month)),
 j AS (SELECT g.*, m.x FROM g LEFT JOIN m ON m.site_code = g.site_code AND m.family = g.family AND m.month = g.month)
 SELECT site_code, family, month::BIGINT AS month, {r('__FILL__')} AS x FROM j WINDOW w AS (PARTITION BY site_code, family ORDER BY month)""")
 def b14(spark, sf):
-    t = V.rare_survey(spark, sf).groupBy("site_code", "family", "collection_period").agg(F.sum("density").alias("v"))
+    t = V.survey(spark, sf).groupBy("site_code", "family", "collection_period").agg(F.sum("density").alias("v"))
     lrr = Z.log_ratio_to_mean(t, ["site_code", "family"], ["v"], bounded=True)
     m = V.staged(lrr.groupBy("site_code", "family", F.month("collection_period").alias("month")).agg(F.avg("LRR_v").alias("x")))
     grid = J.key_grid(m.select("site_code", "family"), "month", F.sequence(F.lit(1), F.lit(12)))

@@ -86,15 +86,15 @@ def a7(spark, sf):
     return tidy(A.shifted_quarter_variance(V.totals(spark, sf), ["density", "biomass"]), 3)
 
 
-YEARS = list(range(1995, 2002))
+YEARS = list(range(1995, 2002))  # of the given tables, for the SQL only; the queries read them from the data
 
 
 @query("a8_effort_matrix", ("totals",), f"""
 SELECT month(collection_period)::BIGINT AS month, {', '.join(f'nullif(count(*) FILTER (WHERE year(collection_period) = {y}), 0)::BIGINT AS "{y}"' for y in YEARS)}
 FROM totals GROUP BY ALL""")
 def a8(spark, sf):
-    t = V.totals(spark, sf).select(*KEYS, "density").withColumn("year", F.year("collection_period"))
-    return tidy(A.effort_matrix(t, F.month("collection_period").alias("month"), "year", YEARS))
+    t = V.staged(V.totals(spark, sf).select(*KEYS, "density").withColumn("year", F.year("collection_period")))
+    return tidy(A.effort_matrix(t, F.month("collection_period").alias("month"), "year", V.survey_years(t)))
 
 
 @query("a9_envelope", ("vectors",), f"""
@@ -185,24 +185,29 @@ def a18(spark, sf):
     return tidy(week.unionByName(month))
 
 
-@query("a19_quarters_occupied", ("rare_survey",), """
+@query("a19_quarters_occupied", ("part_survey",), """
 SELECT lowest_taxon, sum(p)::BIGINT AS occurrence FROM (
-  SELECT date_trunc('quarter', collection_period) AS q, lowest_taxon, CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM rare_survey GROUP BY ALL)
+  SELECT date_trunc('quarter', collection_period) AS q, lowest_taxon, CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM part_survey GROUP BY ALL)
 GROUP BY lowest_taxon""")
 def a19(spark, sf):
-    return A.quarters_occupied(V.rare_survey(spark, sf), "lowest_taxon", "density")
+    return A.quarters_occupied(V.part_survey(spark, sf), "lowest_taxon", "density")
 
 
-QUARTERS = [f"{y}-{m:02d}-01" for y in YEARS for m in (1, 4, 7, 10)][:27]
+def quarters_of(years: list[int]) -> list[str]:
+    return [f"{y}-{m:02d}-01" for y in years for m in (1, 4, 7, 10)]
 
 
-@query("a20_occurrence_matrix", ("rare_survey",), f"""
+QUARTERS = quarters_of(YEARS)
+
+
+@query("a20_occurrence_matrix", ("part_survey",), f"""
 WITH pq AS (SELECT CAST(date_trunc('quarter', collection_period) AS DATE) AS q, lowest_taxon,
-             CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM rare_survey GROUP BY ALL)
+             CASE WHEN sum(density) > 0 THEN 1 ELSE 0 END AS p FROM part_survey GROUP BY ALL)
 SELECT lowest_taxon, {', '.join(f'''max(p) FILTER (WHERE q = DATE '{q}')::BIGINT AS "{q}"''' for q in QUARTERS)}
-FROM pq GROUP BY ALL HAVING sum(p) < 10""")
+FROM pq GROUP BY ALL HAVING sum(p) < 15""")
 def a20(spark, sf):
-    return tidy(A.occurrence_matrix(V.staged(V.rare_survey(spark, sf)), "lowest_taxon", "density", 10, QUARTERS))
+    t = V.staged(V.part_survey(spark, sf))
+    return tidy(A.occurrence_matrix(t, "lowest_taxon", "density", 15, quarters_of(V.survey_years(t))))
 
 
 @query("a21_even_out", ("outcomes",), f"""

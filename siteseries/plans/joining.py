@@ -65,7 +65,8 @@ def j6(spark, sf):
 SELECT * FROM (SELECT DISTINCT site_code FROM survey) CROSS JOIN
   (SELECT CAST(m AS DATE) AS collection_period FROM generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH) t(m))""")
 def j7(spark, sf):
-    return J.key_grid(V.survey(spark, sf).select("site_code"), "collection_period", month_sequence(V.GRID_START, V.GRID_MONTHS))
+    t = V.staged(V.totals(spark, sf).select("site_code", "collection_period"))
+    return J.key_grid(t.select("site_code"), "collection_period", month_sequence(*V.survey_months(t)))
 
 
 @query("j8_grid_with_gaps", ("env",), f"""

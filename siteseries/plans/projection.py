@@ -244,10 +244,10 @@ def f9(spark, sf):
     return tidy(c.select("c_custkey", "c_nationkey", "c_acctbal"), 2)
 
 
-@query("f10_group_threshold", ("rare_survey",), """
-SELECT lowest_taxon, count(*)::BIGINT AS stat FROM rare_survey GROUP BY ALL HAVING count(*) < 15""")
+@query("f10_group_threshold", ("part_survey",), """
+SELECT lowest_taxon, count(*)::BIGINT AS stat FROM part_survey GROUP BY ALL HAVING count(*) < 20""")
 def f10(spark, sf):
-    return filters.groups_where(V.rare_survey(spark, sf), ["lowest_taxon"], F.count(F.lit(1)), lambda c: c < 15)
+    return filters.groups_where(V.part_survey(spark, sf), ["lowest_taxon"], F.count(F.lit(1)), lambda c: c < 20)
 
 
 # --- sort, limit, set operations ---------------------------------------------------------------
@@ -328,13 +328,15 @@ def h3(spark, sf):
     return tidy(reshape.transpose(f, "site_code", ["days", "q_mean", "q_max"], names), 2)
 
 
-@query("h4_zero_completion", ("rare_survey",), f"""
-SELECT u.site_code, u.collection_period, i.lowest_taxon, {r('coalesce(s.density, 0)', 2)} AS density
-FROM (SELECT DISTINCT site_code, collection_period FROM rare_survey) u
-CROSS JOIN (SELECT DISTINCT lowest_taxon FROM rare_survey) i
-LEFT JOIN rare_survey s ON s.site_code = u.site_code AND s.collection_period = u.collection_period AND s.lowest_taxon = i.lowest_taxon""")
+@query("h4_zero_completion", ("survey",), f"""
+WITH fs AS (SELECT site_code, collection_period, family, sum(density) AS density FROM survey GROUP BY ALL)
+SELECT u.site_code, u.collection_period, i.family, {r('coalesce(s.density, 0)', 2)} AS density
+FROM (SELECT DISTINCT site_code, collection_period FROM fs) u
+CROSS JOIN (SELECT DISTINCT family FROM fs) i
+LEFT JOIN fs s ON s.site_code = u.site_code AND s.collection_period = u.collection_period AND s.family = i.family""")
 def h4(spark, sf):
-    return tidy(reshape.zero_complete(V.staged(V.rare_survey(spark, sf)), KEYS, ["lowest_taxon"], "density"), 2)
+    families = V.survey(spark, sf).groupBy(*KEYS, "family").agg(F.sum("density").alias("density"))
+    return tidy(reshape.zero_complete(V.staged(families), KEYS, ["family"], "density"), 2)
 
 
 @query("h5_summary_table", ("flow", "env"), f"""

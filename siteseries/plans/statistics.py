@@ -94,11 +94,8 @@ def m6(spark, sf):
 
 @query("m7_pca_by_year")
 def m7(spark, sf):
-    e = stage(frame(spark, sf), scratch(spark, "frame"))
-    parts = []
-    for year in range(1996, 2001):
-        fit = O.fit_pca(e.filter(F.year("collection_period") == year), [*OUT, *X3])
-        parts.append(fit.importance(spark).withColumn("slice", F.lit(year)))
+    rows = frame(spark, sf).withColumn("year", F.year("collection_period"))
+    parts = [fit.importance(spark).withColumn("slice", F.lit(year)) for (year,), fit in O.pca_by(rows, ["year"], [*OUT, *X3])]
     return tidy(reduce(lambda a, b: a.unionByName(b), parts))
 
 

@@ -13,13 +13,26 @@ from siteseries.sources.files import stage, table
 
 TEST = ("1997-06-01", "1998-09-01")
 EVENT = "1997-08-27"
-GRID_START, GRID_MONTHS = "1995-01-01", 80
 
 
 def _day(c: str):
     return F.col(c).cast("date")
 
 
+def survey_months(totals: DataFrame, period: str = "collection_period") -> tuple[str, int]:
+    """First month of the data and the number of months up to the last."""
+    first, last = totals.agg(F.min(period), F.max(period)).first()
+    if first is None:
+        return "1970-01-01", 0
+    return f"{first:%Y-%m}-01", (last.year - first.year) * 12 + last.month - first.month + 1
+
+
+def survey_years(totals: DataFrame, period: str = "collection_period") -> list[int]:
+    """All years from the first to the last of the data."""
+    first, last = totals.agg(F.min(F.year(period)), F.max(F.year(period))).first()
+    return [] if first is None else list(range(first, last + 1))
+
+
 def line_sites(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
     """One row per order line with site and period.
 
@@ -64,6 +77,12 @@ def rare_survey(spark: SparkSession, sf: str) -> DataFrame:
     return survey(spark, sf, 49.0)
 
 
+def part_survey(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line at its sparsest natural grain: each part is a taxon of its own, with some thirty lines at any scale."""
+    return line_sites(spark, sf).groupBy("site_code", "collection_period", F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("lowest_taxon")).agg(
+        F.sum("l_quantity").alias("density"))
+
+
 def individual(spark: SparkSession, sf: str) -> DataFrame:
     return line_surveys(spark, sf).select(
         "site_code", "collection_period", "family", "lowest_taxon", (F.col("l_extendedprice") / 1000.0).alias("lengthmm"))
@@ -145,6 +164,12 @@ rare_survey AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region g ON n.n_regionkey = g.r_regionkey
   JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity >= 49 GROUP BY ALL)"""),
+    "part_survey": ((), """
+part_survey AS (
+  SELECT n.n_name AS site_code, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS collection_period,
+         'part ' || l.l_partkey::VARCHAR AS lowest_taxon, sum(l.l_quantity) AS density
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY ALL)"""),
     "individual": ((), """
 individual AS (
   SELECT n.n_name AS site_code, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS collection_period,

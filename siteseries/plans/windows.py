@@ -37,10 +37,10 @@ z AS (SELECT *, (c - avg(c) OVER w) / nullif(stddev_samp(c) OVER w, 0) AS count_
       FROM v WINDOW w AS (PARTITION BY site_code, {lvl}))"""
 
 
-@query("w3_zero_filled_z", ("rare_survey",), FILLED.format(src="rare_survey", lvl="family", cnt="sum(density)", mu="sum(biomass)") + f"""
+@query("w3_zero_filled_z", ("survey",), FILLED.format(src="survey", lvl="family", cnt="sum(density)", mu="sum(biomass)") + f"""
 SELECT site_code, collection_period, family, {r('count_s')} AS density_s FROM z WHERE count_s IS NOT NULL""")
 def w3(spark, sf):
-    return tidy(Z.zero_filled_z(V.staged(V.rare_survey(spark, sf)), "family", {"density": F.sum("density")}))
+    return tidy(Z.zero_filled_z(V.staged(V.survey(spark, sf)), "family", {"density": F.sum("density")}))
 
 
 @query("w4_count_and_size", ("individual",), FILLED.format(src="individual", lvl="family", cnt="count(*)", mu="avg(lengthmm)") + f"""
@@ -68,7 +68,7 @@ FROM ({GRID}) g LEFT JOIN totals t ON t.site_code = g.site_code AND t.collection
 LEFT JOIN totals p ON p.site_code = g.site_code AND p.collection_period = g.collection_period - INTERVAL 1 MONTH""")
 def w6(spark, sf):
     t = V.staged(V.totals(spark, sf).select(*KEYS, "density"))
-    return tidy(Z.lag_difference(t, "density", "site_code", "collection_period", V.GRID_START, V.GRID_MONTHS), 2)
+    return tidy(Z.lag_difference(t, "density", "site_code", "collection_period", *V.survey_months(t)), 2)
 
 
 @query("w7_deltas", ("totals",), f"""
@@ -80,7 +80,8 @@ SELECT g.site_code, g.collection_period, {r('density', 2)} AS density_com,
   {', '.join(f"{r(f'density - {s}_{k}')} AS density_com_delta_{k}_{s}" for k in ('at', 'yr', 'qt') for s in ('mu', 'me'))}
 FROM ({GRID}) g LEFT JOIN st ON st.site_code = g.site_code AND st.collection_period = g.collection_period""")
 def w7(spark, sf):
-    return tidy(Z.deltas(V.staged(V.totals(spark, sf)), "density", V.GRID_START, V.GRID_MONTHS), 6, density_com=2)
+    t = V.staged(V.totals(spark, sf))
+    return tidy(Z.deltas(t, "density", *V.survey_months(t)), 6, density_com=2)
 
 
 def _ma(c: str, k: int = 4) -> str:
@@ -112,13 +113,13 @@ def w8b(spark, sf):
     return tidy(fill.moving_average_fill_widening(e, ["site_code"], "collection_period", ["x1"]))
 
 
-@query("w9_seasonal_grid_fill", ("rare_survey",), f"""
-WITH t AS (SELECT site_code, family, month(collection_period) AS month, avg(density) AS v FROM rare_survey GROUP BY ALL),
+@query("w9_seasonal_grid_fill", ("survey",), f"""
+WITH t AS (SELECT site_code, family, month(collection_period) AS month, avg(density) AS v FROM survey GROUP BY ALL),
 g AS (SELECT * FROM (SELECT DISTINCT site_code, family FROM t) CROSS JOIN (SELECT unnest(range(1, 13)) AS month)),
 j AS (SELECT g.site_code, g.family, g.month, t.v FROM g LEFT JOIN t ON t.site_code = g.site_code AND t.family = g.family AND t.month = g.month)
 SELECT site_code, family, month::BIGINT AS month, {r(_ma('v'))} AS v FROM j WINDOW w AS (PARTITION BY site_code, family ORDER BY month)""")
 def w9(spark, sf):
-    s = V.rare_survey(spark, sf).withColumn("month", F.month("collection_period"))
+    s = V.survey(spark, sf).withColumn("month", F.month("collection_period"))
     t = V.staged(s.groupBy("site_code", "family", "month").agg(F.avg("density").alias("v")))
     grid = J.key_grid(t.select("site_code", "family"), "month", F.sequence(F.lit(1), F.lit(12)))
     return tidy(fill.moving_average_fill(J.on_grid(grid, t), ["site_code", "family"], "month", ["v"]))

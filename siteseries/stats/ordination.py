@@ -17,7 +17,7 @@ from siteseries.operators.joins import natural_join, with_group_stats
 from siteseries.operators.ranking import cumulative_counts
 from siteseries.session import scratch_path
 from siteseries.sources.files import stage
-from siteseries.stats.moments import covariance
+from siteseries.stats.moments import covariance, group_covariances, matrix_of
 
 
 def fix_signs(vectors: np.ndarray) -> np.ndarray:
@@ -67,7 +67,20 @@ class PCA:
 
 def fit_pca(df: DataFrame, cols: list[str]) -> PCA:
     """PCA of standardised columns over complete rows."""
-    n, means, cov = covariance(df, cols)
+    return pca_of(cols, *covariance(df, cols))
+
+
+def pca_by(df: DataFrame, keys: list[str], cols: list[str]) -> list[tuple[tuple, PCA]]:
+    """A PCA per group, all groups from one aggregate of k x k numbers each; groups whose variables don't vary are left out."""
+    out = []
+    for row in group_covariances(df, keys, cols).collect():
+        cov = matrix_of(row, cols).astype(float)
+        if row["n"] > 1 and np.isfinite(cov).all() and (np.diag(cov) > 0).all():
+            out.append((tuple(row[k] for k in keys), pca_of(cols, row["n"], np.array([row[f"mu|{c}"] for c in cols]), cov)))
+    return sorted(out, key=lambda x: str(x[0]))
+
+
+def pca_of(cols: list[str], n: int, means: np.ndarray, cov: np.ndarray) -> PCA:
     sds = np.sqrt(np.diag(cov))
     values, vectors = np.linalg.eigh(cov / np.outer(sds, sds))
     order = np.argsort(values)[::-1]
