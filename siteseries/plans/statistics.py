@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from siteseries.functions.special import f_upper_p
+from siteseries.functions.special import f_upper_p, normal_two_sided_p, studentized_range_p, t_two_sided_p
 from siteseries.operators import fill
 from siteseries.operators.aggregate import composition_percent, seasonal
 from siteseries.operators.joins import attach, natural_join
@@ -242,6 +242,15 @@ def m16(spark, sf):
     return tidy(out.select("metric", "collection_period", "t_stat", "df", "n_x", "n_b"))
 
 
+@query("m16b_welch_p_values")
+def m16b(spark, sf):
+    """The p-values of m16 and the flag that holds over all its tests."""
+    base = flag_window("collection_period", *V.TEST, "none") == "baseline"
+    out = T.welch_vs_baseline(V.staged(centred_long(spark, sf)), ["metric"], "collection_period", "v", base)
+    out = out.withColumn("p_value", t_two_sided_p("t_stat", "df"))
+    return tidy(T.flag_significant(out).select("metric", "collection_period", "t_stat", "df", "p_value", "significant"))
+
+
 @query("m17_sidak_flag", sql=f"""
 SELECT l_suppkey, {r('p', 7)} AS p_value, CASE WHEN p < 1 - pow(0.95::DOUBLE, 1 / 6.0::DOUBLE) THEN 'yes' ELSE 'no' END AS significant
 FROM (SELECT l_suppkey, avg(l_discount) / 6 AS p FROM lineitem GROUP BY ALL)""")
@@ -272,6 +281,26 @@ def m18(spark, sf):
     return tidy(out.select("family", "ss_between", "ss_within", "df_between", "df_within", "f_stat"))
 
 
+@query("m18b_anova_p_values")
+def m18b(spark, sf):
+    out = T.anova(family_z(spark, sf), ["family"], "season", "z")
+    p = f_upper_p("f_stat", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    return tidy(out.select("family", "f_stat", "df_between", "df_within", p.alias("p_value")))
+
+
+@query("m19b_tukey_p_values")
+def m19b(spark, sf):
+    out = T.tukey_pairs(V.staged(family_z(spark, sf)), ["family"], "season", "z")
+    p = studentized_range_p("q_stat", F.col("groups").cast("double"), F.col("df_within").cast("double"))
+    return tidy(out.select("family", "group_a", "group_b", "diff", "q_stat", p.alias("p_value")))
+
+
+@query("m20b_rank_sum_p_values")
+def m20b(spark, sf):
+    out = T.rank_sum_vs(V.staged(family_z(spark, sf)), ["family"], "season", "z", "Winter", ["Spring", "Summer", "Fall"])
+    return tidy(out.select("family", "versus", "u_stat", "z_stat", normal_two_sided_p("z_stat").alias("p_value")))
+
+
 @query("m19_tukey_pairs", ("survey",), f"""
 WITH {FAMILY_Z} SELECT x.family, x.season AS group_a, y.season AS group_b, {r('y.mu - x.mu')} AS diff,
   {r('abs(y.mu - x.mu) / sqrt(ssw / (nobs - k) / 2 * (1.0 / x.n + 1.0 / y.n))')} AS q_stat, k::BIGINT AS groups, (nobs - k)::BIGINT AS df_within

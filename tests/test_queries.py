@@ -31,4 +31,4 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert all(re.fullmatch(r"[a-z]\d+[a-z]?_[a-z0-9_]+", n) for n in entry.queries())
+    assert all(re.fullmatch(r"(op|[a-z])\d+[a-z]?_[a-z0-9_]+|pipeline", n) for n in entry.queries())
