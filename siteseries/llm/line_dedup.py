@@ -1,13 +1,13 @@
 """Fuzzy line dedup: near-equal lines across all documents, one occurrence kept.
 
-Lines are compared in normal form: letters and digits in lower case, everything else one blank. Equal ones are one node. A
+Lines are compared in normal form: lower case, with ASCII marks and white space made one blank. Equal ones are one node. A
 node of at least five words has a 64-bit SimHash of its word pairs; nodes whose fingerprints differ in at most three bits
 agree in some block of bits, so they are joined on blocks. How many blocks are combined into a key follows the counted
 number of fingerprints and changes only the cost. Close fingerprints first form loose clusters; only the lines in them are
-read again and verified by edit similarity, and the verified links' connected groups are what counts. Of each group the
+fetched again and verified by edit similarity, and the verified links' connected groups are what counts. Of each group the
 occurrence with the smallest doc_id (nulls last) and line number stays.
 
-Lines without letters and digits are never dropped. Null texts stay null. Rows that repeat with equal id and text are one
+Lines of marks and white space alone are never dropped. Null texts stay null. Rows that repeat with equal id and text are one
 document and keep the same lines. An empty table gives an empty result. Extra columns of any name are carried unchanged.
 """
 
@@ -21,66 +21,126 @@ from pyspark.sql import functions as F
 
 from siteseries.llm.common import packed, sized, staged, text_of
 from siteseries.llm.components import components
-from siteseries.llm.simhash import cells_of, close_links, mixed_words
+from siteseries.llm.simhash import cells_of, close_links
 
 MIN_WORDS, BITS, SIMILARITY = 5, 3, 0.8
 BUCKET = 64  # fingerprints that a block key may have on average before longer keys are used
 
 
-def normal_form(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " ")))
+#: Everything in ASCII but letters and digits becomes a blank; A-Z are lowered afterwards.
+MARKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
-def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Every line with its document's key and id, its number and its normal form."""
-    body = text_of(text)
-    key = F.xxhash64(F.col(f"`{id}`").cast("string"), body)
-    rows = docs.select(key.alias("doc"), F.col(f"`{id}`").alias("doc_id"), F.posexplode(F.split(body, "\n")).alias("k", "line"))
-    return rows.select("doc", "doc_id", "k", normal_form(F.col("line")).alias("form")).where("form <> ''")
+def words_of(line: bytes) -> list[bytes]:
+    """The words of a line's normal form."""
+    return line.translate(MARKS).lower().split()
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        h = self[word] = xxh64_intdigest(word, 42)
+        return h
 
 
-def node_of(form: Column) -> Column:
-    return F.unhex(F.md5(form))
+class LineReader:
+    """Fingerprints of lines of words; the hash of a word is kept for later lines."""
 
+    def __init__(self) -> None:
+        self.known = WordHashes()
 
-def fingerprints_of(forms: list[str]) -> list[int | None]:
-    """Fingerprints of the word pairs of normal forms; None below MIN_WORDS."""
-    words = [f.split(" ") for f in forms]
-    known = [k for k, w in enumerate(words) if len(w) >= MIN_WORDS]
-    out: list[int | None] = [None] * len(forms)
-    for at in range(0, len(known), 2000):
-        some = known[at:at + 2000]
-        size = np.array([len(words[k]) for k in some])
-        h = mixed_words([w for k in some for w in words[k]])
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+    def fingerprints(self, lines: list[list[bytes]]) -> list[int | None]:
+        """The SimHash of each line's word pairs; None below MIN_WORDS."""
+        long = [k for k, ws in enumerate(lines) if len(ws) >= MIN_WORDS]
+        out: list[int | None] = [None] * len(lines)
+        if not long:
+            return out
+        size = np.array([len(lines[k]) for k in long])
+        h = self.hashes([w for k in long for w in lines[k]])
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
         pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         pair ^= pair >> np.uint64(32)
-        ends = np.cumsum(size)
         inner = np.ones(len(pair), bool)
-        inner[ends[:-1] - 1] = False
-        pair = pair[inner]
-        starts = ends - size - np.arange(len(some))
-        counts = np.zeros((len(some), 64), np.int64)
-        # A bit is counted in runs of pairs that fit into memory whatever the length of a line.
-        for lo in range(0, len(pair), 1 << 18):
-            bits = np.unpackbits(pair[lo:lo + (1 << 18)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            line = np.searchsorted(starts, np.arange(lo, lo + len(bits)), side="right") - 1
-            first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-            counts[line[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        fps = np.packbits(2 * counts > (size - 1)[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-        for k, fp in zip(some, fps.tolist()):
+        inner[np.cumsum(size)[:-1] - 1] = False  # pairs across two lines
+        pair, size = pair[inner], size - 1
+        # Eight counters of eight bits in a word: runs of at most 255 pairs are added at once, then the runs of a line.
+        runs = -(-size // 255)
+        line = np.repeat(np.arange(len(size)), runs)
+        nth = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)
+        starts = (np.cumsum(size) - size)[line] + 255 * nth
+        counts = np.empty((len(starts), 64), np.uint8)
+        for lo in range(0, len(starts), 4096):
+            some = starts[lo:lo + 4096]
+            end = starts[lo + 4096] if lo + 4096 < len(starts) else len(pair)
+            lanes = LANES[pair[some[0]:end].view(np.uint8).reshape(-1, 8)]
+            counts[lo:lo + 4096] = np.add.reduceat(lanes, some - some[0], axis=0).view(np.uint8).reshape(-1, 64)
+        total = np.add.reduceat(counts, np.flatnonzero(nth == 0), axis=0, dtype=np.int64)
+        fps = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+        for k, fp in zip(long, fps.tolist()):
             out[k] = fp
-    return out
+        return out
+
+
+WORDS_KEPT = 600_000  # a memory bound only
+LANES = np.array([sum(1 << 8 * b for b in range(8) if c >> b & 1) for c in range(256)], np.uint64)
+LOT = 300_000  # words that are hashed at once
+
 
+def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Key, id and text of every document."""
+    body = text_of(text)
+    return docs.select(F.xxhash64(F.col(f"`{id}`").cast("string"), body).alias("doc"), F.col(f"`{id}`").alias("doc_id"), body.alias("body"))
+
+
+def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(doc, doc_id, k, node, fp) of every line that has words: document key and id, line number, checksum and fingerprint."""
+    kind = dict(docs.dtypes)[id]
+
+    def read(batches):
+        import hashlib
 
-def fingerprint_column(form: Column) -> Column:
-    @F.pandas_udf("long")
-    def fp(forms):
         import pandas as pd
 
-        return pd.Series(fingerprints_of(forms.tolist()), dtype="Int64")
+        reader = LineReader()
+        for pdf in batches:
+            keys, ids, rows, lines, size = pdf["doc"].to_numpy(), pdf["doc_id"], [], [], 0
+
+            def made():
+                at = [r[0] for r in rows]
+                out = pd.DataFrame({"doc": keys[at], "k": [r[1] for r in rows], "node": [hashlib.md5(b" ".join(ws)).digest() for ws in lines],
+                                    "fp": pd.array(reader.fingerprints(lines), dtype="Int64")})
+                out.insert(1, "doc_id", ids.iloc[at].array)
+                return out
+
+            for d, body in enumerate(pdf["body"]):
+                for k, line in enumerate(body.encode("utf-8", "surrogatepass").split(b"\n")):
+                    if words := words_of(line):
+                        rows.append((d, k))
+                        lines.append(words)
+                        size += len(words)
+                if size > LOT:
+                    yield made()
+                    rows, lines, size = [], [], 0
+            yield made()
+
+    return keyed(docs, id, text).mapInPandas(read, f"doc long, doc_id {kind}, k int, node binary, fp long")
+
+
+def form_column(line: Column) -> Column:
+    """The normal form of a line."""
+    @F.pandas_udf("string")
+    def form(lines):
+        import pandas as pd
 
-    return fp(form)
+        return pd.Series([b" ".join(words_of(x.encode("utf-8", "surrogatepass"))).decode("utf-8", "surrogatepass") for x in lines], dtype=object)
+
+    return form(line)
 
 
 def block_keys(count: int, bits: int = BITS) -> list[list[tuple[int, int]]]:
@@ -112,6 +172,14 @@ def _joined(key: Column, parts: list[Column], blocks: list[tuple[int, int]]) ->
 
 def distance(a: str, b: str) -> int:
     """Edit distance, a column of the table at a time in the bits of one number."""
+    same, short = 0, min(len(a), len(b))
+    while same < short and a[same] == b[same]:
+        same += 1
+    a, b, short = a[same:], b[same:], short - same
+    same = 0
+    while same < short and a[-1 - same] == b[-1 - same]:
+        same += 1
+    a, b = a[:len(a) - same], b[:len(b) - same]
     if not a or not b:
         return max(len(a), len(b))
     where: dict[str, int] = {}
@@ -138,7 +206,7 @@ def similar(a: str, b: str, least: float) -> bool:
 def verified_links(lines: DataFrame, sets: list, bits: int, least: float) -> DataFrame:
     """(a, b) nodes of rows (node, fp, form) that are close and similar, enough of them to connect all that are."""
     visits = staged(lines.select(visiting("fp", sets).alias("anchor"), F.lit(True).alias("own"), "node", "fp", "form"), "line-visits")
-    cells = cells_of(visits, "node", 512)
+    cells = cells_of(visits, "node", 512, alike=True)
 
     def compare(batches):
         import pandas as pd
@@ -165,40 +233,48 @@ def verified_links(lines: DataFrame, sets: list, bits: int, least: float) -> Dat
                             if you[0] != me[0]:
                                 found.append((me[0], you[0]))
 
+        def ended(guests):
+            # Without guests the homes of an undivided anchor meet each other.
+            if homes and (guests or not met):
+                forest(guests or homes)
+
+        met, guests = False, []
         for pdf in batches:
-            guests = []
             for anchor, part, own, node, fp, form in pdf.itertuples(index=False):
                 if key != (anchor, part):
-                    forest(guests)
-                    key, homes, guests = (anchor, part), [], []
+                    ended(guests)
+                    key, homes, guests, met = (anchor, part), [], [], False
                 if own:
                     homes.append((bytes(node), fp, form))
                 else:
                     guests.append((bytes(node), fp, form))
                     if len(guests) >= 4096:
-                        forest(guests)
-                        guests = []
-            forest(guests)
+                        ended(guests)
+                        guests, met = [], True
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found.clear()
+        ended(guests)
+        if found:
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     return cells.select("anchor", "part", "own", "node", "fp", "form").mapInPandas(compare, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = BITS, least: float = SIMILARITY) -> DataFrame:
     """(doc, k) of every line to drop: document key and line number."""
-    lines = lines_of(docs, id, text)
-    seen = staged(lines.select("doc", "doc_id", "k", node_of(F.col("form")).alias("node"), fingerprint_column(F.col("form")).alias("fp")), "lines")
+    seen = staged(lines_of(docs, id, text), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "doc")
     nodes = staged(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("at"), F.count("*").alias("n")), "line-nodes")
     fps = staged(nodes.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n")), "line-fingerprints")
     sets = block_keys(fps.count(), bits)
-    loose = components(close_links(staged(fps.select(visiting("fp", sets).alias("anchor"), F.lit(True).alias("own"), "fp"), "line-anchors"), bits))
+    loose = components(close_links(fps.select(visiting("fp", sets).alias("anchor"), F.lit(True).alias("own"), "fp"), bits, alike=True))
     wanted = loose.select(F.col("node").alias("fp")).unionByName(fps.where("n > 1").select("fp")).distinct()
-    wanted = staged(nodes.select("node", "fp").join(wanted, "fp", "left_semi"), "line-candidates")
-    texts = (lines.withColumn("node", node_of(F.col("form"))).join(sized(wanted), "node")
-             .groupBy("node").agg(F.first("fp").alias("fp"), F.first("form").alias("form")))
+    # The lines in loose clusters are fetched from the documents in which they come first.
+    wanted = staged(nodes.join(wanted, "fp", "left_semi").select("node", "fp", "at.doc", "at.k"), "line-candidates")
+    rows = keyed(docs, id, text).join(sized(wanted), "doc")
+    texts = (rows.select("node", "fp", form_column(F.get(F.split("body", "\n"), F.col("k"))).alias("form")).groupBy("node")
+             .agg(F.first("fp").alias("fp"), F.first("form").alias("form")))
     groups = staged(components(verified_links(texts, sets, bits, least)), "line-groups")
     rooted = nodes.join(groups, "node", "left").select("node", "at", "n", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")

@@ -31,6 +31,7 @@ WORDS, THRESHOLD, SEED = 4, 4, 42
 HOMES = 4096
 #: Distinct fingerprints up to which three blocks are used; beyond, two wider blocks have shorter anchor lists. Both are exact.
 WIDE_FROM = 1 << 26
+SMALL, LOT = 1 << 13, 1 << 20  # pairs of a small anchor, and pairs compared at once
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -50,14 +51,6 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def mixed_words(words: list[str]) -> np.ndarray:
-    """XXH64 of every word, each distinct one hashed once."""
-    from xxhash import xxh64_intdigest
-
-    known = {w: xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)}
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def fingerprint_column(words: int = WORDS):
     @F.pandas_udf("long")
     def fp(texts):
@@ -149,11 +142,12 @@ def forest(own: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[in
     return out
 
 
-def cells_of(visits: DataFrame, item: str, homes: int = HOMES) -> DataFrame:
+def cells_of(visits: DataFrame, item: str, homes: int = HOMES, alike: bool = False) -> DataFrame:
     """Split the anchors (column anchor) into cells (anchor, part): every row of an anchor meets each of its homes (own) in one.
 
     A home goes to one part of its anchor, chosen by its `item`; every row, homes too, visits each part. Rows of a cell come
-    together, its homes first.
+    together, its homes first. If all visits are homes (`alike`), an undivided anchor gets no other rows: its homes meet
+    each other.
     """
     crowded = (visits.where("own").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > homes)
                .select("anchor", F.ceil(F.col("n") / homes).cast("int").alias("parts")))
@@ -161,13 +155,16 @@ def cells_of(visits: DataFrame, item: str, homes: int = HOMES) -> DataFrame:
     parts, rest = F.coalesce(F.col("parts"), F.lit(1)), [c for c in visits.columns if c not in ("anchor", "own", "parts")]
     home = visits.where("own").select("anchor", F.pmod(F.xxhash64(item), parts).cast("int").alias("part"), F.lit(True).alias("own"), *rest)
     guest = visits.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), *rest)
+    if alike:
+        guest = visits.where("parts IS NOT NULL").select(*[F.col(c) for c in visits.columns])
+        guest = guest.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("own"), *rest)
     n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return home.unionByName(guest).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
 
 
-def close_links(visits: DataFrame, threshold: int) -> DataFrame:
+def close_links(visits: DataFrame, threshold: int, alike: bool = False) -> DataFrame:
     """(a, b) fingerprints that are close, enough of them to connect all that are."""
-    cells = cells_of(visits, "fp")
+    cells = cells_of(visits, "fp", alike=alike)
 
     def compare(batches):
         import pyarrow as pa
@@ -186,19 +183,27 @@ def close_links(visits: DataFrame, threshold: int) -> DataFrame:
             starts, ends = np.r_[0, edge], np.r_[edge, len(fp)]
             n_own = np.add.reduceat(own.astype(np.int64), starts)
             first = key == (anchor[0], part[0])
-            # Runs that lie within the batch and are small are compared all at once.
+            # Runs that lie within the batch and are small are compared all at once, a lot of them at a time.
             m = ends - starts - n_own
-            small = (n_own * m <= 1024) & (n_own > 0)
+            alone = m == 0  # homes that meet each other, unless the run goes on
+            guests, n_guests = np.where(alone, starts, starts + n_own), np.where(alone, n_own, m)
+            small = (n_own * n_guests <= SMALL) & (n_own > 0)
             small[0] &= not first
             small[-1] = False
-            if small.any():
-                s, h, v = starts[small], n_own[small], m[small]
-                pairs = h * v
-                run = np.repeat(np.arange(len(s)), pairs)
-                k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-                a, b = fp[s[run] + k // v[run]], fp[s[run] + h[run] + k % v[run]]
-                hit = (a != b) & (np.bitwise_count(a ^ b) <= threshold)
-                if hit.any():
+            run = np.flatnonzero(small & (n_own + n_guests > 1))
+            lots = np.cumsum(n_own[run] * n_guests[run]) // LOT if len(run) else run
+            for lot in np.unique(lots):
+                r = run[lots == lot]
+                home = np.repeat(starts[r], n_own[r]) + np.arange(n_own[r].sum()) - np.repeat(np.cumsum(n_own[r]) - n_own[r], n_own[r])
+                of = np.repeat(r, n_own[r])
+                a = np.repeat(fp[home], n_guests[of])
+                opens = np.cumsum(n_guests[of]) - n_guests[of]
+                b = fp[np.arange(len(a)) + np.repeat(guests[of] - opens, n_guests[of])]
+                hit = np.flatnonzero(np.bitwise_count(a ^ b) <= threshold)
+                hit = hit[a[hit] != b[hit]]
+                if alike:
+                    hit = hit[a[hit] > b[hit]]
+                if len(hit):
                     yield found(a[hit], b[hit])
             rest = ~small & (n_own > 0)
             rest[[0, -1]] = True
@@ -206,6 +211,8 @@ def close_links(visits: DataFrame, threshold: int) -> DataFrame:
                 mine = fp[starts[r]:starts[r] + n_own[r]]
                 homes_ = np.r_[homes_, mine] if r == 0 and first else mine
                 others = fp[starts[r] + n_own[r]:ends[r]]
+                if not len(others) and alike:
+                    others = mine  # in a run over several batches, each lot of homes meets all before it
                 if len(homes_) and len(others):
                     pairs = [(i, j) for i, j in forest(homes_, others, threshold) if homes_[i] != others[j]]
                     # What several visiting lots share is one home, so their forests join up.

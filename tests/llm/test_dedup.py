@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -84,7 +85,7 @@ def test_fingerprint_by_definition():
 @pytest.mark.parametrize("wide_from", [1 << 26, 0])
 def test_close_fingerprints_form_all_components(spark, monkeypatch, wide_from):
     monkeypatch.setattr(S, "blocks_of", lambda n, t, f=S.blocks_of: f(n, t, wide_from))
-    monkeypatch.setattr(S, "cells_of", lambda v, item, homes=7, f=S.cells_of: f(v, item, 7))
+    monkeypatch.setattr(S, "cells_of", lambda v, item, homes=7, alike=False, f=S.cells_of: f(v, item, 7, alike))
     rng = np.random.default_rng(5)
     centers = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     points = {0, (1 << 64) - 1, *(int(x) for x in rng.integers(0, 1 << 63, 60, dtype=np.uint64))}
@@ -178,9 +179,11 @@ def test_lines_against_brute_force(spark):
     pairs = [(k, "\n".join([line(), change(shared[k % 4], 3 * k), "***", "", "Short one!", shared[k % 4].upper()])) for k in range(12)]
     pairs += [(20, None), (21, ""), (None, shared[0] + "\nonly here"), (22, shared[1] + "\n" + shared[1]), (22, shared[1] + "\n" + shared[1]), (23, "z" * 100_000)]
     docs = docs_of(spark, pairs)
-    rows = L.lines_of(docs, "doc_id", "text").distinct().collect()
+    keys = {(r.doc_id, r.body): r.doc for r in L.keyed(docs, "doc_id", "text").collect()}
+    rows = [Row(doc=keys[i, t or ""], doc_id=i, k=k, form=b" ".join(L.words_of(x.encode())).decode())
+            for i, t in sorted(set(pairs), key=str) for k, x in enumerate((t or "").split("\n")) if L.words_of(x.encode())]
     forms = sorted({r.form for r in rows})
-    fps = L.fingerprints_of(forms)
+    fps = L.LineReader().fingerprints([f.encode().split() for f in forms])
     root = list(range(len(forms)))
 
     def find(x):
@@ -207,7 +210,52 @@ def test_lines_against_brute_force(spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_line_fingerprint_by_definition():
-    short, long = "a b c d e", " ".join(str(k) for k in range(3000))
-    alone = [L.fingerprints_of([f])[0] for f in (short, long)]
-    assert L.fingerprints_of([short, "a b", long]) == [alone[0], None, alone[1]]
+def test_line_fingerprint_counts_every_pair():
+    rng = random.Random(8)
+    reader = L.LineReader()
+    lines = [[str(rng.randrange(50)).encode() for _ in range(n)] for n in (5, 4, 300, 256, 257, 3000, 6, 40)]
+
+    def plain(ws):
+        mask = (1 << 64) - 1
+        out = []
+        for a, b in zip(ws, ws[1:]):
+            a, b = xxh64_intdigest(a, 42), xxh64_intdigest(b, 42)
+            p = (a * 0x9E3779B97F4A7C15 & mask) ^ (b + 0x632BE59BD9B4E019 & mask)
+            p = (p ^ p >> 31) * 0xD6E8FEB86659FD93 & mask
+            out.append(p ^ p >> 32)
+        fp = sum(1 << k for k in range(64) if 2 * sum(p >> k & 1 for p in out) > len(out))
+        return fp - (1 << 64) if fp >> 63 else fp
+
+    assert reader.fingerprints(lines) == [None if len(ws) < 5 else plain(ws) for ws in lines]
+    assert L.words_of("Ab-C  É,\tx1".encode()) == [b"ab", b"c", "É".encode(), b"x1"]
+
+
+@pytest.mark.parametrize("homes", [3, 4096])
+def test_alike_anchors_connect_all_close_pairs(spark, monkeypatch, homes):
+    monkeypatch.setattr(S, "cells_of", lambda v, item, n=homes, alike=False, f=S.cells_of: f(v, item, homes, alike))
+    monkeypatch.setattr(S, "SMALL", 30)
+    rng = random.Random(homes)
+    points = set()
+    for _ in range(20):
+        c = rng.getrandbits(63)
+        points |= {c ^ sum(1 << b for b in set(rng.choices(range(63), k=rng.randrange(4)))) for _ in range(rng.randrange(1, 30))}
+    points = sorted(points)
+    fps = spark.createDataFrame([(p,) for p in points], "fp long")
+    visits = fps.select(L.visiting("fp", L.block_keys(len(points))).alias("anchor"), F.lit(True).alias("own"), "fp")
+    got = {r.node: r.root for r in components(S.close_links(visits, 3, alike=True)).collect()}
+    parent = {p: p for p in points}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(points):
+        for y in points[:i]:
+            if bin(x ^ y).count("1") <= 3:
+                a, b = sorted((find(x), find(y)))
+                parent[b] = a
+    groups = defaultdict(list)
+    for p in points:
+        groups[find(p)].append(p)
+    assert got == {p: root for root, members in groups.items() if len(members) > 1 for p in members}
