@@ -46,7 +46,9 @@ def moving_average_fill_widening(df: DataFrame, keys: list[str], order: str, col
     """
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.withColumn("_p", F.row_number().over(w))
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows, as a running frame in descending order
+    after = Window.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
     for i, c in enumerate(cols):
         known = F.when(F.col(c).isNotNull(), F.col("_p"))
         out = out.withColumns({"_b1": F.max(known).over(before), "_a1": F.min(known).over(after)})

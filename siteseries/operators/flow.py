@@ -52,7 +52,8 @@ def event_durations(df: DataFrame, site: str, date: str, value: str, days: int =
     order = Window.partitionBy(site).orderBy(F.unix_date(date))
     rows = with_group_stats(df.withColumn("year", F.year(date)), [site, "year"],
                             {"q_base": F.median(value), "q_low": F.percentile(value, F.lit(prob))}, bounded=True)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the day on, as a running frame over the days in descending order
+    onward = Window.partitionBy(site).orderBy(F.unix_date(date).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({
         "_calm": F.min(F.when(F.col(value) < times * F.col("q_base"), F.col(date))).over(onward),
         "_wet": F.min(F.when(F.col(value) > F.col("q_low"), F.col(date))).over(onward)})

@@ -55,9 +55,9 @@ BOOT = f"""boot AS (SELECT *, ({' + '.join(f'CASE WHEN u >= {p!r}::DOUBLE THEN 1
 
 
 @query("l3_bootstrap_weights", ("outcomes",), f"""
-WITH {BOOT.replace('__TIMES__', '20')} SELECT site_code, collection_period, resample::BIGINT AS resample, weight::BIGINT AS weight FROM boot WHERE weight > 0""")
+WITH {BOOT.replace('__TIMES__', '100')} SELECT site_code, collection_period, resample::BIGINT AS resample, weight::BIGINT AS weight FROM boot WHERE weight > 0""")
 def l3(spark, sf):
-    out = resample.bootstrap_weights(V.totals(spark, sf).select(*KEYS), KEYS, 20, SEED)
+    out = resample.bootstrap_weights(V.totals(spark, sf).select(*KEYS), KEYS, 100, SEED)
     return tidy(out.select(*KEYS, "resample", "weight"))
 
 
@@ -206,7 +206,7 @@ def l17(spark, sf):
 
 
 @query("l18_coefficient_distribution", ("outcomes",), f"""
-WITH {BOOT.replace('__TIMES__', '20')}, w AS (SELECT season, resample, sum(weight) AS sw, sum(weight * annualrain) / sum(weight) AS mx, sum(weight * richness) / sum(weight) AS my FROM boot WHERE weight > 0 GROUP BY ALL),
+WITH {BOOT.replace('__TIMES__', '100')}, w AS (SELECT season, resample, sum(weight) AS sw, sum(weight * annualrain) / sum(weight) AS mx, sum(weight * richness) / sum(weight) AS my FROM boot WHERE weight > 0 GROUP BY ALL),
 s AS (SELECT b.season, b.resample, sum(weight * (annualrain - mx) * (richness - my)) / sum(weight * pow(annualrain - mx, 2)) AS slope
   FROM boot b JOIN w ON w.season = b.season AND w.resample = b.resample WHERE weight > 0 GROUP BY ALL),
 q AS (SELECT season, quantile_cont(slope, 0.25) AS lo, median(slope) AS me, quantile_cont(slope, 0.75) AS hi FROM s GROUP BY ALL)
@@ -214,10 +214,9 @@ SELECT s.season, {r('lo', 8)} AS lower, {r('me', 8)} AS middle, {r('hi', 8)} AS
   {r('max(slope) FILTER (WHERE slope <= hi + 1.5 * (hi - lo))', 8)} AS whisker_high, count(*) FILTER (WHERE slope < lo - 1.5 * (hi - lo) OR slope > hi + 1.5 * (hi - lo))::BIGINT AS outliers, count(*)::BIGINT AS nobs
 FROM s JOIN q USING (season) GROUP BY s.season, lo, me, hi""")
 def l18(spark, sf):
-    b = resample.bootstrap_weights(V.outcomes(spark, sf).select(*KEYS, "season", "annualrain", "richness"), KEYS, 20, SEED)
-    drawn = b.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))  # a weight is at most 13
-    fits = R.simple_ols(drawn, ["season", "resample"], "annualrain", "richness").select("season", "slope")
-    return tidy(S.box_stats(stage(fits, scratch(spark, "slopes")), ["season"], "slope"), 8)
+    b = resample.bootstrap_weights(V.outcomes(spark, sf).select(*KEYS, "season", "annualrain", "richness"), KEYS, 100, SEED)
+    fits = R.weighted_slope(stage(b, scratch(spark, "weights")), ["season", "resample"], "annualrain", "richness", "weight")
+    return tidy(S.box_stats(stage(fits.select("season", "slope"), scratch(spark, "slopes")), ["season"], "slope"), 8)
 
 
 @query("l19_importance")

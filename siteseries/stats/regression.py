@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.numeric import ratio
 from siteseries.functions.special import t_two_sided
+from siteseries.operators.joins import natural_join
 from siteseries.stats.moments import covariance, group_covariances, matrix_of
 
 
@@ -147,3 +148,11 @@ def stepwise_aic(df: DataFrame, y: str, candidates: list[str], direction: str =
 def label_trend(fit: DataFrame, p: str = "p_value", r2: str = "r2", alpha: float = 0.05, r2_min: float = 0.1) -> DataFrame:
     """Mark the fits whose trend line is worth drawing."""
     return fit.withColumn("draw", F.coalesce((F.col(p) < alpha) | (F.col(r2) > r2_min), F.lit(False)))
+
+
+def weighted_slope(df: DataFrame, keys: list[str], x: str, y: str, weight: str) -> DataFrame:
+    """Slope of y on x per group with row weights; means first, then sums of products taken from them."""
+    w = F.col(weight)
+    means = df.groupBy(*keys).agg((F.sum(w * F.col(x)) / F.sum(w)).alias("_mx"), (F.sum(w * F.col(y)) / F.sum(w)).alias("_my"))
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    return natural_join(df, means, "inner", keys).groupBy(*keys).agg(ratio(F.sum(w * dx * dy), F.sum(w * dx * dx)).alias("slope"))
