@@ -26,10 +26,10 @@ from siteseries.llm.common import text_of, tokenizer_path
 MARK = "▁"
 SET_ASIDE = "\ud800"  # in no valid text: stands for a mark in the text until it is spelled in bytes
 #: Words whose filtered lattices a worker keeps. A memory bound only: forgotten ones are filtered again.
-WORDS = 250_000
+WORDS = 150_000
 BOUNDARY = re.compile("(?<=[^ ]) ")
 GRID = 2.0**24  # shares and draws are multiples of its inverse
-CHARS = 1_500_000  # characters that are sampled together
+CHARS = 1_000_000  # characters that are sampled together
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -205,7 +205,8 @@ class Sampler:
         node, root = self.last[at], self.first[at]
         number = np.arange(len(node)) - np.repeat(starts, counts)
         seed = mixed(np.repeat(keys, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        alive, taken, step = np.arange(len(node)), [], 0
+        # equal words lie together, so that looking up their shares stays in the cache
+        alive, taken, step = np.argsort(at, kind="stable"), [], 0
         while len(alive):
             u = (mixed(seed[alive] + np.uint64(step)) >> np.uint64(40)).astype(np.float64) / GRID
             k = np.searchsorted(self.bound, node[alive] + u, side="right")
