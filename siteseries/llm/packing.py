@@ -28,7 +28,7 @@ from siteseries.llm.common import staged, text_of, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks and words whose ids a worker remembers at once. A memory bound only: forgotten ones are encoded again.
-CHUNKS, WORDS = 400_000, 500_000
+CHUNKS, WORDS = 300_000, 800_000
 #: Marks that may be cut off behind an ASCII letter or digit: there a new token begins in any case.
 MARKS = ".,!?;:*$%&#"
 
