@@ -240,26 +240,27 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
     """doc_id, text and ids (packed little-endian 32-bit) of one sampled segmentation of every row."""
     shared = model_of(docs, model)
 
-    @F.pandas_udf("binary")
-    def sample(keys, texts):
+    def sample(batches):
         import pandas as pd
 
         state = shared.value  # stays in the worker between tasks, and with it the words filtered so far
         if "sampler" not in state:
             state["sampler"] = Sampler(Pieces(state["file"], sharpness))
-        hashed, all_texts, out, at = keys.to_numpy().astype(np.int64).view(np.uint64), texts.tolist(), [], 0
-        while at < len(all_texts):
-            to, size = at, 0
-            while to < len(all_texts) and (to == at or size + len(all_texts[to]) <= CHARS):
-                size += len(all_texts[to])
-                to += 1
-            out += [ids.astype("<i4").tobytes() for ids in state["sampler"].sample(hashed[at:to], all_texts[at:to])]
-            at = to
-        return pd.Series(out, dtype=object)
-
+        for pdf in batches:
+            hashed, texts, out, at = pdf["key"].to_numpy().astype(np.int64).view(np.uint64), pdf["text"].tolist(), [], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= CHARS):
+                    size += len(texts[to])
+                    to += 1
+                out += [ids.astype("<i4").tobytes() for ids in state["sampler"].sample(hashed[at:to], texts[at:to])]
+                at = to
+            yield pdf[["doc_id", "text"]].assign(ids=pd.Series(out, dtype=object, index=pdf.index))
+
+    # Not a column function: Spark would evaluate one again for every function that is applied to its result.
     key = F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(seed))
-    body = text_of(text)
-    return docs.select(F.col(f"`{id}`").alias("doc_id"), body.alias("text"), sample(key, body).alias("ids"))
+    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("text"), key.alias("key"))
+    return rows.mapInPandas(sample, f"doc_id {dict(docs.dtypes)[id]}, text string, ids binary")
 
 
 def decode(docs: DataFrame, ids: Column, model: str) -> Column:
