@@ -25,6 +25,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
+def id_text(name: str) -> Column:
+    """An id as text, for pandas functions: pandas would turn whole numbers beside nulls into inexact ones."""
+    return F.col(f"`{name}`").cast("string").alias("doc_id")
+
+
 def packed(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that internal columns cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")

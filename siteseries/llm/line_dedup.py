@@ -129,7 +129,8 @@ def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
                     rows, lines, size = [], [], 0
             yield made()
 
-    return keyed(docs, id, text).mapInPandas(read, f"doc long, doc_id {kind}, k int, node binary, fp long")
+    made = keyed(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(read, "doc long, doc_id string, k int, node binary, fp long")
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def form_column(line: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteseries.llm.common import staged, text_of, tokenizer_path
+from siteseries.llm.common import id_text, staged, text_of, tokenizer_path
 
 CAPACITY = 2048
 #: Chunks and words whose ids a worker remembers at once. A memory bound only: forgotten ones are encoded again.
@@ -123,13 +123,12 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
                     rows.append((ids.iat[k], p, start, length, zlib.crc32(part), bucket, seen[length], part if keep_ids else None))
                     seen[length] += 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "nth", "ids"])
-            out["doc_id"] = out["doc_id"].astype(ids.dtype)
             yield out if keep_ids else out.drop(columns="ids")
 
     kind = dict(docs.dtypes)[id]
-    schema = (f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, bucket int, nth long" + ", ids binary" * keep_ids)
-    key = F.col(f"`{id}`")
-    return docs.select(key.alias("doc_id"), text_of(text).alias("body")).mapInPandas(cut, schema)
+    schema = ("doc_id string, piece int, start long, length long, ids_crc32 long, bucket int, nth long" + ", ids binary" * keep_ids)
+    made = docs.select(id_text(id), text_of(text).alias("body")).mapInPandas(cut, schema)
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.llm.common import text_of, tokenizer_path
+from siteseries.llm.common import id_text, text_of, tokenizer_path
 
 MARK = "▁"
 SET_ASIDE = "\ud800"  # in no valid text: stands for a mark in the text until it is spelled in bytes
@@ -259,8 +259,9 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
 
     # Not a column function: Spark would evaluate one again for every function that is applied to its result.
     key = F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(seed))
-    rows = docs.select(F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("text"), key.alias("key"))
-    return rows.mapInPandas(sample, f"doc_id {dict(docs.dtypes)[id]}, text string, ids binary")
+    rows = docs.select(id_text(id), text_of(text).alias("text"), key.alias("key"))
+    made = rows.mapInPandas(sample, "doc_id string, text string, ids binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id]))
 
 
 def decode(docs: DataFrame, ids: Column, model: str) -> Column:

@@ -98,6 +98,16 @@ def test_plan_places_exactly_the_histogram(seed):
     assert P.plan({}) == []
 
 
+def test_large_ids_beside_nulls_stay_exact(spark):
+    from siteseries.llm.line_dedup import lines_of
+    big = (1 << 62) + 1
+    docs = docs_of(spark, [(big, "a b c d e f"), (None, "x")]).coalesce(1)
+    ids = {big, None}
+    assert {r.doc_id for r in P.pack_documents(docs, tokenizer_path("word_bpe_49k.json")).collect()} == ids
+    assert {r.doc_id for r in S.encode(docs, tokenizer_path("piece_bpe_32k.model")).collect()} == ids
+    assert {r.doc_id for r in lines_of(docs, "doc_id", "text").collect()} == ids
+
+
 def test_knapsack_is_best():
     rng = random.Random(0)
     lengths = np.array([3, 5, 7])
