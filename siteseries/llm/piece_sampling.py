@@ -26,10 +26,10 @@ from siteseries.llm.common import id_text, text_of, tokenizer_path
 MARK = "▁"
 SET_ASIDE = "\ud800"  # in no valid text: stands for a mark in the text until it is spelled in bytes
 #: Words whose filtered lattices a worker keeps. A memory bound only: forgotten ones are filtered again.
-WORDS = 150_000
+WORDS = 120_000
 BOUNDARY = re.compile("(?<=[^ ]) ")
 GRID = 2.0**24  # shares and draws are multiples of its inverse
-CHARS = 1_000_000  # characters that are sampled together
+CHARS = 700_000  # characters that are sampled together
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -236,8 +236,12 @@ def model_of(docs: DataFrame, model: str):
         return docs.sparkSession.sparkContext.broadcast({"file": f.read()})
 
 
-def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", sharpness: float = 1.0, seed: int = 0) -> DataFrame:
-    """doc_id, text and ids (packed little-endian 32-bit) of one sampled segmentation of every row."""
+def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", sharpness: float = 1.0, seed: int = 0,
+           verify: bool = False) -> DataFrame:
+    """doc_id, ids (packed little-endian 32-bit) of one sampled segmentation of every row, and its text.
+
+    With `verify` the text is replaced by `lossless`: whether the ids decode to it, found where they are made.
+    """
     shared = model_of(docs, model)
 
     def sample(batches):
@@ -246,21 +250,27 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
         state = shared.value  # stays in the worker between tasks, and with it the words filtered so far
         if "sampler" not in state:
             state["sampler"] = Sampler(Pieces(state["file"], sharpness))
+        sampler = state["sampler"]
         for pdf in batches:
-            hashed, texts, out, at = pdf["key"].to_numpy().astype(np.int64).view(np.uint64), pdf["text"].tolist(), [], 0
+            ids, keys, texts, at = pdf["doc_id"], pdf["key"].to_numpy().astype(np.int64).view(np.uint64), pdf["text"].tolist(), 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= CHARS):
                     size += len(texts[to])
                     to += 1
-                out += [ids.astype("<i4").tobytes() for ids in state["sampler"].sample(hashed[at:to], texts[at:to])]
+                made, lot = sampler.sample(keys[at:to], texts[at:to]), texts[at:to]
+                out = pd.DataFrame({"doc_id": ids.iloc[at:to].array, "ids": [x.astype("<i4").tobytes() for x in made]})
+                if verify:
+                    out["lossless"] = [spelling(sampler.pieces.bytes, x) == t for x, t in zip(made, lot)]
+                else:
+                    out["text"] = lot
+                yield out
                 at = to
-            yield pdf[["doc_id", "text"]].assign(ids=pd.Series(out, dtype=object, index=pdf.index))
 
     # Not a column function: Spark would evaluate one again for every function that is applied to its result.
     key = F.xxhash64(F.col(f"`{id}`").cast("string"), F.lit(seed))
     rows = docs.select(id_text(id), text_of(text).alias("text"), key.alias("key"))
-    made = rows.mapInPandas(sample, "doc_id string, text string, ids binary")
+    made = rows.mapInPandas(sample, "doc_id string, ids binary, " + ("lossless boolean" if verify else "text string"))
     return made.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)[id]))
 
 
@@ -275,14 +285,17 @@ def decode(docs: DataFrame, ids: Column, model: str) -> Column:
         state = shared.value
         if "bytes" not in state:
             state["bytes"] = Pieces(state["file"], 1.0).bytes
-        of = state["bytes"].__getitem__
-        return pd.Series([plain(b"".join(map(of, np.frombuffer(x, "<i4").tolist()))) for x in packed], dtype=object)
+        return pd.Series([spelling(state["bytes"], np.frombuffer(x, "<i4")) for x in packed], dtype=object)
 
     return spelled(ids)
 
 
+def spelling(pieces: list[bytes], ids: np.ndarray) -> str:
+    """The text of ids, without the mark before it."""
+    return plain(b"".join(map(pieces.__getitem__, ids.tolist())))
+
+
 def plain(data: bytes) -> str:
-    """Without the mark before the text."""
     return data.decode("utf-8", "surrogatepass")[1:]
 
 
@@ -290,7 +303,5 @@ def op5_sentencepiece_sampling(spark, folder: str) -> DataFrame:
     """Per document, the number and checksum of its sampled pieces, and whether they decode to its whole text."""
     model = tokenizer_path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    made = encode(docs, model)
-    back = decode(docs, F.col("ids"), model)
-    return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
-                       (back == F.col("text")).alias("lossless"))
+    made = encode(docs, model, verify=True)
+    return made.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "lossless")

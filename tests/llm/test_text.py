@@ -163,6 +163,8 @@ def test_pieces_decode_to_the_text(spark):
         if i == "101":
             assert library.decode(np.frombuffer(ids, "<i4").tolist()) == "same text"
     assert len({ids for i, ids in runs[0] if i == "101"}) == 1
+    checked = S.encode(docs_of(spark, CASES), path, verify=True).collect()
+    assert all(r.lossless for r in checked) and sorted((str(r.doc_id), bytes(r.ids)) for r in checked) == runs[0]
     assert S.encode(docs_of(spark, []), path).count() == 0
 
 
