@@ -357,6 +357,57 @@ def test_nested_layers_are_unwrapped(wrap):
     assert X.redacted(text) == f"é before {X.MASK} after"
 
 
+@pytest.mark.parametrize("layer", [
+    f"n°\u00a01\u00a0: {SECRET}".encode(), b"\xef\xbb\xbf" + SECRET.encode(), f"\u200b\f\0{SECRET}".encode(), b"caf\xe9 \xff\xfe " + SECRET.encode() + b" \x80", b"x caf\xe9 " + SECRET.encode(),
+    gzip.compress(b"first") + gzip.compress(SECRET.encode()), gzip.compress(b"first") + zlib.compress(b"x") + gzip.compress(gzip.compress(SECRET.encode())),
+    gzip.compress(SECRET.encode())[:-6] + b"damaged", gzip.compress(b"first") + b"\0\0\0\0 " + SECRET.encode(),
+])
+def test_every_layer_is_scanned_whole(layer):
+    run = base64.b64encode(layer).decode()
+    assert X.redacted(f"before {run} after") == f"before {X.MASK} after"
+
+
+def test_every_frame_is_scanned():
+    zstandard = pytest.importorskip("zstandard")
+    made = zstandard.ZstdCompressor().compress
+    run = base64.b64encode(made(b"first") + made(b"x" * 3_000_000) + made(SECRET.encode())).decode()
+    assert X.redacted(f"before {run} after") == f"before {X.MASK} after"
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64_is_one_layer(end, width):
+    rng = random.Random(width)
+    noise = " ".join(f"{rng.getrandbits(60):x}" for _ in range(60))
+    for plain in (b"." * (width // 4 * 3 - 10) + SECRET.encode(), gzip.compress(f"{noise} {SECRET} {noise}".encode())):
+        run = base64.b64encode(plain).decode()
+        text = end.join(run[k:k + width] for k in range(0, len(run), width))
+        assert X.redacted(f"before: {text}. After") == f"before: {X.MASK}. After"
+
+
+def test_layers_past_64_mb_are_read_to_their_end():
+    run = base64.b64encode(zlib.compress(zlib.compress(b", " * 35_000_000 + SECRET.encode(), 1), 9)).decode()
+    assert X.redacted(f"before {run} after") == f"before {X.MASK} after"
+
+
+def test_windows_part_no_secret(monkeypatch):
+    monkeypatch.setattr(X, "WINDOW", 50)
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice([", ", "é ", "a" * 9, SECRET, " api_key = 'abcdefghij' ", base64.b64encode(SECRET.encode()).decode(), "%41"]) for _ in range(30))
+        raw = text.encode()
+        parts = list(X.windows(raw[k:k + 7] for k in range(0, len(raw), 7)))
+        assert "".join(parts) == text and sum(len(X.scan(p)) for p in parts) == len(X.scan(text))
+
+
+def test_long_windows_keep_the_groups_of_a_run(monkeypatch):
+    monkeypatch.setattr(X, "WINDOW", 50), monkeypatch.setattr(X, "MAX_RUN", 2000), monkeypatch.setattr(X, "OVERLAP", 200)
+    for n in range(3000, 3012):
+        inner = base64.b64encode(b"." * n + SECRET.encode() + b"." * 500)
+        run = base64.b64encode(b"x " + inner).decode()
+        assert X.redacted(run) == X.MASK
+
+
 def test_harmless_and_endless_texts():
     assert X.secrets_of("%41%zz \\uD800 &#99999999; " + "A" * 400 + " " + base64.b64encode(b"\x78\x9c" + b"0" * 60).decode()) == []
     deep = SECRET.encode()
