@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from siteseries.llm import exact_dedup, line_dedup, packing, piece_sampling, quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters
+from siteseries.llm import (exact_dedup, hyper_minhash, lexical_search, line_dedup, merkle_manifest, packing, piece_sampling,
+                            quality_classifier, quality_rules, secrets_scan, simhash, token_counts, url_filters)
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scans": secrets_scan.op10_secret_scans,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_hyper_minhash": hyper_minhash.op13_hyper_minhash,
 }
-SQL = {"op1_url_filters": url_filters.SQL, "op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op8_exact_dedup": exact_dedup.SQL, "op11_lexical_search": lexical_search.SQL, "op12_merkle_manifest": merkle_manifest.SQL}
