@@ -11,9 +11,12 @@ many as make it certain: a set of n hashes shares one of its least n - ceil(0.85
 Nodes that meet are compared by their registers first: equal registers, less the collisions expected of two-byte registers for
 sets of that size, over the registers filled in either, estimate the similarity. Only nodes with a partner whose estimate lies
 no more than six standard errors below the threshold go on, and are decided on their whole sets; a sketch alone never makes
-a link and refuses one that holds with a probability of 1e-9. The first bands go alone: of the later ones only keys whose
-nodes are not yet in one component are left. At a key a spanning forest of the similar pairs is emitted, never all of them,
-and crowded keys are split over several tasks.
+a link and refuses one that holds with a probability of 1e-9.
+
+Two rounds keep crowds of near copies linear. The first takes a few keys of each node and cuts crowded ones into parts that
+are compared on their own. The second takes all keys whose nodes are not yet in one component: there the nodes outside the
+key's largest component are shown to every part, so that any two nodes of different components meet, and no others need to.
+At a key a spanning forest of the similar pairs is emitted, never all of them.
 
 Words are split at ASCII white space after A-Z were lowered. Texts without words, null among them, have an empty set and are
 linked with nothing: each is its own component. Repeated rows, same doc_id or not, share a node. A null doc_id never names a
@@ -31,8 +34,7 @@ from pyspark.sql import functions as F
 
 from siteseries.llm.common import packed, sized, staged, text_of
 from siteseries.llm.components import components
-from siteseries.llm.near_copies import ShingleReader, set_column, verified_links
-from siteseries.llm.simhash import cells_of
+from siteseries.llm.near_copies import ShingleReader, set_column, spanning
 
 WORDS, PERCENT = 5, 85
 BUCKET_BITS, MANTISSA = 7, 10
@@ -40,7 +42,8 @@ BUCKETS = 1 << BUCKET_BITS
 BANDS, ROWS, FIRST = 25, 5, 4  # keys of a node, registers of a key, and keys of the first round
 ERRORS = 6  # standard errors below the threshold at which a pair is still verified
 SMALL = 80  # hashes up to which a set meets others by its least hashes
-HOMES, LOT = 2048, 1 << 16  # sketches of a key, and visitors, that one task compares at once
+HOMES, LOT = 2048, 1 << 16  # sketches of a part, and visitors, that one task compares at once
+BYTES, LEAST = 1 << 26, 1 << 16  # of sets that one task compares at once, and what a set counts for at least
 #: The buckets of each band, spread so that neighbours, which may share a borrowed register, are in different bands.
 SPREAD = np.random.default_rng(5).permutation(BUCKETS)[:BANDS * ROWS].reshape(BANDS, ROWS)
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -155,67 +158,125 @@ def marked_column(text: Column, words: int, percent: int) -> Column:
     return marked(text)
 
 
+def dealt(visits: DataFrame, size: Column, room: int) -> DataFrame:
+    """Cut the anchors of visits (anchor, node, guest, ...) into parts of about `room` in `size`: rows with part and own.
+
+    Every node is at home (own) in one part of each of its anchors. If an anchor has several parts, its guests come to each of
+    them too. Rows of a part come together, those at home first.
+    """
+    crowded = visits.groupBy("anchor").agg(F.sum(size).alias("all")).where(F.col("all") > room)
+    crowded = crowded.select("anchor", F.ceil(F.col("all") / room).cast("int").alias("parts"))
+    visits = visits.join(sized(staged(crowded, "hyper-crowded")), "anchor", "left")
+    rest = [c for c in visits.columns if c not in ("anchor", "parts")]
+    home = visits.select("anchor", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(True).alias("own"), *rest)
+    more = visits.where("parts IS NOT NULL AND guest").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                                             F.lit(False).alias("own"), *rest)
+    n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return home.unionByName(more).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
+
+
+def by_part(batches, weight, lot):
+    """(key, homes, guests) of each part of sorted rows (anchor, part, own, *item): guests None where homes meet each other,
+    else in lots of at most `lot` in `weight`. Homes also meet each other where a part has guests."""
+    key, homes, guests, full, met = None, [], [], 0, False
+    for pdf in batches:
+        for anchor, part, own, *item in pdf.itertuples(index=False):
+            if key != (anchor, part):
+                if homes and not met:
+                    yield key, homes, None
+                if homes and guests:
+                    yield key, homes, guests
+                key, homes, guests, full, met = (anchor, part), [], [], 0, False
+            if own:
+                homes.append(item)
+                continue
+            if not met:
+                met = True
+                yield key, homes, None
+            guests.append(item)
+            full += weight(item)
+            if full >= lot:
+                yield key, homes, guests
+                guests, full = [], 0
+    if homes and not met:
+        yield key, homes, None
+    if homes and guests:
+        yield key, homes, guests
+
+
 def promising(visits: DataFrame, percent: int) -> DataFrame:
-    """(anchor, node) of visits (anchor, node, n, sketch): the anchors are split into the clusters of their plausible pairs."""
-    cells = cells_of(visits.withColumn("own", F.lit(True)), "node", HOMES, alike=True)
+    """Visits (anchor, node, guest) whose anchors are the clusters of plausible pairs of visits (anchor, node, guest, n, sketch)."""
+    cells = dealt(visits, F.lit(1), HOMES)
 
     def split(batches):
         import pandas as pd
 
-        key, homes, guests, met, out = None, [], [], False, []
-
-        def ended():
-            if homes and (guests or not met):
-                arrays = [(np.array([x[1] for x in some], np.int64), np.frombuffer(b"".join(x[2] for x in some), np.uint16).reshape(-1, BUCKETS))
-                          for some in (homes, guests or homes)]
-                for some, labels in zip((homes, guests or homes), clusters(*arrays, percent)):
-                    out.extend((*key, k, x[0]) for x, k in zip(some, labels.tolist()) if k >= 0)
-
-        for pdf in batches:
-            for anchor, part, own, node, n, registers in pdf.itertuples(index=False):
-                if key != (anchor, part):
-                    ended()
-                    key, homes, guests, met = (anchor, part), [], [], False
-                (homes if own else guests).append((bytes(node), n, bytes(registers)))
-                if len(guests) >= LOT:
-                    ended()
-                    guests, met = [], True
-            yield pd.DataFrame(out, columns=["anchor", "part", "label", "node"])
-            out.clear()
-        ended()
-        yield pd.DataFrame(out, columns=["anchor", "part", "label", "node"])
-
-    found = cells.select("anchor", "part", "own", "node", "n", "sketch").mapInPandas(split, "anchor long, part int, label int, node binary")
-    found = found.select(F.xxhash64("anchor", "part", "label").alias("anchor"), "node").distinct()
-    return found
+        out, lots = [], 0
+        for key, homes, guests in by_part(batches, lambda item: 1, LOT):
+            both = homes, homes if guests is None else guests
+            arrays = [(np.array([x[2] for x in some], np.int64), np.frombuffer(b"".join(bytes(x[3]) for x in some), np.uint16).reshape(-1, BUCKETS))
+                      for some in both]
+            lots += 1
+            for some, labels in zip(both[:1] if guests is None else both, clusters(*arrays, percent)):
+                out.extend((*key, lots, k, bytes(x[0]), x[1]) for x, k in zip(some, labels.tolist()) if k >= 0)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["anchor", "part", "lot", "label", "node", "guest"])
+                out = []
+        yield pd.DataFrame(out, columns=["anchor", "part", "lot", "label", "node", "guest"])
+
+    found = cells.select("anchor", "part", "own", "node", "guest", "n", "sketch").mapInPandas(
+        split, "anchor long, part int, lot long, label int, node binary, guest boolean")
+    return found.groupBy(F.xxhash64("anchor", "part", "lot", "label").alias("anchor"), "node").agg(F.max("guest").alias("guest"))
+
+
+def verified(visits: DataFrame, percent: int) -> DataFrame:
+    """(a, b) nodes of visits (anchor, node, guest, set) that are similar, enough of them to connect all that are."""
+    cells = dealt(visits, F.greatest(F.length("set"), F.lit(LEAST)), BYTES)
+
+    def compare(batches):
+        import pandas as pd
+
+        out = []
+        for _, homes, guests in by_part(batches, lambda item: max(len(item[1]), LEAST), BYTES):
+            both = [[(bytes(node), np.frombuffer(bytes(whole), np.uint64)) for node, whole in some] for some in (homes, guests or [])]
+            out.extend(spanning(both[0], both[0] if guests is None else both[1], percent))
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+    return cells.select("anchor", "part", "own", "node", "set").mapInPandas(compare, "a binary, b binary")
 
 
 def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the written rows' (node, n, sketch, keys, least, body) nodes that have a similar one."""
     filled = rows.where("n > 0")
     nodes = staged(filled.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
-                                               F.first("least").alias("least")), "hyper-nodes")
-    visits = nodes.select("node", F.posexplode("keys").alias("band", "anchor"))
+                                              F.first("least").alias("least")), "hyper-nodes")
 
     def links(some: DataFrame, name: str) -> DataFrame:
-        meet = promising(some.join(nodes.select("node", "n", "sketch"), "node"), percent)
-        meet = staged(meet, f"{name}-meet")
+        meet = staged(promising(some.join(nodes.select("node", "n", "sketch"), "node"), percent), f"{name}-meet")
         several = meet.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
         meet = meet.join(several, "anchor", "left_semi")
         wanted = staged(meet.select("node").distinct(), f"{name}-wanted")
         body = filled.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
         sets = staged(body.select("node", set_column(F.col("body"), words).alias("set")), f"{name}-sets")
-        return staged(verified_links(meet.join(sets, "node").select("anchor", F.lit(True).alias("own"), "node", "set"), percent), f"{name}-links")
+        return staged(verified(meet.join(sets, "node").select("anchor", "node", "guest", "set"), percent), f"{name}-links")
 
-    early = visits.where(F.col("band") < FIRST).select("node", "anchor").unionByName(nodes.select("node", F.explode("least").alias("anchor")))
+    visits = nodes.select("node", F.posexplode("keys").alias("band", "anchor")).unionByName(
+        nodes.select("node", F.lit(0).alias("band"), F.explode("least").alias("anchor")))
+    early = visits.where(F.col("band") < FIRST).select("node", "anchor")
     shared = early.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    first = links(staged(early.join(shared, "anchor").select("anchor", "node"), "hyper-first"), "hyper-first")
+    first = links(staged(early.join(shared, "anchor").select("anchor", "node", F.lit(False).alias("guest")), "hyper-first"), "hyper-first")
+
     joined = staged(components(first), "hyper-joined")
-    later = staged(visits.where(F.col("band") >= FIRST).join(joined, "node", "left")
-                   .select("anchor", "node", F.coalesce("root", "node").alias("root")), "hyper-later")
-    apart = later.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
-    second = links(staged(later.join(apart, "anchor").select("anchor", "node"), "hyper-second"), "hyper-second")
-    return components(first.unionByName(second))
+    rooted = staged(visits.join(joined, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root")), "hyper-rooted")
+    apart = rooted.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
+    apart = staged(rooted.join(apart, "anchor", "left_semi"), "hyper-apart")
+    main = (apart.groupBy("anchor", "root").agg(F.count("*").alias("n")).groupBy("anchor")
+            .agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+    second = apart.join(main, "anchor").select("anchor", "node", (F.col("root") != F.col("main")).alias("guest"))
+    return components(first.unionByName(links(staged(second, "hyper-second"), "hyper-second")))
 
 
 def component_map(rows: DataFrame, words: int, percent: int) -> DataFrame:
