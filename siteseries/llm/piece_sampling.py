@@ -145,13 +145,12 @@ class Sampler:
         for a, b in zip(cuts, cuts[1:]):
             share[a:b] = mass[from_[a:b]] * weight[a:b]
             np.add.at(mass, to[a:b], share[a:b])
-            tiny = np.unique(to[a:b][mass[to[a:b]] < 1e-200])
-            for node in tiny:  # only what is relative to the last places matters from here on
-                here = (to[a:b] == node)
-                mass[max(0, node - p.longest + 1):node + 1] *= 1e200
-                share[a:b][here] *= 1e200
+            share[a:b] /= mass[to[a:b]]
+            # Later places need masses relative to each other only, as far back as a piece reaches within the word.
+            for node in np.unique(to[a:b][mass[to[a:b]] < 1e-200]):
+                mass[max(node - place[a], node - p.longest + 1):node + 1] *= 1e200
         order = np.lexsort((length, to))
-        share, to, piece, length = share[order] / mass[to[order]], to[order], piece[order], length[order]
+        share, to, piece, length = share[order], to[order], piece[order], length[order]
         opens = np.r_[True, to[1:] != to[:-1]] if len(to) else np.zeros(0, bool)
         nth = np.arange(len(to)) - np.maximum.accumulate(np.where(opens, np.arange(len(to)), 0))
         for k in range(1, int(nth.max(initial=0)) + 1):
