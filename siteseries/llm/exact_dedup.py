@@ -69,10 +69,10 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     keyed = docs.select(packed(docs), F.col(f"`{id}`").alias("doc_id"), text_of(text).alias("body"), *_keys(text))
     shared = sized(shared_keys(docs, text))
     alone = keyed.join(shared, ["size", "head"], "left_anti").select("row.*")
-    order = F.struct(F.length("body").alias("n"), F.col("doc_id").isNotNull().alias("some"), (-F.col("doc_id")).alias("id"))
+    order = F.struct((-F.length("body")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
     first = (keyed.join(shared, ["size", "head"], "left_semi")
              .groupBy("size", F.sha2(normalised(F.col("body")), 256).alias("sha"))
-             .agg(F.max_by("row", order).alias("row")).select("row.*"))
+             .agg(F.min_by("row", order).alias("row")).select("row.*"))
     return alone.unionByName(first)
 
 
