@@ -4,9 +4,10 @@ Documents are tokenised where they lie and cut into pieces of at most `capacity`
 on. The histogram of lengths has at most `capacity` entries however large the corpus is. Over it the driver solves the
 configuration linear program (how often to use each multiset of lengths that fits into a sequence) by multiplicative
 weights: a length covered ahead of schedule gets cheaper, one behind gets dearer, and a knapsack dynamic program finds the
-best-paid configurations at the current prices. The fractional solution is rounded down and the remainder is packed by
-completing the longest open length with the fullest complement. The plan is then a table of a few thousand ranges of ranks
-per length, and every piece finds its place from its rank among the pieces of its length alone.
+best-paid configurations at the current prices. The fractional solution is rounded down and the bounded remainder is completed,
+by the fullest complement of the longest open length or by best fit, whichever takes fewer sequences. The plan is then a table
+of a few thousand ranges of ranks per length, and every piece finds its place from its rank among the pieces of its length
+alone.
 
 Null texts count as empty: their one piece holds the end id only. Equal lengths are interchangeable, so ties follow the
 order in which rows were written. Repeated rows, null ids and extra columns of any name are kept apart by row, not by id.
@@ -16,7 +17,8 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from array import array
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,13 +29,35 @@ from pyspark.sql import functions as F
 from siteseries.llm.common import id_text, staged, text_of, tokenizer_path
 
 CAPACITY = 2048
-#: Chunks and words whose ids a worker remembers at once. A memory bound only: forgotten ones are encoded again.
-CHUNKS, WORDS = 300_000, 800_000
+#: Bytes of chunks and of words, with their ids, that a worker remembers. A memory bound only: forgotten ones are encoded again.
+CHUNKS, WORDS = 24 << 20, 40 << 20
 #: Marks that may be cut off behind an ASCII letter or digit: there a new token begins in any case.
 MARKS = ".,!?;:*$%&#"
 
 
-class WordEncoder(dict):
+class Recent(dict):
+    """What `make` gave for the texts asked for lately: two generations of half the room each, the older one forgotten first."""
+
+    def __init__(self, make, room: int) -> None:
+        super().__init__()
+        self.make, self.room, self.held, self.older = make, room // 2, 0, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.pop(text, None)
+        if ids is None:
+            ids = self.make(text)
+        size = 250 + 2 * len(text) + len(ids)  # with both objects' heads and their places in the table
+        if size > self.room // 64:
+            return ids
+        if self.held + size > self.room:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += size
+        self[text] = ids
+        return ids
+
+
+class WordEncoder:
     """Token ids (packed little-endian) of blank-separated chunks, for a tokenizer file that drops white space and lower-cases.
 
     No token of it spans a blank or a line feed, so each chunk is encoded once and looked up afterwards. Of a new chunk,
@@ -47,47 +71,35 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__({"": b""})
         self.library = Tokenizer.from_str(tokenizer)
         self.model = self.library.model
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[str, bytes] = {"": b""}
+        self.chunks, self.words = Recent(self.chunk, CHUNKS), Recent(self.word, WORDS)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if "<|" in chunk:
-            ids = self.whole(chunk)
-        else:
-            word = chunk.rstrip(MARKS)
-            if len(word) == len(chunk) or not (word and word[-1].isascii() and word[-1].isalnum()):
-                ids = self.word(chunk)
-            else:
-                ids = self.word(word) + self.word(chunk[len(word):])
-        self[chunk] = ids
-        return ids
+            return self.whole(chunk)
+        word = chunk.rstrip(MARKS)
+        if len(word) == len(chunk) or not (word and word[-1].isascii() and word[-1].isalnum()):
+            return self.lowered(chunk)
+        return self.lowered(word) + self.lowered(chunk[len(word):])
+
+    def lowered(self, word: str) -> bytes:
+        return self.words[word.lower() if word.isascii() else word]
 
     def word(self, word: str) -> bytes:
-        if word.isascii():
-            word = word.lower()
-        ids = self.words.get(word)
-        if ids is None:
-            if word.isalpha() and max(word) < "\u0530" and word == word.lower() and is_normalized("NFC", word):
-                plain = word if word.isascii() else "".join(p for p, _ in self.bytes.pre_tokenize_str(word))
-                ids = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
-            else:
-                ids = self.whole(word)
-            self.words[word] = ids
-        return ids
+        if word.isalpha() and max(word) < "\u0530" and word == word.lower() and is_normalized("NFC", word):
+            plain = word if word.isascii() else "".join(p for p, _ in self.bytes.pre_tokenize_str(word))
+            return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return self.whole(word)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(self) > CHUNKS:
-            self.clear()
-            self[""] = b""
-        if len(self.words) > WORDS:
-            self.words = {"": b""}
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -238,19 +250,51 @@ def completed(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return out
 
 
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
+    """Configurations for what rounding leaves, piece by piece: the longest first, each where the least room stays."""
+    rooms: list[tuple[int, int]] = []  # sorted (room, sequence)
+    held: list[list[int]] = []
+    for length in sorted(left, reverse=True):
+        for _ in range(left[length]):
+            k = bisect_left(rooms, (length, 0))
+            if k < len(rooms):
+                room, sequence = rooms.pop(k)
+            else:
+                room, sequence = capacity, len(held)
+                held.append([])
+            held[sequence].append(length)
+            insort(rooms, (room - length, sequence))
+    return list(Counter(counted(items) for items in held).items())
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
-    """Configurations ((length, how many), ...) and how many sequences use each; together they place every piece."""
+    """Configurations ((length, how many), ...) and how many sequences use each; together they place every piece.
+
+    The fractional solution is rounded down, at some tries by a few uses of each configuration more, and what is left is
+    completed in two ways; the try with the fewest sequences counts. What is left is bounded by the configurations, not by
+    the corpus.
+    """
     out = [(((capacity, 1),), histogram[capacity])] if histogram.get(capacity) else []
     need = {l: n for l, n in histogram.items() if 0 < l < capacity and n > 0}
-    if need:
-        for config, x in sorted(fractional(need, capacity).items(), key=lambda c: -c[1]):
-            times = min(int(x + 1e-9), *(need.get(l, 0) // a for l, a in config))
-            if times:
-                out.append((config, times))
+    if not need:
+        return out
+    least = -(-sum(l * n for l, n in need.items()) // capacity)
+    used, best = sorted(fractional(need, capacity).items(), key=lambda c: -c[1]), None
+    for fewer in (0, 1, 2, 4, 8, 16):
+        left, whole = dict(need), []
+        for config, x in used:
+            times = min(int(x + 1e-9) - fewer, *(left.get(l, 0) // a for l, a in config))
+            if times > 0:
+                whole.append((config, times))
                 for l, a in config:
-                    need[l] -= a * times
-        out += completed(need, capacity)
-    return out
+                    left[l] -= a * times
+        for complete in (completed, best_fit):
+            tried = whole + complete(left, capacity)
+            if best is None or sum(t for _, t in tried) < sum(t for _, t in best):
+                best = tried
+            if sum(t for _, t in best) == least:
+                return out + best
+    return out + best
 
 
 def ranges(plan_: list[tuple[tuple, int]]) -> dict[str, np.ndarray]:
