@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from siteseries.llm.common import packed, sized, staged, text_of
 from siteseries.llm.components import components
-from siteseries.llm.near_copies import ShingleReader, set_column, spanning
+from siteseries.llm.crowds import by_part, dealt, strangers, verified
+from siteseries.llm.near_copies import ShingleReader, set_column
 
 WORDS, PERCENT = 5, 85
 BUCKET_BITS, MANTISSA = 7, 10
@@ -43,7 +44,6 @@ BANDS, ROWS, FIRST = 25, 5, 4  # keys of a node, registers of a key, and keys of
 ERRORS = 6  # standard errors below the threshold at which a pair is still verified
 SMALL = 80  # hashes up to which a set meets others by its least hashes
 HOMES, LOT = 2048, 1 << 16  # sketches of a part, and visitors, that one task compares at once
-BYTES, LEAST = 1 << 26, 1 << 16  # of sets that one task compares at once, and what a set counts for at least
 #: The buckets of each band, spread so that neighbours, which may share a borrowed register, are in different bands.
 SPREAD = np.random.default_rng(5).permutation(BUCKETS)[:BANDS * ROWS].reshape(BANDS, ROWS)
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -158,52 +158,6 @@ def marked_column(text: Column, words: int, percent: int) -> Column:
     return marked(text)
 
 
-def dealt(visits: DataFrame, size: Column, room: int) -> DataFrame:
-    """Cut the anchors of visits (anchor, node, guest, ...) into parts of about `room` in `size`: rows with part and own.
-
-    Every node is at home (own) in one part of each of its anchors. If an anchor has several parts, its guests come to each of
-    them too. Rows of a part come together, those at home first.
-    """
-    crowded = visits.groupBy("anchor").agg(F.sum(size).alias("all")).where(F.col("all") > room)
-    crowded = crowded.select("anchor", F.ceil(F.col("all") / room).cast("int").alias("parts"))
-    visits = visits.join(sized(staged(crowded, "hyper-crowded")), "anchor", "left")
-    rest = [c for c in visits.columns if c not in ("anchor", "parts")]
-    home = visits.select("anchor", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(True).alias("own"), *rest)
-    more = visits.where("parts IS NOT NULL AND guest").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                                                             F.lit(False).alias("own"), *rest)
-    n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return home.unionByName(more).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
-
-
-def by_part(batches, weight, lot):
-    """(key, homes, guests) of each part of sorted rows (anchor, part, own, *item): guests None where homes meet each other,
-    else in lots of at most `lot` in `weight`. Homes also meet each other where a part has guests."""
-    key, homes, guests, full, met = None, [], [], 0, False
-    for pdf in batches:
-        for anchor, part, own, *item in pdf.itertuples(index=False):
-            if key != (anchor, part):
-                if homes and not met:
-                    yield key, homes, None
-                if homes and guests:
-                    yield key, homes, guests
-                key, homes, guests, full, met = (anchor, part), [], [], 0, False
-            if own:
-                homes.append(item)
-                continue
-            if not met:
-                met = True
-                yield key, homes, None
-            guests.append(item)
-            full += weight(item)
-            if full >= lot:
-                yield key, homes, guests
-                guests, full = [], 0
-    if homes and not met:
-        yield key, homes, None
-    if homes and guests:
-        yield key, homes, guests
-
-
 def promising(visits: DataFrame, percent: int) -> DataFrame:
     """Visits (anchor, node, guest) whose anchors are the clusters of plausible pairs of visits (anchor, node, guest, n, sketch)."""
     cells = dealt(visits, F.lit(1), HOMES)
@@ -229,25 +183,6 @@ def promising(visits: DataFrame, percent: int) -> DataFrame:
     return found.groupBy(F.xxhash64("anchor", "part", "lot", "label").alias("anchor"), "node").agg(F.max("guest").alias("guest"))
 
 
-def verified(visits: DataFrame, percent: int) -> DataFrame:
-    """(a, b) nodes of visits (anchor, node, guest, set) that are similar, enough of them to connect all that are."""
-    cells = dealt(visits, F.greatest(F.length("set"), F.lit(LEAST)), BYTES)
-
-    def compare(batches):
-        import pandas as pd
-
-        out = []
-        for _, homes, guests in by_part(batches, lambda item: max(len(item[1]), LEAST), BYTES):
-            both = [[(bytes(node), np.frombuffer(bytes(whole), np.uint64)) for node, whole in some] for some in (homes, guests or [])]
-            out.extend(spanning(both[0], both[0] if guests is None else both[1], percent))
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        yield pd.DataFrame(out, columns=["a", "b"])
-
-    return cells.select("anchor", "part", "own", "node", "set").mapInPandas(compare, "a binary, b binary")
-
-
 def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the written rows' (node, n, sketch, keys, least, body) nodes that have a similar one."""
     filled = rows.where("n > 0")
@@ -270,12 +205,7 @@ def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     first = links(staged(early.join(shared, "anchor").select("anchor", "node", F.lit(False).alias("guest")), "hyper-first"), "hyper-first")
 
     joined = staged(components(first), "hyper-joined")
-    rooted = staged(visits.join(joined, "node", "left").select("anchor", "node", F.coalesce("root", "node").alias("root")), "hyper-rooted")
-    apart = rooted.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
-    apart = staged(rooted.join(apart, "anchor", "left_semi"), "hyper-apart")
-    main = (apart.groupBy("anchor", "root").agg(F.count("*").alias("n")).groupBy("anchor")
-            .agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-    second = apart.join(main, "anchor").select("anchor", "node", (F.col("root") != F.col("main")).alias("guest"))
+    second = strangers(visits, joined)
     return components(first.unionByName(links(staged(second, "hyper-second"), "hyper-second")))
 
 

@@ -5,7 +5,7 @@ pair at exactly 0.8 has none in common with probability (1 - 0.8^4)^32, about 5e
 pair is then decided on the sets themselves; a link is never made or refused by a sketch. The first bands are compared alone,
 so that of the others only keys whose nodes are not yet in one component are left.
 
-At a key only a spanning forest of the similar pairs is emitted, and crowded keys are split over several tasks. Words are
+At a key only a spanning forest of the similar pairs is emitted, and crowded keys are split over several tasks (`crowds`). Words are
 those of `simhash`: A-Z lowered, split at ASCII white space. A text of fewer than five words is one shingle; texts without
 words, null among them, have the empty set and equal each other only. Of each component the row with the smallest doc_id
 (nulls last) stays. An empty table gives an empty result. Other columns are carried unchanged, whatever their names.
@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 
 from siteseries.llm.common import packed, sized, staged, text_of
 from siteseries.llm.components import components
+from siteseries.llm.crowds import strangers, verified
 from siteseries.llm.line_dedup import WORDS_KEPT, WordHashes
-from siteseries.llm.simhash import cells_of
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, FIRST = 32, 4, 4  # keys of a node, minima of a key, and keys of the first round
-HOMES, LOT = 64, 1 << 26  # nodes of a key, and bytes of sets, that one task compares at once
 _draws = np.random.default_rng(11)
 FACTORS = _draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _draws.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -67,17 +66,6 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets have at least `percent` of their union in common."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or 100 * len(a) < percent * len(b):
-        return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int((b[at] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def marked_column(text: Column, words: int) -> Column:
     """The node of a text (digest of its shingle set) and its band keys."""
     @F.pandas_udf("node binary, keys array<long>")
@@ -107,68 +95,6 @@ def set_column(text: Column, words: int) -> Column:
     return sets(text)
 
 
-def spanning(homes: list, guests: list, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect all similar pairs of a home and a guest, both (node, set)."""
-    out, free_homes = [], set(range(len(homes)))
-    free = np.ones(len(guests), bool), np.ones(len(homes), bool)
-    sizes = np.array([len(g[1]) for g in guests]), np.array([len(h[1]) for h in homes])
-    while free_homes:
-        queue = [(True, free_homes.pop())]
-        free[1][queue[0][1]] = False
-        while queue:
-            mine, k = queue.pop()
-            me, pool, left, size = (homes[k], guests, free[0], sizes[0]) if mine else (guests[k], homes, free[1], sizes[1])
-            n = len(me[1])
-            for j in np.flatnonzero(left & (100 * size >= percent * n) & (percent * size <= 100 * n)).tolist():
-                you = pool[j]
-                if you[0] == me[0] or similar(me[1], you[1], percent):
-                    left[j] = False
-                    if not mine:
-                        free_homes.discard(j)
-                    queue.append((not mine, j))
-                    if you[0] != me[0]:
-                        out.append((me[0], you[0]))
-    return out
-
-
-def verified_links(visits: DataFrame, percent: int) -> DataFrame:
-    """(a, b) nodes of visits (anchor, own, node, set) that are similar, enough of them to connect all that are."""
-    cells = cells_of(visits, "node", HOMES, alike=True)
-
-    def compare(batches):
-        import pandas as pd
-
-        key, homes, guests, size, met, found = None, [], [], 0, False, []
-
-        def ended():
-            # Without guests the homes of an undivided anchor meet each other.
-            if homes and (guests or not met):
-                found.extend(spanning(homes, guests or homes, percent))
-
-        for pdf in batches:
-            for anchor, part, own, node, whole in pdf.itertuples(index=False):
-                if key != (anchor, part):
-                    ended()
-                    key, homes, guests, size, met = (anchor, part), [], [], 0, False
-                item = bytes(node), np.frombuffer(bytes(whole), np.uint64)
-                if own:
-                    homes.append(item)
-                    continue
-                guests.append(item)
-                size += len(whole)
-                if size >= LOT:
-                    ended()
-                    guests, size, met = [], 0, True
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found.clear()
-        ended()
-        if found:
-            yield pd.DataFrame(found, columns=["a", "b"])
-
-    return cells.select("anchor", "part", "own", "node", "set").mapInPandas(compare, "a binary, b binary")
-
-
 def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the rows' (node, keys, body) nodes that have a similar one."""
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
@@ -179,17 +105,12 @@ def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         wanted = staged(some.select("node").distinct(), f"{name}-wanted")
         body = rows.join(sized(wanted), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
         sets = staged(body.select("node", set_column(F.col("body"), words).alias("set")), f"{name}-sets")
-        meet = some.join(sets, "node").select("anchor", F.lit(True).alias("own"), "node", "set")
-        return staged(verified_links(meet, percent), f"{name}-links")
+        return staged(verified(some.join(sets, "node").select("anchor", "node", "guest", "set"), percent), f"{name}-links")
 
     early = visits.where(F.col("band") < FIRST)
     shared = early.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    first = links(early.join(shared, "anchor").select("anchor", "node"), "near-first")
-    joined = staged(components(first), "near-joined")
-    later = staged(visits.where(F.col("band") >= FIRST).join(joined, "node", "left")
-                   .select("anchor", "node", F.coalesce("root", "node").alias("root")), "near-later")
-    apart = later.groupBy("anchor").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("anchor")
-    second = links(later.join(apart, "anchor").select("anchor", "node"), "near-second")
+    first = links(early.join(shared, "anchor").select("anchor", "node", F.lit(False).alias("guest")), "near-first")
+    second = links(strangers(visits, staged(components(first), "near-joined")), "near-second")
     return components(first.unionByName(second))
 
 

@@ -259,3 +259,10 @@ def test_alike_anchors_connect_all_close_pairs(spark, monkeypatch, homes):
     for p in points:
         groups[find(p)].append(p)
     assert got == {p: root for root, members in groups.items() if len(members) > 1 for p in members}
+
+
+def test_dedup_takes_text_ids(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "x  y"), ("c", "x  y"), ("d", "z")], "doc_id string, text string")
+    assert {r.doc_id for r in E.exact_dedup(docs).collect()} == {"a", "d"}
+    assert {r.doc_id for r in S.near_dedup(docs).collect()} == {"a", "d"}
+    assert {r.doc_id for r in E.exact_groups(docs).where("kept").collect()} == {"a", "d"}

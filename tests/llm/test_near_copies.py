@@ -7,6 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from siteseries.llm import crowds as C
 from siteseries.llm import near_copies as N
 from siteseries.llm import simhash as S
 from tests.llm.test_dedup import docs_of
@@ -45,9 +46,10 @@ def kept_by_brute_force(pairs):
     return sorted(str(None if none else i) for none, i in best.values())
 
 
-@pytest.mark.parametrize("homes", [3, 64])
-def test_near_stage_equals_brute_force_jaccard(spark, monkeypatch, homes):
-    monkeypatch.setattr(N, "HOMES", homes)
+@pytest.mark.parametrize("sets", [2, 1024])
+def test_near_stage_equals_brute_force_jaccard(spark, monkeypatch, sets):
+    """Also with keys cut into parts of two sets."""
+    monkeypatch.setattr(C, "BYTES", sets * C.LEAST)
     rng = random.Random(7)
     pairs = [(900, None), (901, ""), (902, "one"), (903, "ONE"), (904, "one two"), (None, "only without an id"), (None, "w " * 3000)]
     for k in range(40):
@@ -81,4 +83,4 @@ def test_similarity_is_decided_on_the_sets():
         a = [str(rng.randrange(30)) for _ in range(n)]
         b = a[:rng.randrange(1, n + 1)] + [str(rng.randrange(30)) for _ in range(rng.randrange(6))]
         x, y = " ".join(a), " \n".join(b)
-        assert N.similar(reader.shingles(x), reader.shingles(y)) == (jaccard(plain_shingles(x), plain_shingles(y)) >= 0.8)
+        assert C.similar(reader.shingles(x), reader.shingles(y), N.PERCENT) == (jaccard(plain_shingles(x), plain_shingles(y)) >= 0.8)

@@ -15,7 +15,7 @@ from siteseries.llm import quality_classifier as Q
 from siteseries.llm import secrets_scan as X
 from siteseries.llm.common import tokenizer_path
 from siteseries.llm.queries import QUERIES, SQL
-from tests.llm.test_dedup import simple_fingerprint
+from tests.llm.test_near_copies import kept_by_brute_force
 from tools.check_queries import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,14 +38,8 @@ def plain_exact(docs):
 
 
 def plain_near(docs):
-    fps = {i: simple_fingerprint(t) for i, t in docs.items()}
-    comp = {i: i for i in docs}
-    for _ in docs:
-        new = {i: min(comp[j] for j in docs if bin(fps[i] ^ fps[j]).count("1") <= 4) for i in docs}
-        if new == comp:
-            break
-        comp = new
-    return {i: docs[i] for i in set(comp.values())}
+    """Brute-force Jaccard similarity of five-word shingles, 0.8 or more; the smallest id of each group stays."""
+    return {int(i): docs[int(i)] for i in kept_by_brute_force(list(docs.items()))}
 
 
 def test_pipeline_equals_plain_version(spark):
@@ -80,7 +74,7 @@ def test_pipeline_equals_plain_version(spark):
 def test_registered(spark):
     names = entry.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from siteseries.llm import crowds as C
 from siteseries.llm import hyper_minhash as H
 from siteseries.llm import lexical_search as X
 from siteseries.llm import merkle_manifest as M
@@ -230,7 +231,7 @@ def test_hyper_groups_equal_brute_force(spark, monkeypatch, homes):
     monkeypatch.setattr(H, "HOMES", homes)
     if homes == 2:
         monkeypatch.setattr(H, "LOT", 2)
-        monkeypatch.setattr(H, "BYTES", 2 * H.LEAST)
+        monkeypatch.setattr(C, "BYTES", 2 * C.LEAST)
     pairs = near_cases(homes)
     docs = docs_of(spark, pairs)
     got = H.hyper_groups(docs).collect()

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import json
+import math
 import random
 import re
 import struct
@@ -93,11 +94,46 @@ def test_plan_places_exactly_the_histogram(seed):
             placed[l] += a * times
     assert placed == histogram
     used = sum(times for _, times in plan)
-    least = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))
-    assert used <= 1.01 * least + 2
+    assert used <= sum(times for _, times in P.best_fit(histogram, 2048))
     assert P.plan({}) == []
 
 
+def test_best_fit_is_best_fit_decreasing():
+    rng = random.Random(2)
+    items = [rng.randrange(1, 60) for _ in range(300)]
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fitting = [k for k, room in enumerate(rooms) if room >= x]
+        if fitting:
+            rooms[min(fitting, key=lambda k: rooms[k])] -= x
+        else:
+            rooms.append(100 - x)
+    got = P.best_fit(dict(Counter(items)), 100)
+    assert sum(times for _, times in got) == len(rooms)
+    assert Counter({x: 0}) + sum((Counter({l: a * times for l, a in config}) for config, times in got), Counter()) == Counter(items)
+
+
+@pytest.mark.parametrize("sf, bound", [("sf0.001", 88), ("sf0.01", 442)])
+def test_documents_are_packed_as_tightly_as_their_volume(spark, sf, bound):
+    out = P.op2_pack_documents(spark, f"/root/testdata/{sf}")
+    assert out.select("sequence_id").distinct().count() == bound
+
+
+def test_what_the_encoder_remembers_is_bounded_while_it_encodes(clip):
+    made = []
+    held = P.Recent(lambda t: made.append(t) or t.encode(), 64_000)
+    for k in range(3000):
+        assert held[f"w{k}"] == f"w{k}".encode()
+        assert held["hot"] == b"hot"
+    assert len(held) + len(held.older) < 64_000 / 250 and made.count("hot") < 100
+    assert held["x" * 10_000] == b"x" * 10_000 and "x" * 10_000 not in held
+    with open(tokenizer_path("word_bpe_49k.json")) as f:
+        encoder = P.WordEncoder(f.read())
+    encoder.chunks, encoder.words = P.Recent(encoder.chunk, 4000), P.Recent(encoder.word, 4000)
+    text = " ".join(f"Wörd{k % 70}, a{k % 50}!" for k in range(2000))
+    assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == clip.encode(text, add_special_tokens=False).ids
+
+
 def test_large_ids_beside_nulls_stay_exact(spark):
     from siteseries.llm.line_dedup import lines_of
     big = (1 << 62) + 1
@@ -199,6 +235,27 @@ def test_long_words_do_not_underflow():
     assert S.plain(b"".join(sampler.pieces.bytes[i] for i in ids.tolist())) == text
 
 
+def test_shares_of_long_words_are_those_of_a_direct_forward_pass():
+    """At every place of a word of 500 characters, the shares of the pieces that may end there, beside logarithms of all masses."""
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        p = S.Pieces(f.read(), 1.0)
+    weight_of = {p.bytes[i].decode(): p.weight[i] for i in range(len(p.bytes)) if p.weight[i] > 0}
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdluqzxj") for _ in range(n)) for n in (500, 400, 30)]
+    sampler = S.Sampler(p)
+    sampler.filter(words)
+    for word, first in zip(words, sampler.first):
+        logs = [0.0] + [-math.inf] * len(word)
+        for place in range(1, len(word) + 1):
+            arcs = {n: logs[place - n] + math.log(w) for n in range(1, min(place, p.longest) + 1) if (w := weight_of.get(word[place - n:place]))}
+            logs[place] = max(arcs.values()) + math.log(sum(math.exp(x - max(arcs.values())) for x in arcs.values()))
+            node = first + place
+            lo, hi = np.searchsorted(np.floor(sampler.bound - 1e-12), [node, node + 1])
+            got = dict(zip(sampler.back[lo:hi].tolist(), np.diff(sampler.bound[lo:hi] - node, prepend=0.0).tolist()))
+            assert got.keys() == arcs.keys()
+            assert all(abs(got[n] - math.exp(arcs[n] - logs[place])) < 1e-6 for n in arcs)
+
+
 # Classifier and rules
 
 def junk(rng, words):
