@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from siteseries.operators.joins import settled
-from siteseries.models import engines as E, features as X, neighbours, resample, search
+from siteseries.models import engines as E, features as X, gram, neighbours, resample, search
 from siteseries.plans import views as V
 from siteseries.session import scratch_path as scratch
 from siteseries.plans.registry import query, r, tidy
-from siteseries.plans.statistics import frame
+from siteseries.plans.statistics import FRAME_CTE, frame
 from siteseries.sources.files import stage
 from siteseries.stats import regression as R, smooth as S
 
@@ -127,73 +124,90 @@ def l12(spark, sf):
     return tidy(neighbours.knn_regression(train, test, ["vec_id"], V.VECTOR_COLUMNS[:-1], V.VECTOR_COLUMNS[-1], 5))
 
 
-def small_grid():
-    sets = {"all": PREDICTORS, "env": ["x1", "x2", "x3"]}
-    prep = {"norm": X.standard_features}
-    eng = {"net": E.elastic_net("density", 0.01, 0.5), "tree": E.tree("density", 4)}
-    return search.workflow_grid(sets, prep, eng)
+# Workflows by predictor set and preprocessing, and their columns. Those of the checked queries have closed forms in SQL.
+SQUARES = ["annualrain", "biomass"]
+WORKFLOWS = {"rain_norm": ["annualrain"], "rain_poly": ["annualrain", "annualrain_p2"], "size_norm": ["biomass"], "size_poly": ["biomass", "biomass_p2"],
+             "both_norm": ["biomass", "annualrain"], "habitat_norm": ["x1", "x2"]}
+PENALTIES, MIXTURES = (0.0, 0.1, 1.0, 10.0, 100.0), (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def folded(spark, sf):
+    """The model frame with squares, ten folds, five times."""
+    df = staged(spark, sf).withColumns({f"{c}_p2": F.col(c) * F.col(c) for c in SQUARES})
+    return stage(resample.repeated_folds(df, KEYS, 10, 5, SEED), scratch(spark, "folds"))
 
 
-def folded(spark, sf, folds=3):
-    return stage(resample.repeated_folds(staged(spark, sf), KEYS, folds, 1, SEED), scratch(spark, "folds"))
+GRID_FOLDS = f"""{FRAME_CTE},
+{FOLDS.replace('FROM outcomes', 'FROM frame').replace('__REPEATS__', '5')},
+wf AS (SELECT f.site_code, f.collection_period, f.repeat, f.fold, f.density AS y, w.model, w.a, w.b FROM folds f, LATERAL (VALUES
+  ('rain_norm', annualrain, 0::DOUBLE), ('rain_poly', annualrain, annualrain * annualrain), ('size_norm', biomass, 0), ('size_poly', biomass, biomass * biomass),
+  ('both_norm', biomass, annualrain), ('habitat_norm', x1, x2)) w(model, a, b)),
+held AS (SELECT DISTINCT repeat, fold FROM folds)"""
+GRID_FIT = f"""{GRID_FOLDS},
+tr AS (SELECT w.model, h.repeat, h.fold, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS saa, var_pop(b) AS sbb, covar_pop(a, b) AS sab, covar_pop(a, y) AS say, covar_pop(b, y) AS sby
+  FROM held h JOIN wf w ON w.repeat = h.repeat AND w.fold <> h.fold GROUP BY ALL),
+co AS (SELECT *, CASE WHEN sbb = 0 THEN say / saa ELSE (say * sbb - sby * sab) / (saa * sbb - sab * sab) END AS ca,
+  CASE WHEN sbb = 0 THEN 0 ELSE (sby * saa - say * sab) / (saa * sbb - sab * sab) END AS cb FROM tr),
+p AS (SELECT w.model, w.repeat, w.fold, w.y, my + ca * (a - ma) + cb * (b - mb) AS yhat FROM wf w JOIN co ON co.model = w.model AND co.repeat = w.repeat AND co.fold = w.fold),
+fm AS (SELECT model, repeat, fold, sqrt(avg(pow(y - yhat, 2))) AS rmse, pow(corr(y, yhat), 2) AS rsq, count(*) AS n FROM p GROUP BY ALL)"""
 
 
-@query("l13_workflow_grid")
+def grid_metrics(spark, sf):
+    """Held-out rmse and rsq of every unpenalised workflow over 10 x 5 folds."""
+    return gram.search(folded(spark, sf), WORKFLOWS, "density", [(0.0, 0.0)])
+
+
+@query("l13_workflow_grid", ("outcomes", "env"), f"""
+WITH {GRID_FIT} SELECT model, repeat::BIGINT AS repeat, fold::BIGINT AS fold, {r('rmse', 4)} AS rmse, {r('rsq', 5)} AS rsq, n::BIGINT AS n FROM fm""")
 def l13(spark, sf):
+    return tidy(grid_metrics(spark, sf).select("model", "repeat", "fold", "rmse", "rsq", "n"), 4, rsq=5)
+
+
+# With one predictor, scaled to unit variance, a penalised fit has a closed form: the shrunk soft-thresholded covariance.
+@query("l14_grid_search", ("outcomes", "env"), f"""
+WITH {GRID_FOLDS},
+tr AS (SELECT w.model, h.repeat, h.fold, avg(y) AS my, avg(a) AS ma, stddev_pop(a) AS sa, covar_pop(a, y) / stddev_pop(a) AS c
+  FROM held h JOIN wf w ON w.repeat = h.repeat AND w.fold <> h.fold WHERE w.model IN ('rain_norm', 'size_norm') GROUP BY ALL),
+co AS (SELECT tr.*, penalty, mixture, sign(c) * greatest(abs(c) - penalty * mixture, 0) / (1 + penalty * (1 - mixture)) / sa AS ca
+  FROM tr, (SELECT unnest({list(PENALTIES)})::DOUBLE AS penalty), (SELECT unnest({list(MIXTURES)})::DOUBLE AS mixture)),
+p AS (SELECT w.model, penalty, mixture, w.repeat, w.fold, w.y, my + ca * (a - ma) AS yhat FROM wf w JOIN co ON co.model = w.model AND co.repeat = w.repeat AND co.fold = w.fold),
+fm AS (SELECT model, penalty, mixture, repeat, fold, sqrt(avg(pow(y - yhat, 2))) AS rmse FROM p GROUP BY ALL)
+SELECT model, penalty, mixture, {r('avg(rmse)', 4)} AS rmse, {r('stddev_samp(rmse) / sqrt(count(*))', 4)} AS std_err, count(*)::BIGINT AS n FROM fm GROUP BY model, penalty, mixture""")
+def l14(spark, sf):
+    some = {w: WORKFLOWS[w] for w in ("rain_norm", "size_norm")}
+    fits = gram.search(folded(spark, sf), some, "density", gram.grid(PENALTIES, MIXTURES))
+    keys = ["model", "penalty", "mixture"]
+    return tidy(fits.groupBy(*keys).agg(F.avg("rmse").alias("rmse"), (F.stddev_samp("rmse") / F.sqrt(F.count("rmse"))).alias("std_err"),
+                                        F.count("rmse").alias("n")), 4)
+
+
+@query("l14b_full_grid")
+def l14b(spark, sf):
+    """Every predictor set with and without squares and products x 25 configurations x 10 x 5 folds, best first."""
     df = staged(spark, sf)
-    rows = []
-    for name, wf in small_grid().items():
-        rows.append(search.score(wf.fit(df).transform(df), "density").select(F.lit(name).alias("model"), "*"))
-    return tidy(reduce(lambda a, b: a.unionByName(b), rows), 3)
+    wide, _ = X.polynomial(df, PREDICTORS)
+    sets = {"all": PREDICTORS, "habitat": ["x1", "x2", "x3"], "rain": ["annualrain"]}
+    flows = {f"{name}_norm": cols for name, cols in sets.items()} | {f"{name}_poly": X.polynomial(df, cols)[1] for name, cols in sets.items()}
+    fits = gram.search(stage(resample.repeated_folds(wide, KEYS, 10, 5, SEED), scratch(spark, "folds")), flows, "density", gram.grid(PENALTIES, MIXTURES))
+    named = fits.withColumn("model", F.concat_ws("_", "model", "penalty", "mixture"))
+    return tidy(search.rank_models(search.collect_metrics(named), "rmse"), 4)
 
 
-@query("l14_grid_search")
-def l14(spark, sf):
-    engine = E.elastic_net("density")
-    wf = X.workflow(X.standard_features(PREDICTORS), engine)
-    grid = {engine.regParam: [0.0, 0.1, 10.0], engine.elasticNetParam: [0.0, 1.0]}
-    model = search.tune(folded(spark, sf), wf, grid, "density", folds=3)
-    rows = [(float(p[engine.regParam]), float(p[engine.elasticNetParam]), float(m))
-            for p, m in zip(model.getEstimatorParamMaps(), model.avgMetrics)]
-    return tidy(spark.createDataFrame(rows, "penalty double, mixture double, rmse double"), 3)
-
-
-# fold metrics of two closed-form models, so that collection, ranking and correlation can be checked exactly
-CLOSED = f"""{FOLDS.replace('__REPEATS__', '1')},
-tr AS (SELECT h.f, avg(density) AS m, regr_slope(density, biomass) AS bb, regr_intercept(density, biomass) AS ab, regr_slope(density, richness) AS br, regr_intercept(density, richness) AS ar
-  FROM (SELECT unnest(range(1, 11)) AS f) h JOIN folds ON fold <> h.f GROUP BY ALL),
-p AS (SELECT 'biomass_line' AS model, fold, density AS y, ab + bb * biomass AS yhat FROM folds JOIN tr ON tr.f = fold
-  UNION ALL SELECT 'richness_line', fold, density, ar + br * richness FROM folds JOIN tr ON tr.f = fold),
-fm AS (SELECT model, 1::BIGINT AS repeat, fold, sqrt(avg(pow(y - yhat, 2))) AS rmse, pow(corr(y, yhat), 2) AS rsq FROM p GROUP BY ALL)"""
-
-
-def closed_fold_metrics(spark, sf):
-    """Held-out metrics of two lines over ten folds; training sums are totals minus the fold's own sums."""
-    df = resample.repeated_folds(V.staged(V.outcomes(spark, sf)), KEYS, 10, 1, SEED)
-    df = stage(df.select(*KEYS, "repeat", "fold", "density", "biomass", "richness"), scratch(spark, "folds"))
-    train = df.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(10)))).filter(F.col("held") != F.col("fold"))
-    fits = R.outcome_by_predictor_ols(train, ["repeat", "held"], ["density"], ["biomass", "richness"])
-    fits = fits.select("repeat", F.col("held").alias("fold"), "predictor", "slope", "intercept")
-    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("x")) for p in ("biomass", "richness")])).alias("c")
-    rows = df.select("repeat", "fold", "density", cells).select("repeat", "fold", "density", "c.*")
-    rows = rows.join(settled(fits), ["repeat", "fold", "predictor"])
-    rows = rows.withColumns({"prediction": F.col("intercept") + F.col("slope") * F.col("x"),
-                             "model": F.concat("predictor", F.lit("_line"))})
-    return search.score(rows, "density", keys=["model", "repeat", "fold"]).drop("n")
-
-
-@query("l15_collected_metrics", ("outcomes",), f"""
-WITH {CLOSED}, c AS (SELECT model, 'rmse' AS metric, avg(rmse) AS mean, count(*) AS n, stddev_samp(rmse) / sqrt(count(*)) AS std_err FROM fm GROUP BY ALL)
+@query("l15_collected_metrics", ("outcomes", "env"), f"""
+WITH {GRID_FIT}, c AS (SELECT model, 'rmse' AS metric, avg(rmse) AS mean, count(*) AS n, stddev_samp(rmse) / sqrt(count(*)) AS std_err FROM fm GROUP BY ALL)
 SELECT model, metric, {r('mean', 4)} AS mean, n::BIGINT AS n, {r('std_err', 4)} AS std_err, row_number() OVER (ORDER BY mean)::BIGINT AS rank FROM c""")
 def l15(spark, sf):
-    return tidy(search.rank_models(search.collect_metrics(closed_fold_metrics(spark, sf)), "rmse"), 4)
+    return tidy(search.rank_models(search.collect_metrics(grid_metrics(spark, sf)), "rmse"), 4)
+
+
+PAIRS = [(b, a) for k, b in enumerate(sorted(WORKFLOWS)) for a in sorted(WORKFLOWS)[:k]]
 
 
-@query("l16_between_model_correlation", ("outcomes",), f"""
-WITH {CLOSED}, w AS (SELECT fold, max(rsq) FILTER (WHERE model = 'biomass_line') AS a, max(rsq) FILTER (WHERE model = 'richness_line') AS b FROM fm GROUP BY ALL)
-SELECT 'richness_line' AS x, 'biomass_line' AS y, {r('corr(a, b)', 5)} AS r FROM w""")
+@query("l16_between_model_correlation", ("outcomes", "env"), f"""
+WITH {GRID_FIT}, w AS (SELECT repeat, fold, {', '.join(f"max(rsq) FILTER (WHERE model = '{m}') AS {m}" for m in sorted(WORKFLOWS))} FROM fm GROUP BY ALL)
+{' UNION ALL '.join(f"SELECT '{x}' AS x, '{y}' AS y, {r(f'corr({x}, {y})', 5)} AS r FROM w" for x, y in PAIRS)}""")
 def l16(spark, sf):
-    return tidy(search.between_model_correlation(closed_fold_metrics(spark, sf), ["biomass_line", "richness_line"]), 5)
+    return tidy(search.between_model_correlation(stage(grid_metrics(spark, sf), scratch(spark, "metrics")), sorted(WORKFLOWS)), 5)
 
 
 @query("l17_final_fit", ("outcomes",), f"""

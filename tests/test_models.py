@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siteseries.models import engines, features, neighbours, resample, search
+from siteseries.models import engines, features, gram, neighbours, resample, search
 
 
 def rows(spark, n=600):
@@ -86,3 +86,62 @@ def test_observed_minus_expected(spark):
     wf = features.workflow(features.standard_features(["x", "z"]), engines.elastic_net("y", 0.0, 0.0))
     out = search.observed_minus_expected(df, wf, "y", F.col("s") == "hot").agg(F.stddev("residual")).first()[0]
     assert out < 0.15
+
+
+def direct_elastic_net(x, y, penalty, mixture):
+    """Plain proximal gradient on the rows, predictors scaled to unit variance."""
+    mu, sd = x.mean(axis=0), x.std(axis=0)
+    z, t = (x - mu) / sd, y - y.mean()
+    step, b = 1 / (np.linalg.eigvalsh(z.T @ z / len(y)).max() + penalty), np.zeros(x.shape[1])
+    for _ in range(20_000):
+        g = b - step * (z.T @ (z @ b - t) / len(y) + penalty * (1 - mixture) * b)
+        b = np.sign(g) * np.maximum(np.abs(g) - step * penalty * mixture, 0)
+    return y.mean() - (b / sd) @ mu, b / sd
+
+
+def test_gram_search_equals_direct_fits(spark):
+    rng = np.random.default_rng(8)
+    n = 200
+    pdf = pd.DataFrame({"id": np.arange(n), "a": 1e4 + rng.normal(size=n), "b": rng.normal(size=n), "same": np.ones(n)})
+    pdf["c"] = 0.7 * pdf.b + 0.5 * rng.normal(size=n)
+    pdf["y"] = 3 * pdf.a - 2 * pdf.b + rng.normal(size=n) + 50
+    gone = pd.DataFrame({"id": [n, n + 1], "a": [None, 1.0], "b": [1.0, 1.0], "same": [1.0, 1.0], "c": [1.0, 1.0], "y": [1.0, None]})
+    df = resample.repeated_folds(spark.createDataFrame(pdf), ["id"], 4, 2)
+    folds = df.select("id", "repeat", "fold").toPandas()
+    more = spark.createDataFrame(gone, "id long, a double, b double, same double, c double, y double")
+    more = more.selectExpr(*[f"{c}" for c in pdf.columns], "1 AS repeat", "1 AS fold")
+    flows = {"all": ["a", "b", "c", "same"], "two": ["b", "c"], "none": ["same"]}
+    configs = [(0.0, 1.0), (0.3, 1.0), (0.3, 0.0), (0.5, 0.5)]
+    got = gram.search(df.unionByName(more), flows, "y", configs).collect()
+    assert len(got) == 3 * 4 * 8
+    for r in got:
+        held = set(folds[(folds.repeat == r.repeat) & (folds.fold == r.fold)].id)
+        train, test = pdf[~pdf.id.isin(held)], pdf[pdf.id.isin(held)]
+        assert r.n == len(test)
+        cols = [c for c in flows[r.model] if c != "same"]
+        if cols:
+            off, b = direct_elastic_net(train[cols].to_numpy(), train.y.to_numpy(), r.penalty, r.mixture)
+            guess = off + test[cols].to_numpy() @ b
+            assert np.allclose(r.slopes[:len(cols)], b, atol=1e-6)
+            assert r.rsq == pytest.approx(np.corrcoef(guess, test.y)[0, 1] ** 2, abs=1e-5)
+        else:
+            guess = np.full(len(test), train.y.mean())
+            assert r.rsq is None
+        assert r.rmse == pytest.approx(np.sqrt(np.mean((test.y - guess) ** 2)), rel=1e-5)
+
+
+def test_gram_search_without_rows_or_training_rows(spark):
+    schema = "x double, y double, repeat int, fold int"
+    assert gram.search(spark.createDataFrame([], schema), {"m": ["x"]}, "y", [(0.0, 0.0)]).count() == 0
+    (row,) = gram.search(spark.createDataFrame([(1.0, 2.0, 1, 1), (2.0, 3.0, 1, 1)], schema), {"m": ["x"]}, "y", [(0.0, 0.0)]).collect()
+    assert row.rmse is None and row.slopes is None and row.n == 2
+
+
+def test_wide_grams_take_several_aggregates(spark, monkeypatch):
+    monkeypatch.setattr(gram, "CHUNK", 4)
+    _, df = rows(spark)
+    df = resample.repeated_folds(df, ["id"], 3, 1)
+    a = gram.search(df, {"m": ["x", "z"]}, "y", [(0.0, 0.0)]).orderBy("fold").collect()
+    monkeypatch.setattr(gram, "CHUNK", 150)
+    b = gram.search(df, {"m": ["x", "z"]}, "y", [(0.0, 0.0)]).orderBy("fold").collect()
+    assert len(a) == 3 and all(p.rmse == pytest.approx(q.rmse) and p.slopes == pytest.approx(q.slopes) for p, q in zip(a, b))
