@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.special import f_upper_p, normal_two_sided_p, studentized_range_p, t_two_sided_p
 from siteseries.operators import fill
-from siteseries.operators.aggregate import composition_percent, seasonal
+from siteseries.operators.aggregate import composition_percent
 from siteseries.operators.joins import attach, natural_join
 from siteseries.operators.scaling import centred, log_ratio_to_mean, z_scores
 from siteseries.functions.dates import flag_window
@@ -18,7 +18,7 @@ from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 from siteseries.session import scratch_path as scratch
 from siteseries.sources.files import stage, table
-from siteseries.stats import compare as T, correlation as C, mixed as M, ordination as O, path as P, regression as R, smooth as S
+from siteseries.stats import compare as T, correlation as C, mixed as M, ordination as O, path as P, permute as N, regression as R, smooth as S
 
 KEYS = ["site_code", "collection_period"]
 VC = V.VECTOR_COLUMNS
@@ -128,27 +128,73 @@ def m8c(spark, sf):
     return tidy(O.fit_rda(community, env, RX, "density", KEYS).species.select("lowest_taxon", "axis1", "axis2"))
 
 
-@query("m9_vector_fit", ("vectors",), f"""
-SELECT variable, nobs::BIGINT AS nobs, {r('(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12)')} AS r_squared FROM ({' UNION ALL '.join(
-    f"SELECT '{c}' AS variable, count(*) AS nobs, corr({c}, x1) AS r1, corr({c}, x2) AS r2, corr(x1, x2) AS r12 FROM vectors" for c in VC[2:])})""")
+def species_and_environment(fit, xs):
+    """(keys, variable, kind, v): the transformed community and the predictors of an ordination, as one long table."""
+    species = fit.community.select(*KEYS, F.col("lowest_taxon").alias("variable"), F.lit("species").alias("kind"), F.col("hell").alias("v"))
+    return species.unionByName(fit.env.unpivot(KEYS, xs, "variable", "v").withColumn("kind", F.lit("environment")))
+
+
+# The axes of two predictors span what the predictors span, so the fit of a variable on them follows from correlations with the two.
+@query("m9_vector_fit", ("survey", "env"), f"""
+WITH {FILLED_CTE},
+u AS (SELECT site_code, collection_period, x1, x2 FROM fe WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND (site_code, collection_period) IN (SELECT site_code, collection_period FROM survey WHERE density > 0)),
+t AS (SELECT site_code, collection_period, lowest_taxon, sum(density) AS x FROM survey WHERE density > 0 GROUP BY ALL),
+d AS (SELECT site_code, collection_period, lowest_taxon, sqrt(x / sum(x) OVER (PARTITION BY site_code, collection_period)) AS hell FROM t),
+taxa AS (SELECT DISTINCT lowest_taxon FROM d JOIN u USING (site_code, collection_period)),
+v AS (SELECT lowest_taxon AS variable, 'species' AS type, x1, x2, coalesce(hell, 0) AS v FROM u CROSS JOIN taxa LEFT JOIN d USING (site_code, collection_period, lowest_taxon)
+  UNION ALL SELECT 'x1', 'environment', x1, x2, x1 FROM u UNION ALL SELECT 'x2', 'environment', x1, x2, x2 FROM u),
+c AS (SELECT variable, type, count(*) AS nobs, corr(v, x1) AS r1, corr(v, x2) AS r2, corr(x1, x2) AS r12 FROM v GROUP BY ALL)
+SELECT variable, type, nobs::BIGINT AS nobs, {r('(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12)')} AS r FROM c""")
 def m9(spark, sf):
-    return tidy(O.vector_fit(V.vectors(spark, sf), ("x1", "x2"), VC[2:]).select("variable", "nobs", "r_squared"))
+    community, env = rda_inputs(spark, sf)
+    fit = O.fit_rda(community, env, ["x1", "x2"], "density", KEYS)
+    out = N.fit_on_axes(fit.fitted_sites(2), KEYS, ("axis1", "axis2"), species_and_environment(fit, ["x1", "x2"]), 0)
+    return tidy(out.select("variable", F.col("kind").alias("type"), "nobs", "r"))
 
 
 @query("m9b_vector_fit_permutation")
 def m9b(spark, sf):
-    v = stage(V.vectors(spark, sf), scratch(spark, "vectors"))
-    return tidy(O.permutation_p(v, ["vec_id"], ("x1", "x2"), VC[2:], 99))
+    """Species and predictors on the first two axes of the whole ordination, those with p < .05 after 999 permutations."""
+    community, env = rda_inputs(spark, sf)
+    fit = O.fit_rda(community, env, RX, "density", KEYS)
+    out = N.fit_on_axes(fit.fitted_sites(2), KEYS, ("axis1", "axis2"), species_and_environment(fit, RX), 999)
+    return tidy(out.where("p < 0.05").select("variable", "r", "p", "axis1", "axis2", F.col("kind").alias("type")))
+
 
+SLICES = {"all": "true", "1997-1998": "year(collection_period) IN (1997, 1998)", "1999-2000": "year(collection_period) IN (1999, 2000)",
+          "Winter": "month(collection_period) IN (11, 12, 1, 2, 3)", "Spring": "month(collection_period) IN (4, 5, 6)",
+          "Summer": "month(collection_period) IN (7, 8)", "Fall": "month(collection_period) IN (9, 10)"}
 
-@query("m10_redundancy_by_season")
+
+def sliced(env):
+    """Units by slice: all, the two date slices and the seasons."""
+    names = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule in SLICES.items()]))
+    return env.withColumn("slice", F.explode(names))
+
+
+@query("m10_redundancy_by_slice")
 def m10(spark, sf):
     community, env = rda_inputs(spark, sf)
-    parts = []
-    for name in ("Winter", "Spring", "Summer", "Fall"):
-        fit = O.fit_rda(seasonal(community).filter(F.col("season") == name).drop("season"), env, RX, "density", KEYS)
-        parts.append(fit.axes(spark, 2).withColumn("slice", F.lit(name)))
-    return tidy(reduce(lambda a, b: a.unionByName(b), parts))
+    return tidy(O.rda_axes_by(community, sliced(env), RX, "density", KEYS, "slice"))
+
+
+# Of two predictors the eigenvalues follow from the trace and the determinant of a 2 x 2 matrix.
+@query("m10b_redundancy_two_predictors", ("survey", "env"), f"""
+WITH {FILLED_CTE},
+u AS (SELECT site_code, collection_period, x1, x2 FROM fe WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND (site_code, collection_period) IN (SELECT site_code, collection_period FROM survey WHERE density > 0)),
+sl AS ({' UNION ALL '.join(f"SELECT '{name}' AS slice, * FROM u WHERE {rule}" for name, rule in SLICES.items())}),
+mo AS (SELECT slice, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_samp(x1) * (count(*) - 1) AS s11, var_samp(x2) * (count(*) - 1) AS s22, covar_samp(x1, x2) * (count(*) - 1) AS s12 FROM sl GROUP BY ALL),
+t AS (SELECT site_code, collection_period, lowest_taxon, sum(density) AS x FROM survey WHERE density > 0 GROUP BY ALL),
+d AS (SELECT site_code, collection_period, lowest_taxon, sqrt(x / sum(x) OVER (PARTITION BY site_code, collection_period)) AS hell FROM t),
+g AS (SELECT sl.slice, lowest_taxon, sum(hell * (x1 - m1)) AS g1, sum(hell * (x2 - m2)) AS g2, sum(hell * hell) AS ss, sum(hell) AS s
+  FROM sl JOIN mo ON mo.slice = sl.slice JOIN d USING (site_code, collection_period) GROUP BY ALL),
+mm AS (SELECT g.slice, any_value(n) AS n, sum(g1 * g1) AS a, sum(g1 * g2) AS b, sum(g2 * g2) AS c, sum(ss - s * s / n) AS total FROM g JOIN mo ON mo.slice = g.slice GROUP BY g.slice),
+td AS (SELECT mm.slice, mm.n, total, (a * s22 - 2 * b * s12 + c * s11) / (s11 * s22 - s12 * s12) AS tr, (a * c - b * b) / (s11 * s22 - s12 * s12) AS det FROM mm JOIN mo ON mo.slice = mm.slice),
+ev AS (SELECT slice, n, total, tr, 1::BIGINT AS axis, (tr + sqrt(tr * tr - 4 * det)) / 2 AS v FROM td UNION ALL SELECT slice, n, total, tr, 2, (tr - sqrt(tr * tr - 4 * det)) / 2 FROM td)
+SELECT slice, axis, {r('v / (n - 1)')} AS eigenvalue, {r('v / total')} AS variation_explained, {r('v / tr')} AS constrained_share, n::BIGINT AS n FROM ev""")
+def m10b(spark, sf):
+    community, env = rda_inputs(spark, sf)
+    return tidy(O.rda_axes_by(community, sliced(env), ["x1", "x2"], "density", KEYS, "slice"))
 
 
 # --- regression --------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Principal components, constrained ordination and vector fitting.
+"""Principal components and constrained ordination.
 
 The data meet Spark aggregates only; eigenproblems are k x k with k the number of predictors.
 """
@@ -11,10 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.functions.numeric import ratio, seeded_hash
 from siteseries.operators.diversity import hellinger
-from siteseries.operators.joins import natural_join, with_group_stats
-from siteseries.operators.ranking import cumulative_counts
+from siteseries.operators.joins import natural_join, settled, with_group_stats
 from siteseries.session import scratch_path
 from siteseries.sources.files import stage
 from siteseries.stats.moments import covariance, group_covariances, matrix_of
@@ -188,50 +186,53 @@ def fit_rda(community: DataFrame, env: DataFrame, xs: list[str], value: str, uni
     return RDA(xs, unit, taxon, n, means, values / (n - 1), row["total"] / (n - 1), weights, species, long, env)
 
 
-def vector_fit(df: DataFrame, axes: tuple[str, str], variables: list[str]) -> DataFrame:
-    """Squared multiple correlation of each variable with two axes, and the direction of its arrow.
+def rda_axes_by(community: DataFrame, env: DataFrame, xs: list[str], value: str, unit: list[str], slice: str,
+                taxon: str = "lowest_taxon") -> DataFrame:
+    """Axes of a redundancy analysis of every slice at once: slice, axis, eigenvalue, variation_explained, constrained_share, n.
 
-    r2 = (r1^2 + r2^2 - 2 r1 r2 r12) / (1 - r12^2), all correlations from one aggregate.
+    `env` (slice, unit, xs) names the units of each slice; a unit may be in several. The community is transformed once; one
+    aggregate keyed by slice and taxon gives the cross-products, one keyed by slice folds them, and a worker solves a p x p
+    problem per slice. Slices whose predictors do not vary, or are collinear, have no axes.
     """
-    a, b = axes
-    v = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in variables])
-    rows = df.select(a, b, F.explode(v).alias("e")).select(a, b, "e.*").filter(F.col("v").isNotNull())
-    c = rows.groupBy("variable").agg(
-        F.corr("v", a).alias("r1"), F.corr("v", b).alias("r2c"), F.corr(a, b).alias("r12"),
-        F.stddev_samp(a).alias("s1"), F.stddev_samp(b).alias("s2"), F.count(F.lit(1)).alias("nobs"))
-    one = 1.0 - F.pow("r12", 2)
-    b1, b2 = ratio(F.col("r1") - F.col("r2c") * F.col("r12"), one), ratio(F.col("r2c") - F.col("r1") * F.col("r12"), one)
-    d1, d2 = ratio(b1, "s1"), ratio(b2, "s2")
-    size = F.sqrt(d1 * d1 + d2 * d2)
-    return c.select("variable", "nobs", (F.col("r1") * b1 + F.col("r2c") * b2).alias("r_squared"),
-                    ratio(d1, size).alias("arrow1"), ratio(d2, size).alias("arrow2"))
-
-
-def permutation_p(df: DataFrame, key: list[str], axes: tuple[str, str], variables: list[str],
-                  permutations: int = 199, seed: int = 1503) -> DataFrame:
-    """p = (1 + number of shuffled r2 at least as large) / (1 + permutations).
-
-    Every row is repeated once per permutation; a row's variables move to the row whose position in the
-    original order equals its own position in a seeded hash order. Positions come from distributed
-    ranks, so a permutation is spread over many tasks. The count of permutations is a parameter.
-    """
-    a, b = axes
-    rows = df.select(*key, a, b, *variables).dropna("any").withColumn("_h", seeded_hash(seed, *key))
-    order = cumulative_counts(rows, [], "_h").select("_h", F.col("below").alias("_pos"))
-    fixed = rows.join(order, "_h").select("_pos", a, b)
-    moved = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    moved = moved.withColumn("_g", F.md5(F.concat_ws("|", F.lit(str(seed)), "_h", F.col("perm").cast("string"))))
-    places = cumulative_counts(moved, ["perm"], "_g").select("perm", "_g", F.col("below").alias("_pos"))
-    shuffled = moved.select("perm", "_g", *variables).join(places, ["perm", "_g"]).join(fixed, "_pos")
-    v = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in variables])
-    c = shuffled.select("perm", a, b, F.explode(v).alias("e")).select("perm", a, b, "e.*").groupBy("perm", "variable").agg(
-        F.corr("v", a).alias("r1"), F.corr("v", b).alias("r2c"), F.corr(a, b).alias("r12"))
-    c = c.withColumn("r_perm", ratio(F.pow("r1", 2) + F.pow("r2c", 2) - 2 * F.col("r1") * F.col("r2c") * F.col("r12"),
-                                     1.0 - F.pow("r12", 2)))
-    seen = vector_fit(rows, axes, variables)
-    tail = natural_join(c, seen, "inner", ["variable"]).groupBy("variable").agg(
-        ((F.sum(F.when(F.col("r_perm") >= F.col("r_squared") - 1e-12, 1).otherwise(0)) + 1.0) / (permutations + 1.0)).alias("p_value"))
-    return natural_join(seen, tail, "left", ["variable"])
+    p, spark = len(xs), community.sparkSession
+    env = env.select(slice, *unit, *xs).dropna("any", subset=xs)
+    rows = community.filter(F.col(value) > 0).groupBy(*unit, taxon).agg(F.sum(value).alias(value))
+    long = natural_join(hellinger(rows, value, unit).drop(value), env.select(*unit).distinct(), "semi", unit)
+    long = stage(long.select(*unit, taxon, "hell"), scratch_path(spark, "community"))
+    env = stage(natural_join(env, long.select(*unit).distinct(), "semi", unit), scratch_path(spark, "predictors"))
+    moments = stage(group_covariances(env, [slice], xs), scratch_path(spark, "moments"))
+    centres = moments.select(slice, *[F.col(f"`mu|{c}`").alias(f"mu{i}") for i, c in enumerate(xs)])
+    near = natural_join(env, settled(centres), "inner", [slice])
+    near = near.select(slice, *unit, *[(F.col(c) - F.col(f"mu{i}")).alias(f"d{i}") for i, c in enumerate(xs)])
+    per_taxon = natural_join(long, near, "inner", unit).groupBy(slice, taxon).agg(
+        *[F.sum(F.col("hell") * F.col(f"d{i}")).alias(f"g{i}") for i in range(p)],
+        F.sum(F.col("hell") * F.col("hell")).alias("ss"), F.sum("hell").alias("s"))
+    counted = natural_join(per_taxon, settled(moments.select(slice, "n")), "inner", [slice])
+    folded = counted.groupBy(slice).agg(
+        F.array(*[F.sum(F.col(f"g{i}") * F.col(f"g{j}")) for i in range(p) for j in range(p)]).alias("m"),
+        F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("total"))
+    cov = F.array(*[F.col(f"`{xs[min(i, j)]}|{xs[max(i, j)]}`") for i in range(p) for j in range(p)])
+    solved = natural_join(folded, moments.select(slice, "n", cov.alias("cov")), "inner", [slice])
+
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                s = np.array(r.cov, float).reshape(p, p) * (r.n - 1)
+                m = np.array(r.m, float).reshape(p, p)
+                if not np.isfinite(s).all() or np.linalg.matrix_rank(s) < p:
+                    continue
+                half = np.linalg.cholesky(np.linalg.inv(s))
+                values = np.sort(np.maximum(np.linalg.eigvalsh(half.T @ m @ half), 0.0))[::-1]
+                for k, v in enumerate(values):
+                    out.append((r.name, k + 1, v / (r.n - 1), v / r.total, v / values.sum() if values.sum() else None, r.n))
+            yield pd.DataFrame(out, columns=[slice, "axis", "eigenvalue", "variation_explained", "constrained_share", "n"])
+
+    kind = dict(env.dtypes)[slice]
+    schema = f"`{slice}` {kind}, axis int, eigenvalue double, variation_explained double, constrained_share double, n long"
+    return solved.select(F.col(slice).alias("name"), "m", "total", "n", "cov").mapInPandas(solve, schema)
 
 
 def site_means(scores: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteseries.functions import special as S
-from siteseries.stats import compare, correlation, mixed, ordination, path, regression, smooth
+from siteseries.stats import compare, correlation, mixed, ordination, path, permute, regression, smooth
 
 
 def frame(spark, n=200, seed=0):
@@ -164,13 +164,86 @@ def test_rda_against_dense_algebra(spark):
     assert min(np.abs(lc - fitted @ vt[0]).max(), np.abs(lc + fitted @ vt[0]).max()) < 1e-10
 
 
-def test_vector_fit_and_permutations(spark):
-    pdf, df = frame(spark, 120)
-    df = df.withColumn("id", F.monotonically_increasing_id())
-    got = ordination.permutation_p(df, ["id"], ("a", "b"), ["y", "c"], 49).toPandas().set_index("variable")
-    _, _, rss, _ = ols(pdf[["a", "b"]].to_numpy(), pdf.y.to_numpy())
-    assert got.loc["y", "r_squared"] == pytest.approx(1 - rss / ((pdf.y - pdf.y.mean()) ** 2).sum())
-    assert got.loc["y", "p_value"] == pytest.approx(1 / 50) and got.loc["c", "p_value"] > 0.02
+def test_permutations_are_bijections():
+    for n in (1, 2, 3, 17, 64, 65, 1000):
+        to = permute.permuted(np.arange(n), n, np.arange(1, 30, dtype=np.uint64))
+        assert (np.sort(to, axis=0) == np.arange(n)[:, None]).all()
+    # every row goes everywhere about equally often
+    to = permute.permuted(np.arange(8), 8, np.arange(1, 4001, dtype=np.uint64))
+    seen = np.stack([np.bincount(row, minlength=8) for row in to])
+    assert np.abs(seen - 500).max() < 6 * np.sqrt(500)
+    # as many different ones as random draws from all 40320 permutations would give
+    assert abs(len({tuple(c) for c in to.T}) - 40320 * (1 - np.exp(-4000 / 40320))) < 80
+
+
+def fits_by_brute_force(ids, axes, variables, permutations, seed):
+    """r and p of each variable, by dense least squares on every permutation of the hash order."""
+    from hashlib import md5
+
+    order = sorted(range(len(ids)), key=lambda k: md5(f"{seed}|{ids[k]}".encode()).hexdigest())
+    row = np.empty(len(ids), dtype=int)
+    row[order] = np.arange(len(ids))
+    keys = np.arange(1, permutations + 1, dtype=np.uint64) + np.uint64(seed << 20)
+    to = permute.permuted(np.arange(len(ids)), len(ids), keys)
+    by_row = np.empty_like(axes)
+    by_row[row] = axes
+
+    def r2(y, x):
+        x = x - x.mean(axis=0)
+        y = y - y.mean()
+        return 1 - ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum() / (y ** 2).sum()
+
+    out = {}
+    for name, y in variables.items():
+        seen = r2(y, axes)
+        made = [r2(y, by_row[to[row, k]]) for k in range(permutations)]
+        out[name] = seen, (1 + sum(m >= seen - 1e-12 for m in made)) / (1 + permutations)
+    return out
+
+
+@pytest.mark.parametrize("part, held", [(1 << 22, 32 << 20), (17, 1)])
+def test_fits_on_axes_equal_brute_force(spark, monkeypatch, part, held):
+    """Also with scores in several parts and sums handed on at once."""
+    monkeypatch.setattr(permute, "SCORES", part)
+    monkeypatch.setattr(permute, "HELD", held)
+    rng = np.random.default_rng(6)
+    n = 60
+    axes = rng.normal(size=(n, 2)) + 5
+    variables = {"linked": axes[:, 0] - axes[:, 1] + 0.3 * rng.normal(size=n), "sparse": np.where(rng.random(n) < 0.2, rng.random(n), 0.0),
+                 "loose": rng.normal(size=n) + 0.3 * axes[:, 0]}
+    sites = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(axes)] + [(n, None, 1.0)], "id long, a double, b double")
+    long = [(k, name, "x", float(v)) for name, y in variables.items() for k, v in enumerate(y) if v] + [(k, "flat", "x", 2.0) for k in range(n)]
+    values = spark.createDataFrame(long + [(n, "linked", "x", 9.0), (0, "loose", "x", None)], "id long, variable string, kind string, v double").repartition(3)
+    got = {r.variable: r for r in permute.fit_on_axes(sites, ["id"], ("a", "b"), values, 99, 7).collect()}
+    want = fits_by_brute_force(list(range(n)), axes, variables, 99, 7)
+    assert got.keys() == want.keys() | {"flat"} and got["flat"].r is None and got["flat"].p is None
+    for name, (r, p) in want.items():
+        assert got[name].r == pytest.approx(r) and got[name].p == pytest.approx(p) and got[name].nobs == n
+        assert got[name].axis1 ** 2 + got[name].axis2 ** 2 == pytest.approx(1)
+    assert got["linked"].p == pytest.approx(0.01) and got["linked"].axis1 > 0 > got["linked"].axis2
+    none = permute.fit_on_axes(sites.limit(0), ["id"], ("a", "b"), values, 9).collect()
+    assert all(r.r is None for r in none)
+
+
+def test_sliced_ordination_equals_fits_of_the_slices(spark):
+    rng = np.random.default_rng(4)
+    rows, env = [], []
+    for k in range(60):
+        for taxon in range(6):
+            if rng.random() < 0.6:
+                rows.append((f"u{k}", f"t{taxon}", float(rng.integers(1, 9))))
+        env.append((f"u{k}", float(rng.normal()), float(rng.normal()), ["even", "odd"][k % 2]))
+    community = spark.createDataFrame(rows, "uid string, lowest_taxon string, v double")
+    table = spark.createDataFrame(env, "uid string, x double, z double, part string")
+    both = table.withColumn("slice", F.explode(F.array(F.lit("all"), "part"))).unionByName(
+        table.limit(1).withColumn("slice", F.lit("one")), allowMissingColumns=True)
+    got = {(r.slice, r.axis): r for r in ordination.rda_axes_by(community, both, ["x", "z"], "v", ["uid"], "slice").collect()}
+    assert {s for s, _ in got} == {"all", "even", "odd"}
+    for name, some in (("all", table), ("even", table.where("part = 'even'")), ("odd", table.where("part = 'odd'"))):
+        fit = ordination.fit_rda(community, some, ["x", "z"], "v", ["uid"])
+        for k in range(2):
+            assert got[name, k + 1].eigenvalue == pytest.approx(fit.values[k]) and got[name, k + 1].n == fit.n
+            assert got[name, k + 1].variation_explained == pytest.approx(fit.share[k])
 
 
 def test_path_model(spark):
