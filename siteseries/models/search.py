@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteseries.functions.numeric import ratio
+from siteseries.operators.joins import natural_join
 from siteseries.stats.correlation import correlation_pairs
 
 
@@ -89,12 +90,18 @@ def finalise(df: DataFrame, wf: Pipeline, label: str, part: str = "part") -> tup
     return model, score(model.transform(df.filter(F.col(part) == "test")), label)
 
 
-def observed_minus_expected(df: DataFrame, wf: Pipeline, label: str, is_base: Column) -> DataFrame:
-    """Fit on baseline rows, predict all rows, and take residual and guarded log ratio."""
+def observed_minus_expected(df: DataFrame, wf: Pipeline, label: str, is_base: Column, events: DataFrame | None = None,
+                            ratios: tuple[str, ...] = ()) -> DataFrame:
+    """Fit on baseline rows, predict all rows and take the residual, beside the logs of the event statistics of `events`.
+
+    `events` is joined on the columns it shares with the rows, null keys included; each of its `ratios` gives an `ln_` column,
+    null where the ratio is not positive. Rows without an event keep their residual.
+    """
     model = wf.fit(df.filter(is_base))
-    out = model.transform(df)
-    r = ratio(label, "prediction")
-    return out.withColumns({"residual": F.col(label) - F.col("prediction"), "ln_ratio": F.when(r > 0, F.ln(r))})
+    out = model.transform(df).withColumn("residual", F.col(label) - F.col("prediction"))
+    if events is not None:
+        out = natural_join(out, events, "left")
+    return out.withColumns({f"ln_{c}": F.when(F.col(c) > 0, F.ln(c)) for c in ratios})
 
 
 def importance(model: PipelineModel, cols: list[str]) -> list[tuple[str, float]]:

@@ -72,11 +72,13 @@ def j7(spark, sf):
 @query("j8_grid_with_gaps", ("env",), f"""
 SELECT g.site_code, g.collection_period, {r('e.x1')} AS x1 FROM (
   SELECT * FROM (SELECT DISTINCT site_code FROM env) CROSS JOIN
-    (SELECT CAST(m AS DATE) AS collection_period FROM generate_series(DATE '1994-06-01', DATE '2002-05-01', INTERVAL 1 MONTH) t(m))) g
+    (SELECT CAST(unnest(generate_series(min(collection_period) - INTERVAL 7 MONTH, max(collection_period) + INTERVAL 6 MONTH, INTERVAL 1 MONTH)) AS DATE) AS collection_period FROM env)) g
 LEFT JOIN env e ON e.site_code = g.site_code AND e.collection_period = g.collection_period""")
 def j8(spark, sf):
     e = V.staged(V.env(spark, sf))
-    grid = J.key_grid(e.select("site_code"), "collection_period", month_sequence("1994-06-01", 96))
+    # a margin of gaps around the data's own months
+    first, months = V.survey_months(e.withColumn("collection_period", F.add_months("collection_period", -7)))
+    grid = J.key_grid(e.select("site_code"), "collection_period", month_sequence(first, months + 13))
     return tidy(J.on_grid(grid, e.select(*KEYS, "x1")))
 
 

@@ -13,7 +13,7 @@ from siteseries.operators.aggregate import composition_percent
 from siteseries.operators.joins import attach, natural_join
 from siteseries.operators.scaling import centred, log_ratio_to_mean, z_scores
 from siteseries.functions.dates import flag_window
-from siteseries.functions.numeric import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_LOW, ln_pos
+from siteseries.functions.numeric import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, QUANTILE_LOW, ln_pos, ratio
 from siteseries.plans import views as V
 from siteseries.plans.registry import query, r, tidy
 from siteseries.session import scratch_path as scratch
@@ -305,6 +305,17 @@ def m17(spark, sf):
     return tidy(T.flag_significant(p), 7)
 
 
+@query("m17b_sidak_of_welch")
+def m17b(spark, sf):
+    """The p-values of m16 by metric side by side, each flagged against the threshold over the periods of its metric."""
+    base = flag_window("collection_period", *V.TEST, "none") == "baseline"
+    out = T.welch_vs_baseline(V.staged(centred_long(spark, sf)), ["metric"], "collection_period", "v", base)
+    out = out.withColumn("p_value", t_two_sided_p("t_stat", "df")).select("metric", "collection_period", "p_value")
+    wide = out.groupBy("collection_period").pivot("metric", OUT).agg(F.first("p_value"))
+    long = wide.unpivot(["collection_period"], OUT, "metric", "p_value").where("p_value IS NOT NULL")
+    return tidy(T.flag_significant(long), 7)
+
+
 FAMILY_Z = """f AS (SELECT family, site_code, collection_period, ln(sum(density)) AS v FROM survey GROUP BY ALL),
 z AS (SELECT family, CASE WHEN month(collection_period) IN (11, 12, 1, 2, 3) THEN 'Winter' WHEN month(collection_period) IN (4, 5, 6) THEN 'Spring'
   WHEN month(collection_period) IN (7, 8) THEN 'Summer' ELSE 'Fall' END AS season,
@@ -441,26 +452,26 @@ def m24(spark, sf):
 @query("m24b_mixed_residuals")
 def m24b(spark, sf):
     rows = mixed_rows(spark, sf)
-    fit = M.fit_mixed(rows, MODELS, "site_code", "t", ["x"], "y")
+    fit = M.fit_mixed(rows, MODELS, "site_code", "t", ["x"], "y", ar1=True)
     out = M.residuals(rows, fit, MODELS, "site_code", ["x"], "y")
     return tidy(out.select(*MODELS, "site_code", "t", "fitted", "residual"), 4)
 
 
 @query("m25_random_intercept_interaction")
 def m25(spark, sf):
-    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x", "annualrain", "x_rain"], "y")
+    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x", "annualrain", "x_rain"], "y", ar1=True)
     return tidy(natural_join(fit.coefficients, fit.summary, "left", MODELS), 4)
 
 
 @query("m26_random_slope")
 def m26(spark, sf):
-    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x"], "y", slope="x")
+    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x"], "y", slope="x", ar1=True)
     return tidy(fit.effects, 4)
 
 
 @query("m27_second_stage_slopes")
 def m27(spark, sf):
-    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x"], "y", slope="x")
+    fit = M.fit_mixed(mixed_rows(spark, sf), MODELS, "site_code", "t", ["x"], "y", slope="x", ar1=True)
     slopes = natural_join(fit.effects, V.site_dim(spark, sf).select("site_code", "annualrain"), "left", ["site_code"])
     return tidy(R.simple_ols(slopes, MODELS, "annualrain", "slope").select(*MODELS, "slope", "r2", "f_stat", "nobs"))
 
@@ -468,7 +479,7 @@ def m27(spark, sf):
 @query("m28_model_table")
 def m28(spark, sf):
     rows = mixed_rows(spark, sf)
-    return tidy(M.model_table(M.fit_mixed(rows, MODELS, "site_code", "t", ["x"], "y"), MODELS, "x"), 4)
+    return tidy(M.model_table(M.fit_mixed(rows, MODELS, "site_code", "t", ["x"], "y", ar1=True), MODELS, "x"), 4)
 
 
 # --- path models -------------------------------------------------------------------------------
@@ -519,7 +530,7 @@ def m30(spark, sf):
 def m31(spark, sf):
     params, fits = P.path_models(path_rows(spark, sf), ["LRR_density", "LRR_biomass"], PATH, ["event"])
     # both event sets reported; the label rule is relaxed through its parameters where a fit is poor
-    fits = fits.withColumn("model_fit", P.fit_label(chi2_min=-1.0, rmsea_max=1.0, cfi_min=-1.0))
+    fits = fits.withColumn("model_fit", P.fit_label())
     return tidy(P.compare_sets(params, fits, "event", {"flood": "f", "drought": "d"}, {"^LRR_": ""}), 4)
 
 
@@ -593,16 +604,22 @@ def m37(spark, sf):
     return tidy(S.convex_hull(V.vectors(spark, sf), ["label"], "x1", "x2").drop("corner"))
 
 
-@query("m38_observed_minus_expected", ("outcomes",), f"""
-WITH f AS (SELECT regr_slope(richness, annualrain) AS b, regr_intercept(richness, annualrain) AS a FROM outcomes WHERE NOT ({TEST_SQL}))
-SELECT site_code, collection_period, {r('richness - a - b * annualrain', 5)} AS residual, {r('ln(richness / (a + b * annualrain))', 5)} AS ln_ratio FROM outcomes, f""")
+@query("m38_observed_minus_expected", ("outcomes", "flow"), f"""
+WITH f AS (SELECT regr_slope(ln(density), annualrain) AS b, regr_intercept(ln(density), annualrain) AS a FROM outcomes WHERE NOT ({TEST_SQL})),
+e AS (SELECT site_code AS site_group, max(q) FILTER (WHERE d >= DATE '1997-08-27' AND d < DATE '1997-08-27' + 28) / median(q) AS flood_ratio FROM flow GROUP BY ALL)
+SELECT site_code, collection_period, {r('a + b * annualrain', 5)} AS prediction, {r('ln(density) - a - b * annualrain', 5)} AS residual, {r('ln(flood_ratio)', 5)} AS ln_flood_ratio
+FROM outcomes o LEFT JOIN e ON e.site_group IS NOT DISTINCT FROM o.site_group, f""")
 def m38(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     from siteseries.models import engines, features, search
 
-    o = stage(V.outcomes(spark, sf), scratch(spark, "outcomes"))
-    wf = features.workflow([VectorAssembler(inputCols=["annualrain"], outputCol="features")], engines.elastic_net("richness", 0.0, 0.0))
+    o = stage(V.outcomes(spark, sf).withColumn("ln_density", ln_pos("density")), scratch(spark, "outcomes"))
+    wf = features.workflow([VectorAssembler(inputCols=["annualrain"], outputCol="features")], engines.elastic_net("ln_density", 0.0, 0.0))
     base = flag_window("collection_period", *V.TEST, "none") == "baseline"
-    out = search.observed_minus_expected(o, wf, "richness", base)
-    return tidy(out.select(*KEYS, "residual", "ln_ratio"), 5)
+    # the flood of the event: the largest flow of the four weeks from its day on, over the median of the series
+    near = F.col("d").between(F.lit("1997-08-27").cast("date"), F.date_add(F.lit("1997-08-27").cast("date"), 27))
+    events = V.flow(spark, sf).groupBy(F.col("site_code").alias("site_group")).agg(
+        ratio(F.max(F.when(near, F.col("q"))), F.median("q")).alias("flood_ratio"))
+    out = search.observed_minus_expected(o, wf, "ln_density", base, events, ("flood_ratio",))
+    return tidy(out.select(*KEYS, "prediction", "residual", "ln_flood_ratio"), 5)

@@ -126,16 +126,41 @@ def _hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(pts)[:-1] + half(pts[::-1])[:-1])
 
 
+def outer_points(rows: DataFrame, keys: list[str], directions: int = 64) -> DataFrame:
+    """Rows (keys, x, y) without those strictly inside the polygon of their group's extreme points.
+
+    One partial aggregate finds, for each of some directions, the point that lies farthest out; joined in turn these corners form a
+    convex polygon of hull points, and built-in functions drop what it contains. No corner of the hull is dropped.
+    """
+    angles = [2 * math.pi * k / directions for k in range(directions)]
+    point = F.struct("x", "y")
+    far = [F.max_by(point, F.struct((F.col("x") * math.cos(t) + F.col("y") * math.sin(t)).alias("reach"), F.col("x"), F.col("y"))) for t in angles]
+    corners = settled(rows.groupBy(*keys).agg(F.array(*far).alias("corners")), 20_000)
+    joined = natural_join(rows, corners, "left", keys)
+    following = F.concat(F.slice("corners", 2, directions - 1), F.slice("corners", 1, 1))
+    edges = F.filter(F.zip_with("corners", following, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda e: e["a"] != e["b"])
+
+    def beyond(e):
+        """Not clearly left of the edge: a little room is left for rounding."""
+        (ax, ay), (bx, by) = ((e[p]["x"], e[p]["y"]) for p in ("a", "b"))
+        width, height = bx - ax, by - ay
+        turn = width * (F.col("y") - ay) - height * (F.col("x") - ax)
+        return turn <= 1e-9 * (F.abs(width) + F.abs(height)) * (F.abs(F.col("x") - ax) + F.abs(F.col("y") - ay))
+
+    return joined.where((F.size(edges) < 3) | F.exists(edges, beyond)).drop("corners")
+
+
 def convex_hull(df: DataFrame, keys: list[str], x: str, y: str, lanes: int = 16) -> DataFrame:
     """Hull corners per group in order.
 
-    Each input batch is first reduced to the corners of its own hulls inside its task, then corners are
-    merged per (group, lane) and finally per group. The hull of hulls is the hull of all points, so the
-    reduction is exact and no group is gathered raw.
+    Built-in functions drop points inside the polygon of each group's extreme points; of the few that are left, each input batch
+    is reduced to the corners of its own hulls inside its task, then corners are merged per (group, lane) and finally per group.
+    The hull of hulls is the hull of all points, so the reduction is exact and no group is gathered raw.
     """
     types = dict(df.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna("any", subset=["x", "y"])
+    rows = outer_points(rows, keys)
 
     def local(batches):
         for pdf in batches:

@@ -82,10 +82,14 @@ def test_normalise_uses_training_rows_only(spark):
 
 
 def test_observed_minus_expected(spark):
-    _, df = rows(spark)
+    pdf, df = rows(spark)
     wf = features.workflow(features.standard_features(["x", "z"]), engines.elastic_net("y", 0.0, 0.0))
-    out = search.observed_minus_expected(df, wf, "y", F.col("s") == "hot").agg(F.stddev("residual")).first()[0]
-    assert out < 0.15
+    events = spark.createDataFrame([("hot", 2.0), ("cold", 5.0), (None, 3.0)], "s string, flood double")
+    nulls = df.unionByName(df.limit(1).withColumn("s", F.lit(None).cast("string")))
+    out = search.observed_minus_expected(nulls, wf, "y", F.col("s") == "hot", events, ("flood",)).toPandas()
+    assert len(out) == len(pdf) + 1 and out.residual.std() == pytest.approx(0.1, abs=0.03)
+    assert out[out.s == "hot"].ln_flood.to_numpy() == pytest.approx(np.log(2)) and out[out.s == "b"].ln_flood.isna().all()
+    assert out[out.s.isna()].ln_flood.to_numpy() == pytest.approx(np.log(3))
 
 
 def direct_elastic_net(x, y, penalty, mixture):

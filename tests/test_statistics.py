@@ -363,6 +363,18 @@ def test_histogram_and_box(spark):
         assert b.loc[g, "outliers"] == len(p) - len(inside)
 
 
+def test_points_inside_the_extremes_are_dropped_and_no_corner_is(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": np.where(rng.random(5000) < 0.9, "hot", "b"), "x": 1e6 + rng.normal(size=5000), "y": rng.normal(size=5000)})
+    more = pd.DataFrame({"g": ["line"] * 4 + ["one", "two", "two"] + ["square"] * 5, "x": [0, 1, 2, 3, 5, 1, 1, 0, 0, 1, 1, 0.5], "y": [0, 1, 2, 3, 5, 1, 2, 0, 1, 0, 1, 0.5]})
+    pdf = pd.concat([pdf, more.astype({"x": float, "y": float})])
+    left = smooth.outer_points(spark.createDataFrame(pdf), ["g"]).toPandas()
+    assert len(left) < 400
+    kept = set(map(tuple, left[["g", "x", "y"]].to_numpy()))
+    for g, p in pdf.groupby("g"):
+        assert {(g, *c) for c in smooth._hull(p[["x", "y"]].to_numpy())} <= kept
+
+
 def test_convex_hull_contains_every_point(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"g": np.where(rng.random(2000) < 0.9, "hot", "b"), "x": rng.normal(size=2000), "y": rng.normal(size=2000)})
