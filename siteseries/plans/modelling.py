@@ -75,6 +75,23 @@ def l5(spark, sf):
     return tidy(out.select(*KEYS, *cols))
 
 
+POLY = ["biomass", "annualrain"]
+
+
+@query("l5b_orthogonal_polynomials", ("outcomes",), f"""
+WITH {SPLIT},
+a AS (SELECT {', '.join(f"avg({c}) AS {c}_a0" for c in POLY)} FROM split WHERE part = 'train'),
+b AS (SELECT {', '.join(f"sum(pow({c} - {c}_a0, 2)) AS {c}_n2, sum(pow({c} - {c}_a0, 3)) / sum(pow({c} - {c}_a0, 2)) AS {c}_a1, sum(pow({c} - {c}_a0, 2)) / count(*) AS {c}_b1" for c in POLY)}
+  FROM split, a WHERE part = 'train'),
+q AS (SELECT site_code, collection_period, part, {', '.join(f"({c} - {c}_a0) / sqrt({c}_n2) AS {c}_o1, ({c} - {c}_a0 - {c}_a1) * ({c} - {c}_a0) - {c}_b1 AS {c}_q" for c in POLY)} FROM split, a, b),
+n AS (SELECT {', '.join(f"sqrt(sum({c}_q * {c}_q)) AS {c}_n" for c in POLY)} FROM q WHERE part = 'train')
+SELECT site_code, collection_period, part, {', '.join(f"{r(f'{c}_o1')} AS {c}_o1, {r(f'{c}_q / {c}_n')} AS {c}_o2" for c in POLY)} FROM q, n""")
+def l5b(spark, sf):
+    s = V.staged(resample.stratified_split(V.staged(V.outcomes(spark, sf).select(*KEYS, *POLY)), KEYS, ["site_code"], 0.8, SEED))
+    out, cols = X.orthogonal_polynomial(s, POLY, F.col("part") == "train")
+    return tidy(out.select(*KEYS, "part", *cols))
+
+
 def _finished(spark, sf, stages, engine, label="density"):
     """Split, fit on the training part, score the test part once."""
     df = stage(resample.stratified_split(staged(spark, sf), KEYS, ["site_code"], 0.8, SEED), scratch(spark, "split"))
@@ -104,12 +121,12 @@ def l9(spark, sf):
 
 @query("l10_random_forest")
 def l10(spark, sf):
-    return _finished(spark, sf, plain(PREDICTORS), E.forest("density", 100))
+    return _finished(spark, sf, plain(PREDICTORS), E.forest("density"))
 
 
 @query("l11_boosted_trees")
 def l11(spark, sf):
-    return _finished(spark, sf, plain(PREDICTORS), E.boosted("density", 10, 3))
+    return _finished(spark, sf, plain(PREDICTORS), E.boosted("density"))
 
 
 @query("l12_nearest_neighbours", ("vectors",), f"""
@@ -235,5 +252,5 @@ def l18(spark, sf):
 
 @query("l19_importance")
 def l19(spark, sf):
-    model = X.workflow(plain(PREDICTORS), E.forest("density", 50)).fit(staged(spark, sf))
+    model = X.workflow(plain(PREDICTORS), E.forest("density")).fit(staged(spark, sf))
     return tidy(spark.createDataFrame(search.importance(model, PREDICTORS), "variable string, importance double"))

@@ -149,3 +149,24 @@ def test_wide_grams_take_several_aggregates(spark, monkeypatch):
     monkeypatch.setattr(gram, "CHUNK", 150)
     b = gram.search(df, {"m": ["x", "z"]}, "y", [(0.0, 0.0)]).orderBy("fold").collect()
     assert len(a) == 3 and all(p.rmse == pytest.approx(q.rmse) and p.slopes == pytest.approx(q.slopes) for p, q in zip(a, b))
+
+
+@pytest.mark.parametrize("degree", [1, 2, 4])
+def test_orthogonal_polynomials_are_orthonormal_on_the_training_rows(spark, degree):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(300), "x": 1e5 + 10 * rng.gamma(2.0, size=300), "two": rng.integers(0, 2, 300).astype(float)})
+    train = pdf.id % 3 > 0
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(300, None, 1.0)], "id long, x double, two double"))
+    out, cols = features.orthogonal_polynomial(df, ["x", "two"], F.col("id") % 3 > 0, degree)
+    assert cols == [f"{c}_o{k + 1}" for c in ("x", "two") for k in range(degree)]
+    got = out.orderBy("id").toPandas()
+    assert got[[f"x_o{k + 1}" for k in range(degree)]].iloc[300].isna().all()
+    p = got.iloc[:300][[f"x_o{k + 1}" for k in range(degree)]].to_numpy()
+    inside = np.c_[np.full(train.sum(), train.sum() ** -0.5), p[train.to_numpy()]]
+    assert np.allclose(inside.T @ inside, np.eye(degree + 1), atol=1e-9)
+    # the columns span the powers, for rows outside the training set as well
+    z = (pdf.x - pdf.x.mean()) / pdf.x.std()
+    powers = np.vander(z, degree + 1, increasing=True)
+    fit = np.linalg.lstsq(powers, p, rcond=None)[0]
+    assert np.allclose(powers @ fit, p, atol=1e-8) and (fit.diagonal(-1) > 0).all()
+    assert got[[f"two_o{k}" for k in range(2, degree + 1)]].isna().all().all() and not got.two_o1.isna().any()
