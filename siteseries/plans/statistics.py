@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.special import f_upper_p, normal_two_sided_p, studentized_range_p, t_two_sided_p
 from siteseries.operators import fill
-from siteseries.operators.aggregate import composition_percent
+from siteseries.operators.aggregate import composition_percent, seasonal
 from siteseries.operators.joins import attach, natural_join
 from siteseries.operators.scaling import centred, log_ratio_to_mean, z_scores
 from siteseries.functions.dates import flag_window
@@ -178,6 +178,13 @@ def m10(spark, sf):
     return tidy(O.rda_axes_by(community, sliced(env), RX, "density", KEYS, "slice"))
 
 
+@query("m10_redundancy_by_season")
+def m10_seasons(spark, sf):
+    community, env = rda_inputs(spark, sf)
+    seasons = sliced(env).where(F.col("slice").isin("Winter", "Spring", "Summer", "Fall"))
+    return tidy(O.rda_axes_by(community, seasons, RX, "density", KEYS, "slice").where("axis <= 2"))
+
+
 # Of two predictors the eigenvalues follow from the trace and the determinant of a 2 x 2 matrix.
 @query("m10b_redundancy_two_predictors", ("survey", "env"), f"""
 WITH {FILLED_CTE},
