@@ -375,6 +375,49 @@ def test_templates_generalise_and_bad_branches_are_blocked(spark):
     assert len({r.bad_share for r in rows if "/spam/" not in r.path}) >= 1
 
 
+def judged(spark, pages):
+    """The verdicts of (url, label) pages, all labelled, by url."""
+    frame = spark.createDataFrame([(k, u, f"k{k}") for k, (u, _) in enumerate(pages)], "page_id long, url string, key string")
+    labels = spark.createDataFrame([(f"k{k}", y) for k, (_, y) in enumerate(pages)], "key string, label int")
+    return U.filter_urls(frame, labels, {}).collect()
+
+
+def test_a_bad_section_with_a_small_share_of_its_host_is_blocked(spark):
+    rows = judged(spark, [(f"http://h.net/s{k % 25}/{k}", int(k % 25 != 7)) for k in range(5000)])
+    assert all((r.verdict == "block") == r.path.startswith("/s7/") for r in rows)
+
+
+def test_bad_branches_are_blocked_at_any_depth(spark):
+    rows = judged(spark, [(f"http://h.net/a/b/c/d/e/f/g/{('good', 'bad')[k % 2]}/{k}", int(k % 2 == 0)) for k in range(4000)])
+    assert {r.template.rpartition("/")[0] for r in rows} == {"/a/b/c/d/e/f/g/good", "/a/b/c/d/e/f/g/bad"}
+    assert all((r.verdict == "block") == ("/bad/" in r.path) for r in rows)
+
+
+def test_sections_with_rising_shares_do_not_chain_into_one_branch(spark):
+    rows = judged(spark, [(f"http://h.net/s{s}", int(k % 14 >= s)) for s in range(15) for k in range(70)])
+    verdicts = {r.path: r.verdict for r in rows}
+    assert all(verdicts[f"/s{s}"] == "allow" for s in range(5)) and all(verdicts[f"/s{s}"] == "block" for s in range(10, 15))
+
+
+def test_a_bad_value_among_ids_is_told_apart_by_its_labels(spark):
+    rows = judged(spark, [(f"http://h.net/{k}", 1) for k in range(3000)] + [(f"http://h.net/promo/{k}", 0) for k in range(30)])
+    assert {r.template for r in rows} == {"/*", "/promo/*"}
+    assert all((r.verdict == "block") == r.path.startswith("/promo/") for r in rows)
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://h.net/" + "seg/" * 20000
+    rows = judged(spark, [(long, 1), (long, 1), ("http://h.net/" + "x" * 100000, 0)])
+    assert len(rows) == 3 and {r.template for r in rows} == {"/**"}
+
+
+def test_labels_join_by_whole_headings(spark):
+    docs = spark.createDataFrame([(1, "x" * 50 + " good\nmore"), (2, "x" * 50 + " bad\nmore"), (3, "  short\nrest"), (4, "y" * 80), (5, None), (6, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1)], "doc_id long, quality int")
+    got = {r.key: r.label for r in U.title_labels(docs, labels).collect()}
+    assert got == {"x" * 50 + " good": 1, "x" * 50 + " bad": 0, "short": 0, "y" * 80: 1, "y" * 60: 1}
+
+
 # Secrets
 
 SECRET = "token=abcdefgh12345"
