@@ -1,11 +1,15 @@
 """Fuzzy line dedup: near-equal lines across all documents, one occurrence kept.
 
-Lines are compared in normal form: lower case, with ASCII marks and white space made one blank. Equal ones are one node. A
-node of at least five words has a 64-bit SimHash of its word pairs; nodes whose fingerprints differ in at most three bits
-agree in some block of bits, so they are joined on blocks. How many blocks are combined into a key follows the counted
-number of fingerprints and changes only the cost. Close fingerprints first form loose clusters; only the lines in them are
-fetched again and verified by edit similarity, and the verified links' connected groups are what counts. Of each group the
-occurrence with the smallest doc_id (nulls last) and line number stays.
+Lines are compared in normal form: lower case, with ASCII marks and white space made one blank. Equal ones are one node.
+Nodes link at an edit similarity of 0.8 or more. Candidates meet on pigeonhole blocks of what they are made of: the word pairs
+(words, in lines under 16) of a line are dealt to blocks by their hashes, as many blocks as suit its length, and a block's key
+sums what was dealt to it. A changed word touches four blocks at most, so lines that differ a little agree in the others;
+each line brings ten of its blocks, and also those of the length class below if its length is near. Lines of up to nine words
+meet without one of their words, lines of up to 24 characters without one of their characters. Of two nodes that meet on
+blocks, the 64-bit SimHashes of their word pairs may differ in 22 bits before the edit distance decides. Keys that bring the
+same nodes together are visited once. The verified links' connected groups are what counts. Of each group the occurrence with
+the smallest doc_id (nulls last) and line number stays. Equal lines always meet; a similar pair may be missed where changes
+touch every block, which tests bound by a recall of 0.9 against brute-force edit similarity.
 
 Lines of marks and white space alone are never dropped. Null texts stay null. Rows that repeat with equal id and text are one
 document and keep the same lines. An empty table gives an empty result. Extra columns of any name are carried unchanged.
@@ -13,18 +17,17 @@ document and keep the same lines. An empty table gives an empty result. Extra co
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.llm.common import packed, sized, staged, text_of
 from siteseries.llm.components import components
-from siteseries.llm.simhash import cells_of, close_links
+from siteseries.llm.simhash import cells_of
 
-MIN_WORDS, BITS, SIMILARITY = 5, 3, 0.8
-BUCKET = 64  # fingerprints that a block key may have on average before longer keys are used
+MIN_WORDS, BITS, SIMILARITY = 5, 22, 0.8
+BLOCKS = 10                 # blocks that a line brings
+DEALT, SHORT, TINY = 8, 9, 24  # words from which a line is dealt, words up to which one is left out, characters likewise
 
 
 #: Everything in ASCII but letters and digits becomes a blank; A-Z are lowered afterwards.
@@ -57,10 +60,15 @@ class LineReader:
 
     def fingerprints(self, lines: list[list[bytes]]) -> list[int | None]:
         """The SimHash of each line's word pairs; None below MIN_WORDS."""
+        return self.read(lines)[0]
+
+    def read(self, lines: list[list[bytes]]) -> tuple[list[int | None], list[list[int]]]:
+        """The SimHash and the block keys of each line."""
         long = [k for k, ws in enumerate(lines) if len(ws) >= MIN_WORDS]
         out: list[int | None] = [None] * len(lines)
+        keys = [left_out(ws) if len(ws) <= SHORT else [] for ws in lines]
         if not long:
-            return out
+            return out, keys
         size = np.array([len(lines[k]) for k in long])
         h = self.hashes([w for k in long for w in lines[k]])
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
@@ -68,7 +76,10 @@ class LineReader:
         pair ^= pair >> np.uint64(32)
         inner = np.ones(len(pair), bool)
         inner[np.cumsum(size)[:-1] - 1] = False  # pairs across two lines
-        pair, size = pair[inner], size - 1
+        pair = pair[inner]
+        for k, key in zip(*dealt(h, pair, size)):
+            keys[long[k]].append(key)
+        size = size - 1
         # Eight counters of eight bits in a word: runs of at most 255 pairs are added at once, then the runs of a line.
         runs = -(-size // 255)
         line = np.repeat(np.arange(len(size)), runs)
@@ -84,7 +95,54 @@ class LineReader:
         fps = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
         for k, fp in zip(long, fps.tolist()):
             out[k] = fp
-        return out
+        return out, keys
+
+
+def left_out(words: list[bytes]) -> list[int]:
+    """Even keys of a short line: whole, without each of its words and, if tiny, without each of its characters."""
+    from xxhash import xxh64_intdigest
+
+    forms = {b"w" + b" ".join(words)} | {b"w" + b" ".join(words[:k] + words[k + 1:]) for k in range(len(words)) if len(words) > 1}
+    form = b" ".join(words).decode("utf-8", "surrogatepass")
+    if len(form) <= TINY:
+        forms |= {("c" + form[:k] + form[k + 1:]).encode("utf-8", "surrogatepass") for k in range(len(form))}
+        forms.add(b"c" + b" ".join(words))
+    return [(xxh64_intdigest(f, 7) & ~1) - (1 << 63) for f in sorted(forms)]
+
+
+def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int]]:
+    """(line, odd key) of the blocks of lines given by the hashes of their words and word pairs, one line after the other.
+
+    Lines of 2^c to 2^(c+1) words are dealt to 2^(c-1) blocks, again with other draws while they are fewer than BLOCKS; lines near
+    the lower end also as the class below. Blocks with one item say too little and bring no key.
+    """
+    of = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(size)), size - 1)
+    level = np.frexp(size.astype(float))[1] - 1
+    line, key = [], []
+    for c in range(3, int(level.max()) + 1):
+        member = (size >= DEALT) & ((level == c) | (level == c + 1) & (size < 1.25 * 2.0 ** (c + 1)))
+        item, at, blocks = (words, of[0], 4) if c == 3 else (pairs, of[1], 1 << c - 1)
+        use = member[at]
+        item, at = item[use], at[use]
+        for draw in range(-(-BLOCKS // blocks)):
+            mixed = (item ^ np.uint64(0x9E3779B97F4A7C15 * (draw + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(29)
+            block = (mixed & np.uint64(blocks - 1)).astype(np.int64)
+            here = block < BLOCKS - draw * blocks
+            slot = at[here] * BLOCKS + block[here]
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else slot
+            if not len(starts):
+                continue
+            total = np.add.reduceat(mixed[here][order], starts)
+            several = np.diff(np.r_[starts, len(slot)]) > 1
+            place = slot[starts][several]
+            total = total[several] + (place % BLOCKS + BLOCKS * (draw + BLOCKS * c)).astype(np.uint64)
+            total = (total ^ total >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+            line.append(place // BLOCKS)
+            key.append(((total ^ total >> np.uint64(32)) | np.uint64(1)).view(np.int64))
+    return (np.concatenate(line).tolist(), np.concatenate(key).tolist()) if line else ([], [])
 
 
 WORDS_KEPT = 600_000  # a memory bound only
@@ -99,7 +157,7 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc, doc_id, k, node, fp) of every line that has words: document key and id, line number, checksum and fingerprint."""
+    """(doc, doc_id, k, node, fp, keys) of every line that has words: document key and id, line number, checksum, fingerprint, block keys."""
     kind = dict(docs.dtypes)[id]
 
     def read(batches):
@@ -113,8 +171,9 @@ def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
 
             def made():
                 at = [r[0] for r in rows]
+                fps, found = reader.read(lines)
                 out = pd.DataFrame({"doc": keys[at], "k": [r[1] for r in rows], "node": [hashlib.md5(b" ".join(ws)).digest() for ws in lines],
-                                    "fp": pd.array(reader.fingerprints(lines), dtype="Int64")})
+                                    "fp": pd.array(fps, dtype="Int64"), "keys": found})
                 out.insert(1, "doc_id", ids.iloc[at].array)
                 return out
 
@@ -129,7 +188,7 @@ def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
                     rows, lines, size = [], [], 0
             yield made()
 
-    made = keyed(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(read, "doc long, doc_id string, k int, node binary, fp long")
+    made = keyed(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(read, "doc long, doc_id string, k int, node binary, fp long, keys array<long>")
     return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -144,33 +203,6 @@ def form_column(line: Column) -> Column:
     return form(line)
 
 
-def block_keys(count: int, bits: int = BITS) -> list[list[tuple[int, int]]]:
-    """Sets of (first bit, width): at least one set has no differing bit if at most `bits` differ."""
-    for blocks in range(bits + 1, 12):
-        edges = [64 * k // blocks for k in range(blocks + 1)]
-        parts = [(a, b - a) for a, b in zip(edges, edges[1:])]
-        sets = [list(c) for c in combinations(parts, blocks - bits)]
-        if count >> min(sum(w for _, w in s) for s in sets) <= BUCKET:
-            return sets
-    return sets
-
-
-def visiting(fp: str, sets: list[list[tuple[int, int]]]) -> Column:
-    """Of a fingerprint, one key for each set of blocks."""
-    keys = []
-    for n, blocks in enumerate(sets):
-        key = F.lit(n).cast("long")
-        parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in blocks]
-        keys.append(F.xxhash64(key, *parts) if sum(w for _, w in blocks) > 55 else _joined(key, parts, blocks))
-    return F.explode(F.array(*keys))
-
-
-def _joined(key: Column, parts: list[Column], blocks: list[tuple[int, int]]) -> Column:
-    for part, (_, width) in zip(parts, blocks):
-        key = F.shiftleft(key, width).bitwiseOR(part)
-    return key
-
-
 def distance(a: str, b: str) -> int:
     """Edit distance, a column of the table at a time in the bits of one number."""
     same, short = 0, min(len(a), len(b))
@@ -204,9 +236,8 @@ def similar(a: str, b: str, least: float) -> bool:
     return min(len(a), len(b)) >= least * longest and distance(a, b) <= (1 - least) * longest
 
 
-def verified_links(lines: DataFrame, sets: list, bits: int, least: float) -> DataFrame:
-    """(a, b) nodes of rows (node, fp, form) that are close and similar, enough of them to connect all that are."""
-    visits = staged(lines.select(visiting("fp", sets).alias("anchor"), F.lit(True).alias("own"), "node", "fp", "form"), "line-visits")
+def verified_links(visits: DataFrame, bits: int, least: float) -> DataFrame:
+    """(a, b) nodes of rows (anchor, own, node, fp, form) that are close and similar, enough of them to connect all that are."""
     cells = cells_of(visits, "node", 512, alike=True)
 
     def compare(batches):
@@ -266,17 +297,21 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits
     """(doc, k) of every line to drop: document key and line number."""
     seen = staged(lines_of(docs, id, text), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "doc")
-    nodes = staged(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.min(order).alias("at"), F.count("*").alias("n")), "line-nodes")
-    fps = staged(nodes.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("n")), "line-fingerprints")
-    sets = block_keys(fps.count(), bits)
-    loose = components(close_links(fps.select(visiting("fp", sets).alias("anchor"), F.lit(True).alias("own"), "fp"), bits, alike=True))
-    wanted = loose.select(F.col("node").alias("fp")).unionByName(fps.where("n > 1").select("fp")).distinct()
-    # The lines in loose clusters are fetched from the documents in which they come first.
-    wanted = staged(nodes.join(wanted, "fp", "left_semi").select("node", "fp", "at.doc", "at.k"), "line-candidates")
+    nodes = staged(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(order).alias("at"),
+                                            F.count("*").alias("n")), "line-nodes")
+    visits = nodes.select(F.explode("keys").alias("anchor"), "node", "fp", "at.doc", "at.k")
+    dealt_key = F.col("anchor").bitwiseAND(F.lit(1)) == 1
+    meets = visits.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
+    meets = staged(meets.groupBy("n", "who", dealt_key.alias("dealt")).agg(F.min("anchor").alias("anchor")).select("anchor"), "line-meets")
+    # Keys of lines left short are exact enough; their nodes meet whatever their fingerprints.
+    visits = staged(visits.join(sized(meets), "anchor", "left_semi")
+                    .select("anchor", F.lit(True).alias("own"), "node", F.when(dealt_key, F.col("fp")).otherwise(0).alias("fp"), "doc", "k"), "line-visits")
+    # The lines that meet others are fetched from the documents in which they come first.
+    wanted = staged(visits.select("node", "doc", "k").distinct(), "line-candidates")
     rows = keyed(docs, id, text).join(sized(wanted), "doc")
-    texts = (rows.select("node", "fp", form_column(F.get(F.split("body", "\n"), F.col("k"))).alias("form")).groupBy("node")
-             .agg(F.first("fp").alias("fp"), F.first("form").alias("form")))
-    groups = staged(components(verified_links(texts, sets, bits, least)), "line-groups")
+    texts = rows.select("node", form_column(F.get(F.split("body", "\n"), F.col("k"))).alias("form")).groupBy("node").agg(F.first("form").alias("form"))
+    texts = staged(texts, "line-texts")
+    groups = staged(components(verified_links(visits.drop("doc", "k").join(texts, "node"), bits, least)), "line-groups")
     rooted = nodes.join(groups, "node", "left").select("node", "at", "n", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
     crowd = staged(rooted.join(first, "root").select("node", "first"), "line-crowds")
