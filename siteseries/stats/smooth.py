@@ -70,11 +70,16 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     return joined.groupBy("variable", F.coalesce(b, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bins of half a bandwidth with twelve moments: what is left out of a kernel is below 0.25^12 / sqrt(12!), 3e-12 of its peak.
+BIN, MOMENTS, REACH = 0.5, 12, 9.0
+
+
 def kernel_density(df: DataFrame, keys: list[str], value: str, points: int = 64, cut: float = 3.0) -> DataFrame:
     """Gaussian density per group on an even grid, bandwidth 0.9 min(sd, IQR/1.34) n^-1/5.
 
-    Every row adds its kernel to each grid point inside its own task; partial sums are shuffled, one row
-    per group and grid point.
+    Rows are folded to moments of narrow bins around the bins' middles (one partial aggregate, one row per bin shuffled). The
+    kernels of a bin's rows add up to a Hermite series of those moments, which is summed at the grid points within nine
+    bandwidths; kernels further off are below 3e-18. Groups without spread are left out.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     q = exact_quantiles(rows, keys, "_v", {"q25": 0.25, "q75": 0.75})
@@ -84,13 +89,33 @@ def kernel_density(df: DataFrame, keys: list[str], value: str, points: int = 64,
     s = natural_join(s, q, "left", keys).withColumn(
         "bw", 0.9 * F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd")) * F.pow(F.col("nobs"), F.lit(-0.2)))
     s = settled(s.filter(F.col("bw") > 0).select(*keys, "lo", "hi", "bw", "nobs"))
-    joined = natural_join(rows, s, "inner", keys)
-    g = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    width, scale = BIN * F.col("bw"), math.sqrt(2.0) * F.col("bw")
+    middle = F.col("lo") + (F.col("bin") + 0.5) * width
+    placed = natural_join(rows, s, "inner", keys).withColumn("bin", F.floor((F.col("_v") - F.col("lo")) / width))
+    off = (F.col("_v") - middle) / scale
+    sums = [F.sum(F.pow(off, F.lit(k)) / math.factorial(k) if k else F.lit(1.0)).alias(f"m{k}") for k in range(MOMENTS)]
+    bins = natural_join(placed.groupBy(*keys, "bin").agg(*sums), s, "inner", keys)
     start, stop = F.col("lo") - cut * F.col("bw"), F.col("hi") + cut * F.col("bw")
+    step = (stop - start) / float(points - 1)
     at = start + (stop - start) * F.col("point") / F.lit(float(points - 1))
-    u = (at - F.col("_v")) / F.col("bw")
-    kernel = F.exp(-0.5 * u * u) / F.lit(math.sqrt(2.0 * math.pi))
-    return g.groupBy(*keys, "point").agg(F.max(at).alias("x"), (F.sum(kernel) / (F.max("nobs") * F.max("bw"))).alias("density"))
+    first = F.greatest(F.lit(0), F.ceil((middle - REACH * F.col("bw") - start) / step))
+    last = F.least(F.lit(points - 1), F.floor((middle + REACH * F.col("bw") - start) / step))
+    near = bins.withColumns({"first": first.cast("int"), "last": last.cast("int")}).where("first <= last")
+    near = near.withColumn("point", F.explode(F.sequence("first", "last"))).withColumn("t", (at - middle) / scale)
+
+    def hermite(k: int):
+        """The k-th Hermite polynomial at t, by Horner's rule."""
+        out = F.lit(0.0)
+        for c in np.polynomial.hermite.herm2poly([0] * k + [1])[::-1]:
+            out = out * F.col("t") + float(c)
+        return out
+
+    series = sum((F.col(f"m{k}") * hermite(k) for k in range(1, MOMENTS)), F.col("m0")) * F.exp(-F.col("t") * F.col("t"))
+    grid = s.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = grid.select(*keys, "point", at.alias("x"), (F.col("nobs") * F.col("bw") * math.sqrt(2.0 * math.pi)).alias("area"))
+    found = near.groupBy(*keys, "point").agg(F.sum(series).alias("mass"))
+    return (natural_join(grid, found, "left", [*keys, "point"])
+            .select(*keys, "point", "x", F.greatest(F.coalesce(F.col("mass"), F.lit(0.0)) / F.col("area"), F.lit(0.0)).alias("density")))
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -343,6 +343,24 @@ def test_loess_reproduces_quadratics_and_counts_duplicates(spark):
     assert np.allclose(got.fitted, 2 + got.x - 0.1 * got.x**2)
 
 
+def test_kernel_density_equals_the_sum_of_all_kernels(spark):
+    rng = np.random.default_rng(3)
+    far = np.r_[rng.normal(0, 1, 400), rng.normal(300, 1, 30), 1e4]  # gaps far wider than a bandwidth
+    groups = {"a": rng.normal(5, 2, 500), "b": far, None: np.r_[np.repeat(1.0, 40), rng.exponential(3, 60)], "one": np.array([2.0]), "same": np.ones(9)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)]
+    got = smooth.kernel_density(spark.createDataFrame(rows, "g string, y double"), ["g"], "y", points=50).collect()
+    assert {r.g for r in got} == {"a", "b", None} and len(got) == 150
+    for g in ("a", "b", None):
+        v = groups[g]
+        bw = 0.9 * min(v.std(ddof=1), (np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.34) * len(v) ** -0.2
+        mine = sorted((r.point, r.x, r.density) for r in got if r.g == g)
+        x = np.linspace(v.min() - 3 * bw, v.max() + 3 * bw, 50)
+        want = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(1) / (len(v) * bw * math.sqrt(2 * math.pi))
+        np.testing.assert_allclose([m[1] for m in mine], x, rtol=1e-12)
+        np.testing.assert_allclose([m[2] for m in mine], want, rtol=0, atol=1e-11 / bw)
+    assert smooth.kernel_density(spark.createDataFrame([], "g string, y double"), ["g"], "y").count() == 0
+
+
 def test_kernel_density_integrates_to_one(spark):
     _, df = frame(spark, 300)
     got = smooth.kernel_density(df, ["g"], "y", points=200).toPandas()
