@@ -1,4 +1,4 @@
-"""k-nearest-neighbour regression in bounded blocks."""
+"""k-nearest-neighbour regression over pivot cells with exact pruning."""
 
 from __future__ import annotations
 
@@ -7,26 +7,62 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteseries.operators.joins import natural_join
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
+
+INFINITE = float("inf")
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of every row of a to every row of b, summed feature by feature so that equal rows give equal distances."""
+    d = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d += (a[:, j:j + 1] - b[None, :, j]) ** 2
+    return np.sqrt(d)
+
+
+def to_pivots(pivots: np.ndarray):
+    """Distances of the column _x to every pivot."""
+    @F.pandas_udf("array<double>")
+    def measure(xs: pd.Series) -> pd.Series:
+        return pd.Series([row for s in range(0, len(xs), 256) for row in distances(np.stack(xs.iloc[s:s + 256].to_numpy()), pivots)], dtype=object)
+
+    return measure("_x")
+
+
+def further_cells(tests: DataFrame, radius: dict[int, float]) -> DataFrame:
+    """One row (cell) per test row and further cell that can hold a nearer row than its `reach`: by the triangle inequality no row
+    of a cell is nearer than the distance of its pivot less its radius."""
+    cells = F.array(*[F.when((F.col("own") != c) & (F.element_at("far", c + 1) - r <= F.col("reach") * (1 + 1e-9) + 1e-12), c) for c, r in sorted(radius.items())])
+    return tests.withColumn("cell", F.explode(F.filter(cells, lambda c: c.isNotNull())))
+
 
 def knn_regression(train: DataFrame, test: DataFrame, key: list[str], features: list[str], y: str, k: int = 5,
-                   block_rows: int = 20_000) -> DataFrame:
+                   block_rows: int = 20_000, pivots: int = 32) -> DataFrame:
     """Mean of y over the k nearest training rows, weighted by 1 / (distance + 1e-9).
 
-    Both sides are cut into hash blocks of bounded size. A task holds one test block and one training block
-    and keeps only the k nearest of each test row, which are then merged per test row: every pair is
-    compared, but no pair is emitted and no side is gathered whole. Ties go to the smaller training key.
+    Training rows belong to the cell of the nearest of some pivots (training rows drawn by hash). A test row first visits the cell
+    nearest to it; its k-th distance there decides which cells can still hold nearer rows, and only those are visited. Results are
+    exact. Rows of a cell and its visitors are cut into hash blocks of bounded size; a task keeps only the k nearest of each
+    test row, which are then merged per test row. Ties go to the smaller training key. The driver sees pivots and cell sizes.
     """
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block_rows))
-
-    n_train, n_test = blocks(train), blocks(test)
-    types = dict(test.dtypes)
-    x = lambda df: F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
-    part = lambda n, name: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int").alias(name)
-    lanes = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = test.select(*key, x(test), part(n_test, "tb")).withColumn("rb", lanes(n_train))
-    right = train.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("_k"), x(train),
-                         F.col(y).cast("double").alias("_y"), part(n_train, "rb")).withColumn("tb", lanes(n_test))
+    spark, types = train.sparkSession, dict(test.dtypes)
+    x = F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
+    rows = train.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("_k"), x, F.col(y).cast("double").alias("_y"))
+    drawn = rows.orderBy(F.xxhash64("_k"), "_k").limit(pivots).collect()
+    if not drawn:
+        return test.select(*key, F.lit(None).cast("double").alias("prediction")).limit(0)
+    measure = to_pivots(np.array([r["_x"] for r in drawn]))
+    nearest_pivot = (F.array_position("far", F.array_min("far")) - 1).cast("int")
+    rows = rows.withColumn("far", measure).select("_k", "_x", "_y", nearest_pivot.alias("cell"), F.array_min("far").alias("home"))
+    rows = stage(rows, scratch_path(spark, "neighbour-rows"))
+    cells = {r["cell"]: r for r in rows.groupBy("cell").agg(F.max("home").alias("radius"), F.count("*").alias("n")).collect()}
+    radius = {c: r["radius"] for c, r in cells.items()}
+    filled = F.array(*[F.when(F.lit(c in cells), F.element_at("far", c + 1)).otherwise(INFINITE) for c in range(len(drawn))])
+    tests = test.select(*key, x).withColumn("far", measure).withColumn("own", (F.array_position(filled, F.array_min(filled)) - 1).cast("int"))
+    tests = stage(tests, scratch_path(spark, "neighbour-tests"))
+
     schema = ", ".join(f"`{c}` {types[c]}" for c in key) + ", d double, rk string, v double"
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -37,22 +73,36 @@ def knn_regression(train: DataFrame, test: DataFrame, key: list[str], features:
         m = min(k, len(b))
         out = []
         for start in range(0, len(xa), 256):
-            chunk = xa[start:start + 256]
-            d = np.zeros((len(chunk), len(xb)))
-            for j in range(xa.shape[1]):
-                d += (chunk[:, j:j + 1] - xb[None, :, j]) ** 2
-            d = np.sqrt(d)
+            d = distances(xa[start:start + 256], xb)
             pick = np.argsort(d, axis=1, kind="stable")[:, :m]
-            ids = a.iloc[np.repeat(np.arange(start, start + len(chunk)), m)][key].reset_index(drop=True)
+            ids = a.iloc[np.repeat(np.arange(start, start + len(d)), m)][key].reset_index(drop=True)
             ids["d"] = np.take_along_axis(d, pick, axis=1).ravel()
             ids["rk"], ids["v"] = b["_k"].to_numpy()[pick.ravel()], b["_y"].to_numpy()[pick.ravel()]
             out.append(ids)
         return pd.concat(out)
 
-    found = left.groupBy("tb", "rb").cogroup(right.groupBy("tb", "rb")).applyInPandas(nearest, schema)
-    # at most k rows per test row and training block
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "rk", "v"))), 1, k).alias("near")
-    merged = found.groupBy(*key).agg(best)
+    def visited(visits: DataFrame, name: str) -> DataFrame:
+        """The k nearest rows of each block of the visited cells, for each visit."""
+        visitors = {r["cell"]: -(-r["n"] // block_rows) for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        blocks = {c: -(-r["n"] // block_rows) for c, r in cells.items()}
+
+        def of(sizes: dict[int, int]):
+            return F.element_at(F.array(*[F.lit(sizes.get(c, 0)) for c in range(len(drawn))]), F.col("cell") + 1)
+
+        def lanes(sizes):
+            return F.explode(F.sequence(F.lit(0), of(sizes) - 1))
+
+        here = F.col("cell").isin(list(visitors))
+        left = visits.select(*key, "_x", "cell", F.pmod(F.xxhash64(*key), of(visitors)).cast("int").alias("tb")).withColumn("rb", lanes(blocks))
+        right = rows.where(here).select("_k", "_x", "_y", "cell", F.pmod(F.xxhash64("_k"), of(blocks)).cast("int").alias("rb")).withColumn("tb", lanes(visitors))
+        at = ["cell", "tb", "rb"]
+        return stage(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(nearest, schema), scratch_path(spark, name))
+
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "rk", "v"))), 1, k).alias("near")  # at most k per visited block
+    first = visited(tests.withColumn("cell", F.col("own")), "neighbour-first")
+    reach = first.groupBy(*key).agg(best).select(*key, F.when(F.size("near") == k, F.get("near", F.lit(k - 1))["d"]).otherwise(INFINITE).alias("reach"))
+    further = visited(further_cells(natural_join(tests, reach, "inner", key), radius), "neighbour-further")
+    merged = first.unionByName(further).groupBy(*key).agg(best)
     w = lambda e: 1.0 / (e["d"] + F.lit(1e-9))
     num = F.aggregate("near", F.lit(0.0), lambda s, e: s + e["v"] * w(e))
     den = F.aggregate("near", F.lit(0.0), lambda s, e: s + w(e))

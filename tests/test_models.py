@@ -48,6 +48,30 @@ def test_knn_blocks_match_brute_force(spark):
         assert np.allclose(got.prediction, want)
 
 
+def test_knn_prunes_cells_of_clustered_rows(spark, monkeypatch):
+    """Exact with under a tenth of the pairs compared where rows cluster, whatever the blocks; equal rows go by key."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 100, (40, 4))
+    x = (centre[rng.integers(0, 40, 3000)] + rng.normal(0, 1, (3000, 4))).round(2)
+    x[100:140] = x[100]
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(id=np.arange(3000).astype(str), y=rng.normal(size=3000))
+    train, test = pd.concat([pdf[300:], pdf[100:140]]), pdf[:300]
+    train = train.sort_values("id", kind="stable").reset_index(drop=True)
+    d = neighbours.distances(test[list("abcd")].to_numpy(), train[list("abcd")].to_numpy())
+    pick = np.argsort(d, axis=1, kind="stable")[:, :5]
+    w = 1 / (np.take_along_axis(d, pick, 1) + 1e-9)
+    want = dict(zip(test.id, (w * train.y.to_numpy()[pick]).sum(axis=1) / w.sum(axis=1)))
+    seen, plain = [], neighbours.further_cells
+    monkeypatch.setattr(neighbours, "further_cells", lambda tests, radius: seen.append(plain(tests, radius)) or seen[-1])
+    for block in (10**6, 50):
+        got = neighbours.knn_regression(spark.createDataFrame(train), spark.createDataFrame(test), ["id"], list("abcd"), "y", 5, block, 64).collect()
+        assert len(got) == 300 and all(np.isclose(r.prediction, want[r.id]) for r in got)
+    visits = 300 + seen[0].count()
+    assert visits / (300 * 64) < 0.1, visits
+    empty = neighbours.knn_regression(spark.createDataFrame(train).limit(0), spark.createDataFrame(test), ["id"], list("abcd"), "y", 5)
+    assert empty.count() == 0 and empty.columns == ["id", "prediction"]
+
+
 def test_grid_ranks_the_right_model_first(spark):
     _, df = rows(spark)
     df = resample.repeated_folds(df, ["id"], 2, 1).cache()
