@@ -1,23 +1,22 @@
 """Exact ranks and quantiles without gathering a group in one task.
 
-Ties are first folded to (group, value, count) rows. Values are then cut into buckets by sampled
-cut points, ranks are counted inside each (group, bucket), and a small table of bucket totals gives
+Ties are first folded to (group, value, count) rows. A range exchange then spreads these over buckets of
+any orderable type, ranks are counted inside each (group, bucket), and a small table of bucket totals gives
 the offset. The cut points only steer how rows spread; ranks and quantiles are exact for any cut points.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteseries.operators.joins import natural_join, settled
+from siteseries.operators.joins import natural_join
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
 
 BUCKETS = 128
 BUCKET_ROWS = 2_000_000
 GROUP_ROWS = 200_000
-CUT_BYTES = 64 << 20  # of cut points that are broadcast at most; beyond, their join shuffles
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -25,26 +24,13 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _bucketed(folded: DataFrame, keys: list[str], value: str, largest: int, buckets: int, group_rows: int) -> DataFrame:
-    """Add `bucket`, whose order follows the order of the values within each group."""
-    kind = dict(folded.dtypes)[value]
-    if kind == "string":
-        # leading characters sort as the whole text does; they spread hash digits, the usual large text keys, evenly
-        return folded.withColumn("bucket", F.substring(value, 1, max(2, math.ceil(math.log(max(largest / BUCKET_ROWS, 1.0), 16)))))
-    if kind in ("boolean", "binary"):
-        return folded.withColumn("bucket", F.lit(0))
-    # Numbers, dates and timestamps are cut in their own type; only groups past the switch get cut points.
-    probs = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    cuts = (folded.groupBy(*keys).agg(F.sum("n").alias("_rows"), F.percentile_approx(value, probs, 2000).alias("cuts"))
-            .where(F.col("_rows") > group_rows).drop("_rows"))
-    if keys:
-        folded = natural_join(folded, settled(cuts, max(1, CUT_BYTES // (16 * buckets))), "left", keys)
-    else:
-        row = cuts.first()
-        folded = folded.withColumn("cuts", F.array(*[F.lit(c) for c in (row["cuts"] if row else [])]).cast(f"array<{kind}>"))
-    # number of cut points below the value
-    bucket = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col(value))))
-    return folded.withColumn("bucket", bucket).drop("cuts")
+def _range_parts(folded: DataFrame, keys: list[str], value: str, parts: int) -> DataFrame:
+    """The rows dealt to `parts` ranges of (group, value), written once with their range number as `bucket`.
+
+    The exchange samples its cut points afresh on every run, so later steps read the written numbers.
+    """
+    spread = folded.repartitionByRange(parts, *keys, value).withColumn("bucket", F.spark_partition_id())
+    return stage(spread, scratch_path(folded.sparkSession, "ranges"))
 
 
 def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int | None = None,
@@ -52,17 +38,19 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int |
     """One row per (group, value): n equal values, `below` smaller ones, `total` in the group.
 
     Groups are counted first: when the largest has at most `group_rows` rows an ordinary window per group
-    does; otherwise the values are spread over buckets of about two million rows. Both ways give the same
-    rows for every orderable type, and groups with null keys are groups like others.
+    does; otherwise a range exchange on (group, value) spreads them over buckets of about two million rows.
+    Ranges are contiguous, so all groups together have at most one total per group and one per bucket. Both ways
+    give the same rows for every orderable type, and groups with null keys are groups like others.
     """
     rows = df.filter(F.col(value).isNotNull())
     folded = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    largest = largest_group(rows, keys)
-    if largest <= group_rows:
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    if (sizes["largest"] or 0) <= group_rows:
         order = Window.partitionBy(*keys).orderBy(value)
         return folded.select(*keys, value, "n", (F.sum("n").over(order) - F.col("n")).alias("below"),
                              F.sum("n").over(Window.partitionBy(*keys)).alias("total"))
-    folded = _bucketed(folded, keys, value, largest, buckets or max(BUCKETS, largest // BUCKET_ROWS), group_rows)
+    parts = buckets or max(BUCKETS, sizes["rows"] // BUCKET_ROWS)
+    folded = _range_parts(folded, keys, value, parts)
     totals = folded.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
     by_bucket = Window.partitionBy(*keys).orderBy("bucket")
     totals = totals.select(

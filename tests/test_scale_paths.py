@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteseries.models.resample import stratified_split
-from siteseries.operators.ranking import cumulative_counts, exact_quantiles, ranked
+from siteseries.operators.ranking import _range_parts, cumulative_counts, exact_quantiles, ranked
 from siteseries.stats.compare import anova, rank_sum_vs, tukey_pairs
 
 VALUES = {
@@ -15,6 +15,7 @@ VALUES = {
     "smallint": [5, -1, 5, 30, 4, None, 100, 9, 9, -20], "decimal(10,2)": [Decimal(x) for x in "9.00 10.00 19.00 -2.50 100.00 25.00 19.00 3.10 0.00 7.70".split()],
     "date": [datetime.date(2000, 1, 1) + datetime.timedelta(days=d) for d in (5, 1, 5, 900, 4, 0, 100, 9, 9, -20)],
     "timestamp": [datetime.datetime(2000, 1, 1) + datetime.timedelta(hours=d) for d in (5, 1, 5, 900, 4, 0, 100, 9, 9, -20)],
+    "binary": [bytearray(x) for x in (b"b", b"ab", b"", b"\xff", b"b", b"10", b"9", b"zz", b"z", b"\x00")],
     "string": ["b", "ab", "", "é", "b", "10", "9", "zz", "z", None], "boolean": [True, False, None, True, True, False, False, True, True, True]}
 
 
@@ -38,6 +39,18 @@ def test_quantiles_at_every_size(spark, kind):
     assert got[0] == got[1] and len(got[0]) == 3
 
 
+@pytest.mark.parametrize("make", ["concat('one common beginning of every key ', lpad(id, 9, '0'))", "encode(lpad(id, 30, 'x'), 'UTF-8')",
+                                  "timestamp_seconds(1000000000 + id)"])
+def test_large_groups_of_any_type_spread_over_buckets(spark, make):
+    df = spark.range(40_000).selectExpr("if(id % 4 = 0, 'rare', 'hot') AS g", f"{make} AS v")
+    parts = _range_parts(df.withColumn("n", F.lit(1)), ["g"], "v", 8)
+    sizes = [r["count"] for r in parts.groupBy("bucket").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+    got = cumulative_counts(df, ["g"], "v", buckets=8, group_rows=100)
+    want = cumulative_counts(df, ["g"], "v")
+    assert got.count() == 40_000 and got.exceptAll(want).isEmpty()
+
+
 def test_null_keys_stay(spark):
     df = frame(spark, "int")
     assert ranked(df, ["g"], "v").count() == df.where("v IS NOT NULL").count()
