@@ -58,6 +58,33 @@ def l3(spark, sf):
     return tidy(out.select(*KEYS, "resample", "weight"))
 
 
+def _tree_level(half: int) -> str:
+    """Draws of spans of `half` positions from those of twice as many, by the binomial distribution written out."""
+    return f"""t{half} AS MATERIALIZED (SELECT resample, unnest([lo, lo + {half}]) AS lo, unnest([below, d - below]) AS d FROM (
+  SELECT resample, lo, d, least(d, count(*) FILTER (f <= u * tot)) AS below FROM (
+    SELECT *, sum(q) OVER (PARTITION BY resample, lo ORDER BY k) AS f, sum(q) OVER (PARTITION BY resample, lo) AS tot FROM (
+      SELECT resample, lo, d, k, (('0x' || substr(md5(concat_ws('|', '{SEED}', ((resample - 1) // 4)::VARCHAR, lo::VARCHAR, '{half}')), 1 + 8 * ((resample - 1) % 4)::INT, 8))::BIGINT
+               + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u,
+             CASE WHEN b = 0 THEN (k = d)::INT::DOUBLE ELSE exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) + k * ln(a / (a + b)::DOUBLE) + (d - k) * ln(b / (a + b)::DOUBLE)) END AS q
+      FROM (SELECT *, unnest(range(0, d + 1)) AS k, least(n - lo, {half}) AS a, least(greatest(n - lo - {half}, 0), {half}) AS b
+            FROM t{2 * half}, (SELECT count(*) AS n FROM outcomes) WHERE d > 0)))
+  GROUP BY resample, lo, d))"""
+
+
+#: Down from 4096 positions; the made panels have 25 sites and 80 months at every size.
+DRAWS = f"""t4096 AS (SELECT unnest(range(1, __TIMES__ + 1)) AS resample, 0::BIGINT AS lo, (SELECT count(*) FROM outcomes) AS d),
+{', '.join(_tree_level(1 << k) for k in range(11, -1, -1))},
+placed AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', site_code, collection_period::VARCHAR))) - 1 AS lo FROM outcomes),
+boot AS (SELECT placed.*, resample, d AS weight FROM placed JOIN t1 ON t1.lo = placed.lo WHERE d > 0)"""
+
+
+@query("l3b_bootstrap_draws", ("outcomes",), f"""
+WITH {DRAWS.replace('__TIMES__', '100')} SELECT site_code, collection_period, resample::BIGINT AS resample, weight::BIGINT AS weight FROM boot""")
+def l3b(spark, sf):
+    out = resample.bootstrap_draws(V.staged(V.totals(spark, sf).select(*KEYS)), KEYS, 100, SEED)
+    return tidy(out.select(*KEYS, "resample", "weight"))
+
+
 @query("l4_normalise", ("outcomes",), f"""
 WITH {SPLIT}, c AS (SELECT {', '.join(f'avg({x}) AS {x}_m, stddev_samp({x}) AS {x}_s' for x in ('biomass', 'shannon', 'annualrain'))} FROM split WHERE part = 'train')
 SELECT site_code, collection_period, part, {', '.join(f"{r(f'({x} - {x}_m) / {x}_s')} AS {x}" for x in ('biomass', 'shannon', 'annualrain'))} FROM split, c""")
@@ -236,20 +263,31 @@ def l17(spark, sf):
     return tidy(metrics, 4, rsq=5)
 
 
-@query("l18_coefficient_distribution", ("outcomes",), f"""
-WITH {BOOT.replace('__TIMES__', '100')}, w AS (SELECT season, resample, sum(weight) AS sw, sum(weight * annualrain) / sum(weight) AS mx, sum(weight * richness) / sum(weight) AS my FROM boot WHERE weight > 0 GROUP BY ALL),
+COEFFICIENTS = f"""w AS (SELECT season, resample, sum(weight) AS sw, sum(weight * annualrain) / sum(weight) AS mx, sum(weight * richness) / sum(weight) AS my FROM boot WHERE weight > 0 GROUP BY ALL),
 s AS (SELECT b.season, b.resample, sum(weight * (annualrain - mx) * (richness - my)) / sum(weight * pow(annualrain - mx, 2)) AS slope
   FROM boot b JOIN w ON w.season = b.season AND w.resample = b.resample WHERE weight > 0 GROUP BY ALL),
 q AS (SELECT season, quantile_cont(slope, 0.25) AS lo, median(slope) AS me, quantile_cont(slope, 0.75) AS hi FROM s GROUP BY ALL)
 SELECT s.season, {r('lo', 8)} AS lower, {r('me', 8)} AS middle, {r('hi', 8)} AS upper, {r('min(slope) FILTER (WHERE slope >= lo - 1.5 * (hi - lo))', 8)} AS whisker_low,
   {r('max(slope) FILTER (WHERE slope <= hi + 1.5 * (hi - lo))', 8)} AS whisker_high, count(*) FILTER (WHERE slope < lo - 1.5 * (hi - lo) OR slope > hi + 1.5 * (hi - lo))::BIGINT AS outliers, count(*)::BIGINT AS nobs
-FROM s JOIN q USING (season) GROUP BY s.season, lo, me, hi""")
-def l18(spark, sf):
-    b = resample.bootstrap_weights(V.outcomes(spark, sf).select(*KEYS, "season", "annualrain", "richness"), KEYS, 100, SEED)
-    fits = R.weighted_slope(stage(b, scratch(spark, "weights")), ["season", "resample"], "annualrain", "richness", "weight")
+FROM s JOIN q USING (season) GROUP BY s.season, lo, me, hi"""
+
+
+def _coefficients(spark, drawn):
+    fits = R.weighted_slope(stage(drawn, scratch(spark, "weights")), ["season", "resample"], "annualrain", "richness", "weight")
     return tidy(S.box_stats(stage(fits.select("season", "slope"), scratch(spark, "slopes")), ["season"], "slope"), 8)
 
 
+@query("l18_coefficient_distribution", ("outcomes",), f"WITH {BOOT.replace('__TIMES__', '100')}, {COEFFICIENTS}")
+def l18(spark, sf):
+    return _coefficients(spark, resample.bootstrap_weights(V.outcomes(spark, sf).select(*KEYS, "season", "annualrain", "richness"), KEYS, 100, SEED))
+
+
+@query("l18b_coefficients_of_draws", ("outcomes",), f"WITH {DRAWS.replace('__TIMES__', '100')}, {COEFFICIENTS}")
+def l18b(spark, sf):
+    rows = V.staged(V.outcomes(spark, sf).select(*KEYS, "season", "annualrain", "richness"))
+    return _coefficients(spark, resample.bootstrap_draws(rows, KEYS, 100, SEED))
+
+
 @query("l19_importance")
 def l19(spark, sf):
     model = X.workflow(plain(PREDICTORS), E.forest("density")).fit(staged(spark, sf))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -35,6 +37,48 @@ def test_bootstrap_weights_are_poisson(spark):
     assert out.w / total == pytest.approx(1.0, abs=0.03) and out.n / total == pytest.approx(1 - np.exp(-1), abs=0.02)
 
 
+def test_bootstrap_draws_are_exactly_n_and_order_free(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS g")
+    out = resample.bootstrap_draws(df, ["id"], 10, leaf=256).cache()
+    sums = [r["w"] for r in out.groupBy("resample").agg(F.sum("weight").alias("w")).collect()]
+    assert sums == [5000] * 10 and out.columns == ["id", "g", "resample", "weight"]
+    other = resample.bootstrap_draws(df.repartition(7, "g"), ["id"], 10, leaf=1 << 14)  # other parts of the tree, other tasks
+    assert out.exceptAll(other).isEmpty() and other.count() == out.count()
+    more = resample.bootstrap_draws(df, ["id"], 12, leaf=256).where("resample <= 10")  # more resamples leave the first ones as they are
+    assert out.exceptAll(more).isEmpty()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5])
+def test_bootstrap_draws_of_few_rows(spark, n):
+    df = spark.range(n).selectExpr("id", "cast(null AS string) AS resample_of")
+    out = resample.bootstrap_draws(df, ["id"], 6).groupBy("resample").agg(F.sum("weight").alias("w")).collect()
+    assert [r["w"] for r in out] == [n] * (6 if n else 0)
+
+
+def test_bootstrap_draws_share_keys_and_follow_the_multinomial(spark):
+    df = spark.range(40).selectExpr("id % 20 AS k", "id")
+    drawn = resample.bootstrap_draws(df, ["k"], 2000, leaf=4).toPandas()
+    assert (drawn.groupby(["resample", "k"]).weight.nunique() == 1).all() and (drawn.groupby("resample").weight.sum() == 40).all()
+    counts = drawn[drawn.id < 20].pivot(index="resample", columns="k", values="weight").fillna(0).to_numpy()
+    assert counts.sum() == 20 * 2000
+    assert ((counts.mean(axis=0) - 1) ** 2 / (0.95 / 2000)).sum() < 45          # chi-square, 19 degrees of freedom
+    assert counts.var(axis=0).mean() == pytest.approx(0.95, abs=0.03)            # n p (1 - p)
+    pairs = np.corrcoef(counts.T)[np.triu_indices(20, 1)]
+    assert pairs.mean() == pytest.approx(-1 / 19, abs=0.01) and np.abs(pairs + 1 / 19).max() < 0.1
+
+
+@pytest.mark.parametrize("d, left, right", [(1, 3, 5), (7, 1, 1), (300, 8, 3), (20_000, 16, 16), (3_000_000, 5, 2)])
+def test_left_draws_are_binomial_quantiles(d, left, right):
+    u = (np.arange(4000) + 0.5) / 4000
+    got = resample._left_draws(np.full(4000, d, np.int64), u, left, right)
+    p = left / (left + right)
+    assert got.min() >= 0 and got.max() <= d and (np.diff(got) >= 0).all()
+    assert got.mean() == pytest.approx(d * p, rel=2e-3) and got.var() == pytest.approx(d * p * (1 - p), rel=2e-2, abs=1e-3)
+    if d <= 300:
+        pmf = np.array([math.comb(d, k) * p**k * (1 - p) ** (d - k) for k in range(d + 1)])
+        assert np.array_equal(got, np.minimum(np.searchsorted(np.cumsum(pmf), u, side="right"), d))
+
+
 def test_knn_blocks_match_brute_force(spark):
     pdf, df = rows(spark)
     train, test = df.filter("id < 450"), df.filter("id >= 450")
