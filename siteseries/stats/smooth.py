@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteseries.operators.joins import natural_join, settled
-from siteseries.operators.ranking import exact_quantiles
+from siteseries.operators.ranking import GROUP_ROWS, exact_quantiles
+from siteseries.session import scratch_path
+from siteseries.sources.files import stage
+from siteseries.stats.local import long_series, neighbours_wanted
 
 
 def local_fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, at: np.ndarray, span: float, degree: int = 2) -> np.ndarray:
     """Tricube-weighted local polynomial at each point of `at`; x are distinct with n values of mean y."""
-    total = n.sum()
-    near = max(int(math.floor(total * span + 1e-9)), degree + 1) if span < 1 else int(total)
+    near = neighbours_wanted(n.sum(), span, degree)
     out = np.full(len(at), np.nan)
     for i, x0 in enumerate(at):
         d = np.abs(x - x0)
@@ -29,23 +31,36 @@ def local_fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, at: np.ndarray, span:
             continue
         w = n * np.clip(1.0 - (d / reach) ** 3, 0.0, None) ** 3
         use = w > 0
+        if not use.any():
+            continue
         design = np.vander((x[use] - x0) / reach, degree + 1, increasing=True)
         root = np.sqrt(w[use])
         out[i] = np.linalg.lstsq(design * root[:, None], y[use] * root, rcond=None)[0][0]
     return out
 
 
-def loess(df: DataFrame, keys: list[str], x: str, y: str, span: float = 0.75, points: int = 80, degree: int = 2) -> DataFrame:
-    """Local-regression trend of each series at evenly spaced points.
+def loess(df: DataFrame, keys: list[str], x: str, y: str, span: float = 0.75, points: int = 80, degree: int = 2,
+          series_rows: int = GROUP_ROWS) -> DataFrame:
+    """Local-regression trend of each series at evenly spaced points; x is a number, a date or a time (days, seconds).
 
-    Rows with the same x are folded to (count, mean) first: the weights depend on x alone, so nothing
-    is lost, and a series holds at most one row per distinct x (a calendar date on these panels).
+    Rows with the same x are folded to (count, mean) first: the weights depend on x alone, so nothing is lost. Series are counted:
+    those with at most `series_rows` distinct x are fitted in one call each, longer ones from moments of bins (`long_series`).
+    Rows without x or y count as absent; where all rows of a window lie at its end, the fit is null.
     """
-    number = F.unix_date(x) if dict(df.dtypes)[x] == "date" else F.col(x)
-    folded = df.filter(F.col(y).isNotNull()).groupBy(*keys, number.cast("double").alias("_x")).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(y).alias("_y"))
+    kind = dict(df.dtypes)[x]
+    number = (F.unix_date(x) if kind == "date" else F.unix_micros(x) / 1e6 if kind == "timestamp" else F.col(x)).cast("double")
+    folded = df.select(*keys, number.alias("_x"), F.col(y).cast("double").alias("_y")).where("_y IS NOT NULL AND _x IS NOT NULL AND NOT isnan(_x)")
+    folded = folded.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_y").alias("_y"))
+    folded = stage(folded, scratch_path(df.sparkSession, "folded"))
     types = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["x double", "fitted double"])
+    sizes = folded.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    long = settled(sizes.where(F.col("_size") > series_rows).select(*keys, F.lit(True).alias("_long")))
+    some = not long.isEmpty()
+    short = folded
+    if some and keys:
+        short = natural_join(folded, long, "anti", keys)
+        folded = natural_join(folded, long.drop("_long"), "semi", keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_x")
@@ -56,7 +71,11 @@ def loess(df: DataFrame, keys: list[str], x: str, y: str, span: float = 0.75, po
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    return folded.groupBy(*keys).applyInPandas(run, schema)
+    fitted = long_series(folded, keys, span, points, degree) if some else None
+    if some and not keys:
+        return fitted
+    made = short.groupBy(*keys).applyInPandas(run, schema)
+    return made.unionByName(fitted) if some else made
 
 
 def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:

@@ -343,6 +343,32 @@ def test_loess_reproduces_quadratics_and_counts_duplicates(spark):
     assert np.allclose(got.fitted, 2 + got.x - 0.1 * got.x**2)
 
 
+@pytest.mark.parametrize("span, degree", [(0.2, 2), (0.75, 2), (0.4, 1), (1.0, 2), (1.5, 2)])
+def test_long_series_equal_one_call(spark, monkeypatch, span, degree):
+    rng = np.random.default_rng(11)
+    n = 900
+    x = np.concatenate([rng.normal(0, 1, n // 3), 50 + rng.exponential(3, n // 3), np.round(rng.uniform(-20, 80, n // 3))])
+    pdf = pd.DataFrame({"g": np.repeat([None, "b", "c"], n // 3)[rng.permutation(n)], "x": x, "y": np.sin(x / 9) + rng.normal(0, 0.2, n)})
+    df = spark.createDataFrame(pdf, "g string, x double, y double")
+    df = df.unionByName(spark.createDataFrame([("one", 3.0, 7.0), ("one", 3.0, 9.0), ("b", None, 1.0), ("c", 1.0, None), ("c", float("nan"), 1.0)], df.schema))
+    monkeypatch.setattr("siteseries.stats.local.long_series.__defaults__", (16,))
+    plain, binned = (smooth.loess(df, ["g"], "x", "y", span, 30, degree, size).toPandas().fillna({"g": ""}).sort_values(["g", "x"]).reset_index(drop=True)
+                     for size in (10**6, 100))
+    assert len(plain) == len(binned) == 91 and (plain.g == binned.g).all() and np.allclose(plain.x, binned.x)
+    assert np.allclose(plain.fitted, binned.fitted, atol=1e-7)
+
+
+def test_long_series_of_few_values_and_of_times(spark, monkeypatch):
+    monkeypatch.setattr("siteseries.stats.local.long_series.__defaults__", (4,))
+    heavy = spark.createDataFrame([(float(min(k, 5)), 1.0 * k) for k in range(100)], "x double, y double")  # most rows at one place
+    a, b = (smooth.loess(heavy, [], "x", "y", 0.3, 11, 2, size).orderBy("x").toPandas() for size in (100, 3))
+    assert np.allclose(a.fitted, b.fitted, equal_nan=True)
+    times = spark.range(200).selectExpr("timestamp_seconds(1700000000 + id * 60) AS t", "cast(id AS decimal(9,2)) AS y")
+    got = smooth.loess(times, [], "t", "y", 0.4, 20, 2, 50).toPandas()
+    assert np.allclose(got.fitted, (got.x - 1700000000) / 60, atol=1e-6)
+    assert smooth.loess(times.where("y < 0"), [], "t", "y").count() == 0
+
+
 def test_kernel_density_equals_the_sum_of_all_kernels(spark):
     rng = np.random.default_rng(3)
     far = np.r_[rng.normal(0, 1, 400), rng.normal(300, 1, 30), 1e4]  # gaps far wider than a bandwidth
