@@ -17,6 +17,8 @@ document and keep the same lines. An empty table gives an empty result. Extra co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,37 +205,91 @@ def form_column(line: Column) -> Column:
     return form(line)
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance, a column of the table at a time in the bits of one number."""
-    same, short = 0, min(len(a), len(b))
-    while same < short and a[same] == b[same]:
-        same += 1
-    a, b, short = a[same:], b[same:], short - same
-    same = 0
-    while same < short and a[-1 - same] == b[-1 - same]:
-        same += 1
+def shared_start(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def within(a: str, b: str, limit: int) -> bool:
+    """Whether the edit distance is at most `limit`: a column of the table at a time in the bits of one number.
+
+    Each further column changes the last row by one at most, so it ends as soon as the answer can no longer change.
+    """
+    same = shared_start(a, b)
+    a, b = a[same:], b[same:]
+    same = shared_start(a[::-1], b[::-1])
     a, b = a[:len(a) - same], b[:len(b) - same]
-    if not a or not b:
-        return max(len(a), len(b))
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) <= limit or len(a) - len(b) > limit:
+        return len(a) <= limit
+    if not b:
+        return False
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     all_, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = all_, 0, len(a)
+    up, down, score, left_over = all_, 0, len(a), len(b)
     for c in b:
         same = where.get(c, 0)
         free = same | down
         diagonal = ((same & up) + up ^ up) | same
         right, left = down | ~(diagonal | up) & all_, up & diagonal
-        score += bool(right & top) - bool(left & top)
+        if right & top:
+            score += 1
+        elif left & top:
+            score -= 1
+        left_over -= 1
+        if score + left_over <= limit:
+            return True
+        if score - left_over > limit:
+            return False
         right, left = (right << 1 | 1) & all_, left << 1 & all_
         up, down = left | ~(free | right) & all_, right & free
-    return score
+    return score <= limit
+
+
+def edits_by_words(a: list[str], b: list[str]) -> int:
+    """Characters that one way of turning the words of a into those of b edits, hence no less than the edit distance.
+
+    Where words differ, the next place at which they agree again, up to three words ahead on either side, decides what is
+    replaced, left out or put in.
+    """
+    i = j = cost = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+            continue
+        for p, q in AHEAD:
+            if i + p < n and j + q < m and a[i + p] == b[j + q]:
+                break
+        else:
+            p = q = 1
+        both = min(p, q)
+        cost += sum(max(len(x), len(y)) for x, y in zip(a[i:i + both], b[j:j + both]))
+        cost += sum(len(x) + 1 for x in a[i + both:i + p]) + sum(len(x) + 1 for x in b[j + both:j + q])
+        i, j = i + p, j + q
+    return cost + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
+
+
+#: Steps on both sides to where words may agree again, the shortest first.
+AHEAD = sorted(((p, q) for p in range(4) for q in range(4) if p or q), key=lambda s: (max(s), sum(s)))
 
 
 def similar(a: str, b: str, least: float) -> bool:
+    """Whether edits of at most 1 - least of the longer text turn one into the other; few changed words show it at once."""
     longest = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * longest and distance(a, b) <= (1 - least) * longest
+    limit = math.floor((1 - least) * longest)
+    return min(len(a), len(b)) >= least * longest and (edits_by_words(a.split(" "), b.split(" ")) <= limit or within(a, b, limit))
 
 
 def verified_links(visits: DataFrame, bits: int, least: float) -> DataFrame:

@@ -158,7 +158,20 @@ def test_edit_distance():
     rng = random.Random(2)
     for _ in range(300):
         a, b = ("".join(rng.choice("abé ") for _ in range(rng.randrange(0, 90))) for _ in range(2))
-        assert L.distance(a, b) == plain(a, b)
+        want = plain(a, b)
+        assert all(L.within(a, b, k) == (want <= k) for k in range(max(len(a), len(b)) + 2))
+
+
+def test_edits_by_words_are_never_too_few():
+    rng = random.Random(4)
+    words = [w * n for w in ("a", "bc", "é") for n in (1, 2, 5)]
+    for _ in range(600):
+        a = [rng.choice(words) for _ in range(rng.randrange(1, 20))]
+        b = [w for w in a if rng.random() < 0.9 for w in ([w, rng.choice(words)] if rng.random() < 0.1 else [w])] or a[:1]
+        cost, texts = L.edits_by_words(a, b), (" ".join(a), " ".join(b))
+        assert L.within(*texts, cost) and (cost == 0) == (a == b)
+    assert L.edits_by_words("one two three four".split(), "one 2 three four".split()) == 3
+    assert L.similar("x" * 10, "x" * 8, 0.8) and not L.similar("x" * 10, "x" * 7, 0.8) and not L.similar("ab cd ef", "gh ij kl", 0.8)
 
 
 def met(reader, a, b):
