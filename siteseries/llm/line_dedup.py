@@ -288,8 +288,8 @@ AHEAD = sorted(((p, q) for p in range(4) for q in range(4) if p or q), key=lambd
 def similar(a: str, b: str, least: float) -> bool:
     """Whether edits of at most 1 - least of the longer text turn one into the other; few changed words show it at once."""
     longest = max(len(a), len(b))
-    limit = math.floor((1 - least) * longest)
-    return min(len(a), len(b)) >= least * longest and (edits_by_words(a.split(" "), b.split(" ")) <= limit or within(a, b, limit))
+    limit = math.floor(longest - least * longest + 1e-9)  # a similarity of exactly `least` counts
+    return longest - min(len(a), len(b)) <= limit and (edits_by_words(a.split(" "), b.split(" ")) <= limit or within(a, b, limit))
 
 
 def verified_links(visits: DataFrame, bits: int, least: float) -> DataFrame:
