@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siteseries.functions.numeric import ratio
 from siteseries.operators.joins import natural_join
 from siteseries.stats.correlation import correlation_pairs
+from siteseries.stats.moments import corr
 
 
 def workflow_grid(predictor_sets: dict[str, list[str]], preprocessing: dict[str, object],
@@ -44,7 +45,7 @@ def score(held: DataFrame, label: str, prediction: str = "prediction", keys: lis
     """Root mean squared error and squared correlation."""
     return held.groupBy(*(keys or [])).agg(
         F.sqrt(F.avg(F.pow(F.col(label) - F.col(prediction), 2))).alias("rmse"),
-        F.pow(F.corr(label, prediction), 2).alias("rsq"), F.count(F.lit(1)).alias("n"))
+        F.pow(corr(label, prediction), 2).alias("rsq"), F.count(F.lit(1)).alias("n"))
 
 
 def tune(df: DataFrame, wf: Pipeline, grid: dict, label: str, fold: str = "fold", folds: int = 10,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteseries.functions.numeric import normal_quantile, ratio
 from siteseries.operators.joins import natural_join
 from siteseries.operators.ranking import cumulative_counts
+from siteseries.stats.moments import corr
 
 
 def welch_vs_baseline(df: DataFrame, keys: list[str], group: str, value: str, is_base: Column) -> DataFrame:
@@ -121,7 +122,7 @@ def shapiro_francia(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     z uses the published approximation in ln n (valid for 5 <= n <= 5000; beyond that read W').
     """
     s = normal_scores(df, keys, value)
-    out = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("nobs"), F.pow(F.corr(value, "score"), 2).alias("w_stat"))
+    out = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("nobs"), F.pow(corr(value, "score"), 2).alias("w_stat"))
     n = F.col("nobs")
     ln_n = F.ln(n)
     mean = -1.2725 + 1.0521 * (F.ln(ln_n) - ln_n)

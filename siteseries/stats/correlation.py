@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.stats.moments import correlations, pair_aggregates
+from siteseries.stats.moments import corr, correlations, pair_aggregates
 
 
 def _long(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def _long(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def correlation_pairs(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """Pearson r for each pair (lower triangle), pairwise complete."""
     if keys:
-        return _long(pair_aggregates(df, [(b, a) for a, b in combinations(cols, 2)], F.corr, keys), keys)
+        return _long(pair_aggregates(df, [(b, a) for a, b in combinations(cols, 2)], corr, keys), keys)
     r = correlations(df, cols)
     rows = [(cols[j], cols[i], None if r[i, j] != r[i, j] else float(r[i, j])) for i, j in combinations(range(len(cols)), 2)]
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
@@ -40,7 +40,7 @@ def correlation_matrix(df: DataFrame, cols: list[str], digits: int = 2) -> DataF
 def target_correlations(df: DataFrame, targets: list[str], predictors: list[str], keys: list[str]) -> DataFrame:
     """r of every predictor with every target per group, over rows that are complete."""
     rows = df.select(*keys, *targets, *predictors).dropna("any")
-    return _long(pair_aggregates(rows, [(t, p) for t in targets for p in predictors], F.corr, keys), keys)
+    return _long(pair_aggregates(rows, [(t, p) for t in targets for p in predictors], corr, keys), keys)
 
 
 def by_strength(r: str = "r") -> list[Column]:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteseries.functions.numeric import col, ratio
+
 CHUNK = 120
 
 
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson r over rows where both are known, null where one of them does not vary (`F.corr` raises there)."""
+    a, b = col(a), col(b)
+    known = a.isNotNull() & b.isNotNull()
+    return ratio(F.covar_pop(a, b), F.stddev_pop(F.when(known, a)) * F.stddev_pop(F.when(known, b)))
+
+
 def pair_aggregates(df: DataFrame, pairs: list[tuple[str, str]], fn, keys: list[str] | None = None) -> list[DataFrame]:
     """One grouped aggregate per chunk of column pairs (a very wide aggregate would not compile well)."""
     out = []

@@ -428,3 +428,12 @@ def test_convex_hull_contains_every_point(spark):
         for a, b in zip(c, np.roll(c, -1, axis=0)):
             side = (b[0] - a[0]) * (p.y - a[1]) - (b[1] - a[1]) * (p.x - a[0])
             assert side.min() > -1e-9
+
+
+def test_correlation_with_a_column_that_does_not_vary(spark):
+    rows = [("a", 5.0, 1.0, 2.0), ("a", 5.0, 2.0, 1.0), ("a", 5.0, 4.0, None), ("b", 1.0, 1.0, 2.0), ("b", 2.0, 3.0, 1.0), ("b", 4.0, 4.0, 9.0)]
+    df = spark.createDataFrame(rows, "g string, flat double, x double, y double")
+    got = {(r.g, r.x, r.y): r.r for r in correlation.target_correlations(df.select("g", "flat", "x"), ["flat"], ["x"], ["g"]).collect()}
+    assert got["a", "flat", "x"] is None and got["b", "flat", "x"] == pytest.approx(np.corrcoef([1, 2, 4], [1, 3, 4])[0, 1])
+    got = {(r.g, r.x, r.y): r.r for r in correlation.correlation_pairs(df, ["flat", "x", "y"], ["g"]).collect()}
+    assert got["a", "x", "flat"] is None and got["a", "y", "x"] == pytest.approx(-1.0)
