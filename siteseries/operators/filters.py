@@ -45,10 +45,10 @@ def groups_where(df: DataFrame, keys: list[str], stat: Column, condition) -> Dat
 
 
 def constant_columns(df: DataFrame, cols: list[str] | None = None, tol: float = 1.5e-8) -> list[str]:
-    """Numeric columns whose variance is within `tol` of zero: one aggregate, one row to the driver."""
+    """Numeric columns whose sd is zero or within `tol` of their mean, whatever their unit: one aggregate, one row to the driver."""
     cols = cols or numeric_names(df)
-    row = df.agg(*[F.var_samp(F.col(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] is not None and abs(row[c]) < tol]
+    row = df.agg(*[f(F.col(c)).alias(f"{c}__{n}") for c in cols for n, f in (("sd", F.stddev_samp), ("mid", F.avg))]).first()
+    return [c for c in cols if row[f"{c}__sd"] is not None and row[f"{c}__sd"] <= tol * abs(row[f"{c}__mid"])]
 
 
 def drop_constant_columns(df: DataFrame, cols: list[str] | None = None, tol: float = 1.5e-8) -> DataFrame:

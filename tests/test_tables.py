@@ -65,6 +65,11 @@ def test_near_constant_columns(spark):
     assert filters.constant_columns(df) == ["flat"]
 
 
+def test_small_values_that_vary_are_not_constant(spark):
+    df = spark.createDataFrame([(0.05, 0.0, 3.5), (0.0501, 0.0, 3.5), (0.0499, 0.0, 3.5)], "x1 double, zero double, flat double")
+    assert filters.constant_columns(df) == ["zero", "flat"]
+
+
 def skewed(spark, n=6000):
     """A third of all rows share one group and one value."""
     rng = np.random.default_rng(3)
