@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from siteseries.functions.dates import season
 from siteseries.operators.diversity import hill_columns
-from siteseries.operators.joins import natural_join
+from siteseries.operators.joins import broadcast_if_small, natural_join
 from siteseries.session import scratch_path
 from siteseries.sources.files import stage, table
 
 TEST = ("1997-06-01", "1998-09-01")
 EVENT = "1997-08-27"
+TASK_ROWS = 2_000_000  # lines that one task sorts, and rows that it keeps in a hash table, when a table is large
 
 
 def _day(c: str):
@@ -33,31 +34,57 @@ def survey_years(totals: DataFrame, period: str = "collection_period") -> list[i
     return [] if first is None else list(range(first, last + 1))
 
 
-def line_sites(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
-    """One row per order line with site and period.
+def spread(rows: DataFrame, count: int, key: str) -> DataFrame:
+    """Rows dealt by key over more tasks than usual where each would get over `TASK_ROWS`. For keys without large groups only,
+    as adaptive execution does not split these tasks."""
+    n = -(-count // TASK_ROWS)
+    return rows.repartition(n, key) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def looked_up(side: DataFrame, count: int) -> DataFrame:
+    """A side that is kept in hash tables by parts, so that the rows that meet it need no sort, if its parts are small enough."""
+    parts = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if TASK_ROWS // 8 < count <= TASK_ROWS * parts else side
+
+
+def line_places(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
+    """One row per order line with the key of its site and the period.
 
-    The nation, region and customer sides are joined to the orders first; how each side travels is left to the
-    size estimates of the scans and to adaptive execution.
+    Rows stay narrow, and a task sorts a bounded number of them: an order has few lines, so they spread evenly. How each side
+    travels is else left to the size estimates of the scans and to adaptive execution.
     """
-    places = (table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-              .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-              .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-              .select("c_custkey", F.col("n_name").alias("site_code"), F.col("r_name").alias("site_group")))
+    places = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("site_no"))
     orders = (table(spark, sf, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("collection_date"))
               .join(places, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey"))
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf, "lineitem")
+    count = lines.count()
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     if at_least is not None:
         lines = lines.filter(F.col("l_quantity") >= at_least)
+    lines = spread(lines, count, "l_orderkey")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumn("collection_period", F.trunc("collection_date", "month")))
 
 
+def site_named(rows: DataFrame, sf: str) -> DataFrame:
+    """Site and site group for the key of the site; the names are a row per nation, so the rows need not travel for them."""
+    spark = rows.sparkSession
+    names = (table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+             .select("n_nationkey", F.col("n_name").alias("site_code"), F.col("r_name").alias("site_group")))
+    return rows.join(broadcast_if_small(names), F.col("site_no") == F.col("n_nationkey")).drop("site_no", "n_nationkey")
+
+
+def line_sites(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
+    """One row per order line with site and period."""
+    return site_named(line_places(spark, sf, at_least), sf)
+
+
 def line_surveys(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
     """`line_sites` with the taxon of the part."""
-    parts = table(spark, sf, "part").select(
-        "p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("lowest_taxon"), F.col("p_type").alias("family"),
-        F.col("p_brand").alias("trait"))
-    return line_sites(spark, sf, at_least).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    parts = table(spark, sf, "part")
+    parts = looked_up(parts.select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("lowest_taxon"),
+                                   F.col("p_type").alias("family"), F.col("p_brand").alias("trait")), parts.count())
+    return site_named(line_places(spark, sf, at_least).join(parts, F.col("l_partkey") == F.col("p_partkey")), sf)
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,9 +94,9 @@ def totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def survey(spark: SparkSession, sf: str, at_least: float | None = None) -> DataFrame:
-    """One row per site, period and taxon; the other labels depend on those keys and are carried along."""
-    return line_surveys(spark, sf, at_least).groupBy("site_code", "collection_period", "lowest_taxon").agg(
-        *[F.first(c).alias(c) for c in ("site_group", "family", "trait")],
+    """One row per site, period and taxon. The labels that depend on those keys are grouped by, not carried along: sums alone
+    are kept in a hash table as long as the result, while strings among the aggregates would have every line sorted."""
+    return line_surveys(spark, sf, at_least).groupBy("site_code", "collection_period", "lowest_taxon", "site_group", "family", "trait").agg(
         F.sum("l_quantity").alias("density"), (F.sum("l_extendedprice") / 1000.0).alias("biomass"))
 
 

@@ -1,6 +1,7 @@
 """Both ways of ranking give the same rows, for null keys, every orderable type, negatives and ties; and sums far from zero."""
 
 import datetime
+import os
 from decimal import Decimal
 
 import pytest
@@ -8,8 +9,11 @@ from pyspark.sql import functions as F
 
 from siteseries.models.resample import stratified_split
 from siteseries.operators.ranking import _range_parts, cumulative_counts, exact_quantiles, ranked
+from siteseries.plans import views
 from siteseries.stats.compare import anova, rank_sum_vs, tukey_pairs
 
+FOLDER = "/root/testdata/sf0.001"
+
 VALUES = {
     "double": [-3.5, 0.0, 2.0, 2.0, None, 10.0, 9.0, float("nan"), -40.0, 7.25], "int": [5, -1, 5, 30, 4, None, 100, 9, 9, -20],
     "smallint": [5, -1, 5, 30, 4, None, 100, 9, 9, -20], "decimal(10,2)": [Decimal(x) for x in "9.00 10.00 19.00 -2.50 100.00 25.00 19.00 3.10 0.00 7.70".split()],
@@ -66,3 +70,16 @@ def test_anova_far_from_zero(spark):
     near = spark.createDataFrame([(k % 3, float((k * 7) % 11 + k % 3)) for k in range(60)], "h int, v double")
     f = [anova(df, [], "h", "v").first()["f_stat"] for df in (near, near.withColumn("v", F.col("v") + 1e8))]
     assert f[1] == pytest.approx(f[0], rel=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
+def test_surveys_keep_no_lines_in_memory(spark, monkeypatch):
+    """Lines are summed in a hash table, not sorted by their labels; and the paths of large tables give the same surveys."""
+    plan = views.survey(spark, FOLDER)
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r)[:6]: (round(r.density, 6), round(r.biomass, 6)) for r in plan.collect()}
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    large = views.survey(spark, FOLDER)
+    assert "REPARTITION_BY_NUM" in large._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[:6]: (round(r.density, 6), round(r.biomass, 6)) for r in large.collect()} == want
+    assert len(want) == large.count()
