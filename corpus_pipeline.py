@@ -23,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each group linked by a Jaccard similarity of five-word shingles of 0.8 or more; SimHash finds the candidates."""
     return similar_dedup(docs)
 
 

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -84,3 +85,27 @@ def test_similarity_is_decided_on_the_sets():
         b = a[:rng.randrange(1, n + 1)] + [str(rng.randrange(30)) for _ in range(rng.randrange(6))]
         x, y = " ".join(a), " \n".join(b)
         assert C.similar(reader.shingles(x), reader.shingles(y), N.PERCENT) == (jaccard(plain_shingles(x), plain_shingles(y)) >= 0.8)
+
+
+def test_candidates_come_from_simhash_anchors(spark, monkeypatch):
+    """Also with the anchors of twelve million nodes, at a similarity of 0.8 just met; unlike texts are no candidates."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for n in rng.choice([9, 45, 90, 900], 300):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.r_[a[n // 9:], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]
+        pairs.append((N.fingerprint(a), N.fingerprint(b)))
+    fps = spark.createDataFrame([(bytearray(f),) for f in sorted({f for p in pairs for f in p})], "fp binary")
+    for nodes in (600, 12_000_000):
+        monkeypatch.setattr(N, "layout", lambda _, made=N.layout(nodes) if nodes == 600 else (16, 93): made)
+        root = {bytes(r.node): bytes(r.root) for r in N.candidates(fps).collect()}
+        same = [root.get(a, a) == root.get(b, b) for a, b in pairs]
+        assert np.mean(same) >= 0.97
+        groups = {}
+        for a, b in pairs:
+            groups.setdefault(root.get(a, a), set()).add(a)
+        assert max(map(len, groups.values())) == 1
+
+
+def test_anchors_follow_the_number_of_nodes():
+    assert N.layout(200) == (8, 48) and N.layout(12_000_000) == (16, 93)
