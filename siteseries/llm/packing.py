@@ -16,6 +16,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -29,10 +30,16 @@ from pyspark.sql import functions as F
 from siteseries.llm.common import id_text, staged, text_of, tokenizer_path
 
 CAPACITY = 2048
-#: Bytes of chunks and of words, with their ids, that a worker remembers. A memory bound only: forgotten ones are encoded again.
-CHUNKS, WORDS = 24 << 20, 40 << 20
+#: Bytes of chunks of odd texts and of words, with their ids, that a worker remembers. A memory bound only: forgotten ones are
+#: encoded again.
+CHUNKS, WORDS = 8 << 20, 112 << 20
 #: Marks that may be cut off behind an ASCII letter or digit: there a new token begins in any case.
 MARKS = ".,!?;:*$%&#"
+#: Texts without any of these hold printable Latin-1 characters and ASCII blanks only: they are in normal form, every character is
+#: lowered by itself, and `PARTS` are the words that the tokenizer file cuts the lowered text into.
+ODD = re.compile(r"[^\t\n\x20-\x7e\xa1-\xac\xae-\xff]|<\|")
+LETTERS, DIGITS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\t\n\x20{LETTERS}{DIGITS}]+")
 
 
 class Recent(dict):
@@ -58,11 +65,11 @@ class Recent(dict):
 
 
 class WordEncoder:
-    """Token ids (packed little-endian) of blank-separated chunks, for a tokenizer file that drops white space and lower-cases.
+    """Token ids (packed little-endian) of texts, for a tokenizer file that drops white space and lower-cases.
 
-    No token of it spans a blank or a line feed, so each chunk is encoded once and looked up afterwards. Of a new chunk,
-    trailing marks and the word before them are looked up alone. Plain lower-case words, which normalisation and
-    pre-tokenisation would leave as they are, go straight to the library's model; anything else takes its full way.
+    No token of it spans a blank or two of its words. Texts and chunks of plain characters are cut into words by one expression,
+    and each word is encoded once and looked up afterwards. Lower-case words, which normalisation and pre-tokenisation would
+    leave as they are, go straight to the library's model; chunks with odd characters take its full way.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -73,25 +80,30 @@ class WordEncoder:
 
         self.library = Tokenizer.from_str(tokenizer)
         self.model = self.library.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {}  # how the library writes each byte, as far as characters below U+0530 have it
+        for c in map(chr, range(0x530)):
+            shown |= zip(c.encode(), "".join(p for p, _ in level.pre_tokenize_str(c)))
+        self.shown = shown
         self.chunks, self.words = Recent(self.chunk, CHUNKS), Recent(self.word, WORDS)
 
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, PARTS.findall(text.lower())))
+
     def chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if "<|" in chunk:
-            return self.whole(chunk)
+        if not ODD.search(chunk):
+            return self.plain(chunk)
         word = chunk.rstrip(MARKS)
-        if len(word) == len(chunk) or not (word and word[-1].isascii() and word[-1].isalnum()):
-            return self.lowered(chunk)
-        return self.lowered(word) + self.lowered(chunk[len(word):])
-
-    def lowered(self, word: str) -> bytes:
-        return self.words[word.lower() if word.isascii() else word]
+        if "<|" in chunk or len(word) == len(chunk) or not (word[-1:].isascii() and word[-1:].isalnum()):
+            return self.word(chunk)
+        return self.words[word] + self.plain(chunk[len(word):])
 
     def word(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "\u0530" and word == word.lower() and is_normalized("NFC", word):
-            plain = word if word.isascii() else "".join(p for p, _ in self.bytes.pre_tokenize_str(word))
+        if word.isascii():
+            if word.isalpha() and word.islower():
+                return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        elif word.isalpha() and max(word) < "\u0530" and word == word.lower() and is_normalized("NFC", word):
+            plain = word.encode().decode("latin-1").translate(self.shown)
             return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
         return self.whole(word)
 
@@ -99,6 +111,8 @@ class WordEncoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not ODD.search(text):
+            return self.plain(text)
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 

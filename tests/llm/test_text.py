@@ -134,6 +134,21 @@ def test_what_the_encoder_remembers_is_bounded_while_it_encodes(clip):
     assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == clip.encode(text, add_special_tokens=False).ids
 
 
+def test_capitals_and_marks_of_plain_texts_do_not_take_the_full_way(clip):
+    with open(tokenizer_path("word_bpe_49k.json")) as f:
+        encoder = P.WordEncoder(f.read())
+    taken, full = [], encoder.whole
+    encoder.whole = lambda text: taken.append(text) or full(text)
+    text = "Été, ÉTÉ!!! (l'Été) «Ñandú»\tAÑO 12½ µ ª x's ß÷Ø" * 3
+    assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == clip.encode(text, add_special_tokens=False).ids
+    assert not [t for t in taken if any(c.isalpha() for c in t.replace("'s", ""))]
+    rng = random.Random(5)
+    alphabet = [*map(chr, range(9, 14)), *map(chr, range(32, 0x250)), *["'ll", "'S", " ", "\n", "<|", "<|endoftext|>", "\u0301", "\x1c"] * 9]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14)))
+        assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == clip.encode(text, add_special_tokens=False).ids, text
+
+
 def test_large_ids_beside_nulls_stay_exact(spark):
     from siteseries.llm.line_dedup import lines_of
     big = (1 << 62) + 1
