@@ -108,9 +108,12 @@ def spanning(homes: list, guests: list, percent: int) -> list[tuple[bytes, bytes
     return out
 
 
-def verified(visits: DataFrame, percent: int) -> DataFrame:
-    """(a, b) nodes of visits (anchor, node, guest, set) that are similar, enough of them to connect all that are."""
-    cells = dealt(visits, F.greatest(F.length("set"), F.lit(LEAST)), BYTES)
+def verified(visits: DataFrame, percent: int, size: Column | None = None) -> DataFrame:
+    """(a, b) nodes of visits (anchor, node, guest, set) that are similar, enough of them to connect all that are.
+
+    `size` is what a set counts for, if a column of the visits has it: then sets are not read for the sizes of parts.
+    """
+    cells = dealt(visits, F.greatest(F.length("set"), F.lit(LEAST)) if size is None else size, BYTES)
 
     def compare(batches):
         import pandas as pd

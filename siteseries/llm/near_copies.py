@@ -212,16 +212,17 @@ def similar_nodes(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     shared = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     visits = staged(placed.join(shared, "anchor", "left_semi"), "near-visits")
     body = rows.join(sized(visits.select("node")), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-    sets = staged(body.select("node", set_column(F.col("body"), words).alias("set")), "near-sets")
+    sets = body.select("node", set_column(F.col("body"), words).alias("set")).withColumn("size", F.greatest(F.length("set"), F.lit(LEAST)))
+    sets = staged(sets, "near-sets")
 
     def links(some: DataFrame, name: str) -> DataFrame:
-        return staged(verified(some.join(sets, "node").select("anchor", "node", "guest", "set"), percent), name)
+        return staged(verified(sized(some).join(sets, "node").select("anchor", "node", "guest", "set", "size"), percent, F.col("size")), name)
 
     first = links(visits.select("anchor", "node", F.lit(False).alias("guest")), "near-first")
-    crowded = visits.join(sets.select("node", F.greatest(F.length("set"), F.lit(LEAST)).alias("size")), "node")
+    crowded = visits.join(sets.select("node", "size"), "node")
     crowded = crowded.groupBy("anchor").agg(F.sum("size").alias("all")).where(F.col("all") > crowds.BYTES).select("anchor")
     again = visits.join(crowded, "anchor", "left_semi")  # others were compared whole
-    second = links(strangers(again, staged(components(first), "near-joined")), "near-second")
+    second = links(staged(strangers(again, staged(components(first), "near-joined")), "near-again"), "near-second")
     return components(first.unionByName(second))
 
 

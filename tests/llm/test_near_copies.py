@@ -109,3 +109,24 @@ def test_candidates_come_from_simhash_anchors(spark, monkeypatch):
 
 def test_anchors_follow_the_number_of_nodes():
     assert N.layout(200) == (8, 48) and N.layout(12_000_000) == (16, 93)
+
+
+def test_sets_travel_only_to_their_parts(spark, monkeypatch):
+    """Neither their sizes nor the join with few visits has the sets shuffled, whatever the size estimates say."""
+    plans, made = [], N.verified
+
+    def verified(visits, *rest):
+        plans.append(visits._jdf.queryExecution().executedPlan().toString())
+        assert "size" in visits.columns and len(rest) == 2
+        return made(visits, *rest)
+
+    monkeypatch.setattr(N, "verified", verified)
+    texts = ["a b c d e f g h i j k l m n o p q r s t u v w", "a b c d e f g h i j k l m n o p q r s t u v", "other words here and no more of them", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(r.doc_id for r in N.similar_dedup(docs).collect()) == [0, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p for p in plans)
