@@ -22,6 +22,43 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(d)
 
 
+def may_be_nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b) of all pairs, in order, in which b can be among the k nearest of a.
+
+    One matrix product gives lower bounds of all squared distances: the squares and the product, less the most that rounding can
+    make of them. Pairs whose bound exceeds what k rows are known to reach are left out; none if a number is too large for that.
+    """
+    square_a, square_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    if not (square_a.max() < 1e300 and square_b.max() < 1e300):  # NaN too
+        return np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+    rounding, tiny = 16 * (a.shape[1] + 8) * np.finfo(float).eps, 1e-290  # tiny: products below the normal range
+    left = np.column_stack([-2 * a, square_a * (1 - rounding) - tiny, np.ones(len(a))])
+    low = left @ np.column_stack([b, np.ones(len(b)), square_b * (1 - rounding)]).T
+    # The least bounds of k of several groups belong to k different rows.
+    k = min(k, len(b))
+    groups = max(k, -(-len(b) // 32))
+    least = low[:, :groups].copy()
+    for start in range(groups, len(b), groups):
+        part = low[:, start:start + groups]
+        np.minimum(least[:, :part.shape[1]], part, out=least[:, :part.shape[1]])
+    reached = np.partition(least, k - 1, axis=1)[:, k - 1] + 4 * (rounding * (square_a + square_b.max()) + tiny)
+    return np.nonzero(low <= reached[:, None])
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b to each row of a, by distance; equal ones by their place in b."""
+    row, col = may_be_nearest(a, b, k)
+    d = np.zeros(len(row))
+    for x, y in zip(a.T, b.T):  # feature by feature, as in `distances`
+        d += (x[row] - y[col]) ** 2
+    d = np.sqrt(d)
+    order = np.lexsort((col, d, row))
+    row, col, d = row[order], col[order], d[order]
+    n = np.bincount(row, minlength=len(a))
+    first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < k
+    return row[first], col[first], d[first]
+
+
 def to_pivots(pivots: np.ndarray):
     """Distances of the column _x to every pivot."""
     @F.pandas_udf("array<double>")
@@ -43,8 +80,8 @@ def knn_regression(train: DataFrame, test: DataFrame, key: list[str], features:
     """Mean of y over the k nearest training rows, weighted by 1 / (distance + 1e-9).
 
     Training rows belong to the cell of the nearest of some pivots (training rows drawn by hash). A test row first visits the cell
-    nearest to it; its k-th distance there decides which cells can still hold nearer rows, and only those are visited. Results are
-    exact. Rows of a cell and its visitors are cut into hash blocks of bounded size; a task keeps only the k nearest of each
+    nearest to it; its k-th distance there decides which cells can still hold nearer rows, and only those are visited; there a matrix
+    product tells which rows need be measured. Results are exact. Rows of a cell and its visitors are cut into hash blocks of bounded size; a task keeps only the k nearest of each
     test row, which are then merged per test row. Ties go to the smaller training key. The driver sees pivots and cell sizes.
     """
     spark, types = train.sparkSession, dict(test.dtypes)
@@ -70,14 +107,11 @@ def knn_regression(train: DataFrame, test: DataFrame, key: list[str], features:
             return pd.DataFrame(columns=[*key, "d", "rk", "v"])
         b = b.sort_values("_k").reset_index(drop=True)
         xa, xb = np.stack(a["_x"].to_numpy()), np.stack(b["_x"].to_numpy())
-        m = min(k, len(b))
         out = []
         for start in range(0, len(xa), 256):
-            d = distances(xa[start:start + 256], xb)
-            pick = np.argsort(d, axis=1, kind="stable")[:, :m]
-            ids = a.iloc[np.repeat(np.arange(start, start + len(d)), m)][key].reset_index(drop=True)
-            ids["d"] = np.take_along_axis(d, pick, axis=1).ravel()
-            ids["rk"], ids["v"] = b["_k"].to_numpy()[pick.ravel()], b["_y"].to_numpy()[pick.ravel()]
+            row, col, d = nearest_rows(xa[start:start + 256], xb, k)
+            ids = a.iloc[start + row][key].reset_index(drop=True)
+            ids["d"], ids["rk"], ids["v"] = d, b["_k"].to_numpy()[col], b["_y"].to_numpy()[col]
             out.append(ids)
         return pd.concat(out)
 

@@ -92,6 +92,25 @@ def test_knn_blocks_match_brute_force(spark):
         assert np.allclose(got.prediction, want)
 
 
+def test_knn_measures_few_rows_of_a_block():
+    """The nearest rows and distances are those of all pairs, bit by bit; where nothing clusters, few pairs are measured."""
+    rng = np.random.default_rng(7)
+    for n in range(200):
+        a, b = rng.normal(size=(rng.integers(1, 30), 6)), rng.normal(size=(rng.integers(1, 200), 6))
+        a, b = [(a, b), (a.round(), b.round()), (a + 1e8, b + 1e8), (a, np.tile(a[:1], (len(b), 1))), (a, b)][n % 5]
+        if n % 5 == 4:
+            b[0, 0] = (np.inf, np.nan, 1e170, 1e10)[n // 5 % 4]
+        k, scale = int(rng.integers(1, 9)), 10.0 ** rng.integers(-160, 140)
+        with np.errstate(all="ignore"):
+            d = neighbours.distances(a * scale, b * scale)
+            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
+            row, col, got = neighbours.nearest_rows(a * scale, b * scale, k)
+        assert np.array_equal(row, np.repeat(np.arange(len(a)), min(k, len(b)))) and np.array_equal(col, pick.ravel())
+        assert np.array_equal(got, np.take_along_axis(d, pick, axis=1).ravel(), equal_nan=True)
+    a, b = rng.normal(size=(50, 63)), rng.normal(size=(5000, 63))
+    assert len(neighbours.may_be_nearest(a, b, 5)[0]) < 0.01 * len(a) * len(b)
+
+
 def test_knn_prunes_cells_of_clustered_rows(spark, monkeypatch):
     """Exact with under a tenth of the pairs compared where rows cluster, whatever the blocks; equal rows go by key."""
     rng = np.random.default_rng(5)
