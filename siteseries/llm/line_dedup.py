@@ -217,10 +217,21 @@ def shared_start(a: str, b: str) -> int:
     return low
 
 
+def in_common(where: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of b and a text of n characters, of which `where` has the places as bits."""
+    open_ = all_ = (1 << n) - 1
+    for c in b:
+        same = open_ & where.get(c, 0)
+        open_ = open_ + same | open_ - same
+    return n - (open_ & all_).bit_count()
+
+
 def within(a: str, b: str, limit: int) -> bool:
     """Whether the edit distance is at most `limit`: a column of the table at a time in the bits of one number.
 
-    Each further column changes the last row by one at most, so it ends as soon as the answer can no longer change.
+    Each further column changes the last row by one at most, so it ends as soon as the answer can no longer change. The longest
+    common subsequence, which takes a quarter of the steps, mostly tells before: whatever of the longer text is not in it takes
+    an edit, and one for each character of either text that is not in it is enough.
     """
     same = shared_start(a, b)
     a, b = a[same:], b[same:]
@@ -235,6 +246,9 @@ def within(a: str, b: str, limit: int) -> bool:
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
+    both = in_common(where, len(a), b)
+    if len(a) - both > limit or len(a) + len(b) - 2 * both <= limit:
+        return len(a) - both <= limit
     all_, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score, left_over = all_, 0, len(a), len(b)
     for c in b:
@@ -256,11 +270,11 @@ def within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
-def edits_by_words(a: list[str], b: list[str]) -> int:
+def edits_by_words(a: list[str], b: list[str], most: float = math.inf) -> int:
     """Characters that one way of turning the words of a into those of b edits, hence no less than the edit distance.
 
     Where words differ, the next place at which they agree again, up to three words ahead on either side, decides what is
-    replaced, left out or put in.
+    replaced, left out or put in. Beyond `most` it is only counted that there are more.
     """
     i = j = cost = 0
     n, m = len(a), len(b)
@@ -277,6 +291,8 @@ def edits_by_words(a: list[str], b: list[str]) -> int:
         both = min(p, q)
         cost += sum(max(len(x), len(y)) for x, y in zip(a[i:i + both], b[j:j + both]))
         cost += sum(len(x) + 1 for x in a[i + both:i + p]) + sum(len(x) + 1 for x in b[j + both:j + q])
+        if cost > most:
+            return cost
         i, j = i + p, j + q
     return cost + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
 
@@ -285,68 +301,134 @@ def edits_by_words(a: list[str], b: list[str]) -> int:
 AHEAD = sorted(((p, q) for p in range(4) for q in range(4) if p or q), key=lambda s: (max(s), sum(s)))
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    """Whether edits of at most 1 - least of the longer text turn one into the other; few changed words show it at once."""
+def edits_allowed(a: str, b: str, least: float) -> int:
+    """Edits of at most 1 - least of the longer text; -1 if its length alone takes more."""
     longest = max(len(a), len(b))
     limit = math.floor(longest - least * longest + 1e-9)  # a similarity of exactly `least` counts
-    return longest - min(len(a), len(b)) <= limit and (edits_by_words(a.split(" "), b.split(" ")) <= limit or within(a, b, limit))
+    return limit if longest - min(len(a), len(b)) <= limit else -1
 
 
-def verified_links(visits: DataFrame, bits: int, least: float) -> DataFrame:
-    """(a, b) nodes of rows (anchor, own, node, fp, form) that are close and similar, enough of them to connect all that are."""
-    cells = cells_of(visits, "node", 512, alike=True)
+def few_changes(a: str, b: str, least: float) -> bool:
+    """Whether few changed words show that the texts are similar."""
+    limit = edits_allowed(a, b, least)
+    return limit >= 0 and edits_by_words(a.split(" "), b.split(" "), limit) <= limit
 
-    def compare(batches):
-        import pandas as pd
 
-        key, homes, found = None, [], []
+def few_edits(a: str, b: str, least: float) -> bool:
+    """Whether the texts are similar by their edit distance."""
+    limit = edits_allowed(a, b, least)
+    return limit >= 0 and within(a, b, limit)
+
+
+def similar(a: str, b: str, least: float) -> bool:
+    """Whether edits of at most 1 - least of the longer text turn one into the other; few changed words show it at once."""
+    return few_changes(a, b, least) or few_edits(a, b, least)
+
+
+class Decided:
+    """What is known of nodes that meet at several anchors: those joined so far, by `links`, and pairs that are not similar."""
+
+    def __init__(self, links: list[tuple[bytes, bytes]]) -> None:
+        self.links, self.roots, self.apart = links, {}, set()
+
+    def root(self, a: bytes) -> bytes:
+        up = self.roots
+        while (b := up.get(a, a)) != a:
+            up[a] = a = up.get(b, b)
+        return a
 
-        def forest(guests):
-            free_homes, free = set(range(len(homes))), set(range(len(guests)))
-            fps = np.array([g[1] for g in guests], np.int64).view(np.uint64), np.array([h[1] for h in homes], np.int64).view(np.uint64)
-            while free_homes:
-                queue = [(True, free_homes.pop())]
+    def joined(self, a, b, test, least: float, last: bool) -> bool:
+        """Whether (node, fp, form) a and b are joined already, or now by the test; a pair that fails the last test is kept in mind."""
+        x, y = self.root(a[0]), self.root(b[0])
+        if x == y:
+            return True
+        pair = (a[0], b[0]) if a[0] < b[0] else (b[0], a[0])
+        if pair in self.apart:
+            return False
+        if test(a[2], b[2], least):
+            self.roots[x] = y
+            self.links.append(pair)
+            return True
+        if last:
+            self.apart.add(pair)
+            if len(self.apart) > KEPT:
+                self.apart.clear()
+        return False
+
+    def forest(self, homes: list, guests: list, bits: int, least: float) -> None:
+        """Join all similar pairs of a home and a guest, both (node, fp, form); homes among themselves if they are the guests.
+
+        Few changed words join what they can first, so that edit distances are left to what is still apart.
+        """
+        if len(self.roots) > KEPT:
+            self.roots.clear()
+        pools = homes, guests
+        fps = [np.array([x[1] for x in pool], np.int64).view(np.uint64) for pool in pools]
+        for test, last in ((few_changes, False), (few_edits, True)):
+            if len({self.root(x[0]) for pool in pools for x in pool}) == 1:
+                return
+            free = set(range(len(homes))), set(range(len(guests)))
+            if homes is guests:
+                free = free[0], free[0]
+            while free[0]:
+                queue = [(0, free[0].pop())]
                 while queue:
-                    mine, k = queue.pop()
-                    me, pool, left, of = (homes[k], guests, free, fps[0]) if mine else (guests[k], homes, free_homes, fps[1])
+                    side, k = queue.pop()
+                    me, pool, left, of = pools[side][k], pools[1 - side], free[1 - side], fps[1 - side]
                     at = np.fromiter(left, np.int64, len(left))
                     if not len(at):
                         continue
-                    near = at[np.bitwise_count(of[at] ^ np.int64(me[1]).view(np.uint64)) <= bits]
-                    for j in near.tolist():
-                        you = pool[j]
-                        if you[0] == me[0] or similar(me[2], you[2], least):
+                    for j in at[np.bitwise_count(of[at] ^ fps[side][k]) <= bits].tolist():
+                        if self.joined(me, pool[j], test, least, last):
                             left.discard(j)
-                            queue.append((not mine, j))
-                            if you[0] != me[0]:
-                                found.append((me[0], you[0]))
+                            queue.append((1 - side, j))
+
+
+LED = 64        # nodes up to which an anchor comes to its lead; others spread over the tasks by themselves
+KEPT = 300_000  # nodes and pairs kept in mind; a memory bound only
+
+
+def verified_links(visits: DataFrame, bits: int, least: float) -> DataFrame:
+    """(a, b) nodes of rows (anchor, lead, own, node, fp, form) that are close and similar, enough of them to connect all that are.
+
+    Anchors of one lead, which mostly bring the same nodes together, come to one task one after the other, and what one of them
+    decides is not asked again.
+    """
+    cells = cells_of(visits, "node", 512, alike=True, lead="lead")
+
+    def compare(batches):
+        import pandas as pd
+
+        key, lead, homes, guests, met, found = None, None, [], [], False, []
+        known = Decided(found)
 
-        def ended(guests):
+        def ended():
             # Without guests the homes of an undivided anchor meet each other.
             if homes and (guests or not met):
-                forest(guests or homes)
+                known.forest(homes, guests or homes, bits, least)
 
-        met, guests = False, []
         for pdf in batches:
-            for anchor, part, own, node, fp, form in pdf.itertuples(index=False):
+            for of, anchor, part, own, node, fp, form in pdf.itertuples(index=False):
                 if key != (anchor, part):
-                    ended(guests)
+                    ended()
                     key, homes, guests, met = (anchor, part), [], [], False
+                    if lead != of:
+                        lead, known = of, Decided(found)
                 if own:
                     homes.append((bytes(node), fp, form))
                 else:
                     guests.append((bytes(node), fp, form))
                     if len(guests) >= 4096:
-                        ended(guests)
+                        ended()
                         guests, met = [], True
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found.clear()
-        ended(guests)
+        ended()
         if found:
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return cells.select("anchor", "part", "own", "node", "fp", "form").mapInPandas(compare, "a binary, b binary")
+    return cells.select("lead", "anchor", "part", "own", "node", "fp", "form").mapInPandas(compare, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits: int = BITS, least: float = SIMILARITY) -> DataFrame:
@@ -357,11 +439,13 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits
                                             F.count("*").alias("n")), "line-nodes")
     visits = nodes.select(F.explode("keys").alias("anchor"), "node", "fp", "at.doc", "at.k")
     dealt_key = F.col("anchor").bitwiseAND(F.lit(1)) == 1
-    meets = visits.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
-    meets = staged(meets.groupBy("n", "who", dealt_key.alias("dealt")).agg(F.min("anchor").alias("anchor")).select("anchor"), "line-meets")
+    hashed = F.xxhash64("node")
+    meets = visits.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("who"), F.min(hashed).alias("lead")).where("n > 1")
+    meets = staged(meets.groupBy("n", "who", dealt_key.alias("dealt")).agg(F.min("anchor").alias("anchor"), F.min("lead").alias("lead"))
+                   .select("anchor", F.when(F.col("n") <= LED, F.col("lead")).otherwise(F.xxhash64("anchor")).alias("lead")), "line-meets")
     # Keys of lines left short are exact enough; their nodes meet whatever their fingerprints.
-    visits = staged(visits.join(sized(meets), "anchor", "left_semi")
-                    .select("anchor", F.lit(True).alias("own"), "node", F.when(dealt_key, F.col("fp")).otherwise(0).alias("fp"), "doc", "k"), "line-visits")
+    visits = staged(visits.join(sized(meets), "anchor")
+                    .select("anchor", "lead", F.lit(True).alias("own"), "node", F.when(dealt_key, F.col("fp")).otherwise(0).alias("fp"), "doc", "k"), "line-visits")
     # The lines that meet others are fetched from the documents in which they come first.
     wanted = staged(visits.select("node", "doc", "k").distinct(), "line-candidates")
     rows = keyed(docs, id, text).join(sized(wanted), "doc")

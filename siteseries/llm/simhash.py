@@ -142,16 +142,19 @@ def forest(own: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[in
     return out
 
 
-def cells_of(visits: DataFrame, item: str, homes: int = HOMES, alike: bool = False) -> DataFrame:
+def cells_of(visits: DataFrame, item: str, homes: int = HOMES, alike: bool = False, lead: str | None = None) -> DataFrame:
     """Split the anchors (column anchor) into cells (anchor, part): every row of an anchor meets each of its homes (own) in one.
 
     A home goes to one part of its anchor, chosen by its `item`; every row, homes too, visits each part. Rows of a cell come
     together, its homes first. If all visits are homes (`alike`), an undivided anchor gets no other rows: its homes meet
-    each other.
+    each other. Undivided anchors with the same `lead`, a column of whole numbers, come one after the other in one task; the
+    lead of a divided one is made its own.
     """
     crowded = (visits.where("own").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > homes)
                .select("anchor", F.ceil(F.col("n") / homes).cast("int").alias("parts")))
     visits = visits.join(sized(staged(crowded, "anchors-crowded")), "anchor", "left")
+    if lead:
+        visits = visits.withColumn(lead, F.when(F.col("parts").isNull(), F.col(lead)).otherwise(F.xxhash64("anchor")))
     parts, rest = F.coalesce(F.col("parts"), F.lit(1)), [c for c in visits.columns if c not in ("anchor", "own", "parts")]
     home = visits.where("own").select("anchor", F.pmod(F.xxhash64(item), parts).cast("int").alias("part"), F.lit(True).alias("own"), *rest)
     guest = visits.select("anchor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("own"), *rest)
@@ -159,7 +162,8 @@ def cells_of(visits: DataFrame, item: str, homes: int = HOMES, alike: bool = Fal
         guest = visits.where("parts IS NOT NULL").select(*[F.col(c) for c in visits.columns])
         guest = guest.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("own"), *rest)
     n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return home.unionByName(guest).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part", F.col("own").desc())
+    first = [lead] if lead else ["anchor"]
+    return home.unionByName(guest).repartition(n, *first, "part").sortWithinPartitions(*first, *(["anchor"] if lead else []), "part", F.col("own").desc())
 
 
 def close_links(visits: DataFrame, threshold: int, alike: bool = False) -> DataFrame:

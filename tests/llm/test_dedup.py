@@ -174,6 +174,26 @@ def test_edits_by_words_are_never_too_few():
     assert L.similar("x" * 10, "x" * 8, 0.8) and not L.similar("x" * 10, "x" * 7, 0.8) and not L.similar("ab cd ef", "gh ij kl", 0.8)
 
 
+def test_pairs_that_meet_again_are_decided_once(spark, monkeypatch):
+    """Nodes that meet at several anchors of one lead: links join what is similar, and no pair is compared twice."""
+    rng = random.Random(6)
+    base = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(3)]
+    forms = [b.replace(b[7 * k:7 * k + 6], "x" * 6) for b in base for k in range(6)]
+    rows = [(anchor, 5, True, bytes([k]), 0, f) for anchor in range(8) for k, f in enumerate(forms) if k != 2 * anchor]
+    asked, plain = [], (L.few_changes, L.few_edits)
+    monkeypatch.setattr(L, "few_changes", lambda a, b, least: asked.append((a, b)) or plain[0](a, b, least))
+    monkeypatch.setattr(L, "few_edits", lambda a, b, least: asked.append((a, b, "edits")) or plain[1](a, b, least))
+    known = L.Decided([])
+    for anchor in range(8):
+        known.forest(homes := [(r[3], r[4], r[5]) for r in rows if r[0] == anchor], homes, L.BITS, 0.8)
+    assert len({known.root(bytes([k])) for k in range(18)}) == 3 and len(known.links) == 15
+    edits = [frozenset(x[:2]) for x in asked if len(x) == 3]
+    assert len(edits) == len(set(edits)) <= 3 * 36 and len(asked) < 8 * 18 * 18 / 4
+    visits = spark.createDataFrame(rows, "anchor long, lead long, own boolean, node binary, fp long, form string")
+    groups = {bytes(r.node): bytes(r.root) for r in components(L.verified_links(visits, L.BITS, 0.8)).collect()}
+    assert groups == {bytes([k]): bytes([k // 6 * 6]) for k in range(18)}
+
+
 def met(reader, a, b):
     """Whether two lines come to be compared by their edit distance."""
     (x, y), (k, m) = reader.read([a.split(), b.split()])
