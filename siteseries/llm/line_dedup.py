@@ -18,12 +18,14 @@ document and keep the same lines. An empty table gives an empty result. Extra co
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteseries.llm.common import packed, sized, staged, text_of
+from siteseries.llm.common import BROADCAST_ROWS, packed, sized, staged, text_of
 from siteseries.llm.components import components
 from siteseries.llm.simhash import cells_of
 
@@ -49,38 +51,101 @@ class WordHashes(dict):
         return h
 
 
-class LineReader:
-    """Fingerprints of lines of words; the hash of a word is kept for later lines."""
+def normal(text: bytes) -> bytes:
+    """A text with each of its lines in normal form."""
+    a = np.frombuffer(text.translate(FORM), np.uint8)
+    gap = a <= 32
+    keep = a != 32
+    keep[1:] |= ~gap[:-1]
+    return a[keep].tobytes().replace(b" \n", b"\n").rstrip(b" ")
+
+
+#: As `words_of` has them, but line feeds stay.
+FORM = bytes(10 if c == 10 else MARKS.lower()[c] for c in range(256))
+
+
+def word_hashes(text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 42) of the words of a text that start at `starts` and have `size` bytes."""
+    from xxhash import xxh64_intdigest
 
-    def __init__(self) -> None:
-        self.known = WordHashes()
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, by):
+        return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(text) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) + (p5 + np.uint64(42))
+    at, left = starts.copy(), np.where(size < 32, size, 0)
+    while len(some := np.flatnonzero(left >= 8)):
+        h[some] = turned(h[some] ^ turned(eight[at[some]] * p2, 31) * p1, 27) * p1 + p4
+        at[some] += 8
+        left[some] -= 8
+    some = np.flatnonzero(left >= 4)
+    h[some] = turned(h[some] ^ (eight[at[some]] & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+    at[some] += 4
+    left[some] -= 4
+    some = np.flatnonzero(left)
+    while len(some):
+        h[some] = turned(h[some] ^ padded[at[some]].astype(np.uint64) * p5, 11) * p1
+        at[some] += 1
+        left[some] -= 1
+        some = some[left[some] > 0]
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(size >= 32):
+        h[k] = xxh64_intdigest(text[starts[k]:starts[k] + size[k]].tobytes(), 42)
+    return h
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+class LineReader:
+    """Fingerprints and block keys of lines."""
 
     def fingerprints(self, lines: list[list[bytes]]) -> list[int | None]:
         """The SimHash of each line's word pairs; None below MIN_WORDS."""
         return self.read(lines)[0]
 
     def read(self, lines: list[list[bytes]]) -> tuple[list[int | None], list[list[int]]]:
-        """The SimHash and the block keys of each line."""
-        long = [k for k, ws in enumerate(lines) if len(ws) >= MIN_WORDS]
-        out: list[int | None] = [None] * len(lines)
-        keys = [left_out(ws) if len(ws) <= SHORT else [] for ws in lines]
-        if not long:
-            return out, keys
-        size = np.array([len(lines[k]) for k in long])
-        h = self.hashes([w for k in long for w in lines[k]])
+        """The SimHash and the block keys of each line of words."""
+        fps, known, line, key = self.read_text(b"\n".join(map(b" ".join, lines)))
+        keys: list[list[int]] = [[] for _ in lines]
+        for k, x in zip(line.tolist(), key.tolist()):
+            keys[k].append(x)
+        return [fp if has else None for fp, has in zip(fps.tolist(), known.tolist())], keys
+
+    def read_text(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The SimHash of each line of a text in normal form and whether it has one, and (line, key) of the lines' keys."""
+        a = np.frombuffer(text, np.uint8)
+        inside = a > 32
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        starts, ends, breaks = np.flatnonzero(first), np.flatnonzero(last) + 1, np.flatnonzero(a == 10)
+        of = np.diff(np.searchsorted(starts, np.r_[0, breaks, len(a)]))
+        fps, known = np.zeros(len(of), np.int64), of >= MIN_WORDS
+        left = [(k, left_out(text[i:j].split(b" "))) for k, i, j in zip(*(x[(of > 0) & (of <= SHORT)].tolist() for x in (
+            np.arange(len(of)), np.r_[0, breaks + 1], np.r_[breaks, len(a)])))]
+        line = [np.repeat([k for k, _ in left], [len(x) for _, x in left]).astype(np.int64)]
+        key = [np.array([y for _, x in left for y in x], np.int64)]
+        long = np.flatnonzero(known)
+        if len(long):
+            size, use = of[long], np.repeat(known, of)
+            h = word_hashes(a, starts[use], (ends - starts)[use])
+            fps[long], more = self.read_words(h, size)
+            line.append(long[more[0]])
+            key.append(more[1])
+        return fps, known, np.concatenate(line), np.concatenate(key)
+
+    def read_words(self, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The SimHashes and (line, key) of the blocks of lines of `size` words with the hashes h."""
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
         pair = (pair ^ (pair >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         pair ^= pair >> np.uint64(32)
         inner = np.ones(len(pair), bool)
         inner[np.cumsum(size)[:-1] - 1] = False  # pairs across two lines
         pair = pair[inner]
-        for k, key in zip(*dealt(h, pair, size)):
-            keys[long[k]].append(key)
+        keys = dealt(h, pair, size)
         size = size - 1
         # Eight counters of eight bits in a word: runs of at most 255 pairs are added at once, then the runs of a line.
         runs = -(-size // 255)
@@ -88,16 +153,13 @@ class LineReader:
         nth = np.arange(len(line)) - np.repeat(np.cumsum(runs) - runs, runs)
         starts = (np.cumsum(size) - size)[line] + 255 * nth
         counts = np.empty((len(starts), 64), np.uint8)
-        for lo in range(0, len(starts), 4096):
-            some = starts[lo:lo + 4096]
-            end = starts[lo + 4096] if lo + 4096 < len(starts) else len(pair)
+        for lo in range(0, len(starts), 512):
+            some = starts[lo:lo + 512]
+            end = starts[lo + 512] if lo + 512 < len(starts) else len(pair)
             lanes = LANES[pair[some[0]:end].view(np.uint8).reshape(-1, 8)]
-            counts[lo:lo + 4096] = np.add.reduceat(lanes, some - some[0], axis=0).view(np.uint8).reshape(-1, 64)
+            counts[lo:lo + 512] = np.add.reduceat(lanes, some - some[0], axis=0).view(np.uint8).reshape(-1, 64)
         total = np.add.reduceat(counts, np.flatnonzero(nth == 0), axis=0, dtype=np.int64)
-        fps = np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
-        for k, fp in zip(long, fps.tolist()):
-            out[k] = fp
-        return out, keys
+        return np.packbits(2 * total > size[:, None], axis=1, bitorder="little").view("<i8")[:, 0], keys
 
 
 def left_out(words: list[bytes]) -> list[int]:
@@ -112,7 +174,7 @@ def left_out(words: list[bytes]) -> list[int]:
     return [(xxh64_intdigest(f, 7) & ~1) - (1 << 63) for f in sorted(forms)]
 
 
-def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int]]:
+def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, odd key) of the blocks of lines given by the hashes of their words and word pairs, one line after the other.
 
     Lines of 2^c to 2^(c+1) words are dealt to 2^(c-1) blocks, again with other draws while they are fewer than BLOCKS; lines near
@@ -120,7 +182,7 @@ def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[list[
     """
     of = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(size)), size - 1)
     level = np.frexp(size.astype(float))[1] - 1
-    line, key = [], []
+    line, key = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for c in range(3, int(level.max()) + 1):
         member = (size >= DEALT) & ((level == c) | (level == c + 1) & (size < 1.25 * 2.0 ** (c + 1)))
         item, at, blocks = (words, of[0], 4) if c == 3 else (pairs, of[1], 1 << c - 1)
@@ -144,12 +206,12 @@ def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[list[
             total = (total ^ total >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
             line.append(place // BLOCKS)
             key.append(((total ^ total >> np.uint64(32)) | np.uint64(1)).view(np.int64))
-    return (np.concatenate(line).tolist(), np.concatenate(key).tolist()) if line else ([], [])
+    return np.concatenate(line), np.concatenate(key)
 
 
-WORDS_KEPT = 600_000  # a memory bound only
+WORDS_KEPT = 600_000  # for a keeper of word hashes; a memory bound only
 LANES = np.array([sum(1 << 8 * b for b in range(8) if c >> b & 1) for c in range(256)], np.uint64)
-LOT = 300_000  # words that are hashed at once
+LOT = 1 << 19  # bytes of lines that are read at once
 
 
 def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -158,51 +220,75 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(f"`{id}`").cast("string"), body).alias("doc"), F.col(f"`{id}`").alias("doc_id"), body.alias("body"))
 
 
+def lots_of(bodies) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
+    """Texts with their lines in normal form, cut and joined at line ends to lots of about LOT bytes, and what is in each: the number
+    of the text, of its first line in the lot and of its lines there."""
+    parts, spans, size = [], [], 0
+    for d, body in enumerate(bodies):
+        whole, k, at = normal(body), 0, 0
+        while at <= len(whole):
+            end = whole.find(b"\n", at + LOT - size - 1) if at + LOT - size <= len(whole) else -1
+            part = whole[at:end] if end >= 0 else whole[at:]
+            parts.append(part)
+            spans.append((d, k, n := part.count(b"\n") + 1))
+            k, at, size = k + n, at + len(part) + 1, size + len(part) + 1
+            if size >= LOT:
+                yield b"\n".join(parts), spans
+                parts, spans, size = [], [], 0
+    if parts:
+        yield b"\n".join(parts), spans
+
+
 def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(doc, doc_id, k, node, fp, keys) of every line that has words: document key and id, line number, checksum, fingerprint, block keys."""
     kind = dict(docs.dtypes)[id]
 
     def read(batches):
-        import hashlib
+        from hashlib import md5
 
-        import pandas as pd
+        import pyarrow as pa
 
         reader = LineReader()
-        for pdf in batches:
-            keys, ids, rows, lines, size = pdf["doc"].to_numpy(), pdf["doc_id"], [], [], 0
-
-            def made():
-                at = [r[0] for r in rows]
-                fps, found = reader.read(lines)
-                out = pd.DataFrame({"doc": keys[at], "k": [r[1] for r in rows], "node": [hashlib.md5(b" ".join(ws)).digest() for ws in lines],
-                                    "fp": pd.array(fps, dtype="Int64"), "keys": found})
-                out.insert(1, "doc_id", ids.iloc[at].array)
-                return out
-
-            for d, body in enumerate(pdf["body"]):
-                for k, line in enumerate(body.encode("utf-8", "surrogatepass").split(b"\n")):
-                    if words := words_of(line):
-                        rows.append((d, k))
-                        lines.append(words)
-                        size += len(words)
-                if size > LOT:
-                    yield made()
-                    rows, lines, size = [], [], 0
-            yield made()
-
-    made = keyed(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(read, "doc long, doc_id string, k int, node binary, fp long, keys array<long>")
+        for batch in batches:
+            for lot, spans in lots_of(body.as_py() for body in batch.column("body")):
+                fps, known, line, key = reader.read_text(lot)
+                forms = lot.split(b"\n")
+                has = np.flatnonzero(np.fromiter(map(len, forms), np.int64, len(forms)))
+                d, first, n = np.array(spans).T
+                at = np.repeat(d, n)[has]
+                k = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n))[has]
+                order = np.argsort(line, kind="stable")
+                ends = np.cumsum(np.bincount(line, minlength=len(forms))[has])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc").take(pa.array(at)), batch.column("doc_id").take(pa.array(at)), pa.array(k.astype(np.int32)),
+                    pa.array([md5(forms[j]).digest() for j in has.tolist()], pa.binary()), pa.array(fps[has], mask=~known[has]),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(key[order]))],
+                    ["doc", "doc_id", "k", "node", "fp", "keys"])
+
+    made = keyed(docs, id, text).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("body", F.col("body").cast("binary"))
+    made = made.mapInArrow(read, "doc long, doc_id string, k int, node binary, fp long, keys array<long>")
     return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def form_column(line: Column) -> Column:
-    """The normal form of a line."""
-    @F.pandas_udf("string")
-    def form(lines):
-        import pandas as pd
+def forms_of(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(node, form): the normal form of wanted lines (node, doc, k), one place per node. A document is read once for all its lines."""
+    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("k", "node")).alias("at"))
+    places = F.broadcast(places) if wanted.count() <= BROADCAST_ROWS else places
+    rows = keyed(docs, id, text).select("doc", F.col("body").cast("binary").alias("body")).join(places, "doc").select("body", "at.k", "at.node")
+
+    def read(batches):
+        import pyarrow as pa
 
-        return pd.Series([b" ".join(words_of(x.encode("utf-8", "surrogatepass"))).decode("utf-8", "surrogatepass") for x in lines], dtype=object)
+        for batch in batches:
+            nodes, forms = [], []
+            for d in range(batch.num_rows):
+                lines = batch.column("body")[d].as_py().split(b"\n")
+                nodes += batch.column("node")[d].as_py()
+                forms += normal(b"\n".join([lines[k] for k in batch.column("k")[d].as_py()])).split(b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(forms, pa.binary()).cast(pa.string())], ["node", "form"])
 
-    return form(line)
+    # Documents that are equal to the last character bring their lines again.
+    return rows.mapInArrow(read, "node binary, form string").groupBy("node").agg(F.first("form").alias("form"))
 
 
 def shared_start(a: str, b: str) -> int:
@@ -217,12 +303,31 @@ def shared_start(a: str, b: str) -> int:
     return low
 
 
-def in_common(where: dict[str, int], n: int, b: str) -> int:
-    """Length of the longest common subsequence of b and a text of n characters, of which `where` has the places as bits."""
+def places_of(a: str) -> dict[str, int]:
+    """The places of each character of a text, as bits."""
+    chars = list(set(a))
+    if len(a) < 48 or len(chars) * len(a) > 1 << 22:  # a matrix does not pay, or takes much room
+        where = dict.fromkeys(chars, 0)
+        for k, c in enumerate(a):
+            where[c] |= 1 << k
+        return where
+    at, of = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, "".join(chars)))
+    rows = np.packbits(at == of[:, None], axis=1, bitorder="little")
+    return {c: int.from_bytes(row, "little") for c, row in zip(chars, map(bytes, rows))}
+
+
+def in_common(same_as: list[int], n: int, least: int = 0) -> int:
+    """Length of the longest common subsequence of a text of n characters and another one, for each character of which `same_as`
+    has the places in the first one as bits. It ends early, with the most it can be, once that is below `least`."""
     open_ = all_ = (1 << n) - 1
-    for c in b:
-        same = open_ & where.get(c, 0)
-        open_ = open_ + same | open_ - same
+    left_over = len(same_as)
+    for lo in range(0, len(same_as), 32):
+        for same in same_as[lo:lo + 32]:
+            same &= open_
+            open_ = open_ + same | open_ - same
+        left_over -= 32
+        if left_over > 0 and (most := n - (open_ & all_).bit_count() + left_over) < least:
+            return most
     return n - (open_ & all_).bit_count()
 
 
@@ -243,16 +348,13 @@ def within(a: str, b: str, limit: int) -> bool:
         return len(a) <= limit
     if not b:
         return False
-    where: dict[str, int] = {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << k
-    both = in_common(where, len(a), b)
+    same_as = list(map(places_of(a).get, b, repeat(0)))
+    both = in_common(same_as, len(a), len(a) - limit)
     if len(a) - both > limit or len(a) + len(b) - 2 * both <= limit:
         return len(a) - both <= limit
     all_, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score, left_over = all_, 0, len(a), len(b)
-    for c in b:
-        same = where.get(c, 0)
+    for same in same_as:
         free = same | down
         diagonal = ((same & up) + up ^ up) | same
         right, left = down | ~(diagonal | up) & all_, up & diagonal
@@ -288,12 +390,20 @@ def edits_by_words(a: list[str], b: list[str], most: float = math.inf) -> int:
                 break
         else:
             p = q = 1
-        both = min(p, q)
-        cost += sum(max(len(x), len(y)) for x, y in zip(a[i:i + both], b[j:j + both]))
-        cost += sum(len(x) + 1 for x in a[i + both:i + p]) + sum(len(x) + 1 for x in b[j + both:j + q])
+        p, q = i + p, j + q
+        while i < p and j < q:
+            x, y = len(a[i]), len(b[j])
+            cost += x if x > y else y
+            i += 1
+            j += 1
+        while i < p:
+            cost += len(a[i]) + 1
+            i += 1
+        while j < q:
+            cost += len(b[j]) + 1
+            j += 1
         if cost > most:
             return cost
-        i, j = i + p, j + q
     return cost + sum(len(x) + 1 for x in a[i:]) + sum(len(x) + 1 for x in b[j:])
 
 
@@ -362,8 +472,24 @@ class Decided:
         """
         if len(self.roots) > KEPT:
             self.roots.clear()
+        if homes is guests and len(homes) == 2:  # as most anchors are
+            (_, x, a), (_, y, b) = homes
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= bits and edits_allowed(a, b, least) >= 0:
+                self.joined(*homes, few_changes, least, False) or self.joined(*homes, few_edits, least, True)
+            return
         pools = homes, guests
         fps = [np.array([x[1] for x in pool], np.int64).view(np.uint64) for pool in pools]
+        sizes = [np.array([len(x[2]) for x in pool], np.int64) for pool in pools]
+
+        def close(fp, size, fps, sizes):
+            # Lengths that differ by more than the edits allowed (and one more, for rounding) need no test.
+            return (np.bitwise_count(fps ^ fp) <= bits) & (np.abs(sizes - size) <= (1 - least) * np.maximum(sizes, size) + 1)
+
+        near = None
+        if homes is guests and len(homes) <= LED:
+            table = close(fps[0][:, None], sizes[0][:, None], fps[0], sizes[0])
+            np.fill_diagonal(table, False)
+            near = [np.flatnonzero(row).tolist() for row in table]
         for test, last in ((few_changes, False), (few_edits, True)):
             if len({self.root(x[0]) for pool in pools for x in pool}) == 1:
                 return
@@ -375,10 +501,14 @@ class Decided:
                 while queue:
                     side, k = queue.pop()
                     me, pool, left, of = pools[side][k], pools[1 - side], free[1 - side], fps[1 - side]
-                    at = np.fromiter(left, np.int64, len(left))
-                    if not len(at):
+                    if not left:
                         continue
-                    for j in at[np.bitwise_count(of[at] ^ fps[side][k]) <= bits].tolist():
+                    if near:
+                        at = [j for j in near[k] if j in left]
+                    else:
+                        at = np.fromiter(left, np.int64, len(left))
+                        at = at[close(fps[side][k], sizes[side][k], of[at], sizes[1 - side][at])].tolist()
+                    for j in at:
                         if self.joined(me, pool[j], test, least, last):
                             left.discard(j)
                             queue.append((1 - side, j))
@@ -448,9 +578,7 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits
                     .select("anchor", "lead", F.lit(True).alias("own"), "node", F.when(dealt_key, F.col("fp")).otherwise(0).alias("fp"), "doc", "k"), "line-visits")
     # The lines that meet others are fetched from the documents in which they come first.
     wanted = staged(visits.select("node", "doc", "k").distinct(), "line-candidates")
-    rows = keyed(docs, id, text).join(sized(wanted), "doc")
-    texts = rows.select("node", form_column(F.get(F.split("body", "\n"), F.col("k"))).alias("form")).groupBy("node").agg(F.first("form").alias("form"))
-    texts = staged(texts, "line-texts")
+    texts = staged(forms_of(docs, id, text, wanted), "line-texts")
     groups = staged(components(verified_links(visits.drop("doc", "k").join(texts, "node"), bits, least)), "line-groups")
     rooted = nodes.join(groups, "node", "left").select("node", "at", "n", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("at").alias("first"), F.sum("n").alias("of")).where("of > 1")
