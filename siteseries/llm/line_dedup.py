@@ -194,15 +194,10 @@ def dealt(words: np.ndarray, pairs: np.ndarray, size: np.ndarray) -> tuple[np.nd
             block = (mixed & np.uint64(blocks - 1)).astype(np.int64)
             here = block < BLOCKS - draw * blocks
             slot = at[here] * BLOCKS + block[here]
-            order = np.argsort(slot, kind="stable")
-            slot = slot[order]
-            starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else slot
-            if not len(starts):
-                continue
-            total = np.add.reduceat(mixed[here][order], starts)
-            several = np.diff(np.r_[starts, len(slot)]) > 1
-            place = slot[starts][several]
-            total = total[several] + (place % BLOCKS + BLOCKS * (draw + BLOCKS * c)).astype(np.uint64)
+            total = np.zeros(len(size) * BLOCKS, np.uint64)
+            np.add.at(total, slot, mixed[here])
+            place = np.flatnonzero(np.bincount(slot, minlength=len(total)) > 1)
+            total = total[place] + (place % BLOCKS + BLOCKS * (draw + BLOCKS * c)).astype(np.uint64)
             total = (total ^ total >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
             line.append(place // BLOCKS)
             key.append(((total ^ total >> np.uint64(32)) | np.uint64(1)).view(np.int64))
@@ -478,6 +473,8 @@ class Decided:
                 self.joined(*homes, few_changes, least, False) or self.joined(*homes, few_edits, least, True)
             return
         pools = homes, guests
+        if len({self.root(x[0]) for x in (homes if homes is guests else homes + guests)}) == 1:
+            return
         fps = [np.array([x[1] for x in pool], np.int64).view(np.uint64) for pool in pools]
         sizes = [np.array([len(x[2]) for x in pool], np.int64) for pool in pools]
 
@@ -489,9 +486,11 @@ class Decided:
         if homes is guests and len(homes) <= LED:
             table = close(fps[0][:, None], sizes[0][:, None], fps[0], sizes[0])
             np.fill_diagonal(table, False)
+            if not table.any():
+                return
             near = [np.flatnonzero(row).tolist() for row in table]
         for test, last in ((few_changes, False), (few_edits, True)):
-            if len({self.root(x[0]) for pool in pools for x in pool}) == 1:
+            if last and len({self.root(x[0]) for pool in pools for x in pool}) == 1:
                 return
             free = set(range(len(homes))), set(range(len(guests)))
             if homes is guests:
@@ -568,9 +567,10 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", bits
     nodes = staged(seen.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(order).alias("at"),
                                             F.count("*").alias("n")), "line-nodes")
     visits = nodes.select(F.explode("keys").alias("anchor"), "node", "fp", "at.doc", "at.k")
-    dealt_key = F.col("anchor").bitwiseAND(F.lit(1)) == 1
-    hashed = F.xxhash64("node")
-    meets = visits.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("who"), F.min(hashed).alias("lead")).where("n > 1")
+    dealt_key, hashed = F.col("anchor").bitwiseAND(F.lit(1)) == 1, F.col("hashed")
+    # Hashed before the keys are dealt out: only eight bytes a node go along.
+    met = nodes.select("keys", F.xxhash64("node").alias("hashed")).select(F.explode("keys").alias("anchor"), "hashed")
+    meets = met.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("who"), F.min(hashed).alias("lead")).where("n > 1")
     meets = staged(meets.groupBy("n", "who", dealt_key.alias("dealt")).agg(F.min("anchor").alias("anchor"), F.min("lead").alias("lead"))
                    .select("anchor", F.when(F.col("n") <= LED, F.col("lead")).otherwise(F.xxhash64("anchor")).alias("lead")), "line-meets")
     # Keys of lines left short are exact enough; their nodes meet whatever their fingerprints.

@@ -301,6 +301,42 @@ def test_line_fingerprint_counts_every_pair():
     assert L.words_of("Ab-C  É,\tx1".encode()) == [b"ab", b"c", "É".encode(), b"x1"]
 
 
+def test_lines_are_read_as_arrays(monkeypatch):
+    """Normal forms, word hashes, lots and places of characters against their plain definitions."""
+    rng = random.Random(11)
+    alphabet = [*map(chr, range(128)), "\n", "\n", " ", " ", "é", "中", "😀", *"abcXYZ019" * 8]
+    texts = ["", "\n", " \n ", "x\n", "y" * 40 + " z"] + ["".join(rng.choices(alphabet, k=rng.randrange(300))) for _ in range(200)]
+    forms = [[b" ".join(L.words_of(x)) for x in t.encode().split(b"\n")] for t in texts]
+    assert [L.normal(t.encode()).split(b"\n") for t in texts] == forms
+    for lot in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(L, "LOT", lot)
+        got = [[] for _ in texts]
+        for joined, spans in L.lots_of(t.encode() for t in texts):
+            lines = iter(joined.split(b"\n"))
+            for d, first, n in spans:
+                assert first == len(got[d])
+                got[d] += [next(lines) for _ in range(n)]
+            assert next(lines, None) is None
+        assert got == forms
+    words = [rng.randbytes(n).replace(b" ", b"x") for n in range(1, 70) for _ in range(3)]
+    size = np.array([len(w) for w in words])
+    hashes = L.word_hashes(np.frombuffer(b" ".join(words), np.uint8), np.cumsum(size + 1) - size - 1, size)
+    assert hashes.tolist() == [xxh64_intdigest(w, 42) for w in words]
+    for t in texts:
+        assert L.places_of(t) == {c: sum(1 << k for k, x in enumerate(t) if x == c) for c in set(t)}
+
+
+def test_documents_are_read_once_for_all_their_lines(spark):
+    """The texts of the lines that meet others come from one pass over a document, not from one for each line."""
+    body = "A  first, line\n***\nÉté 中\nlast!"
+    docs = docs_of(spark, [(1, body), (1, body), (2, None), (3, "x y\nz")])
+    keys = {r.doc_id: r.doc for r in L.keyed(docs, "doc_id", "text").collect()}
+    wanted = spark.createDataFrame([(bytes([k]), keys[1], k) for k in (0, 2, 3)] + [(b"z", keys[3], 1)], "node binary, doc long, k int")
+    out = L.forms_of(docs, "doc_id", "text", wanted)
+    assert {bytes(r.node): r.form for r in out.collect()} == {b"\0": "a first line", b"\2": "Été 中", b"\3": "last", b"z": "z"}
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("homes", [3, 4096])
 def test_alike_anchors_connect_all_close_pairs(spark, monkeypatch, homes):
     monkeypatch.setattr(S, "cells_of", lambda v, item, n=homes, alike=False, f=S.cells_of: f(v, item, homes, alike))
